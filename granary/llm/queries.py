@@ -3,8 +3,20 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
+from .langid import op9_language_id
 from .mixing import OP7_SQL, op7_mixing
+from .quality import op6_quality
+from .tokens import op2_token_counts
 from .topk import OP1_SQL, op1_top_k_search
+from .toxicity import op8_toxicity
 
-QUERIES = {"op1_top_k_search": op1_top_k_search, "op4_chat_formatting": op4_chat_formatting, "op7_mixing": op7_mixing}
+QUERIES = {
+    "op1_top_k_search": op1_top_k_search,
+    "op2_token_counts": op2_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op6_quality": op6_quality,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
+    "op9_language_id": op9_language_id,
+}
 ORACLES = {"op1_top_k_search": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL}
