@@ -1,8 +1,8 @@
 """Toxic spans and scores with a linear-chain conditional random field.
 
 Labels come per document; the tokens of the training sample are labelled from them: a word
-whose documents are toxic far more often than chance allows is toxic where it stands in a
-toxic document. The chain model learns these tags from affixes, n-grams and the words
+(or its first few bytes) whose documents are toxic far more often than chance allows is
+toxic where it stands in a toxic document. The chain model learns these tags from affixes, n-grams and the words
 themselves. Forward-backward marginals give the offending offsets, and through a logistic
 curve of their maximum and their sum the document's score.
 """
@@ -69,6 +69,21 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
+def suspicious(unit: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which tokens' units stand in toxic documents more than chance allows.
+
+    The probability of so large a share of toxic documents is at most exp(-n KL(share, base)),
+    which is held against the number of units that were tried.
+    """
+    distinct, back = np.unique(unit, return_inverse=True)
+    pairs = np.unique(back.astype(np.int64) * len(y) + owner)
+    n = np.bincount(pairs // len(y), minlength=len(distinct))
+    bad = np.bincount((pairs // len(y))[y[pairs % len(y)] == 1], minlength=len(distinct))
+    base, share = y.mean(), np.clip(bad / n, 1e-9, 1 - 1e-9)
+    surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
+    return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 4))[back]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from a sample of at most `most` labelled rows."""
     rows = sample_labelled(docs, labels, "toxic", most)
@@ -81,15 +96,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3) ->
     data = _fold(raw)
     s, e, owner = spans(data, off, INSIDE)
     distinct, at, word = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-    pairs = np.unique(word.astype(np.int64) * len(rows) + owner)
-    in_docs = np.bincount(pairs // len(rows), minlength=len(distinct))
-    in_toxic = np.bincount((pairs // len(rows))[y[pairs % len(rows)] == 1], minlength=len(distinct))
-    base, share = y.mean(), np.clip(in_toxic / in_docs, 1e-9, 1 - 1e-9)
-    surprise = in_docs * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    toxic = (share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 7)
-    if not toxic.any():
+    tag = np.zeros(len(s), np.int64)
+    for k in (None, 4, 5, 6):  # whole words, and prefixes of so many bytes
+        use = np.arange(len(s)) if k is None else np.flatnonzero(e - s > k)
+        if len(use):
+            tag[use] |= suspicious(hashes(data, s[use], e[use] if k is None else s[use] + k), owner[use], y)
+    tag &= y[owner]
+    if not tag.any():
         return none
-    tag = (toxic[word] & (y[owner] == 1)).astype(np.int64)
     starts = chain_starts(owner)
     ends = np.r_[starts[1:], len(word)]
     hit = np.add.reduceat(tag, starts) > 0
