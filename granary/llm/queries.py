@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
+from .decontamination import OP10_SQL, op10_decontamination
 from .langid import op9_language_id
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
@@ -18,5 +19,6 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
+    "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op1_top_k_search": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL}
+ORACLES = {"op1_top_k_search": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}

@@ -81,7 +81,7 @@ def suspicious(unit: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray
     bad = np.bincount((pairs // len(y))[y[pairs % len(y)] == 1], minlength=len(distinct))
     base, share = y.mean(), np.clip(bad / n, 1e-9, 1 - 1e-9)
     surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
-    return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 4))[back]
+    return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 6))[back]
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3) -> Model:
