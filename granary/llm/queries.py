@@ -7,6 +7,7 @@ from .decontamination import OP10_SQL, op10_decontamination
 from .langid import op9_language_id
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
+from .substrings import OP3_SQL, op3_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP1_SQL, op1_top_k_search
 from .toxicity import op8_toxicity
@@ -14,6 +15,7 @@ from .toxicity import op8_toxicity
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
     "op2_token_counts": op2_token_counts,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op1_top_k_search": OP1_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
