@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .chat import OP4_SQL, op4_chat_formatting
 from .decontamination import OP10_SQL, op10_decontamination
+from .jaccard import OP5_SQL, op5_jaccard_join
 from .langid import op9_language_id
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
@@ -17,10 +18,11 @@ QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_quality": op6_quality,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
 }
-ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
