@@ -7,8 +7,9 @@ tokens in their prefixes under every global order of tokens, so:
 2. Nodes with a least token in common under other orders are held against the smallest of
    them. Those that link to it form its star, with their distance to it, so that a large
    group of near copies is one star and not its pairs.
-3. Stars that share prefix tokens under the first order are candidates; the roots' sets pass
-   the other orders' prefix filters, and only what is left is verified.
+3. Stars that share prefix tokens under the first order are candidates, unless sizes and
+   parity signatures already tell them apart; the roots' sets pass the other orders' prefix
+   filters, and only what is left is verified.
 4. Jaccard distance obeys the triangle inequality: if two roots are farther apart than the
    threshold and both stars' radii, none of their members link. For the few pairs of stars
    in between, members are joined by their prefixes in the same way.
@@ -32,6 +33,8 @@ SHARE = 3  #: tokens that two prefixes must share
 ORDERS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179))  #: of the filters before verification
 SEEDS = (U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B), U(0x3C6EF372FE94F82B), U(0xA54FF53A5F1D36F1))
 FREQUENT = 1 << 20  #: at most so many tokens are told to every task as frequent
+DENSE = 16  #: ids that share a token beyond which their parity signatures are held against each other first
+BITS = 512  #: of a parity signature
 SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 
 
@@ -103,7 +106,11 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, share: int) -> np.nda
 
 
 def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, node, n, least (of each seed), prefix (under the first order)."""
+    """doc_id, text_hash, node, n, least (of each seed), prefix (under the first order), parity.
+
+    parity has for each of BITS classes of tokens whether the set holds an odd number; where
+    two signatures differ, the sets differ in at least a token each.
+    """
     told = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +129,15 @@ def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int,
                     full = size > 0
                     for i, seed in enumerate(SEEDS):
                         least[i, full] = np.minimum.reduceat(mixed(found ^ seed), start[:-1][full])
+                odd = np.bincount(row * BITS + (found & U(BITS - 1)).astype(np.int64), minlength=len(size) * BITS) & 1
+                parity = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                parity = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (BITS // 64)), _long(parity))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), _long(prefix))
                 seeds = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(SEEDS)), _long(least.T.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), _long(nodes_of(found, start)), pa.array(size, pa.int32()), seeds, lists], ["doc_id", "text_hash", "node", "n", "least", "prefix"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), _long(nodes_of(found, start)), pa.array(size, pa.int32()), seeds, lists, parity], ["doc_id", "text_hash", "node", "n", "least", "prefix", "parity"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, n int, least array<long>, prefix array<long>")
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, n int, least array<long>, prefix array<long>, parity array<long>")
 
 
 def _small(ids: DataFrame) -> DataFrame:
@@ -179,11 +189,51 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
     return saved(both.select("a", "b", "strict", "x", "y").mapInArrow(run, "a long, b long, distance double"), "verified")
 
 
-def prefix_pairs(rows: DataFrame, percent: int, share: int) -> DataFrame:
-    """rows: id, low, high (sizes), prefix. Pairs a < b of ids that share `share` prefix tokens.
+def by_token(work, rows_at_once: int = 200_000):
+    """For mapInArrow over rows sorted by token: gives work the rows of whole tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < rows_at_once:
+                continue
+            t = pa.Table.from_batches(held)
+            token = t.column("token").to_numpy()
+            whole = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
+            if whole:
+                yield from work(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                n -= whole
+        if held:
+            yield from work(pa.Table.from_batches(held))
+
+    return run
+
+
+def each_pair(token: np.ndarray, stay) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of one token, each row with the next, then the one after, and so on.
 
-    Rows of one id in a batch are merged before the shuffle. Sizes that the threshold
-    can't reach make no pair.
+    stay(x, y) tells which of the rows x go on after they met y.
+    """
+    end = np.searchsorted(token, token, side="right")
+    x = np.arange(len(token))
+    step = 1
+    while len(x := x[x + step < end[x]]):
+        yield x, x + step
+        x = x[stay(x, x + step)]
+        step += 1
+
+
+def prefix_pairs(placed: DataFrame, info: DataFrame, percent: int, share: int, limit: float) -> DataFrame:
+    """Pairs a < b of stars whose members share `share` prefix tokens, and the sum of their radii, slack.
+
+    placed: root, n, prefix of each node; info: id, n, radius, parity of each root. Rows of one
+    star in a batch are merged before the shuffle. Sizes that the threshold can't reach make
+    no pair, nor, among the ids of a token that many share, roots whose signatures show that
+    they are farther apart than the threshold and their radii.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,59 +241,63 @@ def prefix_pairs(rows: DataFrame, percent: int, share: int) -> DataFrame:
             lists = batch.column("prefix")
             token = lists.flatten().to_numpy()
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            own, low, high = (batch.column(c).to_numpy()[row] for c in ("id", "low", "high"))
-            order = np.lexsort((token, own))
-            token, own, low, high = token[order], own[order], low[order], high[order]
-            first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]) if len(token) else np.zeros(0, np.int64)
-            if len(first):
-                yield pa.RecordBatch.from_arrays([pa.array(token[first]), pa.array(own[first]), pa.array(np.minimum.reduceat(low, first)), pa.array(np.maximum.reduceat(high, first))], ["token", "id", "low", "high"])
-
-    def pairs(token: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((high, own, token))
+            yield from merged(token, batch.column("root").to_numpy()[row], *[batch.column("n").to_numpy()[row]] * 2)
+
+    def least_and_most(token: np.ndarray, own: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+        order = np.lexsort((own, token))
         token, own, low, high = token[order], own[order], low[order], high[order]
-        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
-        low, high, token, own = np.minimum.reduceat(low, first), np.maximum.reduceat(high, first), token[first], own[first]
+        first = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (own[1:] != own[:-1])]) if len(token) else np.zeros(0, np.int64)
+        if not len(first):
+            return token, own, low, high
+        return token[first], own[first], np.minimum.reduceat(low, first), np.maximum.reduceat(high, first)
+
+    def merged(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in least_and_most(*columns)], ["token", "id", "low", "high"])
+
+    def told(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "token"])
+
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, own, low, high = least_and_most(*(t.column(c).to_numpy() for c in ("token", "id", "low", "high")))
         order = np.lexsort((low, token))
         token, own, low, high = token[order], own[order], low[order], high[order]
-        group_end = np.searchsorted(token, token, side="right")
-        i = np.arange(len(token))
-        j = i + 1
-        open_ = i[j < group_end]
-        while len(open_):  # each row meets the next one of its token, then the one after
-            x, y = open_, j[open_]
-            fits = percent * low[y] <= 100 * high[x]
-            ok = fits & (own[x] != own[y])
+        many = np.searchsorted(token, token, side="right") - np.searchsorted(token, token) > DENSE
+        yield pa.RecordBatch.from_arrays([pa.array(own[many]), pa.nulls(int(many.sum()), pa.int64()), pa.array(token[many])], ["a", "b", "token"])
+        token, own, low, high = token[~many], own[~many], low[~many], high[~many]
+        fits = lambda x, y: percent * low[y] <= 100 * high[x]  # noqa: E731  the rows after y are larger still
+        for x, y in each_pair(token, fits):
+            ok = fits(x, y)
             if ok.any():
-                a, b = np.minimum(own[x[ok]], own[y[ok]]), np.maximum(own[x[ok]], own[y[ok]])
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            j[open_] += 1
-            open_ = open_[fits & (j[open_] < group_end[open_])]  # the rest of the group is larger still
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows_held = 0
+                yield told(own[x[ok]], own[y[ok]])
+
+    def meet_dense(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, own, n, radius = (t.column(c).to_numpy() for c in ("token", "a", "n", "radius"))
+        parity = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(token), -1)
+        order = np.lexsort((n, token))
+        token, own, n, radius, parity = token[order], own[order], n[order], radius[order], parity[order]
+        apart = lambda differ, x, y: 2 * differ / (n[x] + n[y] + differ)  # noqa: E731  the least distance
+        for x, y in each_pair(token, lambda x, y: apart(n[y] - n[x], x, y) <= limit + radius[x] + limit):
+            differ = np.maximum(np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64), n[y] - n[x])
+            ok = apart(differ, x, y) <= limit + radius[x] + radius[y]
+            if ok.any():
+                yield told(own[x[ok]], own[y[ok]])
 
-        def flush(t: pa.Table) -> Iterator[pa.RecordBatch]:
-            yield from pairs(*(t.column(c).to_numpy() for c in ("token", "id", "low", "high")))
+    rows = placed.select("root", "n", "prefix").mapInArrow(merge, "token long, id long, low int, high int")
+    met = saved(rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, token long"), "met")
+    dense = met.filter("b is null").select("a", "token").join(info.withColumnRenamed("id", "a"), "a")
+    more = dense.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet_dense), "a long, b long, token long")
+    pairs = met.filter("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+    pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= share).select("a", "b")
+    ia, ib = (info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]) for k in "ab")
+    pairs = pairs.join(ia, F.col("a") == F.col("id_a")).join(ib, F.col("b") == F.col("id_b"))
+    return pairs.filter(least_distance("a", "b") <= limit + F.col("radius_a") + F.col("radius_b")).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack"))
 
-        for batch in batches:
-            held.append(batch)
-            rows_held += batch.num_rows
-            if rows_held < 200_000:
-                continue
-            t = pa.Table.from_batches(held)
-            token = t.column("token").to_numpy()
-            whole = int(np.flatnonzero(token != token[-1])[-1]) + 1 if token[0] != token[-1] else 0
-            if whole:
-                yield from flush(t.slice(0, whole))
-                held = t.slice(whole).combine_chunks().to_batches()
-                rows_held = t.num_rows - whole
-        if held:
-            yield from flush(pa.Table.from_batches(held))
 
-    merged = rows.select("id", "low", "high", "prefix").mapInArrow(merge, "token long, id long, low int, high int")
-    met = merged.repartition("token").sortWithinPartitions("token").mapInArrow(meet, "a long, b long")
-    return met.groupBy("a", "b").count().filter(F.col("count") >= share).select("a", "b")
+def least_distance(a: str, b: str):
+    """The least Jaccard distance that sizes and parity signatures (n_a, parity_a, ...) leave possible."""
+    differ = sum((F.bit_count(F.col(f"parity_{a}")[i].bitwiseXOR(F.col(f"parity_{b}")[i])) for i in range(BITS // 64)), F.lit(0))
+    differ = F.greatest(differ, F.abs(F.col(f"n_{a}") - F.col(f"n_{b}")))
+    return 2 * differ / (F.col(f"n_{a}") + F.col(f"n_{b}") + differ)
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -276,11 +330,11 @@ def member_pairs(gray: DataFrame, edges: DataFrame, placed: DataFrame, percent:
     apart = gray.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "distance")
     apart = saved(apart, "apart")
     asked = apart.select(F.explode(F.array("a", "b")).alias("root")).distinct()
-    member = saved(placed.join(asked, "root").select("root", "node", "n", "radius", F.explode("prefix").alias("token")), "members")
-    x = apart.join(member, apart["a"] == member["root"]).select("b", "distance", "token", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("radius").alias("rx"))
-    y = member.select(F.col("root").alias("b"), "token", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("radius").alias("ry"))
-    near = (F.col("rx") + F.col("ry") + limit >= F.col("distance")) & (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny"))
-    both = x.join(y, ["b", "token"]).filter(near).groupBy("x", "y").count().filter(F.col("count") >= share)
+    member = saved(placed.join(asked, "root").select("root", "node", "n", "radius", "parity", F.explode("prefix").alias("token")), "members")
+    x = apart.join(member, apart["a"] == member["root"]).select("b", "distance", "token", F.col("node").alias("x"), F.col("n").alias("n_x"), F.col("radius").alias("rx"), F.col("parity").alias("parity_x"))
+    y = member.select(F.col("root").alias("b"), "token", F.col("node").alias("y"), F.col("n").alias("n_y"), F.col("radius").alias("ry"), F.col("parity").alias("parity_y"))
+    near = (F.col("rx") + F.col("ry") + limit >= F.col("distance")) & (least_distance("x", "y") <= limit)
+    both = x.alias("l").join(y.alias("r"), (F.col("l.b") == F.col("r.b")) & (F.col("l.token") == F.col("r.token")) & near).groupBy("x", "y").count().filter(F.col("count") >= share)
     return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -300,7 +354,7 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     limit = 1 - percent / 100 + 1e-12
     sketch = saved(sketches(docs, n, percent, share, least_size, frequent_tokens(docs, n, percent, share)), "sketch")
     nodes = saved(sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep")), "nodes")
-    large = saved(sketch.filter(F.col("n") >= least_size).select("node", "n", "least", "prefix").dropDuplicates(["node"]), "large")
+    large = saved(sketch.filter(F.col("n") >= least_size).select("node", "n", "least", "prefix", "parity").dropDuplicates(["node"]), "large")
     check = lambda pairs: verified(pairs, nodes, docs, n, percent)
 
     # Stars.
@@ -310,14 +364,13 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     linked = check(near.withColumn("strict", F.lit(True))).filter(F.col("distance") <= limit)
     inner = linked.select(F.col("b").alias("a")).distinct()  # they link to a smaller pivot, so they are no roots
     roots = linked.join(inner, "a", "left_anti").groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m")).select(F.col("b").alias("node"), F.col("m.a").alias("root"), F.col("m.distance").alias("radius"))
-    placed = large.join(roots, "node", "left").select("node", "n", "prefix", F.coalesce("root", "node").alias("root"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
+    placed = large.join(roots, "node", "left").select("node", "n", "prefix", "parity", F.coalesce("root", "node").alias("root"), F.coalesce("radius", F.lit(0.0)).alias("radius"))
     placed = saved(placed, "placed")
 
     # Stars against stars.
-    reach = placed.filter("radius > 0").groupBy("root").agg(F.max("radius").alias("radius"))
-    ra, rb = reach.select(F.col("root").alias("a"), F.col("radius").alias("ra")), reach.select(F.col("root").alias("b"), F.col("radius").alias("rb"))
-    met = prefix_pairs(placed.select(F.col("root").alias("id"), F.col("n").alias("low"), F.col("n").alias("high"), "prefix"), percent, share)
-    met = saved(met.join(ra, "a", "left").join(rb, "b", "left").select("a", "b", (F.coalesce("ra", F.lit(0.0)) + F.coalesce("rb", F.lit(0.0))).alias("slack")), "met")
+    reach = placed.groupBy("root").agg(F.max("radius").alias("radius")).withColumnRenamed("root", "id")
+    info = placed.filter("node = root").select(F.col("node").alias("id"), "n", "parity").join(reach, "id")
+    met = saved(prefix_pairs(placed, info, percent, share, limit), "pairs")
     between = check(met.select("a", "b", (F.col("slack") == 0).alias("strict")))
     edges = linked.select("a", "b").unionByName(between.filter(F.col("distance") <= limit).select("a", "b"))
     gray = between.filter(F.col("distance") > limit).join(met, ["a", "b"]).filter(F.col("distance") <= limit + F.col("slack"))
