@@ -8,7 +8,7 @@ language for some words and then may leave it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -98,12 +98,13 @@ def text_scores(model: CRF, texts: pa.Array) -> np.ndarray:
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)
 
 
-def identify(docs: DataFrame, model: CRF) -> DataFrame:
+def identify(docs: DataFrame, model: CRF, carry: Sequence[str] = ()) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, lang_pred, score for each row's whole text.
 
     lang_pred is a learned label; 'und' with score 0 if the text is null, empty or has no
     letter, or if nothing was learned. score is the share of the label in the text's words.
-    Ties go to the first label in order. Repeated rows and null ids stay.
+    Ties go to the first label in order. Repeated rows and null ids stay. carry names columns
+    of docs that come along; others are ignored.
     """
     told = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
 
@@ -115,11 +116,12 @@ def identify(docs: DataFrame, model: CRF) -> DataFrame:
                 best = shares.argmax(axis=1) if model.labels else np.zeros(part.num_rows, np.int64)
                 found = shares.max(axis=1) if model.labels else np.zeros(part.num_rows)
                 names = [model.labels[b] if f > 0 else "und" for b, f in zip(best, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.minimum(found, 1.0), pa.float64()), part.column("letter")], ["doc_id", "lang_pred", "score", "letter"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(names, pa.string()), pa.array(np.minimum(found, 1.0), pa.float64()), part.column("letter"), *[part.column(f"_{c}") for c in carry]], ["doc_id", "lang_pred", "score", "letter", *[f"_{c}" for c in carry]])
 
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    found = docs.select("doc_id", "text", letter).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, letter boolean")
-    return found.select("doc_id", F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"))
+    more = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    found = docs.select("doc_id", "text", letter, *[F.col(c).alias(f"_{c}") for c in carry]).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, letter boolean{more}")
+    return found.select("doc_id", F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"), *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def held_out(modulus: int, left: int):

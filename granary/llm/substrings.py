@@ -15,7 +15,7 @@ by their own hashes instead and counted with map-side aggregation, which is exac
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -238,14 +238,15 @@ def duplicate_spans(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HO
     return parsed.unionByName(single.join(again, "key").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + size).alias("hi")))
 
 
-def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT, sent: int = SENT) -> DataFrame:
+def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT, sent: int = SENT, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     docs: doc_id, text. Null and empty texts have no words. Rows that repeat a doc_id are
     documents of their own, so an exactly repeated row is a duplicate of the other; a null
-    doc_id is an id. Texts of fewer than size words lose nothing. Other columns are ignored.
+    doc_id is an id. Texts of fewer than size words lose nothing. carry names columns of docs that come along;
+    others are ignored.
     """
-    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", *[F.col(c).alias(f"_{c}") for c in carry])
     found = duplicate_spans(keyed, size, k, hot, sent)
     per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = keyed.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
@@ -265,10 +266,12 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = H
                         words = [words[i] for i in np.flatnonzero(np.cumsum(cover)[:-1] == 0)]
                     kept.append(" ".join(words))
                     n_removed.append(n_words[-1] - len(words))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *[part.column(f"_{c}") for c in carry]], ["doc_id", "n_words", "n_removed", "kept", *[f"_{c}" for c in carry]])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.select("d.doc_id", "d.text", "spans.lo", "spans.hi").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string")
+    more = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    found = joined.select("d.doc_id", "d.text", "spans.lo", "spans.hi", *[F.col(f"d._{c}") for c in carry])
+    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string{more}").withColumnsRenamed({f"_{c}": c for c in carry})
 
 
 def _split(text: str | None) -> list[str]:
