@@ -110,7 +110,7 @@ def dual_descent(start: np.ndarray, f: np.ndarray, value: np.ndarray, y: np.ndar
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 6000, smooth: float = 1.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, smooth: float = 1.0) -> Model:
     """docs: doc_id, text; labels: doc_id and label (0 or 1). Learns from at most `most` labelled rows."""
     rows = sample_labelled(docs, labels, label, most)
     y = np.array([r[1] for r in rows], np.int64)
@@ -118,15 +118,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     if not y.any() or y.all():
         sure = 0.0 if not len(y) else (3.0 if y.all() else -3.0)
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), 0.0, np.array([sure, 0.0]))
-    row, f = indicators(pa.array([r[2] for r in rows], pa.large_string()))
+    found = [indicators(pa.array([r[2] for r in rows[i : i + 200]], pa.large_string())) for i in range(0, len(rows), 200)]
+    row = np.concatenate([x[0].astype(np.int32) + 200 * i for i, x in enumerate(found)])
+    f = np.concatenate([x[1].astype(np.int32) for x in found])
+    del found
     left = np.arange(len(y)) % 5 == 0  # gives the curve only
-    known = ~left[row]
-    count = [np.bincount(f[known & (y[row] == k)], minlength=size) + smooth for k in (0, 1)]
+    count = [np.bincount(f[((y == k) & ~left)[row]], minlength=size) + smooth for k in (0, 1)]
     ratio = (np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())).astype(np.float32)
     ratio[(count[0] + count[1]) <= 2 * smooth] = 0  # never seen: says nothing
-    value = ratio[f].astype(np.float64)
+    value = ratio[f]
     norm = np.sqrt(np.bincount(row, value**2, len(y)))
-    value /= np.maximum(norm, 1e-9)[row]
+    value /= np.maximum(norm, 1e-9)[row].astype(np.float32)
     start = np.searchsorted(row, np.arange(len(y) + 1))
     use = np.flatnonzero(~left)
     picked = np.concatenate([np.arange(start[i], start[i + 1]) for i in use])
