@@ -54,11 +54,11 @@ def _rates(sized: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     return targets.select(F.col("source").alias("_source"), "source_size", "target", rate.alias("rate"))
 
 
-def _copies(seed: int) -> Column:
+def _copies(rate: str, seed: int) -> Column:
     """floor(rate), and one more if the draw of doc_id falls below the fraction."""
     said = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     draw = F.conv(F.substring(F.md5(said), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    return (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int")
+    return (F.floor(rate) + (draw < F.col(rate) - F.floor(rate)).cast("int")).cast("int")
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
@@ -71,7 +71,7 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3,
     return (
         sized.join(_rates(sized, weights, cap), F.col("source").eqNullSafe(F.col("_source")), "left")
         .drop("_source")
-        .withColumn("copies", _copies(seed))
+        .withColumn("copies", _copies("rate", seed))
         .withColumn("taken", F.col("size") * F.col("copies"))
     )
 
@@ -83,10 +83,10 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed:
     a join with as many rows as there are sources.
     """
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    rates = _rates(sized, weights, cap).select("_source", "rate")
+    rates = _rates(sized, weights, cap).select("_source", F.col("rate").alias("_rate"))
     return (
         docs.join(rates, docs["source"].eqNullSafe(F.col("_source")), "left")
-        .withColumn("_copies", _copies(seed))
+        .withColumn("_copies", _copies("_rate", seed))
         .filter("_copies > 0")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
         .select(*[docs[c] for c in docs.columns], "copy")
