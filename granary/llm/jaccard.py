@@ -155,38 +155,28 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, most=1 << 20):
                 found, start = shingle_sets(part.column("text"), n)
-                raw = found.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([raw[8 * i : 8 * j] for i, j in zip(start[:-1], start[1:], strict=True)], pa.binary())], ["node", "tokens"])
-
+                size, row = np.diff(start), _rows(start)
+                columns = [pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), _long(found))]
+                for order in ORDERS:
+                    h = mixed(found ^ order)
+                    keep = np.arange(len(h)) - start[:-1][row] < prefix_length(size, percent, 1)[row]
+                    front = h[np.lexsort((h, row))][keep]
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(len(size) + 1)).astype(np.int32)), _long(front)))
+                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], ["node", "tokens", *fronts])
+
+    fronts = [f"front{i}" for i in range(len(ORDERS))]
     ids = _small(needed)
     chosen = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.text_hash") == F.col("i.text_hash"))).select("i.node", "d.text")
-    held = saved(chosen.mapInArrow(sets, "node long, tokens binary"), "sets").dropDuplicates(["node"])
-    both = pairs.join(held.select(F.col("node").alias("a"), F.col("tokens").alias("x")), "a").join(held.select(F.col("node").alias("b"), F.col("tokens").alias("y")), "b")
-
-    def front(x: np.ndarray, order: np.uint64) -> np.ndarray:
-        k = int(prefix_length(np.array([len(x)]), percent, 1)[0])
-        h = mixed(x ^ order)
-        return h if k >= len(h) else np.partition(h, k - 1)[:k]
-
-    def distance(x: bytes, y: bytes) -> float:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        inter = len(np.intersect1d(p, q, assume_unique=True))
-        return 1 - inter / (len(p) + len(q) - inter)
-
-    def passes(x: bytes, y: bytes) -> bool:
-        p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        return all(len(np.intersect1d(front(p, o), front(q, o), assume_unique=True)) for o in ORDERS)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [i for i, (x, y, only) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("x", "y", "strict")), strict=True)) if not only or passes(x, y)]
-            part = batch.take(pa.array(kept, pa.int32()))
-            d = [distance(x, y) for x, y in zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(d, pa.float64())], ["a", "b", "distance"])
-
-    return saved(both.select("a", "b", "strict", "x", "y").mapInArrow(run, "a long, b long, distance double"), "verified")
+    held = saved(chosen.mapInArrow(sets, "node long, tokens array<long>, " + ", ".join(f"{f} array<long>" for f in fronts)), "sets").dropDuplicates(["node"])
+    x, y = (held.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("tokens", *fronts)]) for k in "ab")
+    shared = F.lit(True)
+    for f in fronts:
+        shared &= F.arrays_overlap(f"{f}_a", f"{f}_b")
+    both = pairs.join(x, "a").join(y, "b").filter(~F.col("strict") | shared)
+    inter = F.size(F.array_intersect("tokens_a", "tokens_b"))
+    return saved(both.select("a", "b", (1 - inter / (F.size("tokens_a") + F.size("tokens_b") - inter)).alias("distance")), "verified")
 
 
 def by_token(work, rows_at_once: int = 200_000):

@@ -349,3 +349,60 @@ def superseded_items_part(spark, d):
     items = S.table(spark, d, "part").select(F.concat(F.lit("f"), F.pmod("p_partkey", F.lit(10)).cast("string")).alias("item_id")).distinct()
     edges = spark.createDataFrame([("f2", "f3"), ("f5", "f9")], "old_id string, new_id string")
     return L.without_superseded(items, edges)
+
+
+# Ingestion: a table laid out as the cells of a sheet, and read back as facts.
+
+
+def _sheet(spark, d):
+    """Suppliers as cells: key, name, balance (as text; the balance of every 11th is unreadable), nation."""
+    s = S.table(spark, d, "supplier")
+    balance = F.when(F.col("s_suppkey") % 11 == 0, "n.v.").when(F.col("s_suppkey") % 13 == 0, "#N/A").otherwise(S.decimal(F.col("s_acctbal")).cast("string"))
+    cells = F.array(*[F.struct(F.lit(i).alias("col"), c.cast("string").alias("value")) for i, c in enumerate((F.col("s_suppkey") - F.pmod("s_suppkey", F.lit(2)), F.col("s_name"), balance, F.col("s_nationkey")), 1)])
+    return s.select(S.file_of("supplier", F.col("s_suppkey"), 2).alias("item_id"), F.lit(0).alias("sheet"), (F.col("s_suppkey") + 1).cast("int").alias("row"), F.inline(cells))
+
+
+def _supplier_facts(spark, d):
+    from .operators.materialize import materialize
+
+    maps = [(0, 1, "supplier.pair", "integer", True, True), (0, 2, "supplier.name", "text", True, False), (0, 3, "supplier.balance", "decimal", False, False), (0, 4, "supplier.nation", "integer", False, False)]
+    return materialize(_sheet(spark, d), spark.createDataFrame(maps, "sheet int, col int, code string, data_type string, required boolean, identity boolean"), 1)
+
+
+@query("SELECT 'supplier#' || (s_suppkey % 2) || ':s0:r' || (s_suppkey + 1) AS record_id, (s_suppkey + 1)::INT AS source_row, CASE WHEN s_suppkey % 11 = 0 THEN 'failed' ELSE 'passed' END AS quality_status FROM supplier")
+def materialize_records_supplier(spark, d):
+    return _supplier_facts(spark, d).records.select("record_id", "source_row", "quality_status")
+
+
+@query("""SELECT code, COUNT(*) AS n, ROUND(SUM(CASE WHEN code = 'supplier.balance' AND s_suppkey % 13 <> 0 THEN s_acctbal END), 3) AS total FROM (SELECT *, unnest(['supplier.pair', 'supplier.name', 'supplier.balance', 'supplier.nation']) AS code FROM supplier)
+WHERE code <> 'supplier.balance' OR s_suppkey % 11 <> 0 GROUP BY 1""")
+def materialize_values_supplier(spark, d):
+    return _supplier_facts(spark, d).values.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("decimal_value").cast("double"), 3).alias("total"))
+
+
+@query("SELECT 'supplier#' || (s_suppkey % 2) || ':s0:r' || (s_suppkey + 1) AS record_id, 'normalization_failed' AS code, 'supplier.balance@C' || (s_suppkey + 1) AS detail FROM supplier WHERE s_suppkey % 11 = 0")
+def materialize_issues_supplier(spark, d):
+    return _supplier_facts(spark, d).issues
+
+
+@query("SELECT v AS violation, 0::BIGINT AS n FROM (VALUES ('value_without_record'), ('value_without_lineage'), ('lineage_without_value'), ('duplicate_value')) t(v)")
+def audit_supplier(spark, d):
+    from .operators.materialize import audit
+
+    return audit(_supplier_facts(spark, d))
+
+
+@query("SELECT s_nationkey AS nation, MIN(s_suppkey) AS first, list_aggregate(list_sort(list(s_suppkey)), 'string_agg', ',') AS members FROM supplier GROUP BY 1")
+def layout_cluster_supplier(spark, d):
+    s = S.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation"))
+    return s.agg(F.min("s_suppkey").alias("first"), F.array_join(F.transform(F.sort_array(F.collect_list("s_suppkey")), lambda x: x.cast("string")), ",").alias("members"))
+
+
+@query("SELECT a.k, a.n AS place, a.o_orderkey AS x, b.o_orderkey AS y FROM (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F') a JOIN (SELECT o_custkey AS k, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k AND a.n = b.n")
+def numbered_match_orders(spark, d):
+    o = S.table(spark, d, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey", "o_orderstatus")
+    side = lambda s: o.filter(F.col("o_orderstatus") == s).select("k", "o_orderkey")
+    from pyspark.sql import Window
+
+    m = L.numbered_match(side("F"), side("O"), ["k"], "o_orderkey")
+    return m.select("k", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")).cast("long").alias("place"), F.col("o_orderkey").alias("x"), F.col("o_orderkey_right").alias("y"))
