@@ -406,3 +406,18 @@ def numbered_match_orders(spark, d):
 
     m = L.numbered_match(side("F"), side("O"), ["k"], "o_orderkey")
     return m.select("k", F.row_number().over(Window.partitionBy("k").orderBy("o_orderkey")).cast("long").alias("place"), F.col("o_orderkey").alias("x"), F.col("o_orderkey_right").alias("y"))
+
+
+# Matching.
+
+
+@query("""WITH a AS (SELECT p_partkey AS left_id, list_distinct(string_split(p_name, ' ')) AS x FROM part WHERE p_size = 7), b AS (SELECT p_partkey AS right_id, list_distinct(string_split(p_name, ' ')) AS y FROM part WHERE p_size = 9),
+s AS (SELECT left_id, right_id, CAST(round_even(10000.0 * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 0) AS BIGINT) AS score FROM a JOIN b ON len(list_intersect(x, y)) > 0),
+r AS (SELECT *, score - COALESCE(lead(score) OVER w, 0) AS lead, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
+SELECT left_id, right_id, score, lead, score >= 8500 AND lead >= 1500 AS exact FROM r WHERE n = 1""")
+def template_match_part(spark, d):
+    from .operators.matching import best_template, score_sets
+
+    p = S.table(spark, d, "part").withColumn("labels", F.split("p_name", " "))
+    side = lambda size, label: p.filter(F.col("p_size") == size).select(F.col("p_partkey").alias(label), "labels")
+    return best_template(score_sets(side(7, "left_id"), side(9, "right_id"))).select("left_id", "right_id", "score", "lead", "exact")
