@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import saved, scratch, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_TERMS = 200_000  #: up to so many terms are sent to every task; more are joined by a shuffle
@@ -92,7 +92,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     is an id; rows that repeat an id are told apart by their texts, and exact repeats get the
     same result each. An empty table of items hits nothing. Other columns are ignored.
     """
-    found = find_phrases(docs, items, size)
+    with scratch():
+        found = saved(find_phrases(docs, items, size), "phrases", keep=True)
     key = ["doc_id", "text_hash"]
     upto = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select(*key, "start", (F.col("start") + F.col("n")).alias("end")).distinct()

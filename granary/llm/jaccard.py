@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import saved, scratch, table
 from .words import LOWER, NOT_BLANK, U, grams, hashes, mixed, pieces, spans, text_bytes
 
 SHARE = 3  #: tokens that two prefixes must share
@@ -337,7 +337,11 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     the smallest doc_id reachable by links. Rows that repeat a doc_id are documents of their
     own; a null doc_id is never the smallest unless all are null. Other columns are ignored.
     """
-    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    with scratch():
+        return _similar(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), n, percent)
+
+
+def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     # Smaller sets reach the threshold with equal sets only, and those are one node.
     least_size = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
     share = min(SHARE, -(-percent * least_size // 100))
@@ -374,7 +378,8 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
     of_node = named.join(smallest, "label").select("node", "component_id")
     told = sketch.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"))
-    return told.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = told.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return saved(found, "similar", keep=True)
 
 
 def op5_jaccard_join(spark, sf_dir):

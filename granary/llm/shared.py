@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +29,33 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables that saved() writes inside go at the end, but for those it keeps."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.pop()
+        for path in paths:
+            _remove(path)
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Remove tables that saved() wrote, once nothing lazy reads them any more."""
-    for df in frames:
-        spark = df.sparkSession
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if "/granary/" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _remove(path: str) -> None:
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

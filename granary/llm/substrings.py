@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import saved, scratch, table
 from .words import NOT_BLANK, U, grams, hashes, pieces, spans, text_bytes
 
 SIZE, K = 35, 8
@@ -247,8 +247,9 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = H
     others are ignored.
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", *[F.col(c).alias(f"_{c}") for c in carry])
-    found = duplicate_spans(keyed, size, k, hot, sent)
-    per_doc = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    with scratch():
+        found = duplicate_spans(keyed, size, k, hot, sent)
+        per_doc = saved(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans", keep=True)
     joined = keyed.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
