@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .functions import values as V
 from .operators import listing as L
+from .operators import maintenance as M
 from .operators.aggregate import evidence
 from .operators.select import condition, filtered, long_values, projected, scoped
 from .plans.answers import Catalog, Safe, catalog, metric, safe
@@ -421,3 +422,87 @@ def template_match_part(spark, d):
     p = S.table(spark, d, "part").withColumn("labels", F.split("p_name", " "))
     side = lambda size, label: p.filter(F.col("p_size") == size).select(F.col("p_partkey").alias(label), "labels")
     return best_template(score_sets(side(7, "left_id"), side(9, "right_id"))).select("left_id", "right_id", "score", "lead", "exact")
+
+
+# Maintenance.
+
+
+@query("WITH a AS (SELECT p_partkey AS k, p_size AS n FROM part WHERE p_partkey % 4 <> 0), b AS (SELECT p_partkey AS k, p_size + CASE WHEN p_partkey % 6 = 0 THEN 1 ELSE 0 END AS n FROM part WHERE p_partkey % 5 <> 0) SELECT CASE WHEN a.k IS NULL THEN 'inserted' WHEN b.k IS NULL THEN 'removed' WHEN a.n = b.n THEN 'unchanged' ELSE 'updated' END AS action, COUNT(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1")
+def sync_counts_part(spark, d):
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("n"))
+    moved = p.filter("k % 5 <> 0").withColumn("n", F.col("n") + F.when(F.col("k") % 6 == 0, 1).otherwise(0))
+    return M.sync(p.filter("k % 4 <> 0"), moved, ["k"], complete=True)[1]
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def latest_versions_events(spark, d):
+    return M.latest_versions(S.table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id")
+
+
+@query("WITH a AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 <> 0), b AS (SELECT p_partkey AS k, p_size + p_partkey % 2 AS v FROM part WHERE p_partkey % 4 <> 0) SELECT COALESCE(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'add' WHEN b.k IS NULL THEN 'restore' WHEN a.v <> b.v THEN 'reimport' ELSE 'none' END AS action FROM a FULL JOIN b ON a.k = b.k")
+def plan_difference_part(spark, d):
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"))
+    return M.plan_difference(p.filter("k % 3 <> 0"), p.filter("k % 4 <> 0").withColumn("v", F.col("v") + F.col("k") % 2), "k", "v")
+
+
+@query("SELECT 'orders' AS \"table\", COUNT(*) AS before, COUNT(*) FILTER (o_custkey % 11 = 0) AS deleted FROM orders UNION ALL SELECT 'customer', COUNT(*), COUNT(*) FILTER (c_custkey % 11 = 0) FROM customer")
+def deletion_counts_orders(spark, d):
+    tables = {"orders": S.table(spark, d, "orders"), "customer": S.table(spark, d, "customer")}
+    gone = tables["customer"].filter("c_custkey % 11 = 0").select(F.col("c_custkey").alias("id"))
+    return M.deletion(tables, {"orders": "o_custkey", "customer": "c_custkey"}, gone)[1]
+
+
+STATE = "CASE o_orderstatus WHEN 'F' THEN 'imported' WHEN 'O' THEN 'needs_review' ELSE 'failed' END"
+
+
+@query(f"WITH c AS (SELECT o_custkey AS batch_id, COUNT(*) AS total, COUNT(*) FILTER (s = 'imported') AS completed, COUNT(*) FILTER (s = 'needs_review') AS active, COUNT(*) FILTER (s = 'failed') AS failed FROM (SELECT o_custkey, {STATE} AS s FROM orders) GROUP BY 1) SELECT *, 0::BIGINT AS partial, 0::BIGINT AS deleted, CASE WHEN completed + failed = 0 THEN CASE WHEN active > 0 THEN 'running' ELSE 'pending' END WHEN completed + failed < total THEN 'running' WHEN failed = total THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'completed' END AS status FROM c")
+def batch_status_orders(spark, d):
+    items = S.table(spark, d, "orders").select(F.col("o_custkey").alias("batch_id"), F.expr(STATE).alias("status"))
+    return M.batch_status(items, items.groupBy("batch_id").agg(F.count(F.lit(1)).alias("total")))
+
+
+@query("SELECT event_type, user_id % 10 AS bucket, COUNT(*) AS n, COUNT(*) FILTER (event_id % 9 <> 0) AS passed, COUNT(*) FILTER (event_id % 9 = 0) AS failed, MIN(event_id) AS first_row, MAX(event_id) AS last_row, MAX(ts) AS latest FROM events GROUP BY 1, 2")
+def record_tree_events(spark, d):
+    e = S.table(spark, d, "events").withColumn("bucket", F.col("user_id") % 10).withColumn("quality_status", F.when(F.col("event_id") % 9 == 0, "failed").otherwise("passed"))
+    return M.record_tree(e, ["event_type", "bucket"], "event_id", "ts")
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 2")
+def last_turns_conversations(spark, d):
+    return M.last_turns(S.table(spark, d, "conversations"), 2, "conv_id", "turn").select("conv_id", "turn", "role")
+
+
+@query("SELECT lang AS value, COUNT(*) AS n FROM documents GROUP BY 1")
+def histogram_documents(spark, d):
+    return M.histogram(S.table(spark, d, "documents"), "lang")
+
+
+@query("SELECT doc_id, sha256(text) AS digest, length(text)::BIGINT AS length FROM documents WHERE text IS NOT NULL")
+def text_evidence_documents(spark, d):
+    e = S.table(spark, d, "documents").filter("text is not null").select("doc_id", M.text_evidence(F.col("text")).alias("e"))
+    return e.select("doc_id", F.col("e.sha256").alias("digest"), F.col("e.length").cast("long").alias("length"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_name = '' THEN '' ELSE '样例7-' || p_partkey || '-2' END AS name, (700000 + p_partkey * 100 + 3)::VARCHAR AS size FROM part")
+def masking_part(spark, d):
+    row = F.col("p_partkey").cast("int")
+    mask = lambda c, kind, col: M.synthetic(F.col(c).cast("string"), F.lit(kind), F.lit(7), row, F.lit(col))
+    return S.table(spark, d, "part").select("p_partkey", mask("p_name", "text", 2).alias("name"), mask("p_size", "integer", 3).alias("size"))
+
+
+@query("SELECT o_custkey AS left_id, c_custkey AS right_id FROM (SELECT o_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS bag FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) JOIN (SELECT o_custkey AS c_custkey, string_agg(o_orderpriority, '|' ORDER BY o_orderpriority) AS bag2 FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON bag = bag2")
+def same_fields_orders(spark, d):
+    from .operators.fields import same_fields
+
+    o = S.table(spark, d, "orders")
+    side = lambda s, label: o.filter(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias(label), F.col("o_orderpriority").alias("code"))
+    return same_fields(side("F", "left_id"), side("P", "right_id"))
+
+
+@query("WITH s AS (SELECT o_custkey AS template_id, o_orderkey, o_totalprice > 100000 AS required, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'F'), a AS (SELECT o_custkey AS template_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders WHERE o_orderstatus = 'O') SELECT COALESCE(s.template_id, a.template_id) AS template_id, s.o_orderkey AS slot_key, a.o_orderkey AS source_id, CASE WHEN s.n IS NULL THEN 'left_over' WHEN a.n IS NOT NULL THEN 'filled' WHEN s.required THEN 'missing' ELSE 'optional' END AS state FROM s FULL JOIN a ON s.template_id = a.template_id AND s.n = a.n")
+def slot_coverage_orders(spark, d):
+    from .operators.fields import slot_coverage
+
+    o = S.table(spark, d, "orders")
+    slots = o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("template_id"), F.col("o_orderkey").alias("slot_key"), (F.col("o_totalprice") > 100000).alias("required"))
+    return slot_coverage(slots, o.filter("o_orderstatus = 'O'").select(F.col("o_custkey").alias("template_id"), F.col("o_orderkey").alias("source_id")))
