@@ -41,12 +41,13 @@ SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined b
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of each text, ascending, as one ragged array, and where each begins."""
     data, off = text_bytes(texts)
-    data = LOWER[data]
+    data = LOWER.take(data, mode="clip")
     s, e, owner = spans(data, off, NOT_BLANK)
     words = hashes(data, s, e)
     found, at = grams(words, owner, n)
     text = owner[at]
     count = np.bincount(owner, minlength=len(texts))
+    short_texts = np.flatnonzero((count > 0) & (count < n))
     for m in range(1, n):  # a text of fewer words is one shingle
         short = np.flatnonzero(count == m)
         if len(short):
@@ -55,13 +56,22 @@ def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
             for i in range(m):
                 h = mixed(h * U(0xD6E8FEB86659FD93) + words[first + i])
             found, text = np.r_[found, h], np.r_[text, short]
-    order = np.lexsort((found, text))
-    found, text = found[order], text[order]
+    if len(short_texts):
+        order = np.argsort(text, kind="stable")
+        found, text = found[order], text[order]
+    sort_rows(found, np.searchsorted(text, np.arange(len(texts) + 1)))
     keep = np.r_[True, (found[1:] != found[:-1]) | (text[1:] != text[:-1])] if len(found) else np.zeros(0, bool)
     found, text = found[keep], text[keep]
     return found, np.searchsorted(text, np.arange(len(texts) + 1))
 
 
+def sort_rows(values: np.ndarray, start: np.ndarray) -> None:
+    """Sort each row of a ragged array in place; a row's own sort is far cheaper than one by two keys."""
+    for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+        if b - a > 1:
+            values[a:b].sort()
+
+
 def prefix_length(n: np.ndarray, percent: int, share: int) -> np.ndarray:
     """Tokens of which two sets that reach percent share `share` at least, or all if they have fewer."""
     return np.minimum(n, n - (percent * n + 99) // 100 + share)
@@ -105,6 +115,15 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, share: int) -> np.nda
     return np.sort(counted.filter(F.col("n") >= least).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
+def members(found: np.ndarray, last: np.ndarray, maybe: np.ndarray) -> np.ndarray:
+    """Which of found are in the sorted array last; maybe: a table by low bits that rules most others out."""
+    out = maybe[found & U(len(maybe) - 1)]
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = last[np.minimum(np.searchsorted(last, found[at]), len(last) - 1)] == found[at]
+    return out
+
+
 def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int, frequent: np.ndarray) -> DataFrame:
     """doc_id, text_hash, node, n, least (of each seed), prefix (under the first order), parity.
 
@@ -115,20 +134,26 @@ def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = told.value
+        maybe = np.zeros(1 << 24, bool)
+        maybe[last & U((1 << 24) - 1)] = True
         for batch in batches:
             for part in pieces(batch):
                 found, start = shingle_sets(part.column("text"), n)
                 size, row = np.diff(start), _rows(start)
-                common = np.isin(found, last, assume_unique=False)
-                order = np.lexsort((found, common, row))
-                keep = (np.arange(len(found)) - start[:-1][row]) < np.where(size >= least_size, prefix_length(size, percent, share), 0)[row]
-                prefix = found[order][keep]
+                common = members(found, last, maybe)
+                # A token's place in its row under the first order: the others first, then those that are frequent.
+                before = np.r_[0, np.cumsum(common)]
+                own = before[:-1] - before[start[:-1]][row]
+                others = np.arange(len(found)) - start[:-1][row] - own
+                place = np.where(common, (size - (before[start[1:]] - before[start[:-1]]))[row] + own, others)
+                keep = place < np.where(size >= least_size, prefix_length(size, percent, share), 0)[row]
+                prefix = found[keep]
                 offsets = np.searchsorted(row[keep], np.arange(len(size) + 1)).astype(np.int32)
                 least = np.zeros((len(SEEDS), len(size)), np.uint64)
                 if len(found):
                     full = size > 0
                     for i, seed in enumerate(SEEDS):
-                        least[i, full] = np.minimum.reduceat(mixed(found ^ seed), start[:-1][full])
+                        least[i, full] = np.minimum.reduceat((found ^ seed) * (seed | U(1)), start[:-1][full])
                 odd = np.bincount(row * BITS + (found & U(BITS - 1)).astype(np.int64), minlength=len(size) * BITS) & 1
                 parity = np.packbits(odd.astype(np.uint8)).view(np.uint64)
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (BITS // 64)), _long(parity))
@@ -160,9 +185,10 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
                 size, row = np.diff(start), _rows(start)
                 columns = [pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), _long(found))]
                 for order in ORDERS:
-                    h = mixed(found ^ order)
+                    h = (found ^ order) * (order | U(1))
+                    sort_rows(h, start)
                     keep = np.arange(len(h)) - start[:-1][row] < prefix_length(size, percent, 1)[row]
-                    front = h[np.lexsort((h, row))][keep]
+                    front = h[keep]
                     columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(len(size) + 1)).astype(np.int32)), _long(front)))
                 yield pa.RecordBatch.from_arrays([part.column("node"), *columns], ["node", "tokens", *fronts])
 

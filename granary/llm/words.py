@@ -16,7 +16,7 @@ U = np.uint64
 _CODE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
-_STEP = 1 << 20  #: bytes that are summed at once, about
+_STEP = 1 << 16  #: bytes that are summed at once, about; they stay in a core's cache
 _SUB = 4 << 20  #: bytes of text that a step of work holds, unless one text is longer
 
 
@@ -65,19 +65,17 @@ def spans(data: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     """Start, end and text number of each maximal run of bytes that are inside."""
     if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    w = inside[data]
+    w = inside.take(data, mode="clip")
     first = w.copy()
     first[1:] &= ~w[:-1]
     at = off[:-1][off[:-1] < len(data)]
     first[at] = w[at]
-    last = w
-    after = ~w[1:]
     last = w.copy()
-    last[:-1] &= after
+    last[:-1] &= ~w[1:]
     at = off[1:][off[1:] > 0] - 1
     last[at] = w[at]
     s = np.flatnonzero(first)
-    return s, np.flatnonzero(last) + 1, np.searchsorted(off, s, side="right") - 1
+    return s, np.flatnonzero(last) + 1, np.repeat(np.arange(len(off) - 1), np.diff(np.searchsorted(s, off)))
 
 
 def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
@@ -88,7 +86,7 @@ def hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         j = max(i + 1, int(np.searchsorted(s, s[i] + _STEP)))
         lo, hi = int(s[i]), int(e[j - 1])
         total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_CODE[data[lo:hi]] * powers(_BASE, hi - lo), out=total[1:])
+        np.cumsum(_CODE.take(data[lo:hi], mode="clip") * powers(_BASE, hi - lo), out=total[1:])
         a, b = s[i:j] - lo, e[i:j] - lo
         out[i:j] = (total[b] - total[a]) * powers(_UNBASE, hi - lo + 1)[a] + (b - a).astype(np.uint64)
         i = j
