@@ -35,6 +35,7 @@ SEEDS = (U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B), U(0x3C6EF372FE94F82B), U(
 FREQUENT = 1 << 20  #: at most so many tokens are told to every task as frequent
 DENSE = 16  #: ids that share a token beyond which their parity signatures are held against each other first
 BITS = 512  #: of a parity signature
+PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 
 
@@ -174,9 +175,15 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
 
     A strict pair matters only if it links, so it must share prefix tokens under every other
     order before its sets are intersected. Only sets of nodes in pairs are made again from
-    their texts and moved.
+    their texts; each moves once for each pair that it is the second of, to where the first
+    is, and a first with many pairs is dealt out with copies of it.
     """
-    needed = saved(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash"), "needed")
+    parts = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / PAIRS_AT_ONCE) + 1).cast("int").alias("parts"))
+    seconds = pairs.join(parts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("place"), "strict").alias("to"))
+    firsts = parts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
+    firsts = firsts.select("node", F.struct(F.col("a").alias("key"), "part", F.lit(0).alias("place"), F.lit(False).alias("strict")).alias("to"))
+    sent = seconds.unionByName(firsts).groupBy("node").agg(F.collect_list("to").alias("to"))
+    needed = saved(sent.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash", "to"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,21 +195,52 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
                     h = (found ^ order) * (order | U(1))
                     sort_rows(h, start)
                     keep = np.arange(len(h)) - start[:-1][row] < prefix_length(size, percent, 1)[row]
-                    front = h[keep]
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(len(size) + 1)).astype(np.int32)), _long(front)))
-                yield pa.RecordBatch.from_arrays([part.column("node"), *columns], ["node", "tokens", *fronts])
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(row[keep], np.arange(len(size) + 1)).astype(np.int32)), _long(h[keep])))
+                to = part.column("to")
+                of = np.repeat(np.arange(part.num_rows), np.diff(to.offsets.to_numpy()))
+                flat = to.flatten()
+                for few in np.split(np.arange(len(of)), np.flatnonzero(np.diff(np.cumsum(size[of]) >> 19)) + 1):  # about 4 MB of tokens each
+                    take = pa.array(of[few])
+                    told = [flat.field(f).take(pa.array(few)) for f in ("key", "part", "place", "strict")]
+                    yield pa.RecordBatch.from_arrays([*told, part.column("node").take(take), *[c.take(take) for c in columns]], ["key", "part", "place", "strict", "node", "tokens", *fronts])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = None  # of the key and part that stand now: the first's lists
+        for batch in batches:
+            key, part, place = (batch.column(c).to_numpy() for c in ("key", "part", "place"))
+            lists = [_ragged(batch.column(c)) for c in ("tokens", *fronts)]
+            begins = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]) | (place[1:] != place[:-1])]) if len(key) else []
+            for lo, hi in zip(begins, np.r_[begins[1:], len(key)] if len(key) else [], strict=True):
+                if place[lo] == 0:
+                    first = [values[start[lo] : start[lo + 1]] for values, start in lists]
+                    continue
+                shared = [_shared(own, values[start[lo] : start[hi]], start[lo : hi + 1] - start[lo]) for own, (values, start) in zip(first, lists, strict=True)]
+                size = np.diff(lists[0][1][lo : hi + 1])
+                keep = ~batch.column("strict").to_numpy(zero_copy_only=False)[lo:hi] | np.all([s > 0 for s in shared[1:]], axis=0)
+                distance = 1 - shared[0] / (len(first[0]) + size - shared[0])
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][keep]), pa.array(batch.column("node").to_numpy()[lo:hi][keep]), pa.array(distance[keep])], ["a", "b", "distance"])
 
     fronts = [f"front{i}" for i in range(len(ORDERS))]
     ids = _small(needed)
-    chosen = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.text_hash") == F.col("i.text_hash"))).select("i.node", "d.text")
-    held = saved(chosen.mapInArrow(sets, "node long, tokens array<long>, " + ", ".join(f"{f} array<long>" for f in fronts)), "sets").dropDuplicates(["node"])
-    x, y = (held.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in ("tokens", *fronts)]) for k in "ab")
-    shared = F.lit(True)
-    for f in fronts:
-        shared &= F.arrays_overlap(f"{f}_a", f"{f}_b")
-    both = pairs.join(x, "a").join(y, "b").filter(~F.col("strict") | shared)
-    inter = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    return saved(both.select("a", "b", (1 - inter / (F.size("tokens_a") + F.size("tokens_b") - inter)).alias("distance")), "verified")
+    chosen = docs.alias("d").join(ids.alias("i"), F.col("d.doc_id").eqNullSafe(F.col("i.doc_id")) & (F.col("d.text_hash") == F.col("i.text_hash"))).select("i.node", "i.to", "d.text")
+    held = chosen.mapInArrow(sets, "key long, part int, place int, strict boolean, node long, tokens array<long>, " + ", ".join(f"{f} array<long>" for f in fronts))
+    met = held.repartition("key", "part").sortWithinPartitions("key", "part", "place").mapInArrow(compare, "a long, b long, distance double")
+    # Rows that repeat an id and a text are one node; then a pair can come several times.
+    return saved(met.dropDuplicates(["a", "b"]), "verified")
+
+
+def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    start = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy().view(np.uint64), start - start[0]
+
+
+def _shared(own: np.ndarray, values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """How many of each row's values are in own, which is sorted."""
+    if not len(own):
+        return np.zeros(len(start) - 1, np.int64)
+    hit = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+    total = np.r_[0, np.cumsum(hit)]
+    return total[start[1:]] - total[start[:-1]]
 
 
 def by_token(work, rows_at_once: int = 200_000):
