@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, scratch, table
@@ -36,6 +36,7 @@ FREQUENT = 1 << 20  #: at most so many tokens are told to every task as frequent
 DENSE = 16  #: ids that share a token beyond which their parity signatures are held against each other first
 BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
+DEPUTIES = 8  #: members of a star that stand for it before all of them do
 SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 
 
@@ -373,6 +374,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def deputy_pairs(gray: DataFrame, placed: DataFrame) -> DataFrame:
+    """Pairs of one star's root with a few members of the other's.
+
+    In a large group of near copies most roots in doubt link to one of them, which settles
+    the question; only for the rest all members are searched.
+    """
+    w = Window.partitionBy("root").orderBy(F.xxhash64("node"), "node")
+    few = placed.filter("node <> root").select("root", "node").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= DEPUTIES)
+    one = gray.join(few, gray["a"] == few["root"]).select(F.col("b").alias("x"), F.col("node").alias("y"))
+    two = gray.join(few, gray["b"] == few["root"]).select(F.col("a").alias("x"), F.col("node").alias("y"))
+    return one.unionByName(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("strict")).distinct()
+
+
 def member_pairs(gray: DataFrame, edges: DataFrame, placed: DataFrame, percent: int, share: int, limit: float) -> DataFrame:
     """Pairs of members of stars whose roots are too far apart to link and too close to tell.
 
@@ -434,6 +448,7 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     gray = between.filter(F.col("distance") > limit).join(met, ["a", "b"]).filter(F.col("distance") <= limit + F.col("slack"))
     gray = saved(gray.select("a", "b", "distance"), "gray")
     if not gray.isEmpty():
+        edges = saved(edges.unionByName(check(deputy_pairs(gray, placed)).filter(F.col("distance") <= limit).select("a", "b")), "linked")
         edges = edges.unionByName(check(member_pairs(gray, edges, placed, percent, share, limit).withColumn("strict", F.lit(True))).filter(F.col("distance") <= limit).select("a", "b"))
 
     # Components, and the smallest document of each.
