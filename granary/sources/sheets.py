@@ -132,8 +132,9 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
     """Values as the file shows them, formulas beside their stored results, never evaluated."""
     book = zipfile.ZipFile(io.BytesIO(data))
     tag = lambda e: e.tag.rpartition("}")[2]
-    names = {n.lower(): n for n in book.namelist()}
+    names = {n.replace("\\", "/").lower(): n for n in book.namelist()}
     shared = []
+    has_shared = any(k.endswith("sharedstrings.xml") for k in names)  # a part that no cell needs may be missing
     for path in (n for k, n in names.items() if k.endswith("sharedstrings.xml")):  # wherever it has been put
         shared = ["".join(t.text or "" for t in item.iter() if tag(t) == "t") for item in ElementTree.fromstring(book.read(path)) if tag(item) == "si"]
     relations = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
@@ -154,6 +155,8 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
                 parts = {tag(x): x for x in e}
                 raw = parts["v"].text if "v" in parts else None
                 if e.get("t") == "s" and raw is not None:
+                    if not has_shared:
+                        raise SheetError("SHARED_STRINGS_MISSING")
                     raw = shared[int(raw)] if int(raw) < len(shared) else None
                 elif e.get("t") == "inlineStr":
                     raw = "".join(t.text or "" for t in e.iter() if tag(t) == "t")

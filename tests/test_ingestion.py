@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from granary.operators.materialize import audit, materialize, without_items
@@ -116,3 +117,24 @@ def test_streaming_reads_each_file_once(spark, tmp_path):
     (tmp_path / "in" / "b.csv").write_text("x,y\n3,4\n5,6\n")
     ingest(spark, source, target, checkpoint).awaitTermination(60)
     assert sorted(r.value for r in spark.read.parquet(target).filter("row > 1").collect()) == ["1", "2", "3", "4", "5", "6"]
+
+
+def test_spreadsheets_with_misplaced_or_missing_strings():
+    """The strings' part is found wherever it is; without it only files whose cells need none can be read."""
+    from granary.sources.sheets import SheetError, xlsx_cells
+
+    def book(cell, strings):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("xl/workbook.xml", '<workbook xmlns:r="urn:r"><sheets><sheet name="S" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<R><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="sharedStrings.xml"/></R>')
+            z.writestr("xl/worksheets/sheet1.xml", f"<worksheet><sheetData><row>{cell}</row></sheetData></worksheet>")
+            if strings:
+                z.writestr(strings, "<sst><si><t>hello</t></si></sst>")
+        return out.getvalue()
+
+    text, number = '<c r="A1" t="s"><v>0</v></c>', '<c r="A1"><v>5</v></c>'
+    assert [c[4] for c in xlsx_cells(book(text, "SharedStrings.xml"))] == ["hello"]
+    assert [c[4] for c in xlsx_cells(book(number, None))] == ["5"]
+    with pytest.raises(SheetError, match="SHARED_STRINGS_MISSING"):
+        list(xlsx_cells(book(text, None)))
