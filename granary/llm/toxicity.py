@@ -56,7 +56,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     labels: doc_id and the label's column. Only this sample reaches the driver.
     """
     ids = labels.select("doc_id", F.col(label).alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = docs.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label")
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")  # at most `most` ids
     return sorted((r["doc_id"], int(r["label"]), r["text"] or "") for r in chosen.toLocalIterator())
 
 
