@@ -19,6 +19,7 @@ from .crf import CHAIN, CRF, chain_starts, train
 from .shared import table
 from .words import LOWER, byte_set, hashes, pieces, spans, text_bytes
 
+SENT = 100_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 #: letters of ASCII, and every byte of longer characters
 LETTERS = byte_set(range(65, 91), range(97, 123), range(128, 256))
 
@@ -39,6 +40,7 @@ def sample_texts(labelled: DataFrame, per_label: int) -> list:
     """
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "label").dropna().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("doc_id", "label")
+    ids = F.broadcast(ids) if ids.count() <= SENT else ids  # few labels: the texts stay where they are
     chosen = labelled.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label")
     return sorted(((r["doc_id"], r["label"], r["text"] or "") for r in chosen.toLocalIterator()), key=lambda r: (r[0], str(r[1]), r[2]))
 
