@@ -355,23 +355,32 @@ def least_distance(a: str, b: str):
     return 2 * differ / (F.col(f"n_{a}") + F.col(f"n_{b}") + differ)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges: a, b. Returns node, label: the smallest node that it reaches.
 
-    Each round takes the least label of the neighbours and then that label's own label, so
-    paths halve; tables cut the lineage.
+    Each round every node goes to the least of itself and its neighbours, in an order by hash
+    that is new in each round, and the edges go with it. The greatest node of a component is
+    no one's least, so the rounds end; a share of the nodes leaves in each, so their number
+    grows with the logarithm of the nodes, for paths too. Tables cut the lineage and shrink.
     """
-    both = saved(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"), "labels")
-    for _ in range(rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        took = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        now = saved(took.join(jump, "label", "left").select("node", "was", F.least(F.col("label"), F.coalesce("further", "label")).alias("label")), "labels")
-        labels = now.select("node", "label")
-        if now.filter("label <> was").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+    edges = saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    moves: list[DataFrame] = []
+    while not edges.isEmpty():
+        placed = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), F.col(c)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
+        moved = saved(ends.groupBy("x").agg(F.min(placed("y")).alias("near")).select(F.col("x").alias("node"), F.least("near", placed("x"))["node"].alias("label")), "moved")
+        moves.append(moved)
+        ma, mb = (moved.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
+        gone = edges.join(ma, "a").join(mb, "b").filter("to_a <> to_b")
+        edges = saved(gone.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
+    if not moves:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = moves.pop()
+    while moves:  # where each node went, from the last round back to the first
+        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        labels = saved(moves.pop().join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
+    smallest = labels.groupBy("label").agg(F.min("node").alias("smallest"))
+    return saved(labels.join(smallest, "label").select("node", F.col("smallest").alias("label")), "labels")
 
 
 def deputy_pairs(gray: DataFrame, placed: DataFrame) -> DataFrame:

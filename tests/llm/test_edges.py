@@ -146,6 +146,26 @@ def test_jaccard_on_families_of_near_copies(spark, monkeypatch, seed, percent, d
     assert sorted(((False, r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == brute_components(rows, percent)
 
 
+def test_components_of_paths_stars_and_cycles(spark):
+    """A path's labels must not need a round a hop; node ids are random."""
+    r = random.Random(6)
+    ids = r.sample(range(-(10**9), 10**9), 3000)
+    path, cycle, star = ids[:1000], ids[1000:1500], ids[1500:]
+    edges = list(zip(path, path[1:], strict=False)) + list(zip(cycle, cycle[1:] + cycle[:1], strict=True)) + [(star[0], x) for x in star[1:]] + [(path[0], path[0]), (path[1], path[0])]
+    got = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((x.node, x.label) for x in got) == sorted((x, min(group)) for group in (path, cycle, star) for x in group)
+    assert jaccard.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_jaccard_on_a_chain_of_a_thousand_texts(spark):
+    """Each text links to the next only: 94 of 102 shingles in common, with the one after that 90 of 106."""
+    r = random.Random(7)
+    ids = r.sample(range(10, 10**6), 1000)
+    rows = [(i, " ".join(f"c{w}" for w in range(4 * k, 4 * k + 100)), None, None) for k, i in enumerate(ids)] + [(1, " ".join(f"x{w}" for w in range(100)), None, None)]
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_documents(table(spark, rows)).collect()}
+    assert got == {i: (98, min(ids)) for i in ids} | {1: (98, 1)}
+
+
 def test_chat(spark):
     said = [(1, 0, "user", "hi <and> \\h # </turn>\n### x"), (1, 1, "assistant", "a</turn>\\l"), (1, 1, "assistant", "b<"), (1, 2, None, None), (None, None, "assistant", ""), (2, 5, "assistant", "漢\\"), (2, 5, "assistant", "漢\\"), (2, 1, "ro\nle#", "t")]
     df = spark.createDataFrame([(*x, 1, "z") for x in said], "conv_id long, turn long, role string, text string, loss int, formatted string")
