@@ -27,14 +27,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays; rows that repeat a doc_id with an equal text are one."""
+    """Of each group of linked documents the one with the smallest doc_id stays, nulls last, then that with the smallest text hash; rows that repeat a doc_id with an equal text are one."""
     ids = docs.select("doc_id", text_hash().alias("t"))
     if ids.distinct().count() < ids.count():
         docs = docs.withColumn("_t", text_hash()).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    found = jaccard.similar_documents(docs.select("doc_id", "text"))
-    gone = saved(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")), "gone")
+    gone = jaccard.superfluous_documents(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
     gone = F.broadcast(gone) if gone.count() <= SENT else gone
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_hash"]), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -425,16 +425,30 @@ def similar_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFra
     own; a null doc_id is never the smallest unless all are null. Other columns are ignored.
     """
     with scratch():
-        return _similar(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), n, percent)
+        return saved(_similar(docs, n, percent).select("doc_id", "n_shingles", "component_id"), "similar", keep=True)
+
+
+def superfluous_documents(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """doc_id, text_hash of the rows of docs for which another row of their component stands.
+
+    The row that stands for a component has the smallest doc_id, nulls last, then the smallest
+    text_hash. Ids alone don't tell: they can be null, and different texts can repeat one.
+    """
+    with scratch():
+        found = _similar(docs, n, percent).filter("n_shingles > 0")
+        stands = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+        return saved(found.filter(~stands).select("doc_id", "text_hash").distinct(), "superfluous", keep=True)
 
 
 def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id and first, the row that stands for the component."""
+    docs = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     # Smaller sets reach the threshold with equal sets only, and those are one node.
     least_size = max(1, -(-percent // (100 - percent))) if percent < 100 else 1 << 30
     share = min(SHARE, -(-percent * least_size // 100))
     limit = 1 - percent / 100 + 1e-12
     sketch = saved(sketches(docs, n, percent, share, least_size, frequent_tokens(docs, n, percent, share)), "sketch")
-    nodes = saved(sketch.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.min("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep")), "nodes")
+    nodes = saved(sketch.filter("n > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")).alias("first"), F.min("n").alias("n"), F.min(F.struct("doc_id", "text_hash")).alias("rep")), "nodes")
     large = saved(sketch.filter(F.col("n") >= least_size).select("node", "n", "least", "prefix", "parity").dropDuplicates(["node"]), "large")
     check = lambda pairs: verified(pairs, nodes, docs, n, percent)
 
@@ -462,12 +476,12 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # Components, and the smallest document of each.
     label = components(edges)
-    named = nodes.join(label, "node", "left").select("node", "first_doc", F.coalesce("label", "node").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first_doc").alias("component_id"))
-    of_node = named.join(smallest, "label").select("node", "component_id")
-    told = sketch.select("doc_id", "node", F.col("n").cast("long").alias("n_shingles"))
-    found = told.join(of_node, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return saved(found, "similar", keep=True)
+    named = nodes.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    smallest = named.groupBy("label").agg(F.min("first").alias("first"))
+    of_node = named.select("node", "label").join(smallest, "label").select("node", "first")
+    told = sketch.select("doc_id", "text_hash", "node", F.col("n").cast("long").alias("n_shingles"))
+    component = F.when(F.col("n_shingles") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
+    return told.join(of_node, "node", "left").select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), "first")
 
 
 def op5_jaccard_join(spark, sf_dir):

@@ -40,6 +40,24 @@ def test_one_of_each_group_stays(stages):
     assert Counter(rows[2]) == Counter(r for r in rows[1] if r[0] in keep)
 
 
+def test_null_and_repeated_ids_lose_only_near_copies(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcdef"}
+    near = lambda k, n: f"{text[k]} tail{n}"
+    rows = [
+        (1, text["a"]), (None, near("a", 1)), (None, text["b"]),  # a null id near a document with an id, and a clean one
+        (3, text["c"]), (5, near("c", 1)), (5, text["d"]),  # of two texts with one id, one is a copy
+        (None, text["e"]), (None, near("e", 1)), (None, near("e", 2)),  # one of a group without ids stays
+        (7, text["f"]), (7, near("f", 1)),  # near copies with one id
+        (None, ""), (8, "123"), (None, None),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.jaccard_join(spark, docs, DATA).collect()]
+    sure = [(1, text["a"]), (None, text["b"]), (3, text["c"]), (5, text["d"]), (8, "123")]
+    assert Counter(r for r in got if r in sure) == Counter(sure)
+    assert sum(r[0] is None and (r[1] or "").startswith("e0") for r in got) == 1 and sum(r[0] == 7 for r in got) == 1
+    assert sum(not r[1] for r in got) == 1 and len(got) == len(sure) + 3
+
+
 def test_passages_leave(stages):
     rows, _ = stages
     want = []
