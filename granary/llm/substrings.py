@@ -150,6 +150,8 @@ def parse(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         out.append((i, n))
         nxt = after[i + n]
         cursor = nxt[nxt < end[i]]
+    if not out:  # windows, but none that repeats
+        return none, none, none
     i, n = (np.concatenate(x) for x in zip(*out, strict=True))
     word = at[i] - np.searchsorted(owner, row[i])
     return row[i], word, word + n - 1 + size

@@ -98,6 +98,19 @@ def test_substrings_on_random_texts(spark, empty):
     assert substrings.dedup_substrings(empty).count() == 0
 
 
+@pytest.mark.parametrize("block", [1, 400, substrings.BLOCK])
+@pytest.mark.parametrize(("hot", "sent"), [(substrings.HOT, substrings.SENT), (2, 0)])
+def test_substrings_where_an_anchor_repeats_and_no_window_does(spark, monkeypatch, block, hot, sent):
+    """Texts that share 20 words: their runs meet in one block and have no factor; others have some."""
+    monkeypatch.setattr(substrings, "BLOCK", block)
+    common = [" ".join(f"c{k}x{i}" for i in range(20)) for k in range(3)]
+    texts = [" ".join(f"d{i}y{j}" for j in range(40)) + " " + common[i % 2] + " " + " ".join(f"e{i}y{j}" for j in range(40)) for i in range(7)]
+    for more in ([], [texts[0]], [common[2] * 2, common[2]]):
+        rows = texts + more
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(table(spark, [(i, t, None, None) for i, t in enumerate(rows)]), hot=hot, sent=sent).collect()}
+        assert [got[i] for i in range(len(rows))] == brute_spans(rows, 35)
+
+
 def brute_components(rows, percent=90):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
