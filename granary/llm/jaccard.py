@@ -8,8 +8,10 @@ tokens in their prefixes under every global order of tokens, so:
    them. Those that link to it form its star, with their distance to it, so that a large
    group of near copies is one star and not its pairs.
 3. Stars that share prefix tokens under the first order are candidates, unless sizes and
-   parity signatures already tell them apart; the roots' sets pass the other orders' prefix
-   filters, and only what is left is verified.
+   parity signatures already tell them apart or they are in one component by now. First each
+   root meets only the one of another component that its signature is nearest to, as often as
+   CONTRACTIONS says; then all candidates between components that are left. Their roots' sets
+   pass the other orders' prefix filters, and only what is left is verified.
 4. Jaccard distance obeys the triangle inequality: if two roots are farther apart than the
    threshold and both stars' radii, none of their members link. For the few pairs of stars
    in between, members are joined by their prefixes in the same way.
@@ -37,7 +39,9 @@ DENSE = 16  #: ids that share a token beyond which their parity signatures are h
 BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 DEPUTIES = 8  #: members of a star that stand for it before all of them do
-SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
+CONTRACTIONS = 2  #: times that each root is held against the nearest of another component
+MEET = 4096  #: ids that share a token beyond which they are dealt to parts, which meet two by two
+SENT = 8 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +121,16 @@ def frequent_tokens(docs: DataFrame, n: int, percent: int, share: int) -> np.nda
     return np.sort(counted.filter(F.col("n") >= least).select("token").toArrow().column("token").to_numpy().view(np.uint64))
 
 
+def signatures(found: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each set, of each of BITS classes of tokens whether it holds an odd number, packed."""
+    out = [np.zeros(0, np.uint64)]
+    for lo in range(0, len(start) - 1, 2048):
+        own = start[lo : lo + 2049]
+        odd = np.bincount(_rows(own) * BITS + (found[own[0] : own[-1]] & U(BITS - 1)).astype(np.int64), minlength=(len(own) - 1) * BITS) & 1
+        out.append(np.packbits(odd.astype(np.uint8)).view(np.uint64))
+    return np.concatenate(out)
+
+
 def members(found: np.ndarray, last: np.ndarray, maybe: np.ndarray) -> np.ndarray:
     """Which of found are in the sorted array last; maybe: a table by low bits that rules most others out."""
     out = maybe[found & U(len(maybe) - 1)]
@@ -156,8 +170,7 @@ def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int,
                     full = size > 0
                     for i, seed in enumerate(SEEDS):
                         least[i, full] = np.minimum.reduceat((found ^ seed) * (seed | U(1)), start[:-1][full])
-                odd = np.bincount(row * BITS + (found & U(BITS - 1)).astype(np.int64), minlength=len(size) * BITS) & 1
-                parity = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                parity = signatures(found, start)
                 parity = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * (BITS // 64)), _long(parity))
                 lists = pa.ListArray.from_arrays(pa.array(offsets), _long(prefix))
                 seeds = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(SEEDS)), _long(least.T.ravel()))
@@ -168,7 +181,9 @@ def sketches(docs: DataFrame, n: int, percent: int, share: int, least_size: int,
 
 
 def _small(ids: DataFrame) -> DataFrame:
-    return F.broadcast(ids) if ids.count() <= SENT else ids
+    """ids: node, doc_id, text_hash, to. Sent to every task if few, by the bytes that they take there."""
+    told = ids.agg(F.sum(64 + 32 * F.size("to"))).first()[0] or 0
+    return F.broadcast(ids) if told <= SENT else ids
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -177,13 +192,16 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
     A strict pair matters only if it links, so it must share prefix tokens under every other
     order before its sets are intersected. Only sets of nodes in pairs are made again from
     their texts; each moves once for each pair that it is the second of, to where the first
-    is, and a first with many pairs is dealt out with copies of it.
+    is, and a first with many pairs is dealt out with copies of it. A second of many pairs
+    comes in several rows, so that no list grows with a group.
     """
     parts = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / PAIRS_AT_ONCE) + 1).cast("int").alias("parts"))
     seconds = pairs.join(parts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("place"), "strict").alias("to"))
     firsts = parts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
     firsts = firsts.select("node", F.struct(F.col("a").alias("key"), "part", F.lit(0).alias("place"), F.lit(False).alias("strict")).alias("to"))
-    sent = seconds.unionByName(firsts).groupBy("node").agg(F.collect_list("to").alias("to"))
+    sent = seconds.unionByName(firsts)
+    lists = sent.groupBy("node").agg((F.floor((F.count(F.lit(1)) - 1) / PAIRS_AT_ONCE) + 1).alias("lists"))
+    sent = sent.join(lists, "node").groupBy("node", F.pmod(F.xxhash64("to"), "lists").alias("list")).agg(F.collect_list("to").alias("to"))
     needed = saved(sent.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash", "to"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +300,11 @@ def each_pair(token: np.ndarray, stay) -> Iterator[tuple[np.ndarray, np.ndarray]
         step += 1
 
 
-def prefix_pairs(placed: DataFrame, info: DataFrame, percent: int, share: int, limit: float) -> DataFrame:
-    """Pairs a < b of stars whose members share `share` prefix tokens, and the sum of their radii, slack.
+def shared_tokens(placed: DataFrame, percent: int) -> DataFrame:
+    """a, b, token of stars that share a prefix token; for a token of many stars a row each, with b null.
 
-    placed: root, n, prefix of each node; info: id, n, radius, parity of each root. Rows of one
-    star in a batch are merged before the shuffle. Sizes that the threshold can't reach make
-    no pair, nor, among the ids of a token that many share, roots whose signatures show that
-    they are farther apart than the threshold and their radii.
+    placed: root, n, prefix of each node. Rows of one star in a batch are merged before the
+    shuffle. Sizes that the threshold can't reach make no pair.
     """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,9 +325,6 @@ def prefix_pairs(placed: DataFrame, info: DataFrame, percent: int, share: int, l
     def merged(*columns: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in least_and_most(*columns)], ["token", "id", "low", "high"])
 
-    def told(x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "token"])
-
     def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
         token, own, low, high = least_and_most(*(t.column(c).to_numpy() for c in ("token", "id", "low", "high")))
         order = np.lexsort((low, token))
@@ -323,28 +336,77 @@ def prefix_pairs(placed: DataFrame, info: DataFrame, percent: int, share: int, l
         for x, y in each_pair(token, fits):
             ok = fits(x, y)
             if ok.any():
-                yield told(own[x[ok]], own[y[ok]])
+                x, y = own[x[ok]], own[y[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "token"])
+
+    rows = placed.select("root", "n", "prefix").mapInArrow(merge, "token long, id long, low int, high int")
+    return saved(rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, token long"), "met")
+
 
-    def meet_dense(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        token, own, n, radius = (t.column(c).to_numpy() for c in ("token", "a", "n", "radius"))
+def dense_pairs(met: DataFrame, info: DataFrame, limit: float, nearest: bool) -> DataFrame:
+    """a, b, distance of stars of different components that share a token of many stars.
+
+    info: id, n, radius, parity, label. A pair comes once for each token, unless the signatures
+    show that its roots are farther apart than the threshold and their radii. nearest: of each
+    star only the pair with the nearest other root, as far as signatures tell and the threshold
+    reaches. Tokens of more than MEET stars are dealt to parts of about so many; every two
+    parts meet in a task.
+    """
+
+    def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        token, own, n, radius, label, part = (t.column(c).to_numpy() for c in ("token", "id", "n", "radius", "label", "part"))
         parity = t.column("parity").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(token), -1)
         order = np.lexsort((n, token))
-        token, own, n, radius, parity = token[order], own[order], n[order], radius[order], parity[order]
+        token, own, n, radius, label, part, parity = (c[order] for c in (token, own, n, radius, label, part, parity))
+        one_part = t.column("one_part").to_numpy()[order]
+        reach = np.zeros(len(n)) if nearest else radius
+        more = 0.0 if nearest else limit
+        best, to = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
         apart = lambda differ, x, y: 2 * differ / (n[x] + n[y] + differ)  # noqa: E731  the least distance
-        for x, y in each_pair(token, lambda x, y: apart(n[y] - n[x], x, y) <= limit + radius[x] + limit):
+        for x, y in each_pair(token, lambda x, y: apart(n[y] - n[x], x, y) <= limit + reach[x] + more):
+            meets = (label[x] != label[y]) & (one_part[x] | (part[x] != part[y]))
+            x, y = x[meets], y[meets]
             differ = np.maximum(np.bitwise_count(parity[x] ^ parity[y]).sum(axis=1, dtype=np.int64), n[y] - n[x])
-            ok = apart(differ, x, y) <= limit + radius[x] + radius[y]
-            if ok.any():
-                yield told(own[x[ok]], own[y[ok]])
-
-    rows = placed.select("root", "n", "prefix").mapInArrow(merge, "token long, id long, low int, high int")
-    met = saved(rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, token long"), "met")
-    dense = met.filter("b is null").select("a", "token").join(info.withColumnRenamed("id", "a"), "a")
-    more = dense.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet_dense), "a long, b long, token long")
-    pairs = met.filter("b is not null").select("a", "b").unionByName(more.select("a", "b"))
+            distance = apart(differ, x, y)
+            ok = distance <= limit + reach[x] + reach[y]
+            x, y, distance = x[ok], y[ok], distance[ok]
+            if not nearest:
+                yield told(own[x], own[y], distance)
+                continue
+            for u, v in ((x, y), (y, x)):
+                nearer = distance < best[u]
+                best[u[nearer]], to[u[nearer]] = distance[nearer], own[v[nearer]]
+        if nearest:
+            found = np.isfinite(best)
+            yield pa.RecordBatch.from_arrays([pa.array(to[found]), pa.array(own[found]), pa.array(best[found])], ["a", "b", "distance"])
+
+    def told(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance)], ["a", "b", "distance"])
+
+    dense = met.filter("b is null").select(F.col("a").alias("id"), "token")
+    parts = dense.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
+    dealt = dense.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # A part meets every other part; within itself it meets where both are the same.
+    dealt = dealt.select("id", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "part", (F.col("part") == F.col("other")).alias("one_part"))
+    rows = dealt.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, distance double")
+
+
+def nearest_pairs(met: DataFrame, info: DataFrame, limit: float) -> DataFrame:
+    """a, b, strict: each star b with the star a of another component that is nearest to it."""
+    found = dense_pairs(met, info, limit, True).groupBy("b").agg(F.min(F.struct("distance", "a"))["a"].alias("a"))
+    twice = found.select(F.col("b").alias("x"), F.col("a").alias("y"))  # of two that are each other's nearest one pair stays
+    found = found.join(twice, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("a") > F.col("b")), "left_anti")
+    return found.select("a", "b", F.lit(True).alias("strict"))
+
+
+def prefix_pairs(met: DataFrame, info: DataFrame, share: int, limit: float) -> DataFrame:
+    """Pairs a < b of stars of different components whose members share `share` prefix tokens, and the sum of their radii, slack."""
+    pairs = met.filter("b is not null").select("a", "b").unionByName(dense_pairs(met, info, limit, False).select("a", "b"))
     pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= share).select("a", "b")
     ia, ib = (info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]) for k in "ab")
-    pairs = pairs.join(ia, F.col("a") == F.col("id_a")).join(ib, F.col("b") == F.col("id_b"))
+    pairs = pairs.join(ia, F.col("a") == F.col("id_a")).join(ib, F.col("b") == F.col("id_b")).filter("label_a <> label_b")
     return pairs.filter(least_distance("a", "b") <= limit + F.col("radius_a") + F.col("radius_b")).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack"))
 
 
@@ -453,9 +515,12 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     check = lambda pairs: verified(pairs, nodes, docs, n, percent)
 
     # Stars.
-    buckets = large.select("node", F.posexplode("least").alias("seed", "token"))
-    pivots = buckets.groupBy("seed", "token").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m")
-    near = buckets.join(pivots, ["seed", "token"]).filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
+    own = lambda k: F.struct("node", "n", "parity").alias(k)
+    buckets = large.select("node", "n", "parity", F.posexplode("least").alias("seed", "token"))
+    pivots = buckets.groupBy("seed", "token").agg(F.min(own("p")).alias("p"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("seed", "token", "p.node", "p.n", "p.parity")
+    pivots = pivots.select("seed", "token", *[F.col(c).alias(f"{c}_p") for c in ("node", "n", "parity")])
+    near = buckets.join(pivots, ["seed", "token"]).filter("node <> node_p").withColumnsRenamed({"n": "n_x", "parity": "parity_x"})
+    near = near.filter(least_distance("p", "x") <= limit).select(F.col("node_p").alias("a"), F.col("node").alias("b")).distinct()
     linked = check(near.withColumn("strict", F.lit(True))).filter(F.col("distance") <= limit)
     inner = linked.select(F.col("b").alias("a")).distinct()  # they link to a smaller pivot, so they are no roots
     roots = linked.join(inner, "a", "left_anti").groupBy("b").agg(F.min(F.struct("distance", "a")).alias("m")).select(F.col("b").alias("node"), F.col("m.a").alias("root"), F.col("m.distance").alias("radius"))
@@ -464,11 +529,21 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     # Stars against stars.
     reach = placed.groupBy("root").agg(F.max("radius").alias("radius")).withColumnRenamed("root", "id")
-    info = placed.filter("node = root").select(F.col("node").alias("id"), "n", "parity").join(reach, "id")
-    met = saved(prefix_pairs(placed, info, percent, share, limit), "pairs")
-    between = check(met.select("a", "b", (F.col("slack") == 0).alias("strict")))
-    edges = linked.select("a", "b").unionByName(between.filter(F.col("distance") <= limit).select("a", "b"))
-    gray = between.filter(F.col("distance") > limit).join(met, ["a", "b"]).filter(F.col("distance") <= limit + F.col("slack"))
+    info = saved(placed.filter("node = root").select(F.col("node").alias("id"), "n", "parity").join(reach, "id"), "roots")
+    met = shared_tokens(placed, percent)
+    edges = saved(linked.select("a", "b"), "linked")
+    labelled = lambda: info.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+    told = saved(labelled(), "told")
+    for _ in range(CONTRACTIONS):
+        more = check(nearest_pairs(met, told, limit)).filter(F.col("distance") <= limit).select("a", "b")
+        if more.isEmpty():
+            break
+        edges = saved(edges.unionByName(more), "linked")
+        told = saved(labelled(), "told")
+    pairs = saved(prefix_pairs(met, told, share, limit), "pairs")
+    between = check(pairs.select("a", "b", (F.col("slack") == 0).alias("strict")))
+    edges = edges.unionByName(between.filter(F.col("distance") <= limit).select("a", "b"))
+    gray = between.filter(F.col("distance") > limit).join(pairs, ["a", "b"]).filter(F.col("distance") <= limit + F.col("slack"))
     gray = saved(gray.select("a", "b", "distance"), "gray")
     if not gray.isEmpty():
         edges = saved(edges.unionByName(check(deputy_pairs(gray, placed)).filter(F.col("distance") <= limit).select("a", "b")), "linked")

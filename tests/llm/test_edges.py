@@ -143,9 +143,12 @@ def test_jaccard(docs, empty):
 def test_jaccard_on_families_of_near_copies(spark, monkeypatch, seed, percent, dense):
     """Families whose members are near the threshold, above and below it, so that stars, gray pairs and members all occur."""
     monkeypatch.setattr(jaccard, "DENSE", dense)
-    if dense == 2:  # pairs of one node in several parts, one deputy a star
+    if dense == 2:  # pairs of one node in several parts, one deputy a star, tokens dealt to several parts, ids joined by shuffles
         monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 5)
         monkeypatch.setattr(jaccard, "DEPUTIES", 1)
+        monkeypatch.setattr(jaccard, "MEET", 5)
+        monkeypatch.setattr(jaccard, "SENT", 0)
+        monkeypatch.setattr(jaccard, "CONTRACTIONS", seed - 2)
     r = random.Random(seed)
     rows = []
     for family in range(4):
