@@ -2,15 +2,17 @@
 
 A word goes if a window of SIZE consecutive words covers it whose words also start
 elsewhere, in the same document or another. Equal windows have the same least hash of K
-words inside them, their anchor. One pass counts anchors over all documents. A second cuts
-each document into runs of windows with one anchor and sends the runs whose anchor occurs
-again to the reference block that the anchor belongs to. There the runs are the reference:
-its windows are indexed, and each run is parsed greedily into the longest factors that the
-reference holds elsewhere; after a factor ends, the parse looks up the window across its
-boundary, so no window is missed. The factors are the duplicate spans.
-
-An anchor that occurs more than HOT times would make its block large. Its windows are dealt
-by their own hashes instead and counted with map-side aggregation, which is exact too.
+words inside them, their anchor. One pass lists each document's anchors; those that occur
+again anywhere come back to it by joins. A second cuts each document into runs of windows
+with one anchor and sends the runs whose anchor occurs again to the reference block that the
+anchor belongs to. There the runs are the reference: its windows are indexed, and each run is
+parsed greedily into the longest factors that the reference holds elsewhere; after a factor
+ends, the parse looks up the window across its boundary, so no window is missed. The factors
+are the duplicate spans. A run is held as the hashes of its windows.
+
+An anchor that occurs more than HOT times would make its block large. Its runs are parsed
+against each other where they are cut, and one of each distinct window goes on, to a smaller
+block that the window's own hash names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from .words import NOT_BLANK, U, grams, hashes, pieces, spans, text_bytes
 
 SIZE, K = 35, 8
 HOT = 20_000  #: occurrences of an anchor beyond which its windows are dealt one by one
-SENT = 4_000_000  #: repeated anchors that are sent to every task (8 bytes each); more are joined
 BLOCK = 4 << 20  #: bytes of runs that one step parses, unless one anchor has more
 TOP = U(2**64 - 1)
 
@@ -41,87 +42,51 @@ def _slide(a: np.ndarray, n: int, best: np.ufunc) -> np.ndarray:
     return best(a[: len(a) - (n - span)], a[n - span :]) if n > span else a
 
 
-def anchors(words: np.ndarray, owner: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the windows, the anchor of each, and the anchors of all places that are one."""
+def anchors(words: np.ndarray, owner: np.ndarray, size: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of the windows, the anchor of each; the anchors of all places that are one, and the places."""
     wide = size - k + 1
     if len(words) < size:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     g = np.full(len(words), TOP, np.uint64)
     h, at = grams(words, owner, k)
     g[at] = np.minimum(h, TOP - U(1))
     least = _slide(g, wide, np.minimum)[: len(words) - size + 1]
     whole = owner[: len(least)] == owner[size - 1 :]
     reach = _slide(np.r_[np.zeros(wide - 1, np.uint64), np.where(whole, least, U(0)), np.zeros(wide - 1, np.uint64)], wide, np.maximum)
-    places = g[: len(reach)][(reach == g[: len(reach)]) & (g[: len(reach)] != TOP)]
+    places = np.flatnonzero((reach == g[: len(reach)]) & (g[: len(reach)] != TOP))
     starts = np.flatnonzero(whole)
-    return starts, least[starts], places
+    return starts, least[starts], g[places], places
 
 
 def _long(a: np.ndarray) -> pa.Array:
     return pa.array(a.astype(np.uint64).view(np.int64), pa.int64())
 
 
-def count_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """anchor and n of all anchors that occur more than once."""
+def list_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
+    """doc_id, text_hash, anchor, n: how often each row of docs has each of its anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch):
                 data, off = text_bytes(part.column("text"))
                 s, e, owner = spans(data, off, NOT_BLANK)
-                found, n = np.unique(anchors(hashes(data, s, e), owner, size, k)[2], return_counts=True)
-                yield pa.RecordBatch.from_arrays([_long(found), pa.array(n, pa.int64())], ["anchor", "n"])
+                places, at = anchors(hashes(data, s, e), owner, size, k)[2:]
+                order = np.lexsort((places, owner[at]))
+                row, places = owner[at][order], places[order]
+                first = np.flatnonzero(np.r_[True, (places[1:] != places[:-1]) | (row[1:] != row[:-1])]) if len(places) else np.zeros(0, np.int64)
+                of = pa.array(row[first])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_hash").take(of), _long(places[first]), pa.array(np.diff(np.r_[first, len(places)]), pa.int64())], ["doc_id", "text_hash", "anchor", "n"])
 
-    return docs.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1")
-
-
-def cut_runs(part: pa.RecordBatch, wanted: np.ndarray, hot: np.ndarray, size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with a wanted anchor; of hot anchors, single windows by their hash.
-
-    wanted: sorted anchors; hot: whether each is. Rows: block key, whether it is a single
-    window, document's row in part, word where the run starts, the run's text.
-    """
-    data, off = text_bytes(part.column("text"))
-    s, e, owner = spans(data, off, NOT_BLANK)
-    words = hashes(data, s, e)
-    starts, anchor, _ = anchors(words, owner, size, k)
-    if not len(starts) or not len(wanted):
-        return
-    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1) | (owner[starts[1:]] != owner[starts[:-1]])]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(starts)] - 1
-    at = np.minimum(np.searchsorted(wanted, anchor[first]), len(wanted) - 1)
-    use = wanted[at] == anchor[first]
-    is_hot = hot[at] & use
-    doc_first = np.searchsorted(owner, np.arange(part.num_rows))
-    cold = np.flatnonzero(use & ~is_hot)
-    for few in np.array_split(cold, max(1, len(cold) // 20_000)):
-        a, b = starts[first[few]], starts[last[few]] + size - 1
-        n = e[b] - s[a]
-        begin = np.r_[0, np.cumsum(n)]
-        body = data[np.arange(begin[-1]) + np.repeat(s[a] - begin[:-1], n)]
-        texts = pa.Array.from_buffers(pa.string(), len(few), [None, pa.py_buffer(begin.astype(np.int32).tobytes()), pa.py_buffer(body.tobytes())])
-        yield rows_of(part, owner[a], _long(anchor[first[few]]), False, a - doc_first[owner[a]], texts)
-    if is_hot.any():
-        inside = np.repeat(is_hot, last - first + 1)
-        window, w_at = grams(words, owner, size)
-        window = window[np.searchsorted(w_at, starts[inside])]
-        yield rows_of(part, owner[starts[inside]], _long(window), True, starts[inside] - doc_first[owner[starts[inside]]], pa.nulls(int(inside.sum()), pa.string()))
-
-
-def rows_of(part: pa.RecordBatch, row: np.ndarray, key: pa.Array, single: bool, at: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
-    of = pa.array(row)
-    return pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_hash").take(of), key, pa.array(np.full(len(row), single)), pa.array(at, pa.int32()), texts], ["doc_id", "text_hash", "key", "single", "at", "run"])
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, n long")
 
 
-def parse(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of the texts against all of them as the reference: row, first word, end.
+def factors(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Greedy factors of runs of windows against all of them as the reference: run, first window, windows.
 
-    All texts are parsed side by side: a round gives each its next factor.
+    h: window hashes, one run after another; start: where each run begins, and the end. All
+    runs are parsed side by side: a round gives each its next factor.
     """
-    data, off = text_bytes(texts)
-    s, e, owner = spans(data, off, NOT_BLANK)
-    h, at = grams(hashes(data, s, e), owner, size)
     none = np.zeros(0, np.int64)
     if len(h) < 2:
         return none, none, none
@@ -130,13 +95,12 @@ def parse(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     ref = np.full(len(h) + 1, -1)  # another place of the same window
     ref[order[1:][same]] = order[:-1][same]
     ref[order[:-1][same]] = order[1:][same]
-    row = owner[at]
-    end = np.searchsorted(row, row, side="right")  # where the row's windows end
+    run = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    end = start[1:][run]  # where the run's windows end
     valid = np.where(ref >= 0, np.arange(len(ref)), len(h))
     after = np.minimum.accumulate(valid[::-1])[::-1]  # the next window that the reference has
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-    cursor = after[first]
-    cursor = cursor[cursor < end[first]]
+    cursor, stop = after[start[:-1]], start[1:]
+    cursor = cursor[cursor < stop]
     out = []
     while len(cursor):
         i, r, n = cursor, ref[cursor], np.ones(len(cursor), np.int64)
@@ -153,37 +117,83 @@ def parse(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     if not out:  # windows, but none that repeats
         return none, none, none
     i, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    word = at[i] - np.searchsorted(owner, row[i])
-    return row[i], word, word + n - 1 + size
+    return run[i], i - start[run[i]], n
+
+
+def cut_runs(part: pa.RecordBatch, wanted: np.ndarray, hot: np.ndarray, size: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with a wanted anchor; of hot anchors, duplicate spans and single windows.
+
+    wanted: sorted anchors; hot: whether each is. Rows: doc_id, text_hash, key of the block,
+    word where the run starts, the run; for a span that is found, no run but its end.
+    """
+    data, off = text_bytes(part.column("text"))
+    s, e, owner = spans(data, off, NOT_BLANK)
+    words = hashes(data, s, e)
+    starts, anchor = anchors(words, owner, size, k)[:2]
+    if not len(starts) or not len(wanted):
+        return
+    window = grams(words, owner, size)[0]  # of each of starts
+    row = owner[starts]
+    at = starts - np.searchsorted(owner, row)
+    new = np.r_[True, (anchor[1:] != anchor[:-1]) | (np.diff(starts) != 1) | (row[1:] != row[:-1])]
+    first = np.flatnonzero(new)
+    n = np.diff(np.r_[first, len(starts)])
+    place = np.minimum(np.searchsorted(wanted, anchor[first]), len(wanted) - 1)
+    use = wanted[place] == anchor[first]
+    is_hot = hot[place] & use
+
+    def rows(of: np.ndarray, key: np.ndarray | None, length: np.ndarray | None, to: np.ndarray | None) -> pa.RecordBatch:
+        take = pa.array(row[of])
+        if length is None:
+            told = [pa.nulls(len(of), pa.int64()), pa.array(at[of], pa.int32()), pa.nulls(len(of), pa.list_(pa.int64())), pa.array(to, pa.int32())]
+        else:
+            begin = np.r_[0, np.cumsum(length)]
+            flat = np.arange(begin[-1]) + np.repeat(of - begin[:-1], length)
+            told = [_long(key), pa.array(at[of], pa.int32()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), _long(window[flat])), pa.nulls(len(of), pa.int32())]
+        return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), *told], ["doc_id", "text_hash", "key", "at", "run", "to"])
+
+    cold = first[use & ~is_hot]
+    yield rows(cold, anchor[cold], n[use & ~is_hot], None)
+    if is_hot.any():
+        inside = np.flatnonzero(np.repeat(is_hot, n))
+        begin = np.r_[0, np.cumsum(n[is_hot])]
+        run, i, length = factors(window[inside], begin)
+        of = inside[begin[run] + i]
+        yield rows(of, None, None, at[of] + length - 1 + size)
+        one = inside[np.unique(window[inside], return_index=True)[1]]
+        yield rows(one, window[one], np.ones(len(one), np.int64), None)
 
 
 def parse_blocks(runs: DataFrame, size: int) -> DataFrame:
-    """doc_id, text_hash, lo, hi: duplicate spans in words, from runs dealt by their anchor."""
+    """doc_id, text_hash, lo, hi: duplicate spans in words, from runs dealt by the key of their block."""
 
     def made(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        row, lo, hi = parse(t.column("run").combine_chunks() if t.num_rows else pa.array([], pa.string()), size)
-        of = pa.array(row)
-        at = t.column("at").to_numpy()[row]
+        lists = t.column("run").combine_chunks()
+        start = lists.offsets.to_numpy().astype(np.int64)
+        run, i, n = factors(lists.flatten().to_numpy().view(np.uint64), start - start[0])
+        of = pa.array(run)
+        lo = t.column("at").to_numpy()[run] + i
         take = lambda c: t.column(c).combine_chunks().take(of)
-        return pa.RecordBatch.from_arrays([take("doc_id"), take("text_hash"), pa.array(at + lo, pa.int32()), pa.array(at + hi, pa.int32())], ["doc_id", "text_hash", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([take("doc_id"), take("text_hash"), pa.array(lo, pa.int32()), pa.array(lo + n - 1 + size, pa.int32())], ["doc_id", "text_hash", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         held_bytes = 0
         for batch in batches:
-            for part in pieces(batch, "run", BLOCK):
-                held.append(part)
-                held_bytes += part.nbytes
-                if held_bytes < BLOCK:
-                    continue
-                t = pa.Table.from_batches(held)
-                keys = t.column("key").to_numpy()
-                whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
-                if whole:
-                    yield made(t.slice(0, whole))
-                    held = t.slice(whole).combine_chunks().to_batches()
-                    held_bytes = sum(b.nbytes for b in held)
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            held_bytes += batch.nbytes
+            if held_bytes < BLOCK:
+                continue
+            t = pa.Table.from_batches(held)
+            keys = t.column("key").to_numpy()
+            whole = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if whole:
+                yield made(t.slice(0, whole))
+                held = t.slice(whole).combine_chunks().to_batches()
+                held_bytes = sum(b.nbytes for b in held)
         if held:
             yield made(pa.Table.from_batches(held))
 
@@ -191,56 +201,32 @@ def parse_blocks(runs: DataFrame, size: int) -> DataFrame:
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"doc_id {kind}, text_hash long, lo int, hi int")
 
 
-def duplicate_spans(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT, sent: int = SENT) -> DataFrame:
-    """docs: doc_id, text_hash, text. Returns doc_id, text_hash, lo, hi of spans that repeat; spans may overlap."""
-    spark = docs.sparkSession
-    repeated = saved(count_anchors(docs, size, k), "anchors")
+def duplicate_spans(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT) -> DataFrame:
+    """docs: doc_id, text_hash, text. Returns doc_id, text_hash, lo, hi of spans that repeat; spans may overlap.
+
+    Whether an anchor occurs again comes to its documents by joins, so nothing that grows with
+    the corpus passes the driver or goes to every task.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text_hash long, key long, single boolean, at int, run string"
-    if repeated.count() <= sent:
-        found = repeated.orderBy("anchor").toArrow()
-        wanted = found.column("anchor").to_numpy().view(np.uint64)
-        order = np.argsort(wanted)
-        told = spark.sparkContext.broadcast((wanted[order], (found.column("n").to_numpy() > hot)[order]))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in pieces(batch):
-                    yield from cut_runs(part, *told.value, size, k)
-
-        runs = docs.select("doc_id", "text_hash", "text").mapInArrow(run, schema)
-    else:
-        # Too many to send: the anchors of each document come to it by two joins.
-        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part in pieces(batch):
-                    data, off = text_bytes(part.column("text"))
-                    s, e, owner = spans(data, off, NOT_BLANK)
-                    starts, anchor, _ = anchors(hashes(data, s, e), owner, size, k)
-                    pair = np.unique(np.rec.fromarrays([owner[starts], anchor]))
-                    of = pa.array(pair.f0)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(of), part.column("text_hash").take(of), _long(pair.f1)], ["doc_id", "text_hash", "anchor"])
-
-        held = docs.select("doc_id", "text_hash", "text").mapInArrow(places, f"doc_id {kind}, text_hash long, anchor long").distinct()
-        per_doc = held.join(repeated, "anchor").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_list(F.struct("anchor", (F.col("n") > hot).alias("hot")))).alias("own"))
-        joined = docs.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")))
-
-        def run_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    own = batch.column("anchor")[i].values.to_numpy().view(np.uint64)
-                    order = np.argsort(own)
-                    yield from cut_runs(batch.slice(i, 1), own[order], batch.column("hot")[i].values.to_numpy(zero_copy_only=False)[order], size, k)
-
-        runs = joined.select("d.doc_id", "d.text_hash", "d.text", "own.anchor", "own.hot").mapInArrow(run_each, schema)
-    runs = saved(runs, "runs")
-    parsed = parse_blocks(runs.filter("not single").select("doc_id", "text_hash", "key", "at", "run"), size)
-    single = runs.filter("single").select("doc_id", "text_hash", "key", "at")
-    again = single.groupBy("key").count().filter("count > 1").select("key")
-    return parsed.unionByName(single.join(again, "key").select("doc_id", "text_hash", F.col("at").alias("lo"), (F.col("at") + size).alias("hi")))
-
-
-def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT, sent: int = SENT, carry: Sequence[str] = ()) -> DataFrame:
+    listed = saved(list_anchors(docs, size, k), "anchors")
+    repeated = listed.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n > 1").select("anchor", (F.col("n") > hot).alias("hot"))
+    per_doc = listed.select("doc_id", "text_hash", "anchor").join(repeated, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("anchor", "hot")).alias("own"))
+    joined = docs.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                # That an anchor repeats holds for all documents, so those of a piece are told together.
+                wanted, at = np.unique(part.column("anchor").flatten().to_numpy().view(np.uint64), return_index=True)
+                yield from cut_runs(part, wanted, part.column("hot").flatten().to_numpy(zero_copy_only=False)[at], size, k)
+
+    cut = joined.select("d.doc_id", "d.text_hash", "d.text", "own.anchor", "own.hot").mapInArrow(run, f"doc_id {kind}, text_hash long, key long, at int, run array<long>, to int")
+    runs = saved(cut, "runs")
+    found = runs.filter("to is not null").select("doc_id", "text_hash", F.col("at").alias("lo"), F.col("to").alias("hi"))
+    return parse_blocks(runs.filter("to is null").select("doc_id", "text_hash", "key", "at", "run"), size).unionByName(found)
+
+
+def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = HOT, carry: Sequence[str] = ()) -> DataFrame:
     """One row for each row of docs: doc_id, n_words, n_removed, kept (the words left, joined by a space).
 
     docs: doc_id, text. Null and empty texts have no words. Rows that repeat a doc_id are
@@ -250,7 +236,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = H
     """
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text", *[F.col(c).alias(f"_{c}") for c in carry])
     with scratch():
-        found = duplicate_spans(keyed, size, k, hot, sent)
+        found = duplicate_spans(keyed, size, k, hot)
         per_doc = saved(found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")), "spans", keep=True)
     joined = keyed.alias("d").join(per_doc.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.text_hash") == F.col("p.text_hash")), "left")
 

@@ -79,11 +79,11 @@ def brute_spans(texts, size):
     return out
 
 
-@pytest.mark.parametrize(("hot", "sent"), [(substrings.HOT, substrings.SENT), (2, substrings.SENT), (substrings.HOT, 0), (2, 0)])
-def test_substrings(docs, hot, sent):
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_substrings(docs, hot):
     rows = docs.collect()
     want = sorted((r.doc_id is None, r.doc_id or 0, *b) for r, b in zip(rows, brute_spans([r.text for r in rows], 35), strict=True))
-    got = substrings.dedup_substrings(docs, hot=hot, sent=sent).collect()
+    got = substrings.dedup_substrings(docs, hot=hot).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed, r.kept) for r in got) == want
 
 
@@ -99,15 +99,15 @@ def test_substrings_on_random_texts(spark, empty):
 
 
 @pytest.mark.parametrize("block", [1, 400, substrings.BLOCK])
-@pytest.mark.parametrize(("hot", "sent"), [(substrings.HOT, substrings.SENT), (2, 0)])
-def test_substrings_where_an_anchor_repeats_and_no_window_does(spark, monkeypatch, block, hot, sent):
+@pytest.mark.parametrize("hot", [substrings.HOT, 2])
+def test_substrings_where_an_anchor_repeats_and_no_window_does(spark, monkeypatch, block, hot):
     """Texts that share 20 words: their runs meet in one block and have no factor; others have some."""
     monkeypatch.setattr(substrings, "BLOCK", block)
     common = [" ".join(f"c{k}x{i}" for i in range(20)) for k in range(3)]
     texts = [" ".join(f"d{i}y{j}" for j in range(40)) + " " + common[i % 2] + " " + " ".join(f"e{i}y{j}" for j in range(40)) for i in range(7)]
     for more in ([], [texts[0]], [common[2] * 2, common[2]]):
         rows = texts + more
-        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(table(spark, [(i, t, None, None) for i, t in enumerate(rows)]), hot=hot, sent=sent).collect()}
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substrings.dedup_substrings(table(spark, [(i, t, None, None) for i, t in enumerate(rows)]), hot=hot).collect()}
         assert [got[i] for i in range(len(rows))] == brute_spans(rows, 35)
 
 
