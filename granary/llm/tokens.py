@@ -6,6 +6,10 @@ cross. The distinct pre-tokens of a batch are held as one ragged array of symbol
 round finds every sequence's lowest-rank pair and merges it in all sequences at once;
 sequences without a pair leave. What survives is counted: a symbol outside the vocabulary
 counts its UTF-8 bytes.
+
+Pre-tokens of more than LONG symbols merge in many places at once: no symbol outgrows the
+longest piece, so a pair that has the lowest rank as far around as that reaches merges as it
+would in its turn.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from .shared import table
 from .words import U, hashes, pieces, text_bytes
 
 NONE = np.int32(2**31 - 1)
+LONG = 200  #: symbols beyond which a pre-token merges in many places at once
 SPACE = "▁"
 
 
@@ -64,6 +69,11 @@ class Merges:
         #: ASCII bytes that occur in no piece of several characters stand alone; so they part pre-tokens.
         inner = {c for p in vocabulary if len(p) > 1 for c in p}
         self.alone = np.array([b < 128 and b != 32 and chr(b) not in inner for b in range(256)])
+        self.longest = max((len(p) for p in vocabulary), default=1)
+        own = [i for i in range(model.get_piece_size()) if model.is_control(i) or model.is_unknown(i)]
+        for text in ("\ufb01 \uff21  x", "x", " x", "<s>", "</s>", "<unk>", *(model.id_to_piece(i) for i in own)):
+            if model.decode(model.encode(text)) != text or any(i in own and not model.is_unknown(i) for i in model.encode(text)):
+                raise ValueError("the model normalizes texts or takes special strings in them as pieces; this counter doesn't")
         if any(SPACE in p.lstrip(SPACE) for p in vocabulary):
             raise ValueError("a piece holds a space after other characters; pre-tokens can't be cut at spaces")
 
@@ -129,6 +139,56 @@ class Merges:
             sym, seq, rank = sym[stay], seq[stay], rank[stay]
         return out
 
+    def long_counts(self, sym: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """What counts() gives, for long sequences.
+
+        A merge before a pair's turn makes a symbol that holds a pair of lower rank, and no
+        symbol is longer than the longest piece. So a pair is not touched before its turn if
+        none within `wide` symbols has a lower rank. Of equal ranks the leftmost comes first:
+        those that stand as near as that merge in one round up to the first that makes a pair
+        of as low a rank.
+        """
+        wide = self.longest
+        last = np.zeros(len(sym), bool)
+        last[np.r_[start[1:], len(sym)] - 1] = True
+        seq = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(sym)]))
+        rank = np.full(len(sym), NONE, np.int32)
+        inner = np.flatnonzero(~last)
+        rank[inner] = self.find(sym[inner], sym[inner + 1])[0]
+        while True:
+            low = (rank < NONE) & (rank == least_around(rank, wide, wide))
+            at = np.flatnonzero(low)
+            if not len(at):
+                return np.bincount(seq, self.size[sym], len(start)).astype(np.int64)
+            # An equal rank on the left that has to wait itself holds this one up, too.
+            waits = least_around(np.where(low, NONE, rank), wide, 0)[at] == rank[at]
+            head = np.r_[True, np.diff(at) > 1]
+            every_other = (np.arange(len(at)) - np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))) % 2 == 0
+            at, waits = at[every_other], waits[every_other]
+            made = self.find(sym[at], sym[at + 1])[1]
+            left = np.maximum(at - 1, 0)
+            before = np.where(np.r_[False, np.diff(at) == 2], np.r_[made[:1], made[:-1]], sym[left])
+            left_rank = np.where((at > 0) & ~last[left], self.find(before, made)[0], NONE)
+            right_rank = np.where(last[at + 1], NONE, self.find(made, sym[np.minimum(at + 2, len(sym) - 1)])[0])
+            early = np.minimum(left_rank, right_rank) <= rank[at]
+            stop = waits | np.r_[False, early[:-1]]  # from here on in its group
+            group = np.cumsum(np.r_[True, np.diff(at) > wide]) - 1
+            first = np.flatnonzero(np.r_[True, np.diff(group) > 0])
+            stop[first] = waits[first]
+            stops = np.cumsum(stop)
+            take = stops - np.r_[0, stops][first][group] == 0
+            at, made = at[take], made[take]
+            sym[at] = made
+            last[at] = last[at + 1]
+            stay = np.ones(len(sym), bool)
+            stay[at + 1] = False
+            sym, seq, rank, last = sym[stay], seq[stay], rank[stay], last[stay]
+            at -= np.arange(len(at))
+            for pair in (at, at[at > 0] - 1):
+                inner = ~last[pair]
+                rank[pair] = NONE
+                rank[pair[inner]] = self.find(sym[pair[inner]], sym[pair[inner] + 1])[0]
+
     def of_texts(self, texts: pa.Array) -> np.ndarray:
         """Tokens of each text; null is empty."""
         if pc.any(pc.match_substring(texts, SPACE)).as_py():
@@ -164,7 +224,26 @@ class Merges:
         points = np.frombuffer(flat.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         first = np.cumsum(heads)[start[:-1]] - 1
         sym = self.symbol[np.where(points == 32, ord(SPACE), points)]
-        return self.counts(sym, first)
+        size = np.diff(np.r_[first, len(sym)])
+        long = size > LONG
+        if not long.any():
+            return self.counts(sym, first)
+        found = np.zeros(len(first), np.int64)
+        of = np.repeat(long, size)
+        found[long] = self.long_counts(sym[of], np.r_[0, np.cumsum(size[long])[:-1]])
+        if not long.all():
+            found[~long] = self.counts(sym[~of], np.r_[0, np.cumsum(size[~long])[:-1]])
+        return found
+
+
+def least_around(a: np.ndarray, before: int, after: int) -> np.ndarray:
+    """The least of each value, as many before it and as many after it."""
+    n, span = before + after + 1, 1
+    a = np.concatenate([np.full(before, NONE, a.dtype), a, np.full(after, NONE, a.dtype)])
+    while span * 2 <= n:
+        a = np.minimum(a[:-span], a[span:])
+        span *= 2
+    return np.minimum(a[: len(a) - (n - span)], a[n - span :]) if n > span else a
 
 
 _LOADED: dict[str, Merges] = {}

@@ -66,6 +66,20 @@ def test_merges_match_the_library_on_random_texts():
     assert merges.of_texts(pa.array(texts)).tolist() == [len(model.encode(t)) for t in texts]
 
 
+@pytest.mark.parametrize("long", [1, tokens.LONG])
+def test_long_pre_tokens_match_the_library(monkeypatch, long):
+    import public_tokenizers
+    import pyarrow as pa
+    import sentencepiece
+
+    monkeypatch.setattr(tokens, "LONG", long)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model, merges, r = sentencepiece.SentencePieceProcessor(model_file=path), tokens.Merges(path), random.Random(9)
+    parts = [["a", "ab", "the", "ing", "==", "-", "0", "1"], list("ACGT"), list("abcdefghijklmnopqrstuvwxyz"), list("あいうえおかき漢字"), ["a"], ["="]]
+    texts = ["".join(r.choice(p) for _ in range(n)) for p in parts for n in (*range(1, 60), 300, 5000)] + ["x" * 1_000_000, "".join(r.choice(parts[2]) for _ in range(1_000_000))]
+    assert merges.of_texts(pa.array(texts)).tolist() == [len(model.encode(t)) for t in texts]
+
+
 def brute_spans(texts, size):
     seen = Counter()
     for t in texts:
