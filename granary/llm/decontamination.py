@@ -1,11 +1,11 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-Test items are cut into windows of consecutive words. The index stores, for the terms that
-windows are looked up by, the documents' postings: document, position, and the words around
-it. A window is looked up from its rarest term; the list of that term, less the term's
-offset in the window, is intersected with the equally adjusted list of the next rarest
-term. What stands in both is a proximity match if the starts differ by at most a slop, and an
-exact phrase if the words around the rarest term are the window's.
+Test items are cut into windows of consecutive words. The index stores the documents'
+postings, document and position, of the terms that windows are looked up by: of each window
+its rarest terms. Their lists, less the terms' offsets in the window, are intersected: a
+window may stand where all of them agree on the start. What stands in all lists up to a
+slop is a proximity match, and an exact phrase if the document's words from the start on are
+the window's, which is checked in the documents that are left.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .shared import saved, scratch, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_TERMS = 200_000  #: up to so many terms are sent to every task; more are joined by a shuffle
+SENT = 32 << 20  #: up to about so many bytes are sent to every task; more are joined by a shuffle
+SALTS = 32  #: parts of a frequent term's postings where terms are joined by a shuffle
 
 
 def words(text: Column) -> Column:
@@ -25,9 +26,9 @@ def words(text: Column) -> Column:
     return F.filter(cut, lambda w: w != "")
 
 
-def _small(terms: DataFrame) -> DataFrame:
-    """terms, marked for broadcast if their number is checked to be small."""
-    return F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+def _fits(df: DataFrame, size: Column) -> bool:
+    """Whether df may be sent to every task; size: the bytes of a row, about."""
+    return (df.agg(F.sum(size)).first()[0] or 0) <= SENT
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
@@ -41,48 +42,66 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
     return each.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("n", F.size("win"))
 
 
-def rarest_terms(windows: DataFrame, docs: DataFrame, lists: int) -> DataFrame:
-    """windows with keys: the offsets and terms of their rarest terms in docs, rarest first.
+def by_term(postings: DataFrame, keyed: DataFrame) -> DataFrame:
+    """postings joined with keyed by term; a term with many postings is dealt to several tasks."""
+    if _fits(keyed, F.octet_length("term") + 64):
+        return postings.join(F.broadcast(keyed), "term")
+    salted = keyed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return postings.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
+
+
+def rarest_terms(windows: DataFrame, split: DataFrame, lists: int) -> DataFrame:
+    """windows with keys: the offsets and terms of their rarest terms in split, rarest first.
 
     Terms are counted over all documents. Ties go to the lesser term, then the first offset.
     """
-    term = F.explode("win").alias("term")
-    vocabulary = windows.select(term).distinct()
-    counted = docs.select(F.explode("words").alias("term")).join(_small(vocabulary), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = windows.select(F.explode("win").alias("term")).distinct()
+    said = split.select(F.explode("words").alias("term"))
+    said = said.join(F.broadcast(vocabulary), "term") if _fits(vocabulary, F.octet_length("term") + 32) else said
+    counted = said.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     placed = windows.select("win", F.posexplode("win").alias("offset", "term")).join(counted, "term", "left")
     rank = F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term", "offset")
     keys = placed.groupBy("win").agg(F.slice(F.sort_array(F.collect_list(rank)), 1, lists).alias("keys"))
     return windows.join(keys, "win")
 
 
-def find_phrases(docs: DataFrame, items: DataFrame, size: int = 10, lists: int = 2, slop: int = 0) -> DataFrame:
-    """Occurrences of the items' windows in docs: doc_id, text_hash, start (word, from 0), n, items, exact.
+def split_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, words: the texts are cut once and read again as often as needed."""
+    return saved(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("words")), "words")
+
+
+def find_phrases(split: DataFrame, items: DataFrame, size: int = 10, lists: int = 2, slop: int = 0) -> DataFrame:
+    """Occurrences of the items' windows: doc_id, text_hash, start (word, from 0), n, items, exact.
 
-    docs: doc_id, text; items: item_id, text. With slop 0 rows are exact phrases; with more,
-    the rarest terms may stand up to slop words off, and exact tells phrases from proximity.
-    text_hash parts rows that share a doc_id. Windows that no document holds have no rows.
+    split: see split_texts; items: item_id, text. With slop 0 rows are exact phrases; with more,
+    the rarest terms may stand up to slop words off, and exact tells phrases from proximity; a
+    start before the first word, by up to slop, is possible for those. text_hash parts rows that
+    share a doc_id. Windows that no document holds have no rows.
     """
-    split = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("words"))
     windows = saved(rarest_terms(item_windows(items, size), split, lists).withColumn("win_id", F.xxhash64("win")), "windows")
-    keyed = windows.select("win", "n", "items", "win_id", F.posexplode("keys").alias("list", "key")).select("win", "n", "items", "win_id", "list", "key.offset", "key.term")
-    terms = keyed.select("term").distinct()
-    before = F.least(F.col("pos"), F.lit(size - 1))
-    posting = split.select("doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "term")).join(_small(terms), "term")
-    around = F.slice("words", F.col("pos") - before + 1, F.lit(2 * size - 1))
-    index = saved(posting.select("doc_id", "text_hash", "pos", "term", before.alias("before"), around.alias("near")), "postings")
-    first = keyed.filter("list = 0").join(index, "term").withColumn("start", F.col("pos") - F.col("offset")).filter("start >= 0")
-    near = F.slice("near", F.col("before") - F.col("offset") + 1, F.col("n"))
-    first = first.withColumn("exact", near == F.col("win")).filter(F.lit(slop > 0) | F.col("exact"))
+    keyed = windows.select("win_id", F.size("keys").alias("lists"), F.posexplode("keys").alias("list", "key")).select("win_id", "lists", "list", "key.offset", "key.term")
     same = ["doc_id", "text_hash", "win_id"]
-    first = first.select(*same, "start", "n", "items", "exact")
-    rest = keyed.filter("list > 0").join(index.select("doc_id", "text_hash", "pos", "term"), "term").select(*same, "list", (F.col("pos") - F.col("offset")).alias("other"))
-    # Windows of one word have one list; of the rest, every further list must agree.
-    wanted = windows.select("win_id", (F.size("keys") - 1).alias("more"))
-    meets = [first["doc_id"].eqNullSafe(rest["doc_id"]), first["text_hash"] == rest["text_hash"], first["win_id"] == rest["win_id"]]
-    meets.append(first["start"] == rest["other"] if slop == 0 else F.abs(first["start"] - rest["other"]) <= slop)
-    both = first.join(rest, meets, "left").select(*[first[c] for c in first.columns], "list")
-    agreed = both.groupBy(*same, "start").agg(F.first("n").alias("n"), F.first("items").alias("items"), F.first("exact").alias("exact"), F.countDistinct("list").alias("agreed"))
-    return agreed.join(wanted, "win_id").filter("agreed = more").select("doc_id", "text_hash", "start", "n", "items", "exact")
+    postings = split.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
+    places = by_term(postings, keyed).select(*same, "lists", "list", (F.col("pos") - F.col("offset")).alias("start")).filter(F.col("start") >= -slop)
+    if slop == 0:  # equal adjusted positions meet in a grouping, which begins before the shuffle
+        met = places.groupBy(*same, "start").agg(F.bit_or(F.expr("shiftleft(1L, list)")).alias("seen"), F.first("lists").alias("lists"))
+        agreed = met.filter(F.bit_count("seen") == F.col("lists")).select(*same, "start")
+    else:
+        first = places.filter("list = 0").select(*same, "lists", "start").distinct().alias("f")
+        rest = places.filter("list > 0").select(*same, "list", F.col("start").alias("other")).alias("r")
+        near = F.col("f.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("f.text_hash") == F.col("r.text_hash")) & (F.col("f.win_id") == F.col("r.win_id")) & (F.abs(F.col("start") - F.col("other")) <= slop)
+        both = first.join(rest, near, "left").select("f.doc_id", "f.text_hash", "f.win_id", "lists", "start", "list")
+        agreed = both.groupBy(*same, "start").agg(F.first("lists").alias("lists"), F.countDistinct("list").alias("agreed")).filter("agreed = lists - 1").select(*same, "start")
+    agreed = saved(agreed, "agreed")
+    told = F.broadcast(agreed) if _fits(agreed, F.lit(128)) else agreed
+    told = told.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
+    # Rows that repeat an id and a text are one document here.
+    text = split.join(told, split["doc_id"].eqNullSafe(told["d"]) & (split["text_hash"] == told["t"])).select(*same, "start", "words")
+    shown = windows.select("win_id", "win", "n", "items")
+    shown = F.broadcast(shown) if _fits(shown, F.lit(256)) else shown
+    exact = (F.col("start") >= 0) & (F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("n")) == F.col("win"))
+    found = text.join(shown, "win_id").select(*same, "start", "n", "items", exact.alias("exact"))
+    return (found if slop else found.filter("exact")).dropDuplicates([*same, "start"]).drop("win_id")
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -93,7 +112,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     same result each. An empty table of items hits nothing. Other columns are ignored.
     """
     with scratch():
-        found = saved(find_phrases(docs, items, size), "phrases", keep=True)
+        split = split_texts(docs)
+        sized = saved(split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), "sizes", keep=True)
+        found = saved(find_phrases(split, items, size), "phrases", keep=True)
     key = ["doc_id", "text_hash"]
     upto = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select(*key, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
@@ -101,7 +122,6 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     hits = spans.withColumn("new", covered).groupBy(*key).agg(F.sum("new").cast("long").alias("n_hit"))
     named = found.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
     per_doc = hits.join(named.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select(F.col("d"), F.col("t"), "n_hit", "items")
-    sized = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
     full = sized.join(per_doc, sized["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     none = F.array().cast("array<string>")
     return full.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", none).alias("items")).withColumn("contaminated", F.col("n_hit") > 0)

@@ -261,7 +261,9 @@ def brute_hits(docs, items, size=10):
     return sorted(out)
 
 
-def test_decontamination(spark, docs, empty):
+@pytest.mark.parametrize("sent", [decontamination.SENT, 0])
+def test_decontamination(spark, docs, empty, monkeypatch, sent):
+    monkeypatch.setattr(decontamination, "SENT", sent)
     items = [(1, "P0 p1, p2 p3 p4 p5 p6 p7 p8 p9 p10 p11"), (2, "one"), (3, None), (4, " .. "), (None, "two"), (1, "ñandú É é"), (5, "same same same same same same same same same same"), (6, "a b c d e f g h i j"), (6, "a b c d e f g h i j")]
     bench = spark.createDataFrame([(*x, 1) for x in items], "item_id long, text string, doc_id int")
     got = decontamination.contamination(docs, bench)
@@ -276,7 +278,7 @@ def test_decontamination(spark, docs, empty):
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "zero alpha beta gamma x delta"), (2, "alpha beta gamma delta"), (3, "alpha far away from what the item says delta")], "doc_id long, text string")
     b = spark.createDataFrame([(9, "alpha beta gamma delta")], "item_id long, text string")
-    near = {(r.doc_id, r.exact) for r in decontamination.find_phrases(d, b, size=4, lists=2, slop=2).collect()}
+    near = {(r.doc_id, r.exact) for r in decontamination.find_phrases(decontamination.split_texts(d), b, size=4, lists=2, slop=2).collect()}
     assert (2, True) in near and all(not e for i, e in near if i == 1) and not any(i == 3 for i, _ in near)
 
 
