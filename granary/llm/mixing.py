@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, table
+from .shared import WORD, free_name, table
 
 
 def word_count(text: Column) -> Column:
@@ -27,7 +27,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[int], cap: int) -> DataFr
     they share the sum of all sizes; a target stops at cap times its source's size
     and the rest is shared again by weight. In order of cap / weight the capped
     sources come first, so running sums give the level at which sharing ends.
-    A source of size 0 has target 0. An empty table gives an empty table.
+    A source of size 0 has target 0. An empty table gives an empty table. The table of
+    sources is one task's: a row a source, of which there must be few, as for any list of weights.
     """
     turn = Window.orderBy(F.col("source").asc_nulls_last())
     pick = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), ((F.row_number().over(turn) - 1) % len(weights) + 1).cast("int"))
@@ -79,18 +80,18 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3,
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, seed: int = 17) -> DataFrame:
     """The copies that the mix takes, as rows: the columns of docs, and copy (from 1).
 
+    A column copy that docs already has, as an earlier mix leaves, gives way to the new one.
+    Nulls, repeated rows and empty tables are as in plan_mix; a document of no words has size 0
+    and is taken at its source's rate like any other.
     Only the sources' rates are computed from all texts; the texts themselves meet them in
     a join with as many rows as there are sources.
     """
     sized = docs.select("source", word_count(F.col("text")).alias("size"))
-    rates = _rates(sized, weights, cap).select("_source", F.col("rate").alias("_rate"))
-    return (
-        docs.join(rates, docs["source"].eqNullSafe(F.col("_source")), "left")
-        .withColumn("_copies", _copies("_rate", seed))
-        .filter("_copies > 0")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .select(*[docs[c] for c in docs.columns], "copy")
-    )
+    docs = docs.drop("copy")
+    source, rate, copies = (free_name(c, docs) for c in ("_source", "_rate", "_copies"))
+    rates = _rates(sized, weights, cap).select(F.col("_source").alias(source), F.col("rate").alias(rate))
+    joined = docs.join(rates, docs["source"].eqNullSafe(F.col(source)), "left").withColumn(copies, _copies(rate, seed)).filter(F.col(copies) > 0)
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns, "copy")
 
 
 def op7_mixing(spark, sf_dir):

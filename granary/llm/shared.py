@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,38 +20,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set for the session.
+    Where a local session names none (tests on one machine), a temporary folder is set for the
+    session; on a cluster executors couldn't see that, so it is an error there.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-_scopes: list[list[str]] = []
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())  # each thread has its own
 
 
 @contextmanager
 def scratch() -> Iterator[None]:
     """Tables that saved() writes inside go at the end, but for those it keeps."""
     paths: list[str] = []
-    _scopes.append(paths)
+    before = _scopes.set((*_scopes.get(), paths))
     try:
         yield
     finally:
-        _scopes.pop()
+        _scopes.reset(before)
         for path in paths:
             _remove(path)
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """name with as many underscores after it as it takes to be no column's name, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
-    if _scopes and not keep:
-        _scopes[-1].append(path)
+    if _scopes.get() and not keep:
+        _scopes.get()[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
