@@ -42,15 +42,11 @@ def format_chats(turns: DataFrame) -> DataFrame:
     """
     one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.select("conv_id", one.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
-    blocks = "array<struct<role:string,texts:array<string>>>"
-
-    def merge(acc: Column, t: Column) -> Column:
-        last = F.element_at(acc, -1)
-        same = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["role"] == t["role"])
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts"))))
-        return F.when(same, grown).otherwise(F.concat(acc, F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))))
-
-    merged = F.aggregate("turns", F.array().cast(blocks), merge)
+    turn = lambda i: F.element_at("turns", i.cast("int"))
+    begins = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (i == 1) | (turn(i)["role"] != turn(F.greatest(i - 1, F.lit(1)))["role"]))
+    # A block's turns reach from its begin to the next block's.
+    ends = lambda k: F.coalesce(F.try_element_at("begins", (k + 2).cast("int")), F.size("turns") + 1)
+    merged = F.transform("begins", lambda b, k: F.struct(turn(b)["role"].alias("role"), F.slice(F.col("turns")["text"], b, ends(k) - b).alias("texts")))
     head = lambda b: F.concat(F.lit(OPEN), _put(escaped(b["role"]), "\n", "\\n"), F.lit("\n"))
     # Of each block: its string, and where its loss texts start within it.
     texts = F.transform("blocks", lambda b: F.struct(head(b).alias("head"), F.transform(b["texts"], escaped).alias("texts"), (b["role"] == "assistant").alias("loss")))
@@ -68,7 +64,8 @@ def format_chats(turns: DataFrame) -> DataFrame:
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
     return (
-        chats.select("conv_id", merged.alias("blocks"))
+        chats.select("conv_id", "turns", begins.alias("begins"))
+        .select("conv_id", merged.alias("blocks"))
         .select("conv_id", texts.alias("parts"))
         .select("conv_id", shown.alias("formatted"), F.aggregate("parts", zero, walk, lambda a: a["spans"]).alias("loss"))
     )
