@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import saved, table
 
 BLOCK = 8192  #: candidates in a block, about
 QUERIES = 4096  #: queries that meet a block in one task, about
@@ -78,15 +78,21 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = B
     A candidate with the query's own id takes no part, nor do null ids and null vectors;
     vectors meet vectors of their own length. Of rows that repeat an id the one with the
     smallest vector counts. Ties go to the smaller id. Fewer than k candidates: all of them.
-    Scores must stay below 2**53. Empty tables give an empty result.
+    Empty tables give an empty result. Components so large that a score might not fit a long
+    are an error; scores are exact up to there.
 
     Every query must meet every block, so the queries are sent to each block and the
     candidates once to each batch of queries: both kinds of group are bounded.
     """
     usable = lambda df: df.select("vec_id", "vector").dropna().groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries, candidates = usable(queries), usable(candidates)
-    n_blocks = max(1, -(-candidates.count() // block))
-    n_batches = max(1, -(-queries.count() // batch))
+    queries, candidates = saved(usable(queries), "queries"), saved(usable(candidates), "candidates")
+    largest = F.greatest(*[F.abs(f("vector").cast("double")) for f in (F.array_max, F.array_min)])
+    told = [F.count(F.lit(1)), F.coalesce(F.max(largest), F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))]
+    (n_queries, most_query, dims), (n_candidates, most_candidate, _) = queries.agg(*told).first(), candidates.agg(*told).first()
+    if most_query * most_candidate * dims >= 2.0**62:
+        raise ValueError("components are too large: a score might not fit a long")
+    n_blocks = max(1, -(-n_candidates // block))
+    n_batches = max(1, -(-n_queries // batch))
     deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dim = F.size("vector").alias("dim")
@@ -106,11 +112,18 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = B
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def op1_top_k_search(spark, sf_dir):
-    """Vectors that are null or hold null, NaN or infinite components take no part."""
-    rows = table(spark, sf_dir, "embeddings")
+def whole_vectors(rows: DataFrame) -> DataFrame:
+    """vec_id, embedding to vec_id, vector of floor(1024 * x).
+
+    Vectors that are null or hold null, NaN or infinite components take no part. A component
+    beyond the range of a long becomes its end, which top_k refuses.
+    """
     good = F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
-    vectors = rows.filter(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
+    return rows.filter(good).select("vec_id", F.transform("embedding", lambda x: F.floor(x.cast("double") * 1024)).alias("vector"))
+
+
+def op1_top_k_search(spark, sf_dir):
+    vectors = whole_vectors(table(spark, sf_dir, "embeddings"))
     return top_k(vectors.filter("vec_id % 100 = 0"), vectors, 10)
 
 
