@@ -22,7 +22,8 @@ BITS = 18  #: log2 of the feature table's rows
 def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of the words data[s:e] as one ragged array, and where each begins.
 
-    lexicon: sorted word hashes; lists: for each, a bit set of the lexicons that list it.
+    lexicon: sorted word hashes; lists: rows of a word's place there, ascending, and the number
+    of a lexicon that lists it.
     """
     n = e - s + 2
     start = np.r_[0, np.cumsum(n)]
@@ -48,11 +49,11 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon: np.ndarray
     owners.append(np.arange(len(s)))
     if len(lexicon):
         at = np.minimum(np.searchsorted(lexicon, own), len(lexicon) - 1)
-        bits = np.where(lexicon[at] == own, lists[at], 0)
-        for b in range(int(lists.max()).bit_length()):
-            has = np.flatnonzero(bits >> b & 1)
-            parts.append(np.full(len(has), b, np.uint64))
-            owners.append(has)
+        begin = np.searchsorted(lists[:, 0], np.arange(len(lexicon) + 1))
+        n = np.where(lexicon[at] == own, begin[at + 1] - begin[at], 0)
+        which = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+        parts.append(lists[which, 1].astype(np.uint64))
+        owners.append(np.repeat(np.arange(len(s)), n))
     feature, owner = np.concatenate(parts).astype(np.int64), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return feature[order], np.searchsorted(owner[order], np.arange(len(s) + 1))

@@ -9,6 +9,7 @@ language for some words and then may leave it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from .crf import CHAIN, CRF, chain_starts, train
 from .shared import table
 from .words import LOWER, byte_set, hashes, pieces, spans, text_bytes
 
+SAMPLE_BYTES = 48 << 20  #: of text in a labelled sample, at most
 SENT = 100_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 #: letters of ASCII, and every byte of longer characters
 LETTERS = byte_set(range(65, 91), range(97, 123), range(128, 256))
@@ -32,26 +34,52 @@ def _fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_texts(labelled: DataFrame, per_label: int) -> list:
-    """At most per_label texts of each label, those whose ids hash lowest.
+def within_bytes(chosen: DataFrame, label: str, most: int, most_bytes: int) -> list:
+    """(doc_id, label, text) of rows of chosen, sorted: at most `most` rows and most_bytes of text.
+
+    chosen: doc_id, text and the label, already few rows. Those whose ids hash lowest come
+    first; a row that would exceed the bytes is left out, and smaller ones after it may fit.
+    Sizes reach the driver before any text does.
+    """
+    sized = chosen.select(F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), F.xxhash64("doc_id").alias("h"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"))
+    left, few = most_bytes, []
+    for key, rows in groupby(sized.orderBy("h", "t").limit(most).collect(), key=lambda r: (r["h"], r["t"])):  # repeated rows together
+        size = sum(r["bytes"] for r in rows)
+        if size <= left:
+            left -= size
+            few.append(key)
+    told = chosen.sparkSession.createDataFrame(few, "h long, t long")
+    texts = chosen.withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64(F.coalesce("text", F.lit("")))}).join(F.broadcast(told), ["h", "t"])  # at most `most` rows
+    return sorted(((r["doc_id"], r[label], r["text"] or "") for r in texts.limit(most).toLocalIterator()), key=lambda r: (r[0], str(r[1]), r[2]))
+
+
+def sample_texts(labelled: DataFrame, per_label: int, most_bytes: int = SAMPLE_BYTES) -> list:
+    """At most per_label texts of each label, those whose ids hash lowest, and most_bytes in all.
 
     labelled: doc_id, text, label. This bounds what the driver holds; ranks are cut before
     the shuffle, so a frequent label doesn't reach one task whole.
     """
     first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.select("doc_id", "label").dropna().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= per_label).select("doc_id", "label")
-    ids = F.broadcast(ids) if ids.count() <= SENT else ids  # few labels: the texts stay where they are
+    few = ids.count()
+    ids = F.broadcast(ids) if few <= SENT else ids  # few labels: the texts stay where they are
     chosen = labelled.select("doc_id", "text").join(ids, "doc_id").select("doc_id", "text", "label")
-    return sorted(((r["doc_id"], r["label"], r["text"] or "") for r in chosen.toLocalIterator()), key=lambda r: (r[0], str(r[1]), r[2]))
+    return within_bytes(chosen, "label", max(1, few), most_bytes)
+
 
+def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most_words: int = 4000, seed: int = 11, most_bytes: int = SAMPLE_BYTES) -> CRF:
+    """Learn from labelled: doc_id, text, label, of which a bounded sample is taken.
 
-def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most_words: int = 4000, seed: int = 11) -> CRF:
-    """Learn from labelled: doc_id, text, label. Of a text in the sample at most most_words words train."""
-    rows = sample_texts(labelled, per_label)
+    The sample has at most per_label texts of each label and most_bytes of text. Of a text of
+    more than most_words words about so many train, in stretches drawn from the whole text;
+    lexicons count all its words. Rows without id or label take no part; null texts have no
+    words; repeated rows count again; ties in hash go by id. Nothing labelled: no labels.
+    """
+    rows = sample_texts(labelled, per_label, most_bytes)
     labels = sorted({r[1] for r in rows})
     rng = np.random.default_rng(seed)
     if not labels:
-        return CRF([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return CRF([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
     raw, off = text_bytes(pa.array([r[2] for r in rows], pa.large_string()))
     data = _fold(raw)
     s, e, owner = spans(data, off, LETTERS)
@@ -59,19 +87,26 @@ def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most
     label = np.array([labels.index(r[1]) for r in rows])[owner] if len(owner) else np.zeros(0, np.int64)
     distinct, at, word = np.unique(h, return_index=True, return_inverse=True)
     counts = np.stack([np.bincount(word[label == j], minlength=len(distinct)) for j in range(len(labels))])
-    listed = np.zeros(len(distinct), np.int64)
+    listed = [np.zeros((0, 2), np.int64)]
     for j, c in enumerate(counts):
         top = np.argsort(-c, kind="stable")[:lexicon_size]
-        listed[top[c[top] > 1]] |= 1 << j
-    keep = listed > 0
+        top = top[c[top] > 1]
+        listed.append(np.stack([top, np.full(len(top), j)], 1))
+    lists = np.concatenate(listed)
+    lists = lists[np.lexsort((lists[:, 1], lists[:, 0]))]
+    keep, lists[:, 0] = np.unique(lists[:, 0], return_inverse=True)
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     stretches = []
     for i, j in zip(first, np.r_[first[1:], len(owner)], strict=True):
-        at_, end = int(i), min(int(j), int(i) + most_words)
+        at_, end, own = int(i), int(j), []
         while at_ < end:
             n = int(rng.integers(6, 48))
-            stretches.append(np.arange(at_, min(end, at_ + n)))
+            own.append(np.arange(at_, min(end, at_ + n)))
             at_ += n
+        if end - int(i) > most_words:
+            drawn = rng.permutation(len(own))
+            own = [own[x] for x in drawn[: int(np.searchsorted(np.cumsum([len(own[x]) for x in drawn]), most_words)) + 1]]
+        stretches += own
     # Shuffled stretches follow one another within a chain, so it changes language at their ends.
     tokens, starts, used = [], [], CHAIN
     for i in rng.permutation(len(stretches)):
@@ -82,8 +117,8 @@ def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most
         used += len(stretches[i])
     flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
     if not len(flat):
-        return CRF(labels, np.zeros((1 << 18, len(labels)), np.float32), np.zeros((len(labels),) * 2), np.zeros(len(labels)), distinct[keep], listed[keep])
-    return train(labels, data, s[at], e[at], word[flat], label[flat], np.array(starts), distinct[keep], listed[keep], epochs=3)
+        return CRF(labels, np.zeros((1 << 18, len(labels)), np.float32), np.zeros((len(labels),) * 2), np.zeros(len(labels)), distinct[keep], lists)
+    return train(labels, data, s[at], e[at], word[flat], label[flat], np.array(starts), distinct[keep], lists, epochs=3)
 
 
 def text_scores(model: CRF, texts: pa.Array) -> np.ndarray:

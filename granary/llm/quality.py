@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .langid import held_out
+from .langid import SAMPLE_BYTES, held_out
 from .shared import table
 from .toxicity import logistic, sample_labelled
 from .words import _BASE, _CODE, _UNBASE, LOWER, NOT_BLANK, U, grams, hashes, mixed, pieces, powers, spans, text_bytes
@@ -110,9 +110,14 @@ def dual_descent(start: np.ndarray, f: np.ndarray, value: np.ndarray, y: np.ndar
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, smooth: float = 1.0) -> Model:
-    """docs: doc_id, text; labels: doc_id and label (0 or 1). Learns from at most `most` labelled rows."""
-    rows = sample_labelled(docs, labels, label, most)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 4000, smooth: float = 1.0, most_bytes: int = SAMPLE_BYTES) -> Model:
+    """docs: doc_id, text; labels: doc_id and label (0 or 1). Learns from a bounded sample of labelled rows.
+
+    The sample has at most `most` rows and most_bytes of text (see within_bytes). Without
+    labels of both kinds every text gets one score: 0.5, or near 0 or 1. Null texts are empty;
+    repeated rows count again; ties in hash go by id.
+    """
+    rows = sample_labelled(docs, labels, label, most, most_bytes)
     y = np.array([r[1] for r in rows], np.int64)
     size = 1 << BITS
     if not y.any() or y.all():

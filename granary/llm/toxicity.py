@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .crf import BITS, CRF, chain_starts, train
-from .langid import _fold, held_out
+from .langid import SAMPLE_BYTES, _fold, held_out, within_bytes
 from .shared import table
 from .words import byte_set, hashes, pieces, spans, text_bytes
 
@@ -50,14 +50,15 @@ def evidence(p: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.ones(n), np.log(top / (1 - top)), np.log1p(np.bincount(owner, np.where(p > 0.05, p, 0), n))], 1)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> list:
+def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, most: int, most_bytes: int = SAMPLE_BYTES) -> list:
     """At most so many labelled rows, those whose ids hash lowest: (doc_id, label, text).
 
-    labels: doc_id and the label's column. Only this sample reaches the driver.
+    labels: doc_id and the label's column. Only this sample reaches the driver. A doc_id with
+    several labels has the highest; labels that are null, and ids that are, take no part.
     """
     ids = labels.select("doc_id", F.col(label).alias("label")).dropna().groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")  # at most `most` ids
-    return sorted((r["doc_id"], int(r["label"]), r["text"] or "") for r in chosen.toLocalIterator())
+    chosen = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))  # at most `most` ids
+    return within_bytes(chosen, "label", most, most_bytes)
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -84,11 +85,17 @@ def suspicious(unit: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray
     return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 6))[back]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3) -> Model:
-    """docs: doc_id, text; labels: doc_id, toxic. Learns from a sample of at most `most` labelled rows."""
-    rows = sample_labelled(docs, labels, "toxic", most)
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, most_bytes: int = SAMPLE_BYTES, clean_chains: int = 2000) -> Model:
+    """docs: doc_id, text; labels: doc_id, toxic. Learns from a bounded sample of labelled rows.
+
+    The sample has at most `most` rows and most_bytes of text (see within_bytes). Of its chains
+    without a toxic word as many train as there are chains with one, clean_chains at least.
+    Without labels of both kinds, or without a suspicious word, every text gets one low score.
+    Null texts are empty; repeated rows count again; ties in hash go by id.
+    """
+    rows = sample_labelled(docs, labels, "toxic", most, most_bytes)
     y = np.array([r[1] for r in rows], np.int64)
-    blank = CRF(["clean", "toxic"], np.zeros((1 << BITS, 2), np.float32), np.zeros((2, 2)), np.array([0.0, -9.0]), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    blank = CRF(["clean", "toxic"], np.zeros((1 << BITS, 2), np.float32), np.zeros((2, 2)), np.array([0.0, -9.0]), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
     none = Model(blank, np.array([-3.0, 0.0, 0.0]))
     if not y.any() or y.all():
         return none
@@ -108,11 +115,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3) ->
     ends = np.r_[starts[1:], len(word)]
     hit = np.add.reduceat(tag, starts) > 0
     rng = np.random.default_rng(seed)
-    clean = rng.permutation(np.flatnonzero(~hit))[: max(2000, int(hit.sum()))]
+    clean = rng.permutation(np.flatnonzero(~hit))[: max(clean_chains, int(hit.sum()))]
     chosen = np.sort(np.r_[np.flatnonzero(hit), clean])
     flat = np.concatenate([np.arange(starts[i], ends[i]) for i in chosen])
     own = np.r_[0, np.cumsum(ends[chosen] - starts[chosen])[:-1]]
-    crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros(0, np.int64), epochs=6)
+    crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=6)
     p = crf.marginals(crf.emissions(data, s[at], e[at])[word], starts)[:, 1]
     return Model(crf, logistic(evidence(p, owner, len(rows)), y))
 

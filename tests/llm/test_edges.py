@@ -300,6 +300,37 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_vectors_with_holes_and_large_components(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [0.5, -0.25], "x"), (1, None, "x"), (2, [1.0, None], "x"), (3, [nan, 1.0], "x"), (4, [inf, 1.0], "x"), (5, [-0.0001, 3.0], "x"), (100, [1.0, 1.0], "x"), (None, [1.0, 2.0], "x"), (6, [1e6, -1e6], "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank string")
+    vectors = topk.whole_vectors(df)
+    assert {r.vec_id: r.vector for r in vectors.collect()} == {0: [512, -256], 5: [-1, 3072], 100: [1024, 1024], None: [1024, 2048], 6: [1024 * 10**6, -1024 * 10**6]}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(vectors.filter("vec_id % 100 = 0"), vectors, 2).collect()}
+    large = 512 * 1024 * 10**6 + 256 * 1024 * 10**6
+    assert got == {(0, 1): (6, large), (0, 2): (100, 512 * 1024 - 256 * 1024), (100, 1): (5, 1024 * 3071), (100, 2): (0, 1024 * 256)}
+    for huge in (1e30, 3e6 * 1024):
+        rows = spark.createDataFrame([(0, [huge, 1.0]), (1, [huge, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="too large"):
+            topk.top_k(topk.whole_vectors(rows), topk.whole_vectors(rows))
+    exact = spark.createDataFrame([(0, [2**30, 1]), (1, [2**30, 2]), (2, [2**30, 1])], "vec_id long, vector array<long>")
+    assert [(r.vec_id, r.score) for r in topk.top_k(exact.filter("vec_id = 0"), exact).collect()] == [(1, 2**60 + 2), (2, 2**60 + 1)]
+
+
+def test_mixing_again_and_with_clashing_columns(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}", 1, 2, 3, 4, 5) for i in range(30)], "doc_id long, text string, source string, copy int, _copies int, _rate int, _source int, Rate int")
+    once = mixing.mix(docs)
+    assert once.columns == ["doc_id", "text", "source", "_copies", "_rate", "_source", "Rate", "copy"]
+    assert {tuple(r)[3:7] for r in once.collect()} == {(2, 3, 4, 5)}
+    assert mixing.mix(once).columns == once.columns
+
+
+def test_chat_with_many_turns(spark):
+    said = [(1, i, ("user", "assistant")[i // 7 % 2], f"t{i}<") for i in range(3000)]
+    back = chat.read_chats(chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).first()
+    assert [tuple(t) for t in back.turns] == [x[2:] for x in said] and back.loss_text == "".join(x[3] for x in said if x[2] == "assistant")
+
+
 def test_learned_operators_take_anything(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(12)] + [(None, 1, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
     for model, score in ((quality.fit(docs, labels), quality.score), (quality.fit(empty, labels), quality.score), (quality.fit(docs, labels.limit(0)), quality.score), (toxicity.fit(docs, labels), toxicity.score), (toxicity.fit(empty, labels), toxicity.score)):
