@@ -1,7 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read by the next.
 
 A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents;
-the last adds the number of the copy.
+the last adds the number of the copy. Every stage takes an empty table, nulls in any column,
+repeated rows, ids that are null or stand for several texts, and more columns of any name,
+which come along. A row is told by its id and its text.
 """
 
 from __future__ import annotations
@@ -10,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, jaccard, langid, mixing, substrings
-from granary.llm.shared import saved, table
+from granary.llm.shared import free_name, saved, table
 
 SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 
@@ -20,24 +22,37 @@ def text_hash():
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go if they have no letter or no language that half of their words speak for."""
+    """Documents go if they have no letter or no language that half of their words speak for.
+
+    Null and empty texts have no letter. Repeated rows go or stay together. lang, which may be
+    null, is learned from and never judged by. Without any lang to learn from nothing stays.
+    """
     carry = [c for c in docs.columns if c != "doc_id"]
     found = langid.identify(docs, langid.fit_documents(docs), carry=[c for c in carry])
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(docs.columns)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays, nulls last, then that with the smallest text hash; rows that repeat a doc_id with an equal text are one."""
+    """Of each group of linked documents the one with the smallest doc_id stays, nulls last, then that with the smallest text hash.
+
+    Rows that repeat a doc_id with an equal text are one. Texts without words link with nothing
+    and stay.
+    """
     ids = docs.select("doc_id", text_hash().alias("t"))
     if ids.distinct().count() < ids.count():
-        docs = docs.withColumn("_t", text_hash()).dropDuplicates(["doc_id", "_t"]).drop("_t")
+        t = free_name("_t", docs)
+        docs = docs.withColumn(t, text_hash()).dropDuplicates(["doc_id", t]).drop(t)
     gone = jaccard.superfluous_documents(docs.select("doc_id", "text")).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash"))
     gone = F.broadcast(gone) if gone.count() <= SENT else gone
     return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == gone["_hash"]), "left_anti")
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages leave the texts; a document that loses all its words goes."""
+    """Repeated passages leave the texts; a document that loses all its words goes.
+
+    A changed text has its words joined by single spaces, and n_chars follows it; other texts
+    and all other columns stay as they are. Null and empty texts lose nothing and stay.
+    """
     carry = [c for c in docs.columns if c != "doc_id"]
     found = substrings.dedup_substrings(docs, carry=carry)
     left = found.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
@@ -49,7 +64,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null and empty texts hold none."""
     found = decontamination.contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = saved(found.filter("contaminated").select(F.col("doc_id").alias("_bad"), F.col("text_hash").alias("_hash")).distinct(), "bad")
     bad = F.broadcast(bad) if bad.count() <= SENT else bad
@@ -57,7 +72,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The copies that the mix takes."""
+    """The copies that the mix takes; a column copy of docs gives way to their number. See mixing.mix."""
     return mixing.mix(docs)
 
 
