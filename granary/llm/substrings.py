@@ -260,7 +260,7 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, k: int = K, hot: int = H
     kind = docs.schema["doc_id"].dataType.simpleString()
     more = "".join(f", `_{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     found = joined.select("d.doc_id", "d.text", "spans.lo", "spans.hi", *[F.col(f"d._{c}") for c in carry])
-    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string{more}").withColumnsRenamed({f"_{c}": c for c in carry})
+    return found.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept string{more}").select("doc_id", "n_words", "n_removed", "kept", *[F.col(f"_{c}").alias(c) for c in carry])
 
 
 def _split(text: str | None) -> list[str]:

@@ -58,6 +58,35 @@ def test_null_and_repeated_ids_lose_only_near_copies(spark):
     assert sum(not r[1] for r in got) == 1 and len(got) == len(sure) + 3
 
 
+def test_stages_take_nulls_repeats_clashing_columns_and_empty_tables(spark):
+    """Ids that are null, repeat with equal texts, or with others; columns with the names that stages use inside."""
+    r = __import__("random").Random(3)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    text = [" ".join(r.choice(words) for _ in range(60)) for _ in range(8)]
+    names = ["_t", "_gone", "_hash", "_bad", "text_hash", "letter", "_copies", "_rate", "_source", "rate", "copy", "node", "spans", "lo", "at", "words", "start", "t", "d", "h"]
+    ids = [1, 1, None, 2, 2, None, 4, 5]
+    rows = [(i, t, "en" if k % 3 else None, None if k % 4 == 0 else "s", None, *range(len(names))) for k, (i, t) in enumerate(zip(ids, text, strict=True))]
+    rows += [rows[0], rows[2], (7, None, None, None, None, *[None] * len(names)), (8, "", "en", "s", 0, *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)).repartition(3)
+    empty = docs.limit(0)
+    now = docs
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, DATA).count() == 0
+        made = stage(spark, now, DATA)
+        assert sorted(made.columns) == sorted(docs.columns), name
+        kept = made.select("doc_id", "text").collect()
+        if name == "language_id":
+            assert Counter(map(tuple, kept)) == Counter(x[:2] for x in rows if x[1])
+            now = docs.join(spark.createDataFrame([(7,), (8,)], "doc_id long"), "doc_id", "left_anti")
+            continue
+        if name == "jaccard_join":  # every text is of its own; the two repeated rows are one each
+            assert Counter(map(tuple, kept)) == Counter(x[:2] for x in rows[:8])
+            now = made
+        elif name != "mixing":
+            assert Counter(map(tuple, kept)) == Counter(x[:2] for x in rows[:8])
+        assert name == "mixing" or {tuple(x)[5:-1] for x in made.select("doc_id", "text", "lang", "source", "n_chars", *names).collect()} == {tuple(range(len(names) - 1))}
+
+
 def test_passages_leave(stages):
     rows, _ = stages
     want = []
