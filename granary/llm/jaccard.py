@@ -39,7 +39,7 @@ DENSE = 16  #: ids that share a token beyond which their parity signatures are h
 BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 DEPUTIES = 8  #: members of a star that stand for it before all of them do
-CONTRACTIONS = 2  #: times that each root is held against the nearest of another component
+CONTRACTIONS = 1  #: times that each root is held against the nearest of another component
 MEET = 4096  #: ids that share a token beyond which they are dealt to parts, which meet two by two
 SENT = 8 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
 
@@ -195,13 +195,13 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
     is, and a first with many pairs is dealt out with copies of it. A second of many pairs
     comes in several rows, so that no list grows with a group.
     """
-    parts = pairs.groupBy("a").agg((F.floor((F.count(F.lit(1)) - 1) / PAIRS_AT_ONCE) + 1).cast("int").alias("parts"))
-    seconds = pairs.join(parts, "a").select(F.col("b").alias("node"), F.struct(F.col("a").alias("key"), F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("place"), "strict").alias("to"))
-    firsts = parts.select(F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "a")
-    firsts = firsts.select("node", F.struct(F.col("a").alias("key"), "part", F.lit(0).alias("place"), F.lit(False).alias("strict")).alias("to"))
-    sent = seconds.unionByName(firsts)
-    lists = sent.groupBy("node").agg((F.floor((F.count(F.lit(1)) - 1) / PAIRS_AT_ONCE) + 1).alias("lists"))
-    sent = sent.join(lists, "node").groupBy("node", F.pmod(F.xxhash64("to"), "lists").alias("list")).agg(F.collect_list("to").alias("to"))
+    each = lambda key, by: (F.row_number().over(Window.partitionBy(key).orderBy(by)) - 1)
+    numbered = pairs.withColumn("r", each("a", "b")).withColumn("part", F.floor(F.col("r") / PAIRS_AT_ONCE).cast("int"))
+    to = lambda place, strict: F.struct(F.col("a").alias("key"), "part", F.lit(place).alias("place"), strict.alias("strict")).alias("to")
+    seconds = numbered.select(F.col("b").alias("node"), to(1, F.col("strict")))
+    firsts = numbered.filter(F.col("r") % PAIRS_AT_ONCE == 0).select(F.col("a").alias("node"), to(0, F.lit(False)))
+    sent = seconds.unionByName(firsts).withColumn("list", F.floor(each("node", "to") / PAIRS_AT_ONCE))
+    sent = sent.groupBy("node", "list").agg(F.collect_list("to").alias("to"))
     needed = saved(sent.join(nodes.select("node", "rep"), "node").select("node", "rep.doc_id", "rep.text_hash", "to"), "needed")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,14 +343,13 @@ def shared_tokens(placed: DataFrame, percent: int) -> DataFrame:
     return saved(rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, token long"), "met")
 
 
-def dense_pairs(met: DataFrame, info: DataFrame, limit: float, nearest: bool) -> DataFrame:
+def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool) -> DataFrame:
     """a, b, distance of stars of different components that share a token of many stars.
 
     info: id, n, radius, parity, label. A pair comes once for each token, unless the signatures
     show that its roots are farther apart than the threshold and their radii. nearest: of each
     star only the pair with the nearest other root, as far as signatures tell and the threshold
-    reaches. Tokens of more than MEET stars are dealt to parts of about so many; every two
-    parts meet in a task.
+    reaches. dense: see dealt_tokens.
     """
 
     def meet(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -383,27 +382,32 @@ def dense_pairs(met: DataFrame, info: DataFrame, limit: float, nearest: bool) ->
     def told(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance)], ["a", "b", "distance"])
 
+    rows = dense.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity")
+    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, distance double")
+
+
+def dealt_tokens(met: DataFrame) -> DataFrame:
+    """id, token, part, one_part: the stars of tokens of many; of more than MEET, by pairs of parts, which token then names."""
     dense = met.filter("b is null").select(F.col("a").alias("id"), "token")
-    parts = dense.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts"))
-    dealt = dense.join(parts, "token").withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    hot = saved(dense.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")).filter("parts > 1"), "hot")
+    hot = F.broadcast(hot) if 64 * hot.count() <= SENT else hot
+    dealt = dense.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A part meets every other part; within itself it meets where both are the same.
-    dealt = dealt.select("id", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "part", (F.col("part") == F.col("other")).alias("one_part"))
-    rows = dealt.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity")
-    return rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, distance double")
+    return saved(dealt.select("id", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "part", (F.col("part") == F.col("other")).alias("one_part")), "dense")
 
 
-def nearest_pairs(met: DataFrame, info: DataFrame, limit: float) -> DataFrame:
+def nearest_pairs(dense: DataFrame, info: DataFrame, limit: float) -> DataFrame:
     """a, b, strict: each star b with the star a of another component that is nearest to it."""
-    found = dense_pairs(met, info, limit, True).groupBy("b").agg(F.min(F.struct("distance", "a"))["a"].alias("a"))
+    found = dense_pairs(dense, info, limit, True).groupBy("b").agg(F.min(F.struct("distance", "a"))["a"].alias("a"))
     twice = found.select(F.col("b").alias("x"), F.col("a").alias("y"))  # of two that are each other's nearest one pair stays
     found = found.join(twice, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("a") > F.col("b")), "left_anti")
     return found.select("a", "b", F.lit(True).alias("strict"))
 
 
-def prefix_pairs(met: DataFrame, info: DataFrame, share: int, limit: float) -> DataFrame:
+def prefix_pairs(met: DataFrame, dense: DataFrame, info: DataFrame, share: int, limit: float) -> DataFrame:
     """Pairs a < b of stars of different components whose members share `share` prefix tokens, and the sum of their radii, slack."""
-    pairs = met.filter("b is not null").select("a", "b").unionByName(dense_pairs(met, info, limit, False).select("a", "b"))
+    pairs = met.filter("b is not null").select("a", "b").unionByName(dense_pairs(dense, info, limit, False).select("a", "b"))
     pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= share).select("a", "b")
     ia, ib = (info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]) for k in "ab")
     pairs = pairs.join(ia, F.col("a") == F.col("id_a")).join(ib, F.col("b") == F.col("id_b")).filter("label_a <> label_b")
@@ -418,31 +422,28 @@ def least_distance(a: str, b: str):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b. Returns node, label: the smallest node that it reaches.
+    """edges: a, b. Returns node, label: the smallest node that it reaches. Loops alone make no row.
 
-    Each round every node goes to the least of itself and its neighbours, in an order by hash
-    that is new in each round, and the edges go with it. The greatest node of a component is
-    no one's least, so the rounds end; a share of the nodes leaves in each, so their number
-    grows with the logarithm of the nodes, for paths too. Tables cut the lineage and shrink.
+    Large and small stars in turn: each node hands its greater neighbours, then its smaller
+    ones, to the least that it sees. Edges never grow in number, and end as stars around the
+    least nodes after rounds whose number grows with the logarithm of the nodes, for paths too.
+    Each round is written; rounds end when one changes nothing.
     """
-    edges = saved(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    moves: list[DataFrame] = []
-    while not edges.isEmpty():
-        placed = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), F.col(c)).alias("h"), F.col(c).alias("node"))  # noqa: B023, E731
-        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("e")).select("e.x", "e.y")
-        moved = saved(ends.groupBy("x").agg(F.min(placed("y")).alias("near")).select(F.col("x").alias("node"), F.least("near", placed("x"))["node"].alias("label")), "moved")
-        moves.append(moved)
-        ma, mb = (moved.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}")) for c in "ab")
-        gone = edges.join(ma, "a").join(mb, "b").filter("to_a <> to_b")
-        edges = saved(gone.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), "edges")
-    if not moves:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labels = moves.pop()
-    while moves:  # where each node went, from the last round back to the first
-        further = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        labels = saved(moves.pop().join(further, "label", "left").select("node", F.coalesce("further", "label").alias("label")), "labels")
-    smallest = labels.groupBy("label").agg(F.min("node").alias("smallest"))
-    return saved(labels.join(smallest, "label").select("node", F.col("smallest").alias("label")), "labels")
+    edges = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    state = lambda: edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
+    before = state()
+    while before[0]:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = F.least("a", F.min("b").over(Window.partitionBy("a")))
+        large = both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+        edges = saved(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct(), "edges")
+        now = state()
+        if now == before:
+            break
+        before = now
+    least = edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return saved(edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(least), "labels")
 
 
 def deputy_pairs(gray: DataFrame, placed: DataFrame) -> DataFrame:
@@ -458,13 +459,12 @@ def deputy_pairs(gray: DataFrame, placed: DataFrame) -> DataFrame:
     return one.unionByName(two).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(True).alias("strict")).distinct()
 
 
-def member_pairs(gray: DataFrame, edges: DataFrame, placed: DataFrame, percent: int, share: int, limit: float) -> DataFrame:
+def member_pairs(gray: DataFrame, label: DataFrame, placed: DataFrame, percent: int, share: int, limit: float) -> DataFrame:
     """Pairs of members of stars whose roots are too far apart to link and too close to tell.
 
     Stars that already are in one component need no further link. Members must share prefix
     tokens, and their distances to their roots must bridge the distance of the roots.
     """
-    label = components(edges)
     la, lb = label.select(F.col("node").alias("a"), F.col("label").alias("la")), label.select(F.col("node").alias("b"), F.col("label").alias("lb"))
     apart = gray.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b", "distance")
     apart = saved(apart, "apart")
@@ -531,26 +531,22 @@ def _similar(docs: DataFrame, n: int, percent: int) -> DataFrame:
     reach = placed.groupBy("root").agg(F.max("radius").alias("radius")).withColumnRenamed("root", "id")
     info = saved(placed.filter("node = root").select(F.col("node").alias("id"), "n", "parity").join(reach, "id"), "roots")
     met = shared_tokens(placed, percent)
-    edges = saved(linked.select("a", "b"), "linked")
-    labelled = lambda: info.join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-    told = saved(labelled(), "told")
+    dense = dealt_tokens(met)
+    label = components(linked.select("a", "b"))
+    grown = lambda more: components(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(more.filter(F.col("distance") <= limit).select("a", "b")))
+    labelled = lambda: info.join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
     for _ in range(CONTRACTIONS):
-        more = check(nearest_pairs(met, told, limit)).filter(F.col("distance") <= limit).select("a", "b")
-        if more.isEmpty():
-            break
-        edges = saved(edges.unionByName(more), "linked")
-        told = saved(labelled(), "told")
-    pairs = saved(prefix_pairs(met, told, share, limit), "pairs")
+        label = grown(check(nearest_pairs(dense, labelled(), limit)))
+    pairs = saved(prefix_pairs(met, dense, labelled(), share, limit), "pairs")
     between = check(pairs.select("a", "b", (F.col("slack") == 0).alias("strict")))
-    edges = edges.unionByName(between.filter(F.col("distance") <= limit).select("a", "b"))
+    label = grown(between)
     gray = between.filter(F.col("distance") > limit).join(pairs, ["a", "b"]).filter(F.col("distance") <= limit + F.col("slack"))
     gray = saved(gray.select("a", "b", "distance"), "gray")
     if not gray.isEmpty():
-        edges = saved(edges.unionByName(check(deputy_pairs(gray, placed)).filter(F.col("distance") <= limit).select("a", "b")), "linked")
-        edges = edges.unionByName(check(member_pairs(gray, edges, placed, percent, share, limit).withColumn("strict", F.lit(True))).filter(F.col("distance") <= limit).select("a", "b"))
+        label = grown(check(deputy_pairs(gray, placed)))
+        label = grown(check(member_pairs(gray, label, placed, percent, share, limit).withColumn("strict", F.lit(True))))
 
     # Components, and the smallest document of each.
-    label = components(edges)
     named = nodes.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("first"))
     of_node = named.select("node", "label").join(smallest, "label").select("node", "first")
