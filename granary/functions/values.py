@@ -83,16 +83,46 @@ def column_letters(n: Column) -> Column:
     return F.concat(F.when(c >= 0, letter(c)).otherwise(""), F.when(b >= 0, letter(b)).otherwise(""), letter(a))
 
 
-def redact(c: Column) -> Column:
-    """Long digit runs and dates masked; other text by its hash and length."""
+def redact(c: Column, categories: Column | None = None) -> Column:
+    """STRUCT<kind, shown> of a text: categories as they are, digits by their number, dates as they are, other text by length and hash.
+
+    categories: an array of texts that may be shown.
+    """
+    # The kinds and their forms.
+    text = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    digits = F.length(F.regexp_replace(text, r"(?U)\D", ""))
+    kind = F.when(text.rlike("[\u4e00-\u9fff]"), "cn_text").when(text.rlike("[A-Za-z]"), "latin_text").otherwise("text")
+    known = F.lit(False) if categories is None else F.coalesce(F.array_contains(categories, text), F.lit(False))
+    told = lambda k, shown: F.struct(F.lit(k).alias("kind") if isinstance(k, str) else k.alias("kind"), shown.cast("string").alias("shown"))
+    masked = F.concat(F.lit("<"), F.upper(kind), F.lit(":"), F.length(text), F.lit(":"), F.substring(F.sha2(text, 256), 1, 8), F.lit(">"))
     return (
-        F.when(c.isNull(), F.lit(None))
-        .when(c.rlike(r"^\d{4}[-/.年]\d{1,2}[-/.月]\d{1,2}日?$"), "<date>")
-        .when(c.rlike(r"\d{6,}"), F.regexp_replace(c, r"\d{6,}", "<digits>"))
-        .otherwise(F.concat(F.lit("sha256:"), F.substring(F.sha2(c, 256), 1, 12), F.lit("/"), F.length(c).cast("string")))
+        F.when(c.isNull() | (text == ""), told("empty", F.lit(None)))
+        .when(known, told("category", text))
+        .when(digits >= 7, told("identifier_like", F.concat(F.lit("<DIGITS:"), digits, F.lit(">"))))
+        .when(text.rlike(r"^\d{4}[-/.年]\d{1,2}([-/.月]\d{1,2}日?)?$"), told("date_like", text))
+        .otherwise(told(kind, masked))
     )
 
 
+# Printed labels, prompts and clauses of forms that nobody filled in.
+FORM_LABELS = ["姓名", "村", "联系电话", "联系电话:", "联系电话：", "责任追究"]
+FORM_MARKERS = ["签名", "本人承诺", "事由填写"]
+FORM_SUFFIX = "姓名"
+FORM_CLAUSE = r"^[（(]?([一二三四五六七八九十]+|\d+)[）).、]"
+FORM_PERIOD = "起止时间"
+
+
+def unfilled(c: Column) -> Column:
+    """Whether a text is a form's own: blank, a label, a prompt or a clause. Null is not."""
+    text = F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    prompt = F.lit(False)
+    for marker in FORM_MARKERS:
+        prompt |= F.contains(text, F.lit(marker))
+    period = F.contains(text, F.lit(FORM_PERIOD)) & F.contains(text, F.lit("月")) & F.contains(text, F.lit("日")) & ~text.rlike(r"\d")
+    found = (text == "") | text.isin(FORM_LABELS) | ((F.length(text) <= 12) & F.endswith(text, F.lit(FORM_SUFFIX))) | text.rlike(FORM_CLAUSE) | prompt | period
+    return F.coalesce(found, F.lit(False))
+
+
 def file_key(c: Column) -> Column:
     """A file's name without folder, suffix, white space and case."""
     return F.lower(F.regexp_replace(F.regexp_replace(F.regexp_extract(c, r"([^/\\]+)$", 1), r"\.[A-Za-z0-9]{1,5}$", ""), r"(?U)\s+", ""))

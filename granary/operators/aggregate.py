@@ -22,9 +22,13 @@ def count_records(df: DataFrame) -> DataFrame:
     return df.agg(F.countDistinct("record_id").alias("value"))
 
 
+def evidence_columns() -> list[Column]:
+    return [F.countDistinct("record_id").alias("record_count"), F.countDistinct("item_id").alias("source_file_count"), F.countDistinct("unit_id").alias("unit_count")]
+
+
 def evidence(df: DataFrame) -> DataFrame:
     """Records, source items and units behind an answer."""
-    return df.agg(F.countDistinct("record_id").alias("record_count"), F.countDistinct("item_id").alias("source_file_count"), F.countDistinct("unit_id").alias("unit_count"))
+    return df.agg(*evidence_columns())
 
 
 def aggregate(how: str, c: Column, distinct: bool = True) -> Column:
@@ -46,7 +50,7 @@ def group_counts(df: DataFrame, facts: FactSet, code: str, requested: Sequence |
     known = F.col("value").isNotNull() & (F.lit(True) if wanted is None else F.col("value").cast("string").isin(wanted))
     check = counted.agg(F.coalesce(F.sum(F.when(~known, F.col("record_count"))), F.lit(0)).alias("outside")).first()
     if check["outside"]:
-        raise CoverageError("group result failed coverage acceptance")
+        raise CoverageError(f"groups leave out {check['outside']} records")
     if wanted is None:
         return counted.orderBy(F.col("value").cast("string"))
     spark = df.sparkSession

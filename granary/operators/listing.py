@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.values import basis_points
+
 
 def with_count(left: DataFrame, right: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """left with the number of right's rows of its keys, 0 if none."""
@@ -20,7 +22,7 @@ def page(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> Dat
 
 
 def status_rollup(df: DataFrame, key: str, status: str, statuses: Sequence[str]) -> DataFrame:
-    """Counts per status, and a derived status: failed if any failed, else done if all passed, else running."""
+    """Rows per key, in all and per status."""
     counts = [F.count(F.when(F.col(status) == s, 1)).alias(f"n_{s}") for s in statuses]
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *counts)
 
@@ -83,3 +85,72 @@ def merge_by_key(stored: DataFrame, incoming: DataFrame, key: str, values: Seque
     what = F.when(F.col(f"a.{key}").isNull(), "inserted").when(F.col(f"b.{key}").isNull(), "extra").when(same, "unchanged").otherwise("updated")
     take = [F.when(what == "extra", F.col(f"a.{v}")).otherwise(F.col(f"b.{v}")).alias(v) for v in values]
     return a.join(b, F.col(f"a.{key}") == F.col(f"b.{key}"), "full").select(F.coalesce(f"a.{key}", f"b.{key}").alias(key), *take, what.alias("outcome"))
+
+
+def page_with_total(df: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:
+    """A page, each row with the number of all rows as total."""
+    return page(df, order, offset, limit).crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # one row, sent to all tasks
+
+
+def layout_clusters(files: DataFrame) -> DataFrame:
+    """files: file_id, fingerprint, headers. Files of one layout: their number, members, and the headers that all and that any of them have."""
+    grouped = files.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("file_id")).alias("members"), F.collect_set(F.array_distinct("headers")).alias("sets"))
+    common = F.aggregate(F.slice("sets", 2, F.greatest(F.size("sets") - 1, F.lit(0))), F.element_at("sets", 1), lambda a, x: F.array_intersect(a, x))
+    return grouped.select("fingerprint", "n", "members", F.array_sort(common).alias("common"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("all"))
+
+
+def without(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose keys other doesn't hold; rows with a null key stay."""
+    return df.join(other, list(keys), "left_anti")
+
+
+def coverage_points(df: DataFrame, group: Sequence[str], covered: Column) -> DataFrame:
+    """The share of covered rows in each group, in basis points."""
+    counted = df.groupBy(*group).agg(F.count(F.when(covered, 1)).alias("_part"), F.count(F.lit(1)).alias("_whole"))
+    return counted.select(*group, basis_points(F.col("_part"), F.col("_whole")).alias("points"))
+
+
+def suffixed_roles(mappings: DataFrame) -> DataFrame:
+    """mappings: region_id, code, place, role, base_role, preferred. Roles that are unique for each region and code.
+
+    Of those without a role one stays the canonical: the first preferred, else the first by
+    place. A role that is taken, and the others' base_role (else `duplicate`), get _2, _3, ...
+    in order of place. Adds review: whether the role was changed.
+    """
+    key = ["region_id", "code"]
+    blank = F.coalesce("role", F.lit("")) == ""
+    first = Window.partitionBy(*key, blank).orderBy((~F.coalesce("preferred", F.lit(False))).cast("int"), "place")
+    again = Window.partitionBy(*key, "role").orderBy("place")
+    marked = mappings.withColumn("canonical", blank & (F.row_number().over(first) == 1)).withColumn("own", ~blank & (F.row_number().over(again) == 1))
+    base = F.when(F.col("canonical"), "").when(F.col("own"), F.col("role")).otherwise(F.coalesce(F.nullif(F.col("base_role"), F.lit("")), F.lit("duplicate")))
+    based = marked.withColumn("base", base)
+    # Roles that were there come first, so a suffix begins after them.
+    turn = F.row_number().over(Window.partitionBy(*key, "base").orderBy((~F.col("own")).cast("int"), "place"))
+    return based.select(*key, "place", F.when(turn == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), turn)).alias("role"), (~F.col("canonical") & ~F.col("own")).alias("review"))
+
+
+def children(df: DataFrame, parent: Sequence[str], child: str, count: str = "n") -> DataFrame:
+    """Each parent with its number of rows and its children in order: name and rows."""
+    leaves = df.groupBy(*parent, child).agg(F.count(F.lit(1)).alias("_n"))
+    return leaves.groupBy(*parent).agg(F.sum("_n").alias(count), F.array_sort(F.collect_list(F.struct(F.col(child).alias("name"), F.col("_n").alias("n")))).alias("children"))
+
+
+def source_summary(records: DataFrame, identity: Column) -> DataFrame:
+    """What a source's bootstrap is held against: records, source rows, first and last row, provenances, identities there and distinct, per item."""
+    passed = records.filter("quality_status = 'passed'").withColumn("_id", identity)
+    return passed.groupBy("item_id").agg(
+        F.countDistinct("record_id").alias("records"), F.countDistinct("source_row").alias("source_rows"), F.min("source_row").alias("first_row"), F.max("source_row").alias("last_row"),
+        F.countDistinct(F.struct("template_id", "template_version")).alias("provenances"), F.count("_id").alias("identities"), F.countDistinct("_id").alias("distinct_identities"),
+    )
+
+
+def bootstrap_problems(summary: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected: item_id, records, first_row, last_row. item_id and the first problem, NULL if the source is as expected."""
+    both = summary.alias("s").join(expected.alias("e"), "item_id", "full")
+    n = F.col("e.records")
+    problem = (
+        F.when(F.col("s.records").isNull(), "no_records").when(n.isNull(), "not_expected")
+        .when((F.col("s.records") != n) | (F.col("source_rows") != n) | (F.col("s.first_row") != F.col("e.first_row")) | (F.col("s.last_row") != F.col("e.last_row")), "other_rows")
+        .when(F.col("provenances") != 1, "provenance_not_unique").when((F.col("identities") != n) | (F.col("distinct_identities") != n), "identity_not_unique")
+    )
+    return both.select("item_id", problem.alias("problem"))

@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import SPARK_TYPES, parse
-from ..plans.contracts import OPS, FactSet, Filter, QueryError, Scope
+from ..plans.contracts import OPS, FactSet, Filter, QueryError, Scope, name
+
+
+def visible(df: DataFrame, scope: Scope) -> DataFrame:
+    """The rows of a table with record columns that a scope shows."""
+    df = df.filter(scope.predicate())
+    return df if scope.frozen is None else df.join(scope.frozen, "item_id", "left_semi")
 
 
 def scoped(facts: FactSet, scope: Scope) -> DataFrame:
-    return facts.df.filter(scope.predicate())
+    """The fact set's records that a scope shows; tenant, type and provenance prune a store's partitions."""
+    return visible(facts.df.filter(facts.predicate()), scope)
 
 
 def operand(facts: FactSet, code: str, value) -> Column:
@@ -66,10 +73,17 @@ def projected(df: DataFrame, facts: FactSet, codes: Sequence[str]) -> DataFrame:
     return df.select("record_id", "item_id", *[facts.value(c).alias(c.rpartition(".")[2]) for c in codes])
 
 
-def long_values(facts: FactSet, df: DataFrame) -> DataFrame:
-    """The value rows of a wide fact set: record_id, field_code, data_type and a column for each type."""
+def long_values(facts: FactSet, df: DataFrame, codes: Iterable[str] | None = None, more: Sequence[str] = ()) -> DataFrame:
+    """The value rows of a wide fact set: record_id, field_code, field_version, role, data_type and a column for each type.
+
+    codes: only these fields are unrolled; more: further columns of df that come along.
+    """
     rows = []
-    for code, kind in facts.types.items():
-        typed = [(facts.value(code) if k == kind else F.lit(None)).cast(t).alias(f"{k}_value") for k, t in SPARK_TYPES.items()]
-        rows.append(F.struct(F.lit(code).alias("field_code"), F.lit(kind).alias("data_type"), facts.present(code).alias("present"), *typed))
-    return df.select("record_id", "item_id", "unit_id", F.inline(F.array(*rows))).filter("present").drop("present")
+    for code in facts.types if codes is None else codes:
+        kind = facts.types[code]
+        for role in ("", *facts.roles.get(code, ())):
+            cell = F.col(f"`{name(code, role)}`")
+            typed = [(cell["v"] if k == kind else F.lit(None)).cast(t).alias(f"{k}_value") for k, t in SPARK_TYPES.items()]
+            known = [F.lit(code).alias("field_code"), F.lit(facts.field_versions.get(code, 1)).alias("field_version"), F.lit(role).alias("role"), F.lit(kind).alias("data_type")]
+            rows.append(F.struct(*known, F.coalesce(cell["present"], F.lit(False)).alias("present"), *typed))
+    return df.select("record_id", "item_id", "unit_id", *more, F.inline(F.array(*rows))).filter("present").drop("present")

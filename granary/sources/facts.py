@@ -20,9 +20,12 @@ def decimal(c: Column) -> Column:
     return c.cast("string").cast("decimal(38,10)")
 
 
-def wide(df: DataFrame, code: str, key: Column, fields: dict[str, tuple[str, Column]], unit: Column, item: Column, created: Column, quality: Column | None = None, absent: dict[str, Column] | None = None, **contract) -> FactSet:
-    """fields: last part of the code to (type, value). absent: where a field isn't there at all."""
-    absent = absent or {}
+def wide(df: DataFrame, code: str, key: Column, fields: dict[str, tuple[str, Column]], unit: Column, item: Column, created: Column, quality: Column | None = None, absent: dict[str, Column] | None = None, row: Column | None = None, roles: dict[tuple[str, str], Column] | None = None, **contract) -> FactSet:
+    """fields: last part of the code to (type, value). absent: where a field isn't there at all.
+
+    row: the source row. roles: (last part, role) to the field's value in that role, absent where null.
+    """
+    absent, roles = absent or {}, roles or {}
     columns = [
         F.struct((~absent[k] if k in absent else F.lit(True)).alias("present"), (F.when(~absent[k], c) if k in absent else c).cast(SPARK_TYPES[kind]).alias("v")).alias(name(f"{code}.{k}"))
         for k, (kind, c) in fields.items()
@@ -36,9 +39,19 @@ def wide(df: DataFrame, code: str, key: Column, fields: dict[str, tuple[str, Col
         F.lit(f"approved_plan:{code}").alias("provenance"),
         created.cast("timestamp").alias("created_at"),
         (F.lit("passed") if quality is None else quality).alias("quality_status"),
+        F.lit(None).cast("string").alias("region_template_id"),
+        F.lit(None).cast("int").alias("region_template_version"),
+        F.lit(f"template:{code}").alias("template_id"),
+        F.lit(1).alias("template_version"),
+        F.lit(f"plan:{code}").alias("approved_plan_id"),
+        F.lit("sheet1").alias("sheet_id"),
+        F.lit("region1").alias("region_id"),
+        (F.lit(None) if row is None else row).cast("int").alias("source_row"),
         *columns,
+        *[F.struct(c.isNotNull().alias("present"), c.cast(SPARK_TYPES[fields[k][0]]).alias("v")).alias(name(f"{code}.{k}", role)) for (k, role), c in roles.items()],
     )
-    return FactSet(code, record, {f"{code}.{k}": kind for k, (kind, _) in fields.items()}, **contract)
+    named = {f"{code}.{k}": tuple(r for (x, r) in roles if x == k) for k, _ in roles}
+    return FactSet(code, record, {f"{code}.{k}": kind for k, (kind, _) in fields.items()}, roles=named, **contract)
 
 
 def file_of(code: str, key: Column, files: int = 4) -> Column:
@@ -107,7 +120,8 @@ def customer(spark: SparkSession, sf_dir: str) -> FactSet:
 def part(spark: SparkSession, sf_dir: str) -> FactSet:
     fields = {"key": ("integer", F.col("p_partkey")), "name": ("text", F.col("p_name")), "brand": ("text", F.col("p_brand")), "size": ("integer", F.col("p_size")), "price": ("decimal", decimal(F.col("p_retailprice")))}
     return wide(
-        table(spark, sf_dir, "part"), "part", F.col("p_partkey"), fields, F.lit(0), file_of("part", F.col("p_partkey")), F.lit("2024-01-01"),
+        table(spark, sf_dir, "part"), "part", F.col("p_partkey"), fields, F.lit(0), file_of("part", F.col("p_partkey")), F.lit("2024-01-01"), row=F.col("p_partkey"),
+        units=spark.createDataFrame([("0", "everywhere")], "unit_id string, name string"),
         identity=("part.key",), dimensions=("part.brand", "part.size", "part.name"), measures={"part.size": Measure(("sum", "avg", "min", "max"))},
     )
 
