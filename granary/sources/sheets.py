@@ -13,6 +13,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -128,8 +129,44 @@ def place(reference: str) -> tuple[int, int]:
     return int(digits), n
 
 
+#: The numbers of built-in formats that show dates or times, and the letters that do in others.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+DATE_LETTERS = re.compile("[ymdhs]", re.I)
+
+
+def date_styles(styles: bytes | None) -> set[str]:
+    """The cell styles whose number format shows a date or a time."""
+    if styles is None:
+        return set()
+    root = ElementTree.fromstring(styles)
+    tag = lambda e: e.tag.rpartition("}")[2]
+    bare = lambda code: re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?![hms]+\])[^\]]*\]', "", code, flags=re.I)  # noqa: E731  without texts, escapes, colours and locales
+    own = {int(e.get("numFmtId")): e.get("formatCode", "") for e in root.iter() if tag(e) == "numFmt"}
+    formats = [int(x.get("numFmtId", 0)) for e in root.iter() if tag(e) == "cellXfs" for x in e]
+    return {str(i) for i, f in enumerate(formats) if (DATE_LETTERS.search(bare(own[f])) if f in own else f in DATE_FORMATS)}
+
+
+def date_text(serial: str, from_1904: bool) -> str:
+    """A serial number as an ISO date, a time below one day, or both; anything else as it is."""
+    try:
+        days = float(serial)
+    except ValueError:
+        return serial
+    if not 0 <= days < 2_958_466:
+        return serial
+    moment = timedelta(seconds=round(days * 86_400))
+    if days < 1 and not from_1904:
+        return f"{datetime.min + moment:%H:%M:%S}"
+    if from_1904:
+        start = datetime(1904, 1, 1)
+    else:  # the other calendar counts a 29 February 1900, day 60
+        start = datetime(1899, 12, 31) if days < 60 else datetime(1899, 12, 30)
+    found = start + moment
+    return found.date().isoformat() if moment.seconds == 0 else found.isoformat()
+
+
 def xlsx_cells(data: bytes) -> Iterator[tuple]:
-    """Values as the file shows them, formulas beside their stored results, never evaluated."""
+    """Values as the file shows them, dates and truth values too, formulas beside their stored results, never evaluated."""
     book = zipfile.ZipFile(io.BytesIO(data))
     tag = lambda e: e.tag.rpartition("}")[2]
     names = {n.replace("\\", "/").lower(): n for n in book.namelist()}
@@ -138,7 +175,10 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
     for path in (n for k, n in names.items() if k.endswith("sharedstrings.xml")):  # wherever it has been put
         shared = ["".join(t.text or "" for t in item.iter() if tag(t) == "t") for item in ElementTree.fromstring(book.read(path)) if tag(item) == "si"]
     relations = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-    sheets = [e for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if tag(e) == "sheet"]
+    parts_of_book = list(ElementTree.fromstring(book.read("xl/workbook.xml")).iter())
+    sheets = [e for e in parts_of_book if tag(e) == "sheet"]
+    from_1904 = any(e.get("date1904") in ("1", "true") for e in parts_of_book if tag(e) == "workbookPr")
+    dates = date_styles(book.read(names["xl/styles.xml"]) if "xl/styles.xml" in names else None)
     for i, sheet in enumerate(sheets):
         target = relations[next(v for k, v in sheet.attrib.items() if k.endswith("}id"))].lstrip("/")
         path = names[(target if target.startswith("xl/") else f"xl/{target}").lower()]
@@ -160,6 +200,10 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
                     raw = shared[int(raw)] if int(raw) < len(shared) else None
                 elif e.get("t") == "inlineStr":
                     raw = "".join(t.text or "" for t in e.iter() if tag(t) == "t")
+                elif e.get("t") == "b" and raw is not None:
+                    raw = "true" if raw == "1" else "false"
+                elif e.get("t", "n") == "n" and raw is not None and e.get("s") in dates:
+                    raw = date_text(raw, from_1904)
                 formula = "=" + (parts["f"].text or "") if "f" in parts else None
                 if raw not in (None, "") or formula:
                     r, c = place(e.get("r"))
@@ -202,7 +246,7 @@ def read_cells(files: DataFrame) -> DataFrame:
 
 
 def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Cells of all files below a folder; a content that several files have is read once, under the first path."""
+    """Cells of all files below a folder whose names fit the pattern, as *.{xlsx,csv}; a content that several files have is read once, under the first path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     first = files.select("path", F.sha2("content", 256).alias("sha")).groupBy("sha").agg(F.min("path").alias("path")).select("path")
     return read_cells(files.join(first, "path", "left_semi"))
