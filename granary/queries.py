@@ -1,4 +1,4 @@
-"""The registered queries over the driver's tables, and the SQL each is held against."""
+"""Queries by plans and by single operators."""
 
 from __future__ import annotations
 
@@ -10,14 +10,13 @@ from .operators import maintenance as M
 from .operators.aggregate import evidence
 from .operators.select import condition, filtered, long_values, projected, scoped
 from .plans.answers import Catalog, Safe, catalog, metric, safe
-from .plans.contracts import Filter, Scope
+from .plans.contracts import ORIGIN, RECORD, Filter, Scope
 from .plans.guarded_sql import run as guarded
 from .plans.lookup import household, source_fields, source_rows
+from .plans.scoping import discovered
+from .registry import query
 from .sources import facts as S
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
 # The wide orders fact set in SQL.
 ORDERS = """orders_f AS (
   SELECT o.*, COALESCE(c.c_nationkey, 0) AS unit, 'orders:' || o_orderkey AS record_id, 'orders#' || (o_orderkey % 4) AS item_id,
@@ -27,16 +26,6 @@ ORDERS = """orders_f AS (
 PRICE = "CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(38,10))"
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLES[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 def real(df, *columns):
     """Decimals as doubles of six places, the same in any engine."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in columns})
@@ -191,10 +180,10 @@ for label, scope, where in (
 @query(f"""WITH {ORDERS} SELECT 'orders' AS record_type, 'approved_plan:orders' AS provenance, COUNT(DISTINCT record_id) AS record_count, COUNT(DISTINCT item_id) AS source_file_count, COUNT(DISTINCT unit) AS unit_count FROM orders_f
 UNION ALL SELECT 'part', 'approved_plan:part', COUNT(*), COUNT(DISTINCT p_partkey % 4), 1 FROM part""")
 def catalog_discovery(spark, d):
-    from .plans.contracts import RECORD
-
-    both = scoped(S.orders(spark, d), S.ALL).select(RECORD).unionByName(scoped(S.part(spark, d), S.ALL).select(RECORD))
-    return both.groupBy("record_type", "provenance").agg(F.countDistinct("record_id").alias("record_count"), F.countDistinct("item_id").alias("source_file_count"), F.countDistinct("unit_id").alias("unit_count"))
+    columns = [*RECORD, *ORIGIN]
+    both = S.orders(spark, d).df.select(columns).unionByName(S.part(spark, d).df.select(columns))
+    found = discovered(both, S.ALL).withColumn("provenance", F.concat(F.lit("approved_plan:"), F.regexp_replace("approved_plan_id", "^plan:", "")))
+    return found.select("record_type", "provenance", "record_count", "source_file_count", "unit_count")
 
 
 @query(f"""WITH {ORDERS} SELECT field_code, COUNT(*) AS n, COUNT(v) AS n_values FROM (
@@ -227,17 +216,20 @@ def _raw_parts(spark, d):
     cell = lambda value, *path: F.struct(F.array(*map(F.lit, path)).alias("header_path"), value.cast("string").alias("value"))
     words = F.split("p_name", "[ #]", 2)
     columns = F.create_map(F.lit("c1"), cell(words[0], "Part", "Name 1"), F.lit("c2"), cell(F.coalesce(F.get(words, F.lit(1)), F.lit("")), "Part", "Name 2"), F.lit("c3"), cell(F.col("p_brand"), "Maker", "Brand"), F.lit("c4"), cell(F.col("p_size"), "Size"))
-    return p.select("p_partkey", S.file_of("part", F.col("p_partkey")).alias("item_id"), F.lit("sheet1").alias("sheet_id"), columns.alias("columns"))
+    return p.select(
+        "p_partkey", F.concat(F.lit("part:"), "p_partkey").alias("record_id"), S.file_of("part", F.col("p_partkey")).alias("item_id"), F.lit("sheet1").alias("sheet_id"), columns.alias("columns"),
+        F.lit(S.TENANT).alias("tenant_id"), F.lit("0").alias("unit_id"), F.lit("passed").alias("quality_status"), F.lit("2024-01-01").cast("timestamp").alias("created_at"),
+    )
 
 
 @query("SELECT 'part#' || k AS item_id, 'sheet1' AS sheet_id, 'Maker / Brand|Part / Name 1|Part / Name 2|Size' AS headers FROM (SELECT DISTINCT p_partkey % 4 AS k FROM part)")
 def source_fields_part(spark, d):
-    return source_fields(_raw_parts(spark, d)).withColumn("headers", F.array_join("headers", "|"))
+    return source_fields(_raw_parts(spark, d), S.ALL).withColumn("headers", F.array_join("headers", "|"))
 
 
 @query("SELECT p_partkey, item_id, 1::INT AS n_shown FROM (SELECT p_partkey, 'part#' || (p_partkey % 4) AS item_id FROM part WHERE p_brand = 'Brand#13' AND contains(lower(regexp_replace(p_name, '[ #]', '')), 'a'))")
 def source_rows_part(spark, d):
-    found = source_rows(_raw_parts(spark, d), ["size"], [("brand", "eq", "brand#13"), ("part / name", "contains", "A")])
+    found = source_rows(_raw_parts(spark, d), S.ALL, ["size"], [("brand", "eq", "brand#13"), ("part / name", "contains", "A")])
     return found.select("p_partkey", "item_id", F.size("shown").alias("n_shown"))
 
 
@@ -317,7 +309,7 @@ def cluster_orders(spark, d):
 @query("SELECT s_nationkey AS n_nationkey, COUNT(*) AS n FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY 1")
 def anti_join_supplier(spark, d):
     out = S.table(spark, d, "nation").filter("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"))
-    return S.table(spark, d, "supplier").join(out, "s_nationkey", "left_anti").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
+    return L.without(S.table(spark, d, "supplier"), out, ["s_nationkey"]).groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT p_partkey, p_size, CASE WHEN k IS NULL THEN 'inserted' WHEN p_partkey IS NULL THEN 'extra' WHEN p_size = sz THEN 'unchanged' ELSE 'updated' END AS outcome FROM (SELECT COALESCE(n.p_partkey, k) AS p_partkey, CASE WHEN n.p_partkey IS NULL THEN sz ELSE n.p_size END AS p_size, k, sz, n.p_partkey AS nk FROM (SELECT p_partkey, p_size FROM part WHERE p_partkey % 3 <> 0) n FULL JOIN (SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS sz FROM part WHERE p_partkey % 7 <> 0) s ON n.p_partkey = k) WHERE nk IS NOT NULL UNION ALL SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END, 'extra' FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 7 <> 0")
@@ -334,8 +326,7 @@ def search_any_column_customer(spark, d):
 
 @query("SELECT l_returnflag, CAST(round_even(10000.0 * COUNT(*) FILTER (l_linestatus = 'F') / COUNT(*), 0) AS BIGINT) AS points FROM lineitem GROUP BY 1")
 def coverage_points_lineitem(spark, d):
-    g = S.table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count(F.when(F.col("l_linestatus") == "F", 1)).alias("part"), F.count(F.lit(1)).alias("whole"))
-    return g.select("l_returnflag", V.basis_points(F.col("part"), F.col("whole")).alias("points"))
+    return L.coverage_points(S.table(spark, d, "lineitem"), ["l_returnflag"], F.col("l_linestatus") == "F")
 
 
 @query("SELECT region AS unit_id FROM (SELECT 'r' || r_regionkey AS region FROM region WHERE r_regionkey = 2 UNION SELECT 'n' || n_nationkey FROM nation WHERE n_regionkey = 2)")

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from granary import queries as engine
+from granary import registry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -26,10 +26,10 @@ def plain(columns, rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(engine.QUERIES))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_equals_its_sql(spark, db, name):
-    got = engine.QUERIES[name](spark, DATA)
-    want = db.execute(engine.ORACLES[name])
+    got = registry.QUERIES[name](spark, DATA)
+    want = db.execute(registry.ORACLES[name])
     columns = [d[0] for d in want.description]
     assert sorted(got.columns) == sorted(columns)
     assert plain(got.columns, [tuple(r) for r in got.collect()]) == plain(columns, want.fetchall())
