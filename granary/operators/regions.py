@@ -11,8 +11,10 @@ from .listing import best
 
 REGIONS = "workbook_id string, sheet int, region int, top int, left int, bottom int, right int, n_cells int, density double"
 #: The weights of a header candidate's confidence.
-WEIGHTS = {"base": 0.2, "coverage": 0.25, "uniqueness": 0.35, "text": 0.18, "contrast": 0.14, "plain": -0.35, "depth": -0.03}
+WEIGHTS = {"base": 0.2, "coverage": 0.25, "uniqueness": 0.35, "text": 0.18, "hierarchy": 0.18, "contrast": 0.14, "style": 0.16, "plain": -0.35, "depth": -0.03, "added": -0.3}
 DEEPEST, FIRST_ROWS, LEAST = 3, 8, 0.7
+NEAR, DOMINANT = 0.05, 0.6  #: how close a richer header's confidence must be, and the largest share of one label above the leaves
+LARGEST_MERGE = 10_000  #: cells; larger merges are ignored
 
 
 def blocks(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -68,35 +70,79 @@ def without_formulas_only(regions: DataFrame, cells: DataFrame) -> DataFrame:
     return regions.join(own, [*key, "region"], "left_semi")
 
 
+def with_merged(cells: DataFrame, merges: DataFrame) -> DataFrame:
+    """cells, and a cell with the anchor's value at each other place of a merge that has none; merged tells them apart.
+
+    merges: workbook_id, sheet, top, left, bottom, right.
+    """
+    key = ["workbook_id", "sheet"]
+    area = (F.col("bottom") - F.col("top") + 1) * (F.col("right") - F.col("left") + 1)
+    anchor = cells.select(*key, F.col("row").alias("top"), F.col("col").alias("left"), F.struct("value", *[c for c in ("style", "hidden", "error", "formula") if c in cells.columns]).alias("anchor"))
+    places = merges.filter(area <= LARGEST_MERGE).join(anchor, [*key, "top", "left"])
+    places = places.withColumn("row", F.explode(F.sequence("top", "bottom"))).withColumn("col", F.explode(F.sequence("left", "right")))
+    places = places.join(cells.select(*key, "row", "col"), [*key, "row", "col"], "left_anti")
+    own = [c for c in cells.columns if c not in (*key, "row", "col")]
+    known = set(places.schema["anchor"].dataType.names)
+    more = places.select(*key, "row", "col", *[(F.col(f"anchor.{c}") if c in known else F.lit(None).cast(cells.schema[c].dataType)).alias(c) for c in own], F.lit(True).alias("merged"))
+    return cells.withColumn("merged", F.lit(False)).unionByName(more.dropDuplicates([*key, "row", "col"]))
+
+
 def header_candidates(cells: DataFrame, regions: DataFrame) -> DataFrame:
     """For each region, the rows start ... start + depth - 1 as its header, with a confidence.
 
-    A column's label is its lowest text in those rows. Labels that cover the columns, differ
-    and are words speak for a header, and so do numbers in the row below.
+    A column's path is its texts in those rows, repeats left out, and its label the last of
+    them. Labels that cover the columns, differ and are words speak for a header, and so do
+    paths of several levels, numbers in the row below and another style than the rows below
+    have; a last row in the body's style speaks against it. cells: see with_merged for merges;
+    style may be missing.
     """
     key = ["workbook_id", "sheet", "region"]
     inside = (F.col("row") >= F.col("top")) & (F.col("row") <= F.col("bottom")) & (F.col("col") >= F.col("left")) & (F.col("col") <= F.col("right"))
-    body = regions.filter("bottom > top").join(cells.select("workbook_id", "sheet", "row", "col", "value"), ["workbook_id", "sheet"]).filter(inside).filter("row <= top + 11")
+    style = F.col("style") if "style" in cells.columns else F.lit(None).cast("string")
+    merged = F.col("merged") if "merged" in cells.columns else F.lit(False)
+    read = cells.select("workbook_id", "sheet", "row", "col", "value", style.alias("style"), merged.alias("merged"))
+    body = regions.filter("bottom > top").join(read, ["workbook_id", "sheet"]).filter(inside).filter("row <= top + 13")
     starts = F.sequence(F.col("top"), F.least(F.col("bottom") - 1, F.col("top") + FIRST_ROWS - 1))
     tries = body.withColumn("start", F.explode(starts)).withColumn("depth", F.explode(F.sequence(F.lit(1), F.lit(DEEPEST)))).filter("start + depth <= bottom")
     at = [*key, "start", "depth"]
-    label = tries.filter("row >= start and row < start + depth").groupBy(*at, "left", "right", "col").agg(F.max_by(F.trim("value"), "row").alias("label"), F.array_join(F.array_sort(F.collect_list(F.struct("row", F.trim("value").alias("v"))))["v"], " / ").alias("path"))
+    said = F.array_sort(F.collect_list(F.when(F.trim("value") != "", F.struct("row", F.trim("value").alias("v")))))["v"]
+    label = tries.filter("row >= start and row < start + depth").groupBy(*at, "left", "right", "col").agg(said.alias("said"))
+    parts = F.aggregate("said", F.array().cast("array<string>"), lambda acc, v: F.when(F.try_element_at(acc, F.lit(-1)).eqNullSafe(v), acc).otherwise(F.concat(acc, F.array(v))))
+    label = label.withColumn("parts", parts).filter(F.size("parts") > 0).withColumns({"label": F.element_at("parts", -1), "above": F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), "path": F.array_join("parts", " / ")})
     n = F.count(F.lit(1))
+    levels = F.when(F.col("depth") > 1, F.sum(F.size("above")) / n / F.greatest(F.col("depth") - 1, F.lit(1))).otherwise(0.0)
     labels = label.groupBy(*at, "left", "right").agg(
         (n / (F.col("right") - F.col("left") + 1)).alias("coverage"),
         (F.countDistinct("label") / n).alias("uniqueness"),
         (F.count(F.when(F.col("label").rlike(r"\p{L}"), 1)) / n).alias("text"),
-        F.array_sort(F.collect_list(F.struct("col", "path"))).alias("columns"),
-    )
+        levels.alias("hierarchy"), n.alias("n_labels"), F.flatten(F.collect_list("above")).alias("above"),
+        F.array_sort(F.collect_list(F.struct("col", "path"))).alias("columns"), F.array_sort(F.collect_list(F.struct("col", "label"))).alias("leaves"), F.sum(F.size("parts")).alias("richness"),
+    )
+    most = F.coalesce(F.array_max(F.transform(F.array_distinct("above"), lambda x: F.size(F.filter("above", lambda y: y == x)))), F.lit(0))
+    labels = labels.withColumn("dominance", most / F.col("n_labels"))
     number = F.regexp_replace("value", ",", "").try_cast("double").isNotNull()
-    below = tries.filter("row = start + depth").groupBy(*at).agg((F.count(F.when(number, 1)) / n).alias("contrast"))
-    joined = labels.join(below, at, "left").na.fill(0.0, ["contrast"])
+    below = tries.filter("row = start + depth and not merged").groupBy(*at).agg((F.count(F.when(number, 1)) / n).alias("contrast"))
+    styled = tries.filter("style is not null and not merged and trim(value) <> ''").select(*at, "row", "col", "style")
+    last, under = styled.filter("row = start + depth - 1").alias("h"), styled.filter("row >= start + depth and row <= start + depth + 2").alias("b")
+    same = last.join(under, [*at, "col"]).groupBy(*at).agg(F.avg((F.col("h.style") == F.col("b.style")).cast("double")).alias("alike"))
+    joined = labels.join(below, at, "left").join(same, at, "left").na.fill(0.0, ["contrast"])
     w = WEIGHTS
     score = w["base"] + F.col("coverage") * w["coverage"] + F.col("uniqueness") * w["uniqueness"] + F.col("text") * w["text"] + F.col("contrast") * w["contrast"]
-    score += (1 - F.col("text")) * (1 - F.col("contrast")) * w["plain"] + (F.col("depth") - 1) * w["depth"]
-    return joined.select(*at, "columns", F.greatest(F.lit(0.05), F.least(F.lit(0.98), score)).alias("confidence"))
+    score += F.col("hierarchy") * (1 - F.least(F.lit(1.0), F.col("dominance"))) * w["hierarchy"] + F.coalesce(1 - F.col("alike"), F.lit(0.0)) * w["style"]
+    score += (1 - F.col("text")) * (1 - F.col("contrast")) * w["plain"] + (F.col("depth") - 1) * w["depth"] + F.when(F.col("depth") > 1, F.coalesce("alike", F.lit(0.0))).otherwise(0.0) * w["added"]
+    return joined.select(*at, "columns", "leaves", "richness", "dominance", F.greatest(F.lit(0.05), F.least(F.lit(0.98), score)).alias("confidence"))
 
 
 def best_headers(candidates: DataFrame) -> DataFrame:
-    """Of each region the header of the highest confidence, from LEAST on; ties to the first row, then to fewer rows."""
-    return best(candidates.filter(F.col("confidence") >= LEAST), ["workbook_id", "sheet", "region"], [F.round("confidence", 9).desc(), F.col("start"), F.col("depth")])
+    """Of each region the header of the highest confidence, from LEAST on; ties to the first row, then to fewer rows.
+
+    One with the same leaves whose confidence is at most NEAR less, and none of whose upper labels
+    stands above more than DOMINANT of its columns, is taken instead if its paths hold more labels.
+    """
+    key = ["workbook_id", "sheet", "region"]
+    able = candidates.filter(F.col("confidence") >= LEAST)
+    top = best(able, key, [F.round("confidence", 9).desc(), F.col("start"), F.col("depth")])
+    led = able.join(top.select(*key, F.struct("start", "depth", "leaves", "confidence").alias("top")), key)
+    is_top = (F.col("start") == F.col("top.start")) & (F.col("depth") == F.col("top.depth"))
+    richer = (F.col("confidence") >= F.col("top.confidence") - NEAR) & (F.col("leaves") == F.col("top.leaves")) & (F.col("dominance") <= DOMINANT)
+    return best(led.filter(is_top | richer), key, [F.col("richness").desc(), F.round("confidence", 9).desc(), F.col("start"), F.col("depth")]).drop("top")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from granary.operators.materialize import audit, materialize, without_items
-from granary.operators.regions import best_headers, find_regions, header_candidates, without_formulas_only
+from granary.operators.regions import best_headers, find_regions, header_candidates, with_merged, without_formulas_only
 from granary.sources.sheets import cells_of, read_folder
 from granary.streaming.ingest import ingest
 
@@ -72,6 +72,24 @@ def test_regions_and_headers(spark, tmp_path):
     assert [(h.region, h.start, h.depth) for h in head] == [(0, 1, 1)] and [c.path for c in head[0]["columns"]] == ["姓名", "人数"]
 
 
+def test_merged_headers_of_two_rows(spark):
+    """A merged first row gives its text to all its columns; the paths of both rows are the header."""
+    rows = [(1, 1, "人员信息", "1"), (1, 3, "联系", "1"), (2, 1, "姓名", "1"), (2, 2, "年龄", "1"), (2, 3, "电话", "1"), (3, 1, "张三", "0"), (3, 2, "30", "0"), (3, 3, "1", "0"), (4, 1, "李四", "0"), (4, 2, "40", "0"), (4, 3, "2", "0")]
+    cells = spark.createDataFrame([("w", 0, *x, None, None) for x in rows], "workbook_id string, sheet int, row int, col int, value string, style string, formula string, error string")
+    merges = spark.createDataFrame([("w", 0, 1, 1, 1, 2), ("w", 0, 10, 1, 20_000, 2)], "workbook_id string, sheet int, top int, left int, bottom int, right int")
+    full = with_merged(cells, merges)
+    assert sorted((r.row, r.col, r.value) for r in full.filter("merged").collect()) == [(1, 2, "人员信息")]
+    regions = find_regions(full)
+    assert [(r.top, r.left, r.bottom, r.right) for r in regions.collect()] == [(1, 1, 4, 3)]
+    head = best_headers(header_candidates(full, regions)).first()
+    assert (head.start, head.depth) == (1, 2) and [c.path for c in head["columns"]] == ["人员信息 / 姓名", "人员信息 / 年龄", "联系 / 电话"]
+    # A body in the header's style speaks against its last row.
+    plain = full.withColumn("style", F.lit("0"))
+    score = {(r.start, r.depth): r.confidence for r in header_candidates(plain, regions).collect()}
+    styled = {(r.start, r.depth): r.confidence for r in header_candidates(full, regions).collect()}
+    assert score[(1, 2)] < styled[(1, 2)] and score[(2, 1)] <= styled[(2, 1)]
+
+
 def test_sparse_column_and_formula_region(spark):
     rows = [("w", 0, r, c, f"v{r}{c}", None) for r in range(1, 6) for c in (1, 2)] + [("w", 0, 3, 4, "far", "=A1")]
     rows += [("w", 1, r, c, "v", None) for r in range(1, 6) for c in (1, 2, 3) if not (c == 3 and r in (2, 4))] + [("w", 1, 3, 2, "v", None)]
