@@ -353,3 +353,102 @@ def accepted_results_events(spark, d):
     e = S.table(spark, d, "events")
     runs = e.select(F.col("event_id").alias("run_id"), F.lit("success").alias("status"), F.when(F.col("event_type").isin("error", "view"), 0).otherwise(1).alias("n_rows"), F.lit("fact").alias("grade"), F.get_json_object("props", "$.k").cast("int").alias("k"))
     return G.accepted_results(runs).select(F.col("run_id").alias("event_id"), "k", "reason")
+
+
+# Operators that no plan reaches.
+
+
+@query(r"SELECT page_id, lower(regexp_replace(regexp_replace(regexp_extract(url, '([^/\\]+)$', 1), '\.[A-Za-z0-9]{1,5}$', ''), '\s+', '', 'g')) AS file_key FROM pages")
+def file_key_pages(spark, d):
+    return S.table(spark, d, "pages").select("page_id", V.file_key(F.col("url")).alias("file_key"))
+
+
+@query(r"SELECT substr(sha256(k), 1, 16) AS case_id, MIN(text) AS question, COUNT(DISTINCT (role, turn)) AS n_places FROM (SELECT text, role, turn, regexp_replace(text, '\s+', '', 'g') AS k FROM conversations) WHERE k <> '' GROUP BY k")
+def distinct_questions_conversations(spark, d):
+    from .operators.matching import distinct_questions
+
+    rows = S.table(spark, d, "conversations").select(F.col("text").alias("question"), F.col("role").alias("sheet"), F.col("turn").alias("row")).distinct()
+    return distinct_questions(rows).select("case_id", "question", F.size("occurrences").cast("long").alias("n_places"))
+
+
+@query("""SELECT sha, MAX_BY(value, event_id) AS value FROM (SELECT event_id, user_id::VARCHAR AS sha, '{"sha":"' || user_id || '","n":' || event_id || '}' AS value FROM events WHERE event_id % 7 <> 0) GROUP BY 1""")
+def last_lines_events(spark, d):
+    """Every seventh line was cut off while it was written."""
+    from .operators.maintenance import last_lines
+
+    whole = F.concat(F.lit('{"sha":"'), "user_id", F.lit('","n":'), "event_id", F.lit("}"))
+    lines = S.table(spark, d, "events").select(F.col("event_id").alias("line"), F.when(F.col("event_id") % 7 == 0, F.lit('{"sha":"x')).otherwise(whole).alias("value"))
+    return last_lines(lines)
+
+
+@query("SELECT p_partkey AS code, CASE WHEN p_partkey % 3 <> 0 THEN p_size END AS published_version FROM part")
+def restore_published_part(spark, d):
+    from .operators.maintenance import restore_published
+
+    p = S.table(spark, d, "part").select(F.col("p_partkey").alias("code"), (F.col("p_size") + 1).alias("published_version"))
+    return restore_published(p, p.filter("code % 3 <> 0").withColumn("published_version", F.col("published_version") - 1))
+
+
+@query("SELECT user_id, CASE WHEN len(k) = 1 THEN k[1] WHEN list_has(k, 'text') OR list_has(k, 'date') THEN 'text' ELSE 'decimal' END AS kind FROM (SELECT user_id, list_distinct(list(CASE event_type WHEN 'view' THEN 'integer' WHEN 'click' THEN 'decimal' WHEN 'error' THEN 'text' ELSE 'date' END)) AS k FROM events GROUP BY 1)")
+def observed_type_events(spark, d):
+    from .operators.fields import observed_type
+
+    kind = F.when(F.col("event_type") == "view", "integer").when(F.col("event_type") == "click", "decimal").when(F.col("event_type") == "error", "text").otherwise("date")
+    return S.table(spark, d, "events").groupBy("user_id").agg(observed_type(F.collect_set(kind)).alias("kind"))
+
+
+@query("SELECT * FROM nation")
+def bundle_round_trip_nation(spark, d):
+    from .operators.maintenance import export_bundle, import_bundle
+
+    path = store.work_dir(spark)
+    export_bundle({"nation": S.table(spark, d, "nation"), "region": S.table(spark, d, "region")}, path)
+    return import_bundle(spark, path)["nation"]
+
+
+@query("SELECT p_partkey, lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')) AS label, CASE WHEN p_size <= 26 THEN chr(64 + p_size) ELSE 'A' || chr(38 + p_size) END AS letters FROM part")
+def label_keys_part(spark, d):
+    from .functions.headers import label_key
+
+    return S.table(spark, d, "part").select("p_partkey", label_key(F.col("p_name")).alias("label"), V.column_letters(F.col("p_size")).alias("letters"))
+
+
+@query("""WITH w AS (SELECT c_custkey AS k, c_nationkey AS u, lead(c_custkey) OVER (ORDER BY c_custkey) AS n, lead(c_nationkey) OVER (ORDER BY c_custkey) AS nu FROM customer)
+SELECT k AS old_id, k + 1 AS new_id, CASE WHEN n IS NULL THEN 'unknown_item' WHEN u = 3 OR nu = 3 THEN 'outside_scope' WHEN u <> nu THEN 'other_unit' WHEN k % 5 = 0 OR (k + 1) % 5 = 0 THEN 'no_passed_records' WHEN k % 6 = 0 THEN 'already_declared' END AS problem FROM w""")
+def supersession_problems_customer(spark, d):
+    from .plans.lifecycle import supersession_problems
+
+    c = S.table(spark, d, "customer")
+    items = c.select(F.col("c_custkey").alias("item_id"), F.col("c_nationkey").cast("string").alias("unit_id"), F.timestamp_seconds(F.col("c_custkey")).alias("created_at"))
+    records = c.select(F.col("c_custkey").alias("item_id"), F.when(F.col("c_custkey") % 5 == 0, "failed").otherwise("passed").alias("quality_status"))
+    pairs = c.select(F.col("c_custkey").alias("old_id"), (F.col("c_custkey") + 1).alias("new_id"))
+    return supersession_problems(items, records, pairs.filter("old_id % 6 = 0"), pairs, [str(i) for i in range(25) if i != 3])
+
+
+def _brand_sheets(spark, d):
+    """A sheet for each brand: a header, its parts, and beside them a column of formulas only."""
+    from pyspark.sql import Window
+
+    p = S.table(spark, d, "part").withColumn("row", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) + 1)
+    cell = lambda col, value, formula: F.struct(F.lit(col).alias("col"), value.cast("string").alias("value"), formula.alias("formula"))
+    no = F.lit(None).cast("string")
+    body = p.select("p_brand", "row", F.inline(F.array(cell(1, F.col("p_name"), no), cell(2, F.col("p_size"), no), cell(4, F.col("p_size") * 2, F.concat(F.lit("=B"), "row", F.lit("*2"))))))
+    head = p.select("p_brand").distinct().select("p_brand", F.lit(1).alias("row"), F.inline(F.array(cell(1, F.lit("Name"), no), cell(2, F.lit("Size"), no))))
+    return body.unionByName(head).select(F.col("p_brand").alias("workbook_id"), F.lit(0).alias("sheet"), "row", "col", "value", "formula", no.alias("error"))
+
+
+@query('SELECT p_brand AS workbook_id, 1 AS top, 1 AS "left", (COUNT(*) + 1)::INT AS bottom, 2 AS "right", (2 * COUNT(*) + 2)::INT AS n_cells FROM part GROUP BY 1')
+def regions_of_brands(spark, d):
+    from .operators.regions import find_regions, without_formulas_only
+
+    cells = _brand_sheets(spark, d)
+    return without_formulas_only(find_regions(cells), cells).select("workbook_id", "top", "left", "bottom", "right", "n_cells")
+
+
+@query("SELECT DISTINCT p_brand AS workbook_id, 1 AS start, 1 AS depth, 'Name|Size' AS paths FROM part")
+def headers_of_brands(spark, d):
+    from .operators.regions import best_headers, find_regions, header_candidates, without_formulas_only
+
+    cells = _brand_sheets(spark, d)
+    found = best_headers(header_candidates(cells, without_formulas_only(find_regions(cells), cells)))
+    return found.select("workbook_id", "start", "depth", F.array_join(F.transform("columns", lambda c: c["path"]), "|").alias("paths"))
