@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, scratch, table
@@ -40,6 +40,7 @@ BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 DEPUTIES = 8  #: members of a star that stand for it before all of them do
 CONTRACTIONS = 1  #: times that each root is held against the nearest of another component
+BEFORE = 8  #: earlier tokens by which a pair is known to have met already
 MEET = 4096  #: ids that share a token beyond which they are dealt to parts, which meet two by two
 SENT = 8 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
 
@@ -346,8 +347,10 @@ def shared_tokens(placed: DataFrame, percent: int) -> DataFrame:
 def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool) -> DataFrame:
     """a, b, distance of stars of different components that share a token of many stars.
 
-    info: id, n, radius, parity, label. A pair comes once for each token, unless the signatures
-    show that its roots are farther apart than the threshold and their radii. nearest: of each
+    info: id, n, radius, parity, label. A pair comes at the first token that the two share, and
+    again only where more than BEFORE of their other tokens lie between two that they share; not
+    at all if the signatures show that its roots are farther apart than the threshold and
+    their radii. nearest: of each
     star only the pair with the nearest other root, as far as signatures tell and the threshold
     reaches. dense: see dealt_tokens.
     """
@@ -358,6 +361,12 @@ def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool)
         order = np.lexsort((n, token))
         token, own, n, radius, label, part, parity = (c[order] for c in (token, own, n, radius, label, part, parity))
         one_part = t.column("one_part").to_numpy()[order]
+        lists = t.column("before").combine_chunks()
+        start = lists.offsets.to_numpy().astype(np.int64)
+        held, flat = np.diff(start), lists.flatten().to_numpy()
+        before, known = np.zeros((len(token), BEFORE), np.int64), np.arange(BEFORE) < held[:, None]
+        before[known] = flat
+        before, known = before[order], known[order]
         reach = np.zeros(len(n)) if nearest else radius
         more = 0.0 if nearest else limit
         best, to = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
@@ -370,7 +379,8 @@ def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool)
             ok = distance <= limit + reach[x] + reach[y]
             x, y, distance = x[ok], y[ok], distance[ok]
             if not nearest:
-                yield told(own[x], own[y], distance)
+                again = ((before[x][:, :, None] == before[y][:, None, :]) & known[x][:, :, None] & known[y][:, None, :]).any(axis=(1, 2))
+                yield told(own[x[~again]], own[y[~again]], distance[~again])
                 continue
             for u, v in ((x, y), (y, x)):
                 nearer = distance < best[u]
@@ -382,33 +392,36 @@ def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool)
     def told(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance)], ["a", "b", "distance"])
 
-    rows = dense.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity")
+    rows = dense.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity", "before")
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, distance double")
 
 
 def dealt_tokens(met: DataFrame) -> DataFrame:
-    """id, token, part, one_part: the stars of tokens of many; of more than MEET, by pairs of parts, which token then names."""
+    """id, token, part, one_part, before: the stars of tokens of many; of more than MEET, by pairs of parts, which token then names.
+
+    before: the BEFORE tokens of many that the star has before this one.
+    """
     dense = met.filter("b is null").select(F.col("a").alias("id"), "token")
+    dense = dense.withColumn("before", F.collect_list("token").over(Window.partitionBy("id").orderBy("token").rowsBetween(-BEFORE, -1)))
     hot = saved(dense.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / MEET).cast("int").alias("parts")).filter("parts > 1"), "hot")
     hot = F.broadcast(hot) if 64 * hot.count() <= SENT else hot
     dealt = dense.join(hot, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # A part meets every other part; within itself it meets where both are the same.
-    return saved(dealt.select("id", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "part", (F.col("part") == F.col("other")).alias("one_part")), "dense")
+    return saved(dealt.select("id", F.xxhash64("token", F.least("part", "other"), F.greatest("part", "other")).alias("token"), "part", (F.col("part") == F.col("other")).alias("one_part"), "before"), "dense")
 
 
 def nearest_pairs(dense: DataFrame, info: DataFrame, limit: float) -> DataFrame:
-    """a, b, strict: each star b with the star a of another component that is nearest to it."""
+    """a, b, strict: each star with the star of another component that is nearest to it."""
     found = dense_pairs(dense, info, limit, True).groupBy("b").agg(F.min(F.struct("distance", "a"))["a"].alias("a"))
-    twice = found.select(F.col("b").alias("x"), F.col("a").alias("y"))  # of two that are each other's nearest one pair stays
-    found = found.join(twice, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")) & (F.col("a") > F.col("b")), "left_anti")
-    return found.select("a", "b", F.lit(True).alias("strict"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("strict")).distinct()
 
 
 def prefix_pairs(met: DataFrame, dense: DataFrame, info: DataFrame, share: int, limit: float) -> DataFrame:
-    """Pairs a < b of stars of different components whose members share `share` prefix tokens, and the sum of their radii, slack."""
-    pairs = met.filter("b is not null").select("a", "b").unionByName(dense_pairs(dense, info, limit, False).select("a", "b"))
-    pairs = pairs.groupBy("a", "b").count().filter(F.col("count") >= share).select("a", "b")
+    """Pairs a < b of stars of different components whose members share `share` prefix tokens, or one of many stars, and the sum of their radii, slack."""
+    few = met.filter("b is not null").select("a", "b", F.lit(1).alias("shared"))
+    many = dense_pairs(dense, info, limit, False).select("a", "b", F.lit(share).alias("shared"))
+    pairs = few.unionByName(many).groupBy("a", "b").agg(F.sum("shared").alias("shared")).filter(F.col("shared") >= share).select("a", "b")
     ia, ib = (info.select(*[F.col(c).alias(f"{c}_{k}") for c in info.columns]) for k in "ab")
     pairs = pairs.join(ia, F.col("a") == F.col("id_a")).join(ib, F.col("b") == F.col("id_b")).filter("label_a <> label_b")
     return pairs.filter(least_distance("a", "b") <= limit + F.col("radius_a") + F.col("radius_b")).select("a", "b", (F.col("radius_a") + F.col("radius_b")).alias("slack"))
@@ -430,15 +443,17 @@ def components(edges: DataFrame) -> DataFrame:
     Each round is written; rounds end when one changes nothing.
     """
     edges = saved(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = lambda: edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(20,0)"))).first()
-    before = state()
-    while before[0]:
+    told = [F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)")).alias("s")]
+    before = edges.agg(*told).first().asDict()
+    while before["n"]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = F.least("a", F.min("b").over(Window.partitionBy("a")))
         large = both.select("a", "b", least.alias("m")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = large.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
-        edges = saved(small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct(), "edges")
-        now = state()
+        now = Observation()  # of the write; a task that ran twice could at most cost one more round
+        after = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")).distinct()
+        edges = saved(after.observe(now, *told), "edges")
+        now = now.get
         if now == before:
             break
         before = now

@@ -161,6 +161,7 @@ def test_jaccard_on_families_of_near_copies(spark, monkeypatch, seed, percent, d
         monkeypatch.setattr(jaccard, "PAIRS_AT_ONCE", 5)
         monkeypatch.setattr(jaccard, "DEPUTIES", 1)
         monkeypatch.setattr(jaccard, "MEET", 5)
+        monkeypatch.setattr(jaccard, "BEFORE", seed - 1)
         monkeypatch.setattr(jaccard, "SENT", 0)
         monkeypatch.setattr(jaccard, "CONTRACTIONS", seed - 2)
     r = random.Random(seed)
