@@ -16,6 +16,7 @@ import numpy as np
 from .words import U, hashes, mixed
 
 CHAIN = 128
+AT_ONCE = 2048  #: chains whose marginals are computed together
 BITS = 18  #: log2 of the feature table's rows
 
 
@@ -74,9 +75,17 @@ class CRF:
         f, start = features(data, s, e, self.lexicon, self.lists)
         return np.add.reduceat(self.weights[f], start[:-1], axis=0) / np.sqrt(np.diff(start))[:, None].astype(np.float32)
 
-    def marginals(self, em: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Marginals of each word; starts: where chains begin, ascending, from 0."""
-        return forward_backward(em, starts, self.trans, self.first)[0]
+    def marginals(self, em: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Marginals of each token. em: of the distinct words; word: of each token, its word; starts: where chains begin, ascending, from 0.
+
+        Some thousand chains at once, so that what is held beside the result stays small.
+        """
+        out = [np.zeros((0, len(self.labels)))]
+        ends = np.r_[starts[1:], len(word)]
+        for i in range(0, len(starts), AT_ONCE):
+            own = starts[i : i + AT_ONCE]
+            out.append(forward_backward(em[word[own[0] : ends[min(i + AT_ONCE, len(starts)) - 1]]], own - own[0], self.trans, self.first)[0])
+        return np.concatenate(out)
 
 
 def chain_starts(owner: np.ndarray) -> np.ndarray:

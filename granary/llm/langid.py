@@ -129,7 +129,7 @@ def text_scores(model: CRF, texts: pa.Array) -> np.ndarray:
     out = np.zeros((len(texts), len(model.labels)))
     if len(s) and model.labels:
         _, at, back = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-        m = model.marginals(model.emissions(data, s[at], e[at])[back], chain_starts(owner))
+        m = model.marginals(model.emissions(data, s[at], e[at]), back, chain_starts(owner))
         for j in range(len(model.labels)):
             out[:, j] = np.bincount(owner, m[:, j], len(texts))
     return out / np.maximum(out.sum(axis=1, keepdims=True), 1e-300)

@@ -39,7 +39,7 @@ class Model:
         p = np.zeros(len(s))
         if len(s):
             _, at, back = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-            p = self.crf.marginals(self.crf.emissions(data, s[at], e[at])[back], chain_starts(owner))[:, 1]
+            p = self.crf.marginals(self.crf.emissions(data, s[at], e[at]), back, chain_starts(owner))[:, 1]
         return 1 / (1 + np.exp(-(evidence(p, owner, len(texts)) @ self.curve))), s - off[owner], e - off[owner], owner, p
 
 
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, mos
     flat = np.concatenate([np.arange(starts[i], ends[i]) for i in chosen])
     own = np.r_[0, np.cumsum(ends[chosen] - starts[chosen])[:-1]]
     crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=6)
-    p = crf.marginals(crf.emissions(data, s[at], e[at])[word], starts)[:, 1]
+    p = crf.marginals(crf.emissions(data, s[at], e[at]), word, starts)[:, 1]
     return Model(crf, logistic(evidence(p, owner, len(rows)), y))
 
 

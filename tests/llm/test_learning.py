@@ -56,7 +56,7 @@ def test_quality_of_held_out_texts(spark):
     assert all((got[i] >= 0.7) == bool(y) for i, y in labels[300:])
 
 
-def test_forward_backward_against_enumeration():
+def test_forward_backward_against_enumeration(monkeypatch):
     r = np.random.default_rng(1)
     for k in (2, 3):
         lengths = [1, 4, 2, 5]
@@ -73,6 +73,10 @@ def test_forward_backward_against_enumeration():
                     if i:
                         want_pairs[y[i - 1], y[i]] += q
         assert np.allclose(got, want) and np.allclose(pairs, want_pairs)
+        model = crf.CRF(list("abc")[:k], np.zeros((1, k)), trans, first, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
+        for at_once in (1, 3, 100):
+            monkeypatch.setattr(crf, "AT_ONCE", at_once)
+            assert np.allclose(model.marginals(em[::-1], np.arange(len(em))[::-1], starts), want)
 
 
 def test_dual_descent_reaches_the_least_hinge_loss():
