@@ -39,10 +39,10 @@ DENSE = 16  #: ids that share a token beyond which their parity signatures are h
 BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 DEPUTIES = 8  #: members of a star that stand for it before all of them do
-CONTRACTIONS = 1  #: times that each root is held against the nearest of another component
+CONTRACTIONS = 2  #: times that each root is held against the nearest of another component
 BEFORE = 8  #: earlier tokens by which a pair is known to have met already
 MEET = 4096  #: ids that share a token beyond which they are dealt to parts, which meet two by two
-SENT = 8 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
+SENT = 16 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
