@@ -285,7 +285,7 @@ def bootstrap_problems_events(spark, d):
 # Materialization: faults planted into stored tables.
 
 
-@query("""SELECT * FROM (SELECT 'value_without_record' AS violation, 4 * COUNT(*) FILTER (s_suppkey % 10 = 0) - COUNT(*) FILTER (s_suppkey % 10 = 0 AND s_suppkey % 11 = 0) AS n FROM supplier
+@query("""SELECT * FROM (SELECT 'value_without_record' AS violation, SUM(4 - CASE WHEN s_suppkey % 11 = 0 THEN 1 ELSE 0 END - CASE WHEN s_suppkey % 8 = 0 THEN 1 ELSE 0 END + CASE WHEN s_suppkey % 9 = 0 THEN 1 ELSE 0 END) FILTER (s_suppkey % 10 = 0)::BIGINT AS n FROM supplier
 UNION ALL SELECT 'value_without_lineage', COUNT(*) FILTER (s_suppkey % 6 = 0) FROM supplier UNION ALL SELECT 'lineage_without_value', COUNT(*) FILTER (s_suppkey % 8 = 0) FROM supplier
 UNION ALL SELECT 'duplicate_value', COUNT(*) FILTER (s_suppkey % 9 = 0) FROM supplier)""")
 def audit_planted_supplier(spark, d):
