@@ -39,8 +39,8 @@ DENSE = 16  #: ids that share a token beyond which their parity signatures are h
 BITS = 512  #: of a parity signature
 PAIRS_AT_ONCE = 4096  #: pairs of one node that meet in one task, about
 DEPUTIES = 8  #: members of a star that stand for it before all of them do
-CONTRACTIONS = 2  #: times that each root is held against the nearest of another component
-BEFORE = 8  #: earlier tokens by which a pair is known to have met already
+CONTRACTIONS = 1  #: times that each root is held against the nearest of another component
+BEFORE = 4  #: earlier tokens by which a pair is known to have met already
 MEET = 4096  #: ids that share a token beyond which they are dealt to parts, which meet two by two
 SENT = 16 << 20  #: up to about so many bytes of ids are sent to every task; more are joined by a shuffle
 
@@ -361,12 +361,12 @@ def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool)
         order = np.lexsort((n, token))
         token, own, n, radius, label, part, parity = (c[order] for c in (token, own, n, radius, label, part, parity))
         one_part = t.column("one_part").to_numpy()[order]
-        lists = t.column("before").combine_chunks()
-        start = lists.offsets.to_numpy().astype(np.int64)
-        held, flat = np.diff(start), lists.flatten().to_numpy()
-        before, known = np.zeros((len(token), BEFORE), np.int64), np.arange(BEFORE) < held[:, None]
-        before[known] = flat
-        before, known = before[order], known[order]
+        if not nearest:
+            lists = t.column("before").combine_chunks()
+            held = np.diff(lists.offsets.to_numpy())
+            before, known = np.zeros((len(token), BEFORE), np.int64), np.arange(BEFORE) < held[:, None]
+            before[known] = lists.flatten().to_numpy()
+            before, known = before[order], known[order]
         reach = np.zeros(len(n)) if nearest else radius
         more = 0.0 if nearest else limit
         best, to = np.full(len(n), np.inf), np.zeros(len(n), np.int64)
@@ -392,7 +392,7 @@ def dense_pairs(dense: DataFrame, info: DataFrame, limit: float, nearest: bool)
     def told(x: np.ndarray, y: np.ndarray, distance: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(distance)], ["a", "b", "distance"])
 
-    rows = dense.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity", "before")
+    rows = dense.join(info, "id").select("token", "id", "n", "radius", "label", "part", "one_part", "parity", *([] if nearest else ["before"]))
     return rows.repartition("token").sortWithinPartitions("token").mapInArrow(by_token(meet), "a long, b long, distance double")
 
 
