@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .chat import OP4_SQL, op4_chat_formatting
 from .decontamination import OP10_SQL, op10_decontamination
 from .jaccard import OP5_SQL, op5_jaccard_join
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
+    "op11_alignment": op11_alignment,
 }
 ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
