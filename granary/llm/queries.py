@@ -13,6 +13,7 @@ from .substrings import OP3_SQL, op3_substring_dedup
 from .tokens import op2_token_counts
 from .topk import OP1_SQL, op1_top_k_search
 from .toxicity import op8_toxicity
+from .trie import OP13_SQL, op13_prefix_trie
 
 QUERIES = {
     "op1_top_k_search": op1_top_k_search,
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_alignment": op11_alignment,
+    "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL}
+ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL, "op13_prefix_trie": OP13_SQL}
