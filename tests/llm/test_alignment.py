@@ -71,6 +71,24 @@ def test_links_match_a_plain_loop(spark, monkeypatch, few, made):
     assert all((np.diff(pair[lo:hi]) > 0).all() for lo, hi in zip(off[:-1], off[1:], strict=True))
 
 
+def test_ranks_part_texts_as_the_library_does(tmp_path):
+    import tokenizers
+
+    by, library = alignment.Tokenizers(*PATHS), tokenizers.Tokenizer.from_file(PATHS[0])
+    library.encode_special_tokens = True
+    assert by.ranked is not None
+    for lo in range(0, 0x30000, 16):
+        said = "".join(f" x{c}x 1{c}1 .{c}. {c}{c} {c}\n{c}  {c}" for c in map(chr, range(lo, lo + 16)) if not 0xD800 <= ord(c) < 0xE000)
+        assert by.encode_a(said).tolist() == library.encode(" " + said, add_special_tokens=False).ids
+    import json
+
+    told = json.load(open(PATHS[0]))
+    told["model"]["merges"][10:12] = told["model"]["merges"][11:9:-1]
+    (tmp_path / "other.json").write_text(json.dumps(told))
+    other = alignment.Tokenizers(f"{tmp_path}/other.json", PATHS[1])
+    assert other.ranked is None and other.encode_a("<|endoftext|> as it is").tolist() == by.encode_a("<|endoftext|> as it is").tolist()
+
+
 def test_whole_operator(spark):
     rows = [(i if i != 4 else None, t, "n", 7) for i, t in enumerate(TEXTS)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, groups string, unit long").repartition(3)
