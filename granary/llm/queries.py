@@ -7,6 +7,7 @@ from .chat import OP4_SQL, op4_chat_formatting
 from .decontamination import OP10_SQL, op10_decontamination
 from .jaccard import OP5_SQL, op5_jaccard_join
 from .langid import op9_language_id
+from .licenses import OP12_SQL, op12_license_scan
 from .mixing import OP7_SQL, op7_mixing
 from .quality import op6_quality
 from .substrings import OP3_SQL, op3_substring_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_decontamination": op10_decontamination,
     "op11_alignment": op11_alignment,
+    "op12_license_scan": op12_license_scan,
     "op13_prefix_trie": op13_prefix_trie,
 }
-ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL, "op13_prefix_trie": OP13_SQL}
+ORACLES = {"op1_top_k_search": OP1_SQL, "op3_substring_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_jaccard_join": OP5_SQL, "op7_mixing": OP7_SQL, "op10_decontamination": OP10_SQL, "op12_license_scan": OP12_SQL, "op13_prefix_trie": OP13_SQL}
