@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, table
+from .shared import saved, scratch, table
 
 BLOCK = 8192  #: candidates in a block, about
 QUERIES = 4096  #: queries that meet a block in one task, about
@@ -76,40 +76,42 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = B
     """queries, candidates: vec_id, vector (array of long). Returns query_id, rank, vec_id, score.
 
     A candidate with the query's own id takes no part, nor do null ids and null vectors;
-    vectors meet vectors of their own length. Of rows that repeat an id the one with the
-    smallest vector counts. Ties go to the smaller id. Fewer than k candidates: all of them.
+    vectors meet vectors of their own length. Rows that repeat an id are candidates of their
+    own; queries that repeat one are searched each and share the k places of their id. Ties go
+    to the smaller id. Fewer than k candidates: all of them.
     Empty tables give an empty result. Components so large that a score might not fit a long
     are an error; scores are exact up to there.
 
     Every query must meet every block, so the queries are sent to each block and the
     candidates once to each batch of queries: both kinds of group are bounded.
     """
-    usable = lambda df: df.select("vec_id", "vector").dropna().groupBy("vec_id").agg(F.min("vector").alias("vector"))
-    queries, candidates = saved(usable(queries), "queries"), saved(usable(candidates), "candidates")
-    largest = F.greatest(*[F.abs(f("vector").cast("double")) for f in (F.array_max, F.array_min)])
-    told = [F.count(F.lit(1)), F.coalesce(F.max(largest), F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))]
-    (n_queries, most_query, dims), (n_candidates, most_candidate, _) = queries.agg(*told).first(), candidates.agg(*told).first()
-    if most_query * most_candidate * dims >= 2.0**62:
-        raise ValueError("components are too large: a score might not fit a long")
-    n_blocks = max(1, -(-n_candidates // block))
-    n_batches = max(1, -(-n_queries // batch))
-    deal = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dim = F.size("vector").alias("dim")
-    left = candidates.select("vec_id", "vector", dim, deal(n_blocks, 1).alias("block"), every(n_batches).alias("batch"))
-    right = queries.select("vec_id", "vector", dim, deal(n_batches, 2).alias("batch"), every(n_blocks).alias("block"))
-
-    def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(c) or not len(q):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        lists = Lists(c["vec_id"].to_numpy(), np.array(c["vector"].tolist(), np.int64).reshape(len(c), -1))
-        found = [(i, *lists.top(i, np.asarray(v, np.int64), k, 8 * k)) for i, v in zip(q["vec_id"], q["vector"], strict=True)]
-        return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
-
-    keys = ["dim", "block", "batch"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with scratch():
+        usable = lambda df: df.select("vec_id", "vector").dropna().withColumn("row", F.monotonically_increasing_id())
+        queries, candidates = saved(usable(queries), "queries"), saved(usable(candidates), "candidates")
+        largest = F.greatest(*[F.abs(f("vector").cast("double")) for f in (F.array_max, F.array_min)])
+        told = [F.count(F.lit(1)), F.coalesce(F.max(largest), F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))]
+        (n_queries, most_query, dims), (n_candidates, most_candidate, _) = queries.agg(*told).first(), candidates.agg(*told).first()
+        if most_query * most_candidate * dims >= 2.0**62:
+            raise ValueError("components are too large: a score might not fit a long")
+        n_blocks = max(1, -(-n_candidates // block))
+        n_batches = max(1, -(-n_queries // batch))
+        deal = lambda n, seed: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dim = F.size("vector").alias("dim")
+        left = candidates.select("vec_id", "vector", dim, deal(n_blocks, 1).alias("block"), every(n_batches).alias("batch"))
+        right = queries.select("vec_id", "vector", dim, deal(n_batches, 2).alias("batch"), every(n_blocks).alias("block"))
+
+        def search(c: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            if not len(c) or not len(q):
+                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
+            lists = Lists(c["vec_id"].to_numpy(), np.array(c["vector"].tolist(), np.int64).reshape(len(c), -1))
+            found = [(i, *lists.top(i, np.asarray(v, np.int64), k, 8 * k)) for i, v in zip(q["vec_id"], q["vector"], strict=True)]
+            return pd.DataFrame({"query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+
+        keys = ["dim", "block", "batch"]
+        found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score long")
+        best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        return saved(found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best", keep=True)
 
 
 def whole_vectors(rows: DataFrame) -> DataFrame:
