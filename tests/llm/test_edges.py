@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,20 +289,28 @@ def test_top_k(spark):
     r = random.Random(5)
     rows = [(i, [r.randint(-9, 9) for _ in range(6)]) for i in range(400)] + [(1000 + i, [3] * 6) for i in range(30)] + [(5, [99] * 6), (None, [1] * 6), (7000, None), (8000, [1, 2]), (8001, [5, 5])]
     df = spark.createDataFrame([(*x, 1, 2, 3) for x in rows], "vec_id long, vector array<long>, rank int, block int, score long")
-    vectors = {}
-    for i, v in rows:
-        if i is not None and v is not None:
-            vectors[i] = min(v, vectors.get(i, v))
+    vectors = [(i, v) for i, v in rows if i is not None and v is not None]
     for block, batch in ((8192, 4096), (50, 3)):
         got = defaultdict(list)
         for x in sorted(topk.top_k(df.filter("vec_id % 10 = 0"), df, 4, block, batch).collect(), key=lambda x: (x.query_id, x.rank)):
             got[x.query_id].append((x.vec_id, x.score))
-        for q in [i for i in vectors if i % 10 == 0]:
-            want = sorted(((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q and len(v) == len(vectors[q])))[:4]
+        for q in {i for i, _ in vectors if i % 10 == 0}:
+            want = sorted((-sum(a * b for a, b in zip(own, v, strict=True)), i) for j, own in vectors if j == q for i, v in vectors if i != q and len(v) == len(own))[:4]
             assert got[q] == [(i, -s) for s, i in want]
     assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
 
 
+def test_repeated_ids_are_rows_as_in_the_sql(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(i % 40 if i % 3 else 100 * (i % 4), [r.uniform(-1, 1) for _ in range(4)]) for i in range(300)] + [(1, [0.5] * 4)] * 30
+    path = f"{tmp_path}/embeddings.parquet"
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{path}/*.parquet'")
+    got = topk.op1_top_k_search(spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(con.execute(topk.OP1_SQL).fetchall())
+
+
 def test_vectors_with_holes_and_large_components(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [0.5, -0.25], "x"), (1, None, "x"), (2, [1.0, None], "x"), (3, [nan, 1.0], "x"), (4, [inf, 1.0], "x"), (5, [-0.0001, 3.0], "x"), (100, [1.0, 1.0], "x"), (None, [1.0, 2.0], "x"), (6, [1e6, -1e6], "x")]
@@ -332,6 +342,17 @@ def test_chat_with_many_turns(spark):
     assert [tuple(t) for t in back.turns] == [x[2:] for x in said] and back.loss_text == "".join(x[3] for x in said if x[2] == "assistant")
 
 
+def test_one_conversation_of_100_000_turns_takes_time_linear_in_turns(spark):
+    times = []
+    for n in (50_000, 100_000):
+        said = spark.range(n).selectExpr("1L as conv_id", "id as turn", "if(id % 14 < 7, 'user', 'assistant') as role", "concat('t', id, '<') as text")
+        began = time.time()
+        back = chat.read_chats(chat.format_chats(said)).selectExpr("size(turns) as n", "length(loss_text) as loss").first()
+        times.append(time.time() - began)
+        assert back.n == n and back.loss == sum(len(f"t{i}<") for i in range(n) if i % 14 >= 7)
+    assert times[1] < 30
+
+
 def test_learned_operators_take_anything(docs, empty, spark):
     labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(12)] + [(None, 1, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
     for model, score in ((quality.fit(docs, labels), quality.score), (quality.fit(empty, labels), quality.score), (quality.fit(docs, labels.limit(0)), quality.score), (toxicity.fit(docs, labels), toxicity.score), (toxicity.fit(empty, labels), toxicity.score)):
