@@ -336,6 +336,27 @@ def test_mixing_again_and_with_clashing_columns(spark):
     assert mixing.mix(once).columns == once.columns
 
 
+@pytest.mark.parametrize("same_text", [False, True])
+def test_rows_without_or_with_equal_ids_draw_each(spark, tmp_path, same_text):
+    rows = [(None if i % 2 else 7, "a b c" if same_text else f"a b c{i}", "s1") for i in range(600)] + [(i, "x " * 21, "s2") for i in range(150)]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6).write.parquet(path)
+    docs = spark.read.parquet(path)
+    plan = mixing.plan_mix(docs).collect()
+    for source in ("s1", "s2"):
+        own = [r for r in plan if r.source == source]
+        rate, n = own[0].rate, len(own)
+        part = rate - int(rate)
+        assert abs(sum(r.copies for r in own) - rate * n) <= 4 * (n * part * (1 - part)) ** 0.5
+    spread = lambda rows: Counter((r.doc_id, r.size, r.taken) for r in rows)
+    assert spread(plan) == spread(mixing.plan_mix(docs.repartition(3)).collect())
+    assert mixing.mix(docs).count() == sum(r.copies for r in plan)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    key = lambda x: str(x[0]) + str(x[1:])
+    assert sorted(con.execute(mixing.OP7_SQL).fetchall(), key=key) == sorted(map(tuple, mixing.op7_mixing(spark, str(tmp_path)).collect()), key=key)
+
+
 def test_chat_with_many_turns(spark):
     said = [(1, i, ("user", "assistant")[i // 7 % 2], f"t{i}<") for i in range(3000)]
     back = chat.read_chats(chat.format_chats(spark.createDataFrame(said, "conv_id long, turn long, role string, text string"))).first()
