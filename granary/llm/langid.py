@@ -21,6 +21,7 @@ from .shared import table
 from .words import LOWER, byte_set, hashes, pieces, spans, text_bytes
 
 SAMPLE_BYTES = 48 << 20  #: of text in a labelled sample, at most
+LABELS = 128  #: of a model, at most
 SENT = 100_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 #: letters of ASCII, and every byte of longer characters
 LETTERS = byte_set(range(65, 91), range(97, 123), range(128, 256))
@@ -67,16 +68,18 @@ def sample_texts(labelled: DataFrame, per_label: int, most_bytes: int = SAMPLE_B
     return within_bytes(chosen, "label", max(1, few), most_bytes)
 
 
-def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most_words: int = 4000, seed: int = 11, most_bytes: int = SAMPLE_BYTES) -> CRF:
+def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, seed: int = 11, most_bytes: int = SAMPLE_BYTES) -> CRF:
     """Learn from labelled: doc_id, text, label, of which a bounded sample is taken.
 
-    The sample has at most per_label texts of each label and most_bytes of text. Of a text of
-    more than most_words words about so many train, in stretches drawn from the whole text;
-    lexicons count all its words. Rows without id or label take no part; null texts have no
-    words; repeated rows count again; ties in hash go by id. Nothing labelled: no labels.
+    The sample has at most per_label texts of each label and most_bytes of text; all words of
+    its texts train. Rows without id or label take no part; null texts have no words; repeated
+    rows count again; ties in hash go by id. Nothing labelled: no labels. The model has a
+    megabyte for each label and goes to every task, so more than LABELS labels are an error.
     """
     rows = sample_texts(labelled, per_label, most_bytes)
     labels = sorted({r[1] for r in rows})
+    if len(labels) > LABELS:
+        raise ValueError(f"a model of more than {LABELS} labels is too large to send to every task")
     rng = np.random.default_rng(seed)
     if not labels:
         return CRF([], np.zeros((1, 0), np.float32), np.zeros((0, 0)), np.zeros(0), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
@@ -98,15 +101,11 @@ def fit(labelled: DataFrame, per_label: int = 250, lexicon_size: int = 300, most
     first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
     stretches = []
     for i, j in zip(first, np.r_[first[1:], len(owner)], strict=True):
-        at_, end, own = int(i), int(j), []
+        at_, end = int(i), int(j)
         while at_ < end:
             n = int(rng.integers(6, 48))
-            own.append(np.arange(at_, min(end, at_ + n)))
+            stretches.append(np.arange(at_, min(end, at_ + n)))
             at_ += n
-        if end - int(i) > most_words:
-            drawn = rng.permutation(len(own))
-            own = [own[x] for x in drawn[: int(np.searchsorted(np.cumsum([len(own[x]) for x in drawn]), most_words)) + 1]]
-        stretches += own
     # Shuffled stretches follow one another within a chain, so it changes language at their ends.
     tokens, starts, used = [], [], CHAIN
     for i in rng.permutation(len(stretches)):
@@ -143,7 +142,7 @@ def identify(docs: DataFrame, model: CRF, carry: Sequence[str] = ()) -> DataFram
     Ties go to the first label in order. Repeated rows and null ids stay. carry names columns
     of docs that come along; others are ignored.
     """
-    told = docs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size
+    told = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte for each of at most LABELS labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = told.value

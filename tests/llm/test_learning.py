@@ -142,6 +142,6 @@ def test_many_languages(spark):
 def test_long_texts_train_from_all_their_parts_and_bytes_are_bounded(spark):
     rows = [(i, " ".join(WORDS[l] * 40 + [f"{l}zz"] * 200), l) for i, l in enumerate(["aa", "bb"] * 4)]
     known = spark.createDataFrame([*rows, (99, "q " * 200_000, "aa")], "doc_id long, text string, label string")
-    model = langid.fit(known, most_words=120, most_bytes=100_000)
+    model = langid.fit(known, most_bytes=100_000)
     assert len(langid.sample_texts(known, 250, 100_000)) == 8
     assert [x.lang_pred for x in langid.identify(spark.createDataFrame([(1, "aazz aazz aazz"), (2, "bbzz bbzz")], "doc_id long, text string"), model).orderBy("doc_id").collect()] == ["aa", "bb"]
