@@ -85,11 +85,12 @@ def suspicious(unit: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray
     return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 6))[back]
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, most_bytes: int = SAMPLE_BYTES, clean_chains: int = 2000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, most_bytes: int = SAMPLE_BYTES, held: float = 0.25) -> Model:
     """docs: doc_id, text; labels: doc_id, toxic. Learns from a bounded sample of labelled rows.
 
-    The sample has at most `most` rows and most_bytes of text (see within_bytes). Of its chains
-    without a toxic word as many train as there are chains with one, clean_chains at least.
+    The sample has at most `most` rows and most_bytes of text (see within_bytes). A part of its
+    rows, held, is kept from the chain model and fits the curve, unless those have labels of
+    one kind only; then all rows fit both. All chains of the other rows train.
     Without labels of both kinds, or without a suspicious word, every text gets one low score.
     Null texts are empty; repeated rows count again; ties in hash go by id.
     """
@@ -111,17 +112,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, mos
     tag &= y[owner]
     if not tag.any():
         return none
+    rng = np.random.default_rng(seed)
+    apart = rng.permutation(len(rows)) < held * len(rows)
+    if len(set(y[apart])) < 2 or not tag[~apart[owner]].any():
+        apart = np.zeros(len(rows), bool)
     starts = chain_starts(owner)
     ends = np.r_[starts[1:], len(word)]
-    hit = np.add.reduceat(tag, starts) > 0
-    rng = np.random.default_rng(seed)
-    clean = rng.permutation(np.flatnonzero(~hit))[: max(clean_chains, int(hit.sum()))]
-    chosen = np.sort(np.r_[np.flatnonzero(hit), clean])
+    chosen = np.flatnonzero(~apart[owner[starts]])
     flat = np.concatenate([np.arange(starts[i], ends[i]) for i in chosen])
     own = np.r_[0, np.cumsum(ends[chosen] - starts[chosen])[:-1]]
-    crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=6)
+    crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=3)
     p = crf.marginals(crf.emissions(data, s[at], e[at]), word, starts)[:, 1]
-    return Model(crf, logistic(evidence(p, owner, len(rows)), y))
+    fits = apart if apart.any() else ~apart
+    return Model(crf, logistic(evidence(p, owner, len(rows))[fits], y[fits]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
