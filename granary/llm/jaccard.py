@@ -234,11 +234,17 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
                 if place[lo] == 0:
                     first = [values[start[lo] : start[lo + 1]] for values, start in lists]
                     continue
-                shared = [_shared(own, values[start[lo] : start[hi]], start[lo : hi + 1] - start[lo]) for own, (values, start) in zip(first, lists, strict=True)]
-                size = np.diff(lists[0][1][lo : hi + 1])
-                keep = ~batch.column("strict").to_numpy(zero_copy_only=False)[lo:hi] | np.all([s > 0 for s in shared[1:]], axis=0)
-                distance = 1 - shared[0] / (len(first[0]) + size - shared[0])
-                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][keep]), pa.array(batch.column("node").to_numpy()[lo:hi][keep]), pa.array(distance[keep])], ["a", "b", "distance"])
+                # The other orders' prefixes tell which pairs' sets are intersected at all.
+                keep = np.ones(hi - lo, bool)
+                for own, (values, start) in zip(first[1:], lists[1:], strict=True):
+                    keep &= _shared(own, values[start[lo] : start[hi]], start[lo : hi + 1] - start[lo]) > 0
+                keep |= ~batch.column("strict").to_numpy(zero_copy_only=False)[lo:hi]
+                values, start = lists[0]
+                size = np.diff(start[lo : hi + 1])[keep]
+                left = values[start[lo] : start[hi]][np.repeat(keep, np.diff(start[lo : hi + 1]))]
+                shared = _shared(first[0], left, np.r_[0, np.cumsum(size)])
+                distance = 1 - shared / (len(first[0]) + size - shared)
+                yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][keep]), pa.array(batch.column("node").to_numpy()[lo:hi][keep]), pa.array(distance)], ["a", "b", "distance"])
 
     fronts = [f"front{i}" for i in range(len(ORDERS))]
     ids = _small(needed)
@@ -581,7 +587,7 @@ WITH d AS (
   SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
     ELSE list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS sh FROM d
 ), t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS g FROM s),
-few AS (SELECT g FROM t GROUP BY g HAVING COUNT(*) BETWEEN 2 AND 1000000),
+few AS (SELECT g FROM t GROUP BY g HAVING COUNT(*) > 1),
 pair AS (
   SELECT a.doc_id AS x, b.doc_id AS y, ANY_VALUE(a.n) AS nx, ANY_VALUE(b.n) AS ny, COUNT(*) AS n_both
   FROM t a JOIN few USING (g) JOIN t b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * LEAST(a.n, b.n) >= 90 * GREATEST(a.n, b.n) GROUP BY 1, 2
