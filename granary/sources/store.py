@@ -6,28 +6,17 @@ before and nothing else, and a scope's tenant, type and plan prune the scan.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.contracts import FactSet
+from .work import work_dir
 
 PARTS = ["tenant_id", "record_type", "approved_plan_id"]
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder where driver and executors can both write; only a local session may do without spark.checkpoint.dir."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="granary-")
-    return f"{found.rstrip('/')}/facts-{uuid.uuid4().hex}"
-
-
 def write(records: DataFrame, path: str) -> None:
     """Write records by partition; the partitions of the plans among them are replaced whole.
 
