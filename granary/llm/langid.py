@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .crf import CHAIN, CRF, chain_starts, train
-from .shared import table
+from .shared import small_batches, table
 from .words import LOWER, byte_set, hashes, pieces, spans, text_bytes
 
 SAMPLE_BYTES = 48 << 20  #: of text in a labelled sample, at most
@@ -142,6 +142,7 @@ def identify(docs: DataFrame, model: CRF, carry: Sequence[str] = ()) -> DataFram
     Ties go to the first label in order. Repeated rows and null ids stay. carry names columns
     of docs that come along; others are ignored.
     """
+    small_batches(docs.sparkSession)
     told = docs.sparkSession.sparkContext.broadcast(model)  # a megabyte for each of at most LABELS labels
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

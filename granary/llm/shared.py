@@ -11,9 +11,22 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH = 4 << 20  #: bytes of an Arrow batch, at most, unless one row has more
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send Python no Arrow batches of more than BATCH bytes.
+
+    Spark's own bound is 64 MB, of which JVM and Python hold several at once for each task. A
+    smaller bound that the session already has stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(key).rstrip("b")) <= BATCH:
+        spark.conf.set(key, BATCH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +72,7 @@ def free_name(name: str, *frames: DataFrame) -> str:
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/granary/{name}-{uuid.uuid4().hex}"
     if _scopes.get() and not keep:
         _scopes.get()[-1].append(path)

@@ -3,12 +3,13 @@
 A word goes if a window of SIZE consecutive words covers it whose words also start
 elsewhere, in the same document or another. Equal windows have the same least hash of K
 words inside them, their anchor. One pass lists each document's anchors; those that occur
-again anywhere come back to it by joins. A second cuts each document into runs of windows
-with one anchor and sends the runs whose anchor occurs again to the reference block that the
-anchor belongs to. There the runs are the reference: its windows are indexed, and each run is
-parsed greedily into the longest factors that the reference holds elsewhere; after a factor
-ends, the parse looks up the window across its boundary, so no window is missed. The factors
-are the duplicate spans. A run is held as the hashes of its windows.
+again anywhere come back to it by joins. A second cuts each document into runs, the words of
+consecutive windows with one anchor, and sends the runs whose anchor occurs again to the reference
+block that the anchor belongs to. There the runs are the reference: an index ranks all its places by
+the words that follow, and each run is parsed greedily into the longest factors that stand elsewhere in
+the reference, too, word by word and from any place on. A factor of SIZE words or more is a
+duplicate span. A window may also begin inside a factor and end behind it; so where a factor
+ends, the index is asked for the windows across its boundary.
 
 An anchor that occurs more than HOT times would make its block large. Its runs are parsed
 against each other where they are cut, and one of each distinct window goes on, to a smaller
@@ -29,7 +30,7 @@ from .words import NOT_BLANK, U, grams, hashes, pieces, spans, text_bytes
 
 SIZE, K = 35, 8
 HOT = 20_000  #: occurrences of an anchor beyond which its windows are dealt one by one
-BLOCK = 4 << 20  #: bytes of runs that one step parses, unless one anchor has more
+BLOCK = 2 << 20  #: bytes of runs that one step parses, unless one anchor has more
 TOP = U(2**64 - 1)
 
 
@@ -81,47 +82,85 @@ def list_anchors(docs: DataFrame, size: int, k: int) -> DataFrame:
     return docs.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, n long")
 
 
-def factors(h: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Greedy factors of runs of windows against all of them as the reference: run, first window, windows.
+class Index:
+    """The reference: runs of words, one after another, whose places are ranked by the words that follow.
 
-    h: window hashes, one run after another; start: where each run begins, and the end. All
-    runs are parsed side by side: a round gives each its next factor.
+    words: hashes; start: where each run begins, and the end. ranks[k] numbers what the 2**k
+    words from each place on say, up to the run's end, so places are told apart in few steps.
     """
-    none = np.zeros(0, np.int64)
-    if len(h) < 2:
-        return none, none, none
-    order = np.argsort(h, kind="stable")
-    same = h[order[1:]] == h[order[:-1]]
-    ref = np.full(len(h) + 1, -1)  # another place of the same window
-    ref[order[1:][same]] = order[:-1][same]
-    ref[order[:-1][same]] = order[1:][same]
-    run = np.repeat(np.arange(len(start) - 1), np.diff(start))
-    end = start[1:][run]  # where the run's windows end
-    valid = np.where(ref >= 0, np.arange(len(ref)), len(h))
-    after = np.minimum.accumulate(valid[::-1])[::-1]  # the next window that the reference has
-    cursor, stop = after[start[:-1]], start[1:]
-    cursor = cursor[cursor < stop]
-    out = []
-    while len(cursor):
-        i, r, n = cursor, ref[cursor], np.ones(len(cursor), np.int64)
-        open_ = np.arange(len(cursor))
-        while len(open_):
-            x, y = i[open_] + n[open_], r[open_] + n[open_]
-            fits = (x < end[i[open_]]) & (y < end[r[open_]])
-            fits[fits] = h[x[fits]] == h[y[fits]]
-            open_ = open_[fits]
-            n[open_] += 1
-        out.append((i, n))
-        nxt = after[i + n]
-        cursor = nxt[nxt < end[i]]
-    if not out:  # windows, but none that repeats
-        return none, none, none
-    i, n = (np.concatenate(x) for x in zip(*out, strict=True))
-    return run[i], i - start[run[i]], n
+
+    def __init__(self, words: np.ndarray, start: np.ndarray, size: int) -> None:
+        n = len(words)
+        run = np.repeat(np.arange(len(start) - 1), np.diff(start))
+        self.end = start[1:][run]
+        self.left = self.end - np.arange(n)  # words from each place on
+        self.most = 1  # words of a factor, at most
+        rank = np.unique(words, return_inverse=True)[1]
+        self.ranks = [rank]
+        while self.most < size:
+            k = self.most
+            after = np.full(n, -1)
+            inside = np.flatnonzero(self.left > k)
+            after[inside] = rank[inside + k]
+            rank = np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1]
+            self.ranks.append(rank)
+            self.most *= 2
+        self.order = np.argsort(rank, kind="stable")
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """How many words the places i and j have in common, up to most."""
+        n = np.zeros(len(i), np.int64)
+        reach = np.minimum(np.minimum(self.left[i], self.left[j]), self.most)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            open_ = np.flatnonzero(n < reach)
+            same = self.ranks[k][i[open_] + n[open_]] == self.ranks[k][j[open_] + n[open_]]
+            n[open_[same]] += 1 << k
+        return np.minimum(n, reach)
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """Words from each place on that stand elsewhere, too: what it shares with its neighbours in order."""
+        found = np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            other = self.place[at] + step
+            has = np.flatnonzero((other >= 0) & (other < len(self.order)))
+            found[has] = np.maximum(found[has], self.shared(at[has], self.order[other[has]]))
+        return found
+
+
+def factors(words: np.ndarray, start: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Duplicate spans of runs against all of them as the reference: run, first word, words.
+
+    words: hashes, one run after another; start: where each run begins, and the end. All runs
+    are parsed side by side: a round gives each its next factor, as long as the index has it.
+    """
+    at, n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if len(words):
+        index = Index(words, start, size)
+        cursor = start[:-1][np.diff(start) > 0]
+        while len(cursor):
+            length = np.maximum(index.longest(cursor), 1)
+            long = length >= size
+            at.append(cursor[long])
+            n.append(length[long])
+            # Windows that begin inside the factor and end behind it.
+            stop = cursor + length
+            first = np.maximum(cursor + 1, stop - size + 1)
+            last = np.minimum(stop - 1, index.end[cursor] - size)
+            many = np.maximum(last - first + 1, 0)
+            across = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            reach = index.longest(across)
+            at.append(across[reach >= size])
+            n.append(reach[reach >= size])
+            cursor = stop[stop < index.end[cursor]]
+    at, n = np.concatenate(at), np.concatenate(n)
+    run = np.searchsorted(start, at, side="right") - 1
+    return run, at - start[run], n
 
 
 def cut_runs(part: pa.RecordBatch, wanted: np.ndarray, hot: np.ndarray, size: int, k: int) -> Iterator[pa.RecordBatch]:
-    """Runs of windows with a wanted anchor; of hot anchors, duplicate spans and single windows.
+    """Runs of words of windows with a wanted anchor; of hot anchors, duplicate spans and single windows.
 
     wanted: sorted anchors; hot: whether each is. Rows: doc_id, text_hash, key of the block,
     word where the run starts, the run; for a span that is found, no run but its end.
@@ -142,24 +181,27 @@ def cut_runs(part: pa.RecordBatch, wanted: np.ndarray, hot: np.ndarray, size: in
     use = wanted[place] == anchor[first]
     is_hot = hot[place] & use
 
+    def words_of(of: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The words of so many windows from each on, and where they begin, with the end."""
+        begin = np.r_[0, np.cumsum(length + size - 1)]
+        return words[np.arange(begin[-1]) + np.repeat(starts[of] - begin[:-1], np.diff(begin))], begin
+
     def rows(of: np.ndarray, key: np.ndarray | None, length: np.ndarray | None, to: np.ndarray | None) -> pa.RecordBatch:
         take = pa.array(row[of])
         if length is None:
             told = [pa.nulls(len(of), pa.int64()), pa.array(at[of], pa.int32()), pa.nulls(len(of), pa.list_(pa.int64())), pa.array(to, pa.int32())]
         else:
-            begin = np.r_[0, np.cumsum(length)]
-            flat = np.arange(begin[-1]) + np.repeat(of - begin[:-1], length)
-            told = [_long(key), pa.array(at[of], pa.int32()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), _long(window[flat])), pa.nulls(len(of), pa.int32())]
+            run, begin = words_of(of, length)
+            told = [_long(key), pa.array(at[of], pa.int32()), pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), _long(run)), pa.nulls(len(of), pa.int32())]
         return pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("text_hash").take(take), *told], ["doc_id", "text_hash", "key", "at", "run", "to"])
 
     cold = first[use & ~is_hot]
     yield rows(cold, anchor[cold], n[use & ~is_hot], None)
     if is_hot.any():
+        run, i, length = factors(*words_of(first[is_hot], n[is_hot]), size)
+        of = first[is_hot][run] + i
+        yield rows(of, None, None, at[of] + length)
         inside = np.flatnonzero(np.repeat(is_hot, n))
-        begin = np.r_[0, np.cumsum(n[is_hot])]
-        run, i, length = factors(window[inside], begin)
-        of = inside[begin[run] + i]
-        yield rows(of, None, None, at[of] + length - 1 + size)
         one = inside[np.unique(window[inside], return_index=True)[1]]
         yield rows(one, window[one], np.ones(len(one), np.int64), None)
 
@@ -171,11 +213,11 @@ def parse_blocks(runs: DataFrame, size: int) -> DataFrame:
         t = t.combine_chunks()
         lists = t.column("run").combine_chunks()
         start = lists.offsets.to_numpy().astype(np.int64)
-        run, i, n = factors(lists.flatten().to_numpy().view(np.uint64), start - start[0])
+        run, i, n = factors(lists.flatten().to_numpy().view(np.uint64), start - start[0], size)
         of = pa.array(run)
         lo = t.column("at").to_numpy()[run] + i
         take = lambda c: t.column(c).combine_chunks().take(of)
-        return pa.RecordBatch.from_arrays([take("doc_id"), take("text_hash"), pa.array(lo, pa.int32()), pa.array(lo + n - 1 + size, pa.int32())], ["doc_id", "text_hash", "lo", "hi"])
+        return pa.RecordBatch.from_arrays([take("doc_id"), take("text_hash"), pa.array(lo, pa.int32()), pa.array(lo + n, pa.int32())], ["doc_id", "text_hash", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []

@@ -17,7 +17,7 @@ _CODE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) * U(2)
 _BASE = 0x9E3779B97F4A7C15
 _UNBASE = pow(_BASE, -1, 2**64)
 _STEP = 1 << 16  #: bytes that are summed at once, about; they stay in a core's cache
-_SUB = 4 << 20  #: bytes of text that a step of work holds, unless one text is longer
+_SUB = 1 << 20  #: bytes of text that a step of work holds, unless one text is longer
 
 
 def byte_set(*codes: int | range) -> np.ndarray:
