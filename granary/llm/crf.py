@@ -20,12 +20,21 @@ AT_ONCE = 2048  #: chains whose marginals are computed together
 BITS = 18  #: log2 of the feature table's rows
 
 
+WORDS = 1 << 16  #: whose features are made at once
+
+
 def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of the words data[s:e] as one ragged array, and where each begins.
 
     lexicon: sorted word hashes; lists: rows of a word's place there, ascending, and the number
     of a lexicon that lists it.
     """
+    made = [_features(data, s[i : i + WORDS].astype(np.int64), e[i : i + WORDS].astype(np.int64), lexicon, lists) for i in range(0, len(s), WORDS)]
+    size = np.concatenate([np.zeros(1, np.int64), *(np.diff(start) for _, start in made)])
+    return np.concatenate([np.zeros(0, np.int32), *(f for f, _ in made)]), np.cumsum(size)
+
+
+def _features(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = e - s + 2
     start = np.r_[0, np.cumsum(n)]
     flat = np.empty(start[-1], np.uint64)
@@ -55,7 +64,7 @@ def features(data: np.ndarray, s: np.ndarray, e: np.ndarray, lexicon: np.ndarray
         which = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
         parts.append(lists[which, 1].astype(np.uint64))
         owners.append(np.repeat(np.arange(len(s)), n))
-    feature, owner = np.concatenate(parts).astype(np.int64), np.concatenate(owners)
+    feature, owner = np.concatenate(parts).astype(np.int32), np.concatenate(owners)
     order = np.argsort(owner, kind="stable")
     return feature[order], np.searchsorted(owner[order], np.arange(len(s) + 1))
 
@@ -72,8 +81,11 @@ class CRF:
     def emissions(self, data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         if not len(s):
             return np.zeros((0, len(self.labels)), np.float32)
-        f, start = features(data, s, e, self.lexicon, self.lists)
-        return np.add.reduceat(self.weights[f], start[:-1], axis=0) / np.sqrt(np.diff(start))[:, None].astype(np.float32)
+        out = np.empty((len(s), len(self.labels)), np.float32)
+        for i in range(0, len(s), WORDS):
+            f, start = features(data, s[i : i + WORDS], e[i : i + WORDS], self.lexicon, self.lists)
+            out[i : i + WORDS] = np.add.reduceat(self.weights[f], start[:-1], axis=0) / np.sqrt(np.diff(start))[:, None].astype(np.float32)
+        return out
 
     def marginals(self, em: np.ndarray, word: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Marginals of each token. em: of the distinct words; word: of each token, its word; starts: where chains begin, ascending, from 0.

@@ -77,9 +77,12 @@ def suspicious(unit: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray
     which is held against the number of units that were tried.
     """
     distinct, back = np.unique(unit, return_inverse=True)
-    pairs = np.unique(back.astype(np.int64) * len(y) + owner)
+    pairs = back * len(y) + owner
+    pairs.sort()
+    pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
     n = np.bincount(pairs // len(y), minlength=len(distinct))
-    bad = np.bincount((pairs // len(y))[y[pairs % len(y)] == 1], minlength=len(distinct))
+    pairs = pairs[y[pairs % len(y)] == 1]
+    bad = np.bincount(pairs // len(y), minlength=len(distinct))
     base, share = y.mean(), np.clip(bad / n, 1e-9, 1 - 1e-9)
     surprise = n * (share * np.log(share / base) + (1 - share) * np.log((1 - share) / (1 - base)))
     return ((share > max(0.6, base)) & (surprise > np.log(len(distinct)) + 6))[back]
@@ -95,36 +98,44 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 6000, seed: int = 3, mos
     Null texts are empty; repeated rows count again; ties in hash go by id.
     """
     rows = sample_labelled(docs, labels, "toxic", most, most_bytes)
-    y = np.array([r[1] for r in rows], np.int64)
+    n_rows, y = len(rows), np.array([r[1] for r in rows], np.int64)
     blank = CRF(["clean", "toxic"], np.zeros((1 << BITS, 2), np.float32), np.zeros((2, 2)), np.array([0.0, -9.0]), np.zeros(0, np.uint64), np.zeros((0, 2), np.int64))
     none = Model(blank, np.array([-3.0, 0.0, 0.0]))
     if not y.any() or y.all():
         return none
+    # The driver holds the whole sample: numbers are kept short, and what has been used goes.
     raw, off = text_bytes(pa.array([r[2] for r in rows], pa.large_string()))
+    del rows
     data = _fold(raw)
-    s, e, owner = spans(data, off, INSIDE)
+    del raw
+    s, e, owner = (x.astype(np.int32) for x in spans(data, off, INSIDE))
     distinct, at, word = np.unique(hashes(data, s, e), return_index=True, return_inverse=True)
-    tag = np.zeros(len(s), np.int64)
+    del distinct
+    word = word.astype(np.int32)
+    tag = np.zeros(len(s), np.int8)
     for k in (None, 4, 5, 6):  # whole words, and prefixes of so many bytes
-        use = np.arange(len(s)) if k is None else np.flatnonzero(e - s > k)
+        use = np.arange(len(s), dtype=np.int32) if k is None else np.flatnonzero(e - s > k).astype(np.int32)
         if len(use):
             tag[use] |= suspicious(hashes(data, s[use], e[use] if k is None else s[use] + k), owner[use], y)
-    tag &= y[owner]
+    tag &= y[owner].astype(np.int8)
     if not tag.any():
         return none
     rng = np.random.default_rng(seed)
-    apart = rng.permutation(len(rows)) < held * len(rows)
+    apart = rng.permutation(n_rows) < held * n_rows
     if len(set(y[apart])) < 2 or not tag[~apart[owner]].any():
-        apart = np.zeros(len(rows), bool)
+        apart = np.zeros(n_rows, bool)
     starts = chain_starts(owner)
     ends = np.r_[starts[1:], len(word)]
     chosen = np.flatnonzero(~apart[owner[starts]])
-    flat = np.concatenate([np.arange(starts[i], ends[i]) for i in chosen])
+    flat = np.flatnonzero(~apart[owner])
     own = np.r_[0, np.cumsum(ends[chosen] - starts[chosen])[:-1]]
-    crf = train(["clean", "toxic"], data, s[at], e[at], word[flat], tag[flat], own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=3)
+    train_word, train_tag = word[flat], tag[flat]
+    del flat, tag
+    crf = train(["clean", "toxic"], data, s[at], e[at], train_word, train_tag, own, np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), epochs=3)
+    del train_word, train_tag
     p = crf.marginals(crf.emissions(data, s[at], e[at]), word, starts)[:, 1]
     fits = apart if apart.any() else ~apart
-    return Model(crf, logistic(evidence(p, owner, len(rows))[fits], y[fits]))
+    return Model(crf, logistic(evidence(p, owner, n_rows)[fits], y[fits]))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
