@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+from .components import components
 from .listing import best
 
 REGIONS = "workbook_id string, sheet int, region int, top int, left int, bottom int, right int, n_cells int, density double"
@@ -15,6 +17,8 @@ WEIGHTS = {"base": 0.2, "coverage": 0.25, "uniqueness": 0.35, "text": 0.18, "hie
 DEEPEST, FIRST_ROWS, LEAST = 3, 8, 0.7
 NEAR, DOMINANT = 0.05, 0.6  #: how close a richer header's confidence must be, and the largest share of one label above the leaves
 LARGEST_MERGE = 10_000  #: cells; larger merges are ignored
+SHEET_CELLS = 500_000  #: of a sheet that one task takes
+BAND = 4096  #: rows of a rectangle, at most
 
 
 def blocks(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
@@ -36,13 +40,25 @@ def blocks(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         label = new
 
 
-def find_regions(cells: DataFrame) -> DataFrame:
+def find_regions(cells: DataFrame, most: int = SHEET_CELLS) -> DataFrame:
     """Connected blocks of non-empty cells of each sheet; a block inside the bounds of a larger one belongs to it.
 
-    A sheet is one group, as a sheet fits a task.
+    Sheets of at most so many cells are a group each; larger ones, as large CSV files are, are
+    spread over tasks. Both give the same regions. Rows with an error hold no cells; repeated cells count once.
     """
+    key = ["workbook_id", "sheet"]
+    there = cells.filter("error is null").select(*key, "row", "col")
+    large = written(there.groupBy(*key).count().filter(F.col("count") > most).select(*key))
+    small = regions_by_sheet(there.join(large, key, "left_anti"))
+    return small if large.isEmpty() else small.unionByName(regions_spread(there.join(large, key, "left_semi")))
+
+
+def regions_by_sheet(there: DataFrame) -> DataFrame:
+    """Regions of sheets that fit a task."""
 
     def of_sheet(pdf: pd.DataFrame) -> pd.DataFrame:
+        workbook, sheet = pdf["workbook_id"].iloc[0], pdf["sheet"].iloc[0]
+        pdf = pdf.drop_duplicates(["row", "col"])
         rows, cols = pdf["row"].to_numpy(), pdf["col"].to_numpy()
         made = pd.DataFrame({"label": blocks(rows, cols), "row": rows, "col": cols}).groupby("label").agg(top=("row", "min"), left=("col", "min"), bottom=("row", "max"), right=("col", "max"), n_cells=("row", "size"))
         made["area"] = (made.bottom - made.top + 1) * (made.right - made.left + 1)
@@ -56,10 +72,64 @@ def find_regions(cells: DataFrame) -> DataFrame:
                 kept.append({"top": r.top, "left": r.left, "bottom": r.bottom, "right": r.right, "n_cells": r.n_cells, "density": r.area})
         out = pd.DataFrame(kept).sort_values(["top", "left"]).reset_index(drop=True)
         out["density"] = out["n_cells"] / out["density"]
-        out["region"], out["workbook_id"], out["sheet"] = out.index, pdf["workbook_id"].iloc[0], pdf["sheet"].iloc[0]
+        out["region"], out["workbook_id"], out["sheet"] = out.index, workbook, sheet
         return out[[c.split()[0] for c in REGIONS.split(", ")]]
 
-    return cells.filter("error is null").select("workbook_id", "sheet", "row", "col").groupBy("workbook_id", "sheet").applyInPandas(of_sheet, REGIONS)
+    return there.groupBy("workbook_id", "sheet").applyInPandas(of_sheet, REGIONS)
+
+
+def regions_spread(there: DataFrame) -> DataFrame:
+    """Regions of sheets of any size, by joins and windows over parts of them.
+
+    Cells side by side are a run; equal runs of consecutive rows, up to BAND rows, are a rectangle; rectangles
+    whose runs overlap in adjacent rows are connected. Blocks are the components of these.
+    """
+    key = ["workbook_id", "sheet"]
+    cells = there.distinct()
+    along = F.col("col") - F.row_number().over(Window.partitionBy(*key, "row").orderBy("col"))
+    runs = cells.withColumn("island", along).groupBy(*key, "row", "island").agg(F.min("col").alias("left"), F.max("col").alias("right")).drop("island")
+    band = F.floor(F.col("row") / BAND).alias("band")
+    down = F.col("row") - F.row_number().over(Window.partitionBy(*key, "band", "left", "right").orderBy("row"))
+    placed = runs.withColumn("band", band).withColumn("island", down)
+    rectangle = F.xxhash64(*key, "band", "left", "right", "island")
+    runs = written(placed.select(*key, "row", "left", "right", rectangle.alias("node")))
+    upper, lower = runs.alias("u"), runs.withColumn("row", F.col("row") - 1).alias("l")
+    touch = (F.col("u.left") <= F.col("l.right")) & (F.col("u.right") >= F.col("l.left"))
+    same = [F.col(f"u.{k}").eqNullSafe(F.col(f"l.{k}")) for k in (*key, "row")]
+    edges = upper.join(lower, same[0] & same[1] & same[2] & touch).select(F.col("u.node").alias("a"), F.col("l.node").alias("b")).filter("a <> b").distinct()
+    rectangles = written(runs.groupBy(*key, "node").agg(F.min("row").alias("top"), F.max("row").alias("bottom"), F.min("left").alias("left"), F.max("right").alias("right"), F.sum(F.col("right") - F.col("left") + 1).alias("n_cells")))
+    label = components(rectangles.select("node"), edges)
+    found = rectangles.join(label, "node").groupBy(*key, "label").agg(*[F.min(c).alias(c) for c in ("top", "left")], *[F.max(c).alias(c) for c in ("bottom", "right")], F.sum("n_cells").alias("n_cells"))
+    found = written(found.withColumn("area", (F.col("bottom") - F.col("top") + 1).cast("long") * (F.col("right") - F.col("left") + 1)))
+    home = homes(found)
+    into = found.join(home, "label").groupBy(F.col("home").alias("label")).agg(F.sum("n_cells").alias("more"))
+    left = found.join(home, "label", "left_anti").join(into, "label", "left")
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("top", "left")) - 1
+    n = (F.col("n_cells") + F.coalesce("more", F.lit(0))).cast("int")
+    return left.select(*key, number.alias("region"), "top", "left", "bottom", "right", n.alias("n_cells"), (n / F.col("area")).alias("density"))
+
+
+def homes(boxes: DataFrame) -> DataFrame:
+    """label, home: of each box within others the largest of those, then the topmost, then the leftmost.
+
+    Boxes meet by column and by bands of rows as high as the larger box, so only boxes that cover the
+    same column nearby are held against each other.
+    """
+    key = ["workbook_id", "sheet"]
+    height = F.col("bottom") - F.col("top") + 1
+    level = F.ceil(F.log2(height)).cast("int")
+    order = F.struct(-F.col("area"), "top", "left", "label")
+    band_of = lambda row: F.floor(F.col(row) / F.pow(F.lit(2.0), F.col("level")))
+    large = boxes.filter("area > 1").withColumn("level", level).withColumn("band", F.explode(F.array_distinct(F.array(band_of("top"), band_of("bottom")))))
+    large = large.select(*key, "level", "band", F.explode(F.sequence("left", "right")).alias("col"), order.alias("o"), F.struct("top", "left", "bottom", "right").alias("b"))
+    levels = [r["level"] for r in large.select("level").distinct().collect()]  # one for each power of two
+    if not levels:
+        return boxes.select("label", F.col("label").alias("home")).limit(0)
+    asked = boxes.withColumn("own", level).withColumn("level", F.explode(F.array(*[F.lit(x) for x in sorted(levels)]))).filter("level >= own")
+    asked = asked.select("label", *key, "level", band_of("top").alias("band"), F.col("left").alias("col"), order.alias("own"), "top", "left", "bottom", "right")
+    within = (F.col("b.top") <= F.col("top")) & (F.col("b.left") <= F.col("left")) & (F.col("b.bottom") >= F.col("bottom")) & (F.col("b.right") >= F.col("right")) & (F.col("o") < F.col("own"))
+    met = asked.join(large, [*key, "level", "band", "col"]).filter(within)
+    return met.groupBy("label").agg(F.min("o").alias("o")).select("label", F.col("o.label").alias("home"))
 
 
 def without_formulas_only(regions: DataFrame, cells: DataFrame) -> DataFrame:

@@ -211,6 +211,46 @@ def xlsx_cells(data: bytes) -> Iterator[tuple]:
                 e.clear()
 
 
+MERGED = re.compile(rb'<(?:\w+:)?mergeCell\s[^>]*?ref="([A-Z]+\d+)(?::([A-Z]+\d+))?"')
+MERGES = "workbook_id string, sheet int, top int, left int, bottom int, right int"
+
+
+def xlsx_merges(data: bytes) -> Iterator[tuple]:
+    """sheet, top, left, bottom, right of the merged cells of a file; files of other formats have none."""
+    if data[:4] != b"PK\x03\x04":
+        return
+    book = zipfile.ZipFile(io.BytesIO(data))
+    for i, path in enumerate(sheet_parts(book)):
+        for a, b in MERGED.findall(book.read(path)):
+            (top, left), (bottom, right) = place(a.decode()), place((b or a).decode())
+            yield i, min(top, bottom), min(left, right), max(top, bottom), max(left, right)
+
+
+def sheet_parts(book: zipfile.ZipFile) -> list[str]:
+    """The parts that hold a book's sheets, in order."""
+    tag = lambda e: e.tag.rpartition("}")[2]
+    names = {n.replace("\\", "/").lower(): n for n in book.namelist()}
+    relations = {e.get("Id"): e.get("Target") for e in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+    targets = [relations[next(v for k, v in e.attrib.items() if k.endswith("}id"))].lstrip("/") for e in ElementTree.fromstring(book.read("xl/workbook.xml")).iter() if tag(e) == "sheet"]
+    return [names[(t if t.startswith("xl/") else f"xl/{t}").lower()] for t in targets]
+
+
+def read_merges(files: DataFrame) -> DataFrame:
+    """files: path, content. The merged cells of xlsx files, for with_merged; files that can't be read have none, as read_cells tells of them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for content in batch["content"]:
+                try:
+                    found += [(f"workbook:{hashlib.sha256(bytes(content)).hexdigest()}", *m) for m in xlsx_merges(bytes(content))]
+                except (KeyError, ValueError, StopIteration, ElementTree.ParseError, zipfile.BadZipFile):
+                    continue
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in MERGES.split(", ")])
+
+    return files.select("content").mapInPandas(run, MERGES).distinct()
+
+
 READERS = {"csv": csv_cells, "excel_html": html_cells, "xlsx": xlsx_cells}
 
 
@@ -245,8 +285,13 @@ def read_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
-def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """Cells of all files below a folder whose names fit the pattern, as *.{xlsx,csv}; a content that several files have is read once, under the first path."""
+def distinct_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """path, content of all files below a folder whose names fit the pattern, as *.{xlsx,csv}; of files with one content the first path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     first = files.select("path", F.sha2("content", 256).alias("sha")).groupBy("sha").agg(F.min("path").alias("path")).select("path")
-    return read_cells(files.join(first, "path", "left_semi"))
+    return files.join(first, "path", "left_semi")
+
+
+def read_folder(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Cells of all files below a folder whose names fit the pattern; a content that several files have is read once, under the first path."""
+    return read_cells(distinct_files(spark, folder, pattern))
