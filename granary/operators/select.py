@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,10 +74,12 @@ def projected(df: DataFrame, facts: FactSet, codes: Sequence[str]) -> DataFrame:
     return df.select("record_id", "item_id", *[facts.value(c).alias(c.rpartition(".")[2]) for c in codes])
 
 
-def long_values(facts: FactSet, df: DataFrame, codes: Iterable[str] | None = None, more: Sequence[str] = ()) -> DataFrame:
+def long_values(facts: FactSet, df: DataFrame, codes: Iterable[str] | None = None, more: Sequence[str] = (), apart: bool = False) -> DataFrame:
     """The value rows of a wide fact set: record_id, field_code, field_version, role, data_type and a column for each type.
 
-    codes: only these fields are unrolled; more: further columns of df that come along.
+    codes: only these fields are unrolled; more: further columns of df that come along. apart makes each field a
+    select of its own: a condition on field_code then leaves only the fields it names, and the scan reads nothing else;
+    without one the records are read once for each field, of which each reads its own columns.
     """
     rows = []
     for code in facts.types if codes is None else codes:
@@ -85,5 +88,10 @@ def long_values(facts: FactSet, df: DataFrame, codes: Iterable[str] | None = Non
             cell = F.col(f"`{name(code, role)}`")
             typed = [(cell["v"] if k == kind else F.lit(None)).cast(t).alias(f"{k}_value") for k, t in SPARK_TYPES.items()]
             known = [F.lit(code).alias("field_code"), F.lit(facts.field_versions.get(code, 1)).alias("field_version"), F.lit(role).alias("role"), F.lit(kind).alias("data_type")]
-            rows.append(F.struct(*known, F.coalesce(cell["present"], F.lit(False)).alias("present"), *typed))
-    return df.select("record_id", "item_id", "unit_id", *more, F.inline(F.array(*rows))).filter("present").drop("present")
+            rows.append((cell["present"], [*known, *typed]))
+    own = ["record_id", "item_id", "unit_id", *more]
+    if apart and rows:
+        parts = [df.filter(present).select(*own, *columns) for present, columns in rows]
+        return reduce(DataFrame.unionByName, parts)
+    each = F.inline(F.array(*[F.struct(*columns, F.coalesce(present, F.lit(False)).alias("present")) for present, columns in rows]))
+    return df.select(*own, each).filter("present").drop("present")
