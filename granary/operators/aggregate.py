@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.contracts import CoverageError, FactSet, QueryError
+from ..sources.work import written
 
 
 def count_identities(df: DataFrame, facts: FactSet, identity: Sequence[str], with_nulls: bool) -> DataFrame:
@@ -43,9 +44,10 @@ def aggregate(how: str, c: Column, distinct: bool = True) -> Column:
 def group_counts(df: DataFrame, facts: FactSet, code: str, requested: Sequence | None = None) -> DataFrame:
     """Records for each value of a field, checked for coverage; requested values are zero-filled, in order.
 
-    Fails if records have no value, or if a value that wasn't requested occurs.
+    Fails if records have no value, or if a value that wasn't requested occurs. The groups are counted once, written, and
+    checked from there.
     """
-    counted = df.groupBy(facts.value(code).alias("value")).agg(F.countDistinct("record_id").alias("record_count"))
+    counted = written(df.groupBy(facts.value(code).alias("value")).agg(F.countDistinct("record_id").alias("record_count")))
     wanted = None if not requested else [str(v) for v in requested]
     known = F.col("value").isNotNull() & (F.lit(True) if wanted is None else F.col("value").cast("string").isin(wanted))
     check = counted.agg(F.coalesce(F.sum(F.when(~known, F.col("record_count"))), F.lit(0)).alias("outside")).first()

@@ -57,8 +57,10 @@ def materialize(cells: DataFrame, mappings: DataFrame, first_row: int, last_row:
     rows = rows.join(wanted, "sheet", "left").withColumn("identity", F.transform("keys", lambda k: F.col("held")[k])).withColumn("missing", F.array_except("needs", "codes"))
     full = (F.size("keys") > 0) & F.forall("identity", lambda v: v.isNotNull())
     partly = F.exists("identity", lambda v: v.isNotNull()) & ~full & (F.size("keys") > 0)
+    # Only rows with a whole identity are held against each other; the others have nothing in common.
     first = Window.partitionBy("item_id", "sheet", "identity").orderBy("row")
-    rows = rows.withColumn("again", full & (F.row_number().over(first) > 1))
+    again = rows.filter(full).withColumn("again", F.row_number().over(first) > 1).filter("again").select("record_id", "again")
+    rows = rows.join(again, "record_id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     issues = F.concat(
         F.transform("bad", lambda b: F.struct(F.lit("normalization_failed").alias("code"), F.concat(b["code"], F.lit("@"), b["coordinate"]).alias("detail"))),
         F.transform("missing", lambda c: F.struct(F.lit("required_missing").alias("code"), c.alias("detail"))),

@@ -42,13 +42,15 @@ def classify(cases: DataFrame, terms: DataFrame, fields: DataFrame, enforce_sens
     sources = matching_sources(cases, fields)
     of_source = sources.join(fields, "source_key")
     reached = of_source.groupBy("case_id").agg(F.collect_set("code").alias("held"), F.collect_set(F.when(F.col("queryable"), F.col("code"))).alias("open"), F.countDistinct("fact_set_key").alias("n_sets"))
-    everywhere = fields.agg(F.collect_set("code").alias("all_held"), F.collect_set(F.when(F.col("queryable"), F.col("code"))).alias("all_open"))
+    # Questions that name no file are held against all fields: by code, not by a list of them.
+    anywhere = fields.groupBy("code").agg(F.max("queryable").alias("queryable"))
+    found = matched.select("case_id", "code").distinct().join(anywhere, "code").groupBy("case_id").agg(F.lit(True).alias("any_held"), F.coalesce(F.bool_or("queryable"), F.lit(False)).alias("any_open"))
     named = F.size(F.filter("reference_keys", lambda k: k != "")) > 0
-    full = cases.join(codes, "case_id", "left").join(reached, "case_id", "left").join(F.broadcast(everywhere))  # one row
+    full = cases.join(codes, "case_id", "left").join(reached, "case_id", "left").join(found, "case_id", "left")
     empty = F.array().cast("array<string>")
     full = full.withColumn("codes", F.coalesce("codes", empty)).withColumn("n_sets", F.when(named, F.coalesce("n_sets", F.lit(0))).otherwise(0))
-    held = F.when(named, F.coalesce("held", empty)).otherwise(F.col("all_held"))
-    open_ = F.when(named, F.coalesce("open", empty)).otherwise(F.col("all_open"))
+    holds = F.when(named, F.arrays_overlap("codes", F.coalesce("held", empty))).otherwise(F.coalesce("any_held", F.lit(False)))
+    opens = F.when(named, F.arrays_overlap("codes", F.coalesce("open", empty))).otherwise(F.coalesce("any_open", F.lit(False)))
     reference = F.when(~named, "not_specified").when(F.col("held").isNotNull(), "matched").otherwise("unmatched")
     any_code = F.size("codes") > 0
     rules = [
@@ -58,9 +60,9 @@ def classify(cases: DataFrame, terms: DataFrame, fields: DataFrame, enforce_sens
         (reference == "unmatched", "data_not_ingested", "referenced_file_not_found_in_approved_records"),
         (_has(q, RELATIONS), "semantic_assessment_required", "requires_unpublished_relation_or_time_contract"),
         (_has(q, NUMERIC) & any_code & ~F.coalesce("typed", F.lit(False)), "semantic_assessment_required", "numeric_measure_is_not_typed"),
-        (any_code & F.arrays_overlap("codes", open_) & _has(q, ASKING), "governed_executable", "published_contract_and_queryable_field_present"),
-        (F.arrays_overlap("codes", held) & _has(q, ASKING) & (F.col("n_sets") == 1), "bounded_query_candidate", "single_fact_set_and_approved_field_present"),
-        (F.arrays_overlap("codes", held) & (F.col("n_sets") != 1), "should_clarify", "bounded_query_fact_set_is_not_unique"),
+        (any_code & opens & _has(q, ASKING), "governed_executable", "published_contract_and_queryable_field_present"),
+        (holds & _has(q, ASKING) & (F.col("n_sets") == 1), "bounded_query_candidate", "single_fact_set_and_approved_field_present"),
+        (holds & (F.col("n_sets") != 1), "should_clarify", "bounded_query_fact_set_is_not_unique"),
         (any_code, "semantic_assessment_required", "matching_field_is_not_present_in_referenced_data"),
     ]
     found = F.struct(F.lit("semantic_assessment_required").alias("category"), F.lit("no_queryable_approved_field_match").alias("reason"))

@@ -5,23 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.work import written
+
 # What an action needs and makes.
 TRANSITIONS = {"confirm": ("draft", "user_confirmed"), "submit_review": ("user_confirmed", "admin_review"), "approve": ("admin_review", "published"), "reject": ("admin_review", "draft"), "deprecate": ("published", "deprecated")}
 
 
-def ends_of_chains(edges: DataFrame, rounds: int = 30) -> DataFrame:
-    """edges: old_id, new_id, one per old_id, without cycles. old_id, end: where its chain of replacements ends.
+def ends_of_chains(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """edges: old_id, new_id, one per old_id. old_id, end: where its chain of replacements ends; a cycle is an error.
 
-    A chain's reach doubles with each round, so the rounds suffice for 2**rounds links.
+    A chain's reach doubles with each round, and each round is written, so a plan never holds more than one. Chains of n
+    links need about log2(n) rounds; what goes on after that many for all edges is a cycle.
     """
-    reach = edges.select("old_id", F.col("new_id").alias("end"))
-    for _ in range(rounds):
+    reach = written(edges.select("old_id", F.col("new_id").alias("end")))
+    for _ in range(rounds or max(1, reach.count()).bit_length() + 1):
         further = reach.select(F.col("old_id").alias("end"), F.col("end").alias("further"))
-        step = reach.join(further, "end", "left").select("old_id", "end", "further")
+        step = written(reach.join(further, "end", "left").select("old_id", "end", "further"))
+        reach = step.select("old_id", F.coalesce("further", "end").alias("end"))
         if step.filter("further is not null").isEmpty():
             return reach
-        reach = step.select("old_id", F.coalesce("further", "end").alias("end"))
-    raise ValueError("replacements form a cycle or too long a chain")
+    raise ValueError("replacements form a cycle")
 
 
 def supersession_problems(items: DataFrame, records: DataFrame, declared: DataFrame, wanted: DataFrame, units: list[str]) -> DataFrame:

@@ -403,16 +403,19 @@ def numbered_match_orders(spark, d):
 # Matching.
 
 
-@query("""WITH a AS (SELECT p_partkey AS left_id, list_distinct(string_split(p_name, ' ')) AS x FROM part WHERE p_size = 7), b AS (SELECT p_partkey AS right_id, list_distinct(string_split(p_name, ' ')) AS y FROM part WHERE p_size = 9),
-s AS (SELECT left_id, right_id, CAST(round_even(10000.0 * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 0) AS BIGINT) AS score FROM a JOIN b ON len(list_intersect(x, y)) > 0),
-r AS (SELECT *, score - COALESCE(lead(score) OVER w, 0) AS lead, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
-SELECT left_id, right_id, score, lead, score >= 8500 AND lead >= 1500 AS exact FROM r WHERE n = 1""")
+@query("""WITH a AS (SELECT p_partkey AS left_id, list_distinct(string_split(p_name, ' ')) AS x FROM part), b AS (SELECT MIN(p_type) AS right_id, list_sort(x) AS y FROM (SELECT p_type, list_distinct(string_split(p_type || ' ' || p_name, ' ')) AS x FROM part) GROUP BY list_sort(x)),
+s AS (SELECT left_id, right_id, array_to_string(y, ' ') AS labels, CAST(round_even(10000.0 * len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 0) AS BIGINT) AS score FROM a JOIN b ON len(list_intersect(x, y)) > 0)
+SELECT left_id, labels, score FROM s QUALIFY row_number() OVER (PARTITION BY left_id ORDER BY score DESC, labels) = 1""")
 def template_match_part(spark, d):
-    from .operators.matching import best_template, score_sets
+    """Every part's name against the distinct label sets of all parts' names and types: the nearest, met by its rarest labels."""
+    from .operators.layers import best_covered, header_score
 
-    p = S.table(spark, d, "part").withColumn("labels", F.split("p_name", " "))
-    side = lambda size, label: p.filter(F.col("p_size") == size).select(F.col("p_partkey").alias(label), "labels")
-    return best_template(score_sets(side(7, "left_id"), side(9, "right_id"))).select("left_id", "right_id", "score", "lead", "exact")
+    none = F.struct(F.lit(None).cast("long").alias("columns"), F.lit(None).cast("long").alias("header_depth"), F.lit(None).cast("string").alias("kind")).alias("told")
+    p = S.table(spark, d, "part")
+    left = p.select(F.col("p_partkey").alias("left_id"), F.split("p_name", " ").alias("keys"), none)
+    sets = p.select(F.array_sort(F.array_distinct(F.split(F.concat_ws(" ", "p_type", "p_name"), " "))).alias("keys")).distinct()
+    right = sets.select(F.array_join("keys", " ").alias("right_id"), "keys", none)
+    return best_covered(left, right, header_score).select("left_id", F.col("right_id").alias("labels"), "score")
 
 
 @query("""WITH p AS (SELECT p_partkey AS left_id, p_brand, list_distinct(string_split(p_name, ' ')) AS x FROM part), b AS (SELECT p_brand AS right_id, list_distinct(flatten(list(x))) AS y FROM p GROUP BY 1),
