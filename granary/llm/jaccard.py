@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .shared import saved, scratch, table
-from .words import LOWER, NOT_BLANK, U, grams, hashes, mixed, pieces, spans, text_bytes
+from .words import LOWER, NOT_BLANK, U, grams, hashes, mixed, pieces, release, spans, text_bytes
 
 SHARE = 3  #: tokens that two prefixes must share
 ORDERS = (U(0x1F83D9ABFB41BD6B), U(0x5BE0CD19137E2179))  #: of the filters before verification
@@ -245,6 +245,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percen
                 shared = _shared(first[0], left, np.r_[0, np.cumsum(size)])
                 distance = 1 - shared / (len(first[0]) + size - shared)
                 yield pa.RecordBatch.from_arrays([pa.array(key[lo:hi][keep]), pa.array(batch.column("node").to_numpy()[lo:hi][keep]), pa.array(distance)], ["a", "b", "distance"])
+        first = None
+        release()
 
     fronts = [f"front{i}" for i in range(len(ORDERS))]
     ids = _small(needed)
@@ -269,7 +271,7 @@ def _shared(own: np.ndarray, values: np.ndarray, start: np.ndarray) -> np.ndarra
     return total[start[1:]] - total[start[:-1]]
 
 
-def by_token(work, rows_at_once: int = 200_000):
+def by_token(work, rows_at_once: int = 50_000):
     """For mapInArrow over rows sorted by token: gives work the rows of whole tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,6 +291,8 @@ def by_token(work, rows_at_once: int = 200_000):
                 n -= whole
         if held:
             yield from work(pa.Table.from_batches(held))
+        del held
+        release()
 
     return run
 

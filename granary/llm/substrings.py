@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import saved, scratch, table
-from .words import NOT_BLANK, U, grams, hashes, pieces, spans, text_bytes
+from .words import NOT_BLANK, U, grams, hashes, pieces, release, spans, text_bytes
 
 SIZE, K = 35, 8
 HOT = 20_000  #: occurrences of an anchor beyond which its windows are dealt one by one
@@ -238,6 +238,8 @@ def parse_blocks(runs: DataFrame, size: int) -> DataFrame:
                 held_bytes = sum(b.nbytes for b in held)
         if held:
             yield made(pa.Table.from_batches(held))
+        del held
+        release()
 
     kind = runs.schema["doc_id"].dataType.simpleString()
     return runs.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"doc_id {kind}, text_hash long, lo int, hi int")

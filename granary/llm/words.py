@@ -7,6 +7,7 @@ to the word's own start. A final mix spreads the bits.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -105,14 +106,25 @@ def grams(words: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return mixed(h[at]), at
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give memory that isn't in use back to the system: a worker lives on when its task has ended, and keeps what it doesn't."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str = "text", most: int = _SUB) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of at most so many bytes of text, or of one row."""
+    """The batch in slices of at most so many bytes of text, or of one row; memory is released after the last."""
     _, off = text_bytes(batch.column(column))
     i = 0
     while i < batch.num_rows:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, side="right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    release()
 
 
 def by_pieces(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
