@@ -1,11 +1,11 @@
 """Benchmark decontamination with a positional inverted index, in DataFrame operations only.
 
-Test items are cut into windows of consecutive words. The index stores the documents'
-postings, document and position, of the terms that windows are looked up by: of each window
-its rarest terms. Their lists, less the terms' offsets in the window, are intersected: a
-window may stand where all of them agree on the start. What stands in all lists up to a
-slop is a proximity match, and an exact phrase if the document's words from the start on are
-the window's, which is checked in the documents that are left.
+Test items are cut into windows of consecutive words, each looked up by its rarest terms. The index is a
+stored table: of each of these terms and each document that holds it, the positions where it
+stands. Lists, less the terms' offsets in the window, are intersected: a window may stand where
+all of them agree on the start. What stands in all lists up to a slop is a proximity match, and an exact
+phrase if the document's words from the start on are the window's, which is checked in the
+documents that are left. Which items a window is of is joined last, to what was hit.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ def _fits(df: DataFrame, size: Column) -> bool:
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """Distinct windows of items: win (the words), n, items (sorted ids as strings).
+    """item, win_id, win (the words), n of every window of every item; items are strings, null is empty.
 
     An item of fewer words than size, but not none, is one window.
     """
     cut = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - size + 1, F.lit(1)))
-    each = cut.select("item", "w", F.explode(starts).alias("at")).select("item", F.expr(f"slice(w, at, {size})").alias("win"))
-    return each.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumn("n", F.size("win"))
+    each = cut.select("item", "w", F.explode(starts).alias("at")).select("item", F.expr(f"slice(w, at, {size})").alias("win")).distinct()
+    return each.select("item", F.xxhash64("win").alias("win_id"), "win", F.size("win").alias("n"))
 
 
 def by_term(postings: DataFrame, keyed: DataFrame) -> DataFrame:
@@ -50,8 +50,21 @@ def by_term(postings: DataFrame, keyed: DataFrame) -> DataFrame:
     return postings.withColumn("salt", F.pmod(F.xxhash64("text_hash", "doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["term", "salt"]).drop("salt")
 
 
+def build_index(split: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """The positional index: term, doc_id, text_hash, positions (ascending), stored.
+
+    terms: term, those that are indexed; without it all are. A list is one document's, so a frequent
+    term's lists are dealt to many tasks. Rows that repeat an id and a text are one document.
+    """
+    postings = split.dropDuplicates(["doc_id", "text_hash"]) if terms is None else split
+    postings = postings.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
+    if terms is not None:
+        postings = by_term(postings, terms.select("term").distinct())
+    return saved(postings.groupBy("term", "doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("positions")), "index")
+
+
 def rarest_terms(windows: DataFrame, split: DataFrame, lists: int) -> DataFrame:
-    """windows with keys: the offsets and terms of their rarest terms in split, rarest first.
+    """windows (win, ...) with keys: the offsets and terms of their rarest terms in split, rarest first.
 
     Terms are counted over all documents. Ties go to the lesser term, then the first offset.
     """
@@ -70,19 +83,21 @@ def split_texts(docs: DataFrame) -> DataFrame:
     return saved(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), words(F.col("text")).alias("words")), "words")
 
 
-def find_phrases(split: DataFrame, items: DataFrame, size: int = 10, lists: int = 2, slop: int = 0) -> DataFrame:
-    """Occurrences of the items' windows: doc_id, text_hash, start (word, from 0), n, items, exact.
+def find_windows(split: DataFrame, windows: DataFrame, lists: int = 2, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """Occurrences of windows: doc_id, text_hash, win_id, start (word, from 0), n, exact.
 
-    split: see split_texts; items: item_id, text. With slop 0 rows are exact phrases; with more,
-    the rarest terms may stand up to slop words off, and exact tells phrases from proximity; a
-    start before the first word, by up to slop, is possible for those. text_hash parts rows that
-    share a doc_id. Windows that no document holds have no rows.
+    split: see split_texts; windows: win_id, win, n, distinct, as item_windows has them. index: see
+    build_index, made of the windows' rarest terms if it isn't there; one of all terms serves any windows. With slop 0
+    rows are exact phrases; with more, the rarest terms may stand up to slop words off, and exact
+    tells phrases from proximity; a start before the first word, by up to slop, is possible for
+    those. text_hash parts rows that share a doc_id. Windows that no document holds have no rows.
     """
-    windows = saved(rarest_terms(item_windows(items, size), split, lists).withColumn("win_id", F.xxhash64("win")), "windows")
+    windows = saved(rarest_terms(windows, split, lists), "windows")
     keyed = windows.select("win_id", F.size("keys").alias("lists"), F.posexplode("keys").alias("list", "key")).select("win_id", "lists", "list", "key.offset", "key.term")
     same = ["doc_id", "text_hash", "win_id"]
-    postings = split.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
-    places = by_term(postings, keyed).select(*same, "lists", "list", (F.col("pos") - F.col("offset")).alias("start")).filter(F.col("start") >= -slop)
+    index = build_index(split, keyed) if index is None else index
+    met = by_term(index, keyed).select(*same, "lists", "list", F.explode("positions").alias("pos"), "offset")
+    places = met.select(*same, "lists", "list", (F.col("pos") - F.col("offset")).alias("start")).filter(F.col("start") >= -slop)
     if slop == 0:  # equal adjusted positions meet in a grouping, which begins before the shuffle
         met = places.groupBy(*same, "start").agg(F.bit_or(F.expr("shiftleft(1L, list)")).alias("seen"), F.first("lists").alias("lists"))
         agreed = met.filter(F.bit_count("seen") == F.col("lists")).select(*same, "start")
@@ -97,11 +112,16 @@ def find_phrases(split: DataFrame, items: DataFrame, size: int = 10, lists: int
     told = told.withColumnsRenamed({"doc_id": "d", "text_hash": "t"})
     # Rows that repeat an id and a text are one document here.
     text = split.join(told, split["doc_id"].eqNullSafe(told["d"]) & (split["text_hash"] == told["t"])).select(*same, "start", "words")
-    shown = windows.select("win_id", "win", "n", "items")
-    shown = F.broadcast(shown) if _fits(shown, F.lit(256)) else shown
+    shown = windows.select("win_id", "win", "n")
+    shown = F.broadcast(shown) if _fits(shown, 64 + F.aggregate("win", F.lit(0), lambda n, w: n + F.octet_length(w) + 24)) else shown
     exact = (F.col("start") >= 0) & (F.slice("words", F.greatest("start", F.lit(0)) + 1, F.col("n")) == F.col("win"))
-    found = text.join(shown, "win_id").select(*same, "start", "n", "items", exact.alias("exact"))
-    return (found if slop else found.filter("exact")).dropDuplicates([*same, "start"]).drop("win_id")
+    found = text.join(shown, "win_id").select(*same, "start", "n", exact.alias("exact"))
+    return (found if slop else found.filter("exact")).dropDuplicates([*same, "start"])
+
+
+def find_phrases(split: DataFrame, items: DataFrame, size: int = 10, lists: int = 2, slop: int = 0, index: DataFrame | None = None) -> DataFrame:
+    """Occurrences of the items' windows, see find_windows; items: item_id, text."""
+    return find_windows(split, item_windows(items, size).select("win_id", "win", "n").dropDuplicates(["win_id"]), lists, slop, index)
 
 
 def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
@@ -114,13 +134,18 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     with scratch():
         split = split_texts(docs)
         sized = saved(split.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words")), "sizes", keep=True)
-        found = saved(find_phrases(split, items, size), "phrases", keep=True)
+        every = saved(item_windows(items, size), "items")
+        found = saved(find_windows(split, every.select("win_id", "win", "n").dropDuplicates(["win_id"])), "phrases", keep=True)
+        # A window of many items meets them once for each document that holds it.
+        of_window = every.select("win_id", "item")
+        of_window = F.broadcast(of_window) if _fits(of_window, 48 + F.octet_length("item")) else of_window
+        named = found.select("doc_id", "text_hash", "win_id").distinct().join(of_window, "win_id").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("item")).alias("items"))
+        named = saved(named, "named", keep=True)
     key = ["doc_id", "text_hash"]
     upto = Window.partitionBy(*key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select(*key, "start", (F.col("start") + F.col("n")).alias("end")).distinct()
     covered = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(F.max("end").over(upto), F.lit(0))))
     hits = spans.withColumn("new", covered).groupBy(*key).agg(F.sum("new").cast("long").alias("n_hit"))
-    named = found.select(*key, F.explode("items").alias("item")).groupBy(*key).agg(F.sort_array(F.collect_set("item")).alias("items"))
     per_doc = hits.join(named.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select(F.col("d"), F.col("t"), "n_hit", "items")
     full = sized.join(per_doc, sized["doc_id"].eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     none = F.array().cast("array<string>")

@@ -285,6 +285,27 @@ def test_proximity(spark):
     assert (2, True) in near and all(not e for i, e in near if i == 1) and not any(i == 3 for i, _ in near)
 
 
+def test_one_index_serves_phrases_and_proximity_of_any_items(spark):
+    r = random.Random(3)
+    vocabulary = "abcdefgh"
+    d = [(i % 25 if i % 7 else None, " ".join(r.choice(vocabulary) for _ in range(r.randrange(30)))) for i in range(60)] + [(3, "a b c d")] * 2
+    docs = spark.createDataFrame(d, "doc_id long, text string")
+    split = decontamination.split_texts(docs)
+    index = decontamination.build_index(split)
+    lists = {(x.doc_id, x.text_hash, x.term): x.positions for x in index.collect()}
+    held = {(x.doc_id, x.text_hash): x.words for x in split.collect()}
+    assert lists == {(*k, t): [i for i, w in enumerate(ws) if w == t] for k, ws in held.items() for t in set(ws)}
+    for n_items, slop in ((4, 0), (6, 2)):
+        items = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randrange(1, 6)))) for i in range(n_items)]
+        b = spark.createDataFrame(items, "item_id long, text string")
+        rows = [decontamination.find_phrases(split, b, size=3, slop=slop, index=x).collect() for x in (index, None)]
+        assert Counter(map(tuple, rows[0])) == Counter(map(tuple, rows[1]))
+        windows = {tuple(w[i : i + 3]) for _, t in items for w in [t.split()] for i in range(max(len(w) - 2, 1))}
+        want = {(k, i, len(w)) for k, ws in held.items() for w in windows for i in range(len(ws)) if tuple(ws[i : i + len(w)]) == w}
+        got = [x for x in rows[0] if x.exact]
+        assert {((x.doc_id, x.text_hash), x.start, x.n) for x in got} == want and len(got) == len({(x.doc_id, x.text_hash, x.win_id, x.start) for x in got})
+
+
 def test_top_k(spark):
     r = random.Random(5)
     rows = [(i, [r.randint(-9, 9) for _ in range(6)]) for i in range(400)] + [(1000 + i, [3] * 6) for i in range(30)] + [(5, [99] * 6), (None, [1] * 6), (7000, None), (8000, [1, 2]), (8001, [5, 5])]
