@@ -1,10 +1,11 @@
-"""Queries by the layers of template matching: headers, compositions of sheets, routes of workbooks."""
+"""Queries by the layers of template matching: headers, compositions of sheets, routes of workbooks; and by the approval of plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from .operators import layers as T
+from .plans.approval import approve
 from .registry import query
 from .sources import facts as S
 from .sources.work import written
@@ -114,3 +115,39 @@ def workbook_routes_customers(spark, d):
     route = F.concat(F.lit("nation"), F.lpad(F.col("nation").cast("string"), 2, "0"))
     routes = top.select(route.alias("entry_id"), F.col("member").alias("slot_key"), F.lit(1).alias("ordinal"), "member", F.lit(True).alias("required"), F.lit(True).alias("materialize"))
     return T.match_slots(customers, had.select("owner_id", "member", "part_id"), routes)[0].select("owner_id", "entry_id", "score", "matched_slots", "coverage")
+
+
+# Orders as requests for plans of their customers' files, lines as regions, and a plan for each customer with an old finished order.
+APPROVAL = """g AS (
+  SELECT l_orderkey AS plan_id, concat_ws('/', l_linenumber, l_partkey, l_suppkey) AS region_id, l_linestatus AS header_id, l_returnflag AS sheet, CASE WHEN l_returnflag = 'N' AND l_tax < 0.005 THEN 'open' ELSE 'reused' END AS origin,
+    l_quantity > 5 AS materialize, EXTRACT(day FROM l_shipdate) AS top, EXTRACT(day FROM l_shipdate) + l_quantity::INT % 5 AS bottom, l_partkey % 20 AS lft, l_partkey % 20 + l_suppkey % 5 AS rgt
+  FROM lineitem
+), act AS (SELECT DISTINCT * FROM g WHERE materialize AND origin <> 'open'),
+crossing AS (SELECT DISTINCT a.plan_id FROM act a JOIN act b ON a.plan_id = b.plan_id AND a.sheet = b.sheet AND a.region_id < b.region_id AND a.top <= b.bottom AND b.top <= a.bottom AND a.lft <= b.rgt AND b.lft <= a.rgt),
+told AS (SELECT plan_id, COUNT(*) AS n, COUNT(*) FILTER (origin = 'open') AS n_open, COUNT(*) FILTER (materialize AND origin <> 'open' AND header_id = 'O') AS homeless FROM (SELECT DISTINCT * FROM g) GROUP BY 1),
+latest AS (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1993-01-01' GROUP BY 1)"""
+
+
+@query(f"""WITH {APPROVAL} SELECT o_orderkey AS plan_id, CASE WHEN c_custkey IS NULL THEN 'unknown_item' WHEN c_acctbal < 0 THEN 'item_deleted' WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'unknown_source'
+  WHEN o_orderstatus = 'P' OR o_orderpriority = '5-LOW' THEN 'template_unavailable' WHEN COALESCE(n, 0) <> 3 THEN 'regions_differ' WHEN n_open > 0 THEN 'regions_open' WHEN homeless > 0 THEN 'header_of_other_region'
+  WHEN crossing.plan_id IS NOT NULL THEN 'ranges_overlap' WHEN latest.o_custkey IS NOT NULL THEN 'latest_not_superseded' END AS problem
+FROM orders LEFT JOIN customer ON c_custkey = orders.o_custkey LEFT JOIN told ON told.plan_id = o_orderkey LEFT JOIN crossing ON crossing.plan_id = o_orderkey LEFT JOIN latest ON latest.o_custkey = orders.o_custkey""")
+def plan_approvals_orders(spark, d):
+    orders, customers = S.table(spark, d, "orders"), S.table(spark, d, "customer")
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    source = F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "guess").when(F.col("o_orderpriority") == "5-LOW", "proposed").otherwise("template")
+    requests = orders.select(F.col("o_orderkey").alias("plan_id"), text("o_custkey").alias("item_id"), source.alias("source"), F.col("o_orderstatus").alias("template_id"), F.lit(1).alias("template_version"), none.alias("proposal_id"), F.lit(None).cast("long").alias("supersedes"), text("o_orderkey").alias("digest"))
+    items = customers.select(text("c_custkey").alias("item_id"), (F.col("c_acctbal") >= 0).alias("active"), F.lit(3).alias("total_regions"))
+    templates = orders.select(F.col("o_orderstatus").alias("template_id")).distinct().select("template_id", F.lit(1).alias("version"), F.when(F.col("template_id") == "P", "draft").otherwise("published").alias("status"), F.lit(False).alias("retired"), none.alias("proposal_id"))
+    proposals = items.select(none.alias("proposal_id"), "item_id", none.alias("status"), F.lit(False).alias("retired")).filter("proposal_id is not null")
+    day, left = F.dayofmonth("l_shipdate"), F.col("l_partkey") % 20
+    regions = S.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("plan_id"), F.concat_ws("/", "l_linenumber", "l_partkey", "l_suppkey").alias("region_id"), F.col("l_linestatus").alias("header_id"), F.col("l_returnflag").alias("sheet"),
+        F.when((F.col("l_returnflag") == "N") & (F.col("l_tax") < 0.005), "open").otherwise("reused").alias("origin"), (F.col("l_quantity") > 5).alias("materialize"),
+        day.alias("data_top"), (day + F.col("l_quantity").cast("int") % 5).alias("data_bottom"), left.alias("data_left"), (left + F.col("l_suppkey") % 5).alias("data_right"),
+    ).distinct()
+    headers = regions.filter("header_id = 'F'").select("region_id", "header_id")
+    old = orders.filter("o_orderstatus = 'F' and o_orderdate < timestamp '1993-01-01'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("plan_id"))
+    plans = old.select("plan_id", text("o_custkey").alias("item_id"), F.lit(1).alias("revision"), F.lit("template").alias("source"), F.lit("F").alias("template_id"), F.lit(1).alias("template_version"), none.alias("proposal_id"), F.lit("old").alias("digest"), F.lit("completed").alias("status"))
+    return approve(requests, items, templates, proposals, regions, headers, plans).select("plan_id", "problem")
