@@ -26,6 +26,17 @@ def numeric_text(c: Column) -> Column:
     return strip(F.translate(c, ZERO_WIDTH + ",", ""))
 
 
+def week_date(text: Column) -> Column:
+    """The date of an ISO week: 2024-W05, 2024-W05-3, 2024W053; NULL for weeks and days that the year doesn't have."""
+    form = r"^(\d{4})-W(\d{2})(?:-(\d))?$|^(\d{4})W(\d{2})(\d)?$"
+    part = lambda a, b: F.coalesce(F.nullif(F.regexp_extract(text, form, a), F.lit("")), F.nullif(F.regexp_extract(text, form, b), F.lit(""))).try_cast("int")
+    year, week, day = part(1, 4), part(2, 5), F.coalesce(part(3, 6), F.lit(1))
+    fourth = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-01-04")).try_cast("date")  # is in the first week
+    monday = F.date_add(F.date_sub(fourth, F.weekday(fourth)), (week - 1) * 7)
+    there = (week >= 1) & (day >= 1) & (day <= 7) & (F.year(F.date_add(monday, 3)) == year)  # a week is its Thursday's year's
+    return F.when(text.rlike(form) & there, F.date_add(monday, day - 1))
+
+
 def parse(c: Column, kind: str) -> Column:
     """The typed value of a string, NULL if it isn't one."""
     text = strip(c)
@@ -39,12 +50,13 @@ def parse(c: Column, kind: str) -> Column:
     if kind == "integer":
         number = numeric_text(c)
         # A wide scale, so that 2.00000000001 is not taken for 2; 1e3 and 2.0 are integers.
+        odd = number.rlike(r"^[+-]?\d*\.\d*[1-9]\d*$")  # however far behind the point
         wide = F.coalesce(number.try_cast("decimal(38,18)"), number.try_cast("decimal(38,0)").cast("decimal(38,18)"))
-        return F.when(wide == F.floor(wide), wide).try_cast("int")
+        return F.when(~odd & (wide == F.floor(wide)), wide).try_cast("int")
     if kind == "date":
         iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
         flat = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("date"))
-        return F.coalesce(iso, flat)
+        return F.coalesce(iso, flat, week_date(text))
     if kind == "datetime":
         return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"), text.try_cast("timestamp"))
     raise ValueError(f"unknown semantic type: {kind}")

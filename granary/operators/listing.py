@@ -50,6 +50,20 @@ def fill_down(df: DataFrame, value: str, group: Sequence[str], order: Sequence[C
     return df.withColumn(label, F.last(value, ignorenulls=True).over(w))
 
 
+def fill_down_within(df: DataFrame, outer: str, inner: str, group: Sequence[str], order: Sequence[Column], labels: tuple[str, str]) -> DataFrame:
+    """Two levels filled down: outer from its last value, inner from its last value since outer had one."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    told = df.withColumn("_stretch", F.count(outer).over(w)).withColumn(labels[0], F.last(outer, ignorenulls=True).over(w))
+    return fill_down(told, inner, [*group, "_stretch"], order, labels[1]).drop("_stretch")
+
+
+def left_chain(df: DataFrame, steps: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
+    """df with what each step's table has for it, left to right: (table, key in what is there, key in the table). Rows without a match stay, with nulls."""
+    for table, here, there in steps:
+        df = df.join(table, df[here] == table[there], "left").drop(table[there])
+    return df
+
+
 def numbered_match(left: DataFrame, right: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """A multiset match: the i-th row of a key on the left meets the i-th on the right, each once."""
     w = Window.partitionBy(*keys).orderBy(order)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fields import parts
+from .listing import fill_down_within
 
 # Words that decide a question's class.
 SENSITIVE = ["身份证", "身份证号", "公民身份号码", "手机号", "电话号码", "银行卡", "银行账号", "一卡通号", "社保卡号", "残疾证号", "对公账户", "户编号", "手机"]
@@ -69,3 +70,39 @@ def classify(cases: DataFrame, terms: DataFrame, fields: DataFrame, enforce_sens
     for when, category, reason in reversed(rules):
         found = F.when(F.coalesce(when, F.lit(False)), F.struct(F.lit(category).alias("category"), F.lit(reason).alias("reason"))).otherwise(found)
     return full.select("case_id", found.alias("f"), reference.alias("reference"), "codes").select("case_id", "f.category", "f.reason", "reference", "codes")
+
+
+# The headers of a workbook of questions, in how many of a sheet's first rows they stand, and what earlier answers' headers hold.
+QUESTION, VILLAGE, REFERENCE = "提问", "所属村委", "参考表格"
+HEADER_ROWS = 10
+EARLIER, EARLIER_EXACT = "预期|符合", ["用时", "问答用时"]
+
+
+def read_questions(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The questions of workbooks, and the sheets without any.
+
+    cells: workbook_id, sheet, sheet_name, row, col, value. The first has workbook_id, sheet, sheet_name, row, question, village, reference, earlier (map of header to
+    value), duplicate_group; the village stands for the rows below, the reference file until the next village. The second has workbook_id,
+    sheet, excluded: the filled cells of column B below a sheet's first row. The header is the first of a sheet's first ten filled rows that
+    says so; of several columns with one header the first counts, of earlier answers the last.
+    """
+    key = ["workbook_id", "sheet"]
+    there = cells.withColumn("value", F.trim("value")).filter("value <> ''")
+    rows = there.select(*key, "row").distinct().withColumn("place", F.row_number().over(Window.partitionBy(*key).orderBy("row")))
+    head = there.join(rows.filter(F.col("place") <= HEADER_ROWS).select(*key, "row"), [*key, "row"])
+    at = head.filter(F.col("value") == QUESTION).groupBy(*key).agg(F.min("row").alias("head"))
+    alike = Window.partitionBy(*key, "value")
+    headers = head.join(at, key).filter("row = head").withColumns({"place": F.row_number().over(alike.orderBy("col")), "back": F.row_number().over(alike.orderBy(F.col("col").desc()))})
+    kind = F.when(F.col("place") == 1, F.when(F.col("value") == QUESTION, "question").when(F.col("value") == VILLAGE, "village").when(F.col("value") == REFERENCE, "reference"))
+    kind = F.coalesce(kind, F.when((F.col("back") == 1) & (F.col("value").rlike(EARLIER) | F.col("value").isin(EARLIER_EXACT)), "earlier"))
+    headers = headers.select(*key, "col", F.col("value").alias("header"), kind.alias("kind"), "head").filter("kind is not null")
+    below = there.join(headers, [*key, "col"]).filter("row > head")
+    one = lambda k: F.max(F.when(F.col("kind") == k, F.col("value"))).alias(k)
+    earlier = F.map_from_entries(F.array_distinct(F.collect_list(F.when(F.col("kind") == "earlier", F.struct("header", "value"))))).alias("earlier")
+    wide = below.groupBy(*key, "sheet_name", "row").agg(one("question"), one("village"), one("reference"), earlier)
+    filled = fill_down_within(wide, "village", "reference", key, [F.col("row")], ("in_village", "in_reference")).filter("question is not null")
+    normal = F.regexp_replace("question", r"(?U)\s+", "")
+    group = F.concat(F.lit("duplicate-"), F.substring(F.sha2(normal, 256), 1, 20))
+    questions = filled.select(*key, "sheet_name", "row", "question", F.coalesce("in_village", F.lit("")).alias("village"), F.coalesce("in_reference", F.lit("")).alias("reference"), "earlier", group.alias("duplicate_group"))
+    other = there.join(at, key, "left_anti").join(rows, [*key, "row"]).groupBy(*key).agg(F.count(F.when((F.col("place") > 1) & (F.col("col") == 2), 1)).alias("excluded"))
+    return questions, other

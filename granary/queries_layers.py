@@ -151,3 +151,54 @@ def plan_approvals_orders(spark, d):
     old = orders.filter("o_orderstatus = 'F' and o_orderdate < timestamp '1993-01-01'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("plan_id"))
     plans = old.select("plan_id", text("o_custkey").alias("item_id"), F.lit(1).alias("revision"), F.lit("template").alias("source"), F.lit("F").alias("template_id"), F.lit(1).alias("template_version"), none.alias("proposal_id"), F.lit("old").alias("digest"), F.lit("completed").alias("status"))
     return approve(requests, items, templates, proposals, regions, headers, plans).select("plan_id", "problem")
+
+
+# Fields that parts' names teach, if a part were a decision about its type, taken in a file of its brand.
+@query("""WITH a AS (SELECT p_type AS code, 'alias' AS kind, p_name AS alias, NULL AS role, COUNT(DISTINCT p_brand) AS support, MIN(p_partkey) AS first_decision FROM part GROUP BY 1, 3),
+b AS (SELECT p_type AS code, 'role_context' AS kind, NULL AS alias, 'large' AS role, COUNT(DISTINCT p_brand) AS support, MIN(p_partkey) AS first_decision FROM part WHERE p_size > 25 GROUP BY 1)
+SELECT a.*, (SELECT COUNT(DISTINCT p_type) - 1 FROM part WHERE p_name = a.alias) AS conflicts FROM a UNION ALL SELECT *, 0 FROM b""")
+def learned_variants_part(spark, d):
+    from .plans.learning import learned_variants
+
+    p = S.table(spark, d, "part")
+    said = p.select(
+        F.col("p_partkey").alias("decision_id"), F.col("p_brand").alias("item_id"), F.col("p_type").alias("code"), F.array().cast("array<string>").alias("header_path"), F.when(F.col("p_size") > 25, "large").alias("role"),
+        F.col("p_name").alias("learn_alias"), F.lit(False).alias("learn_path"), F.lit("parts").alias("domain"), F.lit("part").alias("record_type"), F.lit("text").alias("observed_type"), F.lit(None).cast("string").alias("unit"),
+    )
+    return learned_variants(said).select("code", "kind", "alias", "role", "support", "first_decision", "conflicts")
+
+
+@query("""WITH m AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN turn END AS v, CASE WHEN role = 'user' THEN turn END AS r FROM conversations), s AS (SELECT *, COUNT(v) OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM m)
+SELECT conv_id, turn, COALESCE(last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn), -1)::BIGINT AS village, COALESCE(last_value(r IGNORE NULLS) OVER (PARTITION BY conv_id, n ORDER BY turn), -1)::BIGINT AS reference FROM s""")
+def fill_two_levels_conversations(spark, d):
+    from .operators.listing import fill_down_within
+
+    c = S.table(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.col("turn")).alias("v"), F.when(F.col("role") == "user", F.col("turn")).alias("r"))
+    none = F.lit(-1).cast("long")
+    return fill_down_within(c, "v", "r", ["conv_id"], [F.col("turn")], ("village", "reference")).select("conv_id", "turn", F.coalesce("village", none).alias("village"), F.coalesce("reference", none).alias("reference"))
+
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN (SELECT * FROM nation WHERE n_name <> 'CHINA') ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def left_chain_orders(spark, d):
+    """Orders with their customer, its nation and that one's region, as users have memberships, scopes and units; one nation is unknown."""
+    from .operators.listing import left_chain
+
+    t = lambda name: S.table(spark, d, name)
+    steps = [(t("customer").select("c_custkey", "c_name", "c_nationkey"), "o_custkey", "c_custkey"), (t("nation").filter("n_name <> 'CHINA'").select("n_nationkey", "n_name", "n_regionkey"), "c_nationkey", "n_nationkey"), (t("region").select("r_regionkey", "r_name"), "n_regionkey", "r_regionkey")]
+    return left_chain(t("orders").select("o_orderkey", "o_custkey"), steps).select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("""WITH p AS (SELECT user_id, list({'id': event_id, 'k': (props->>'$.k')::INT, 'kind': event_type} ORDER BY event_id) AS l FROM events GROUP BY 1)
+SELECT user_id, i AS ordinal, l[i].id AS event_id, l[i].k AS k, len(l)::INT AS n_events, '{"kind":"' || l[i].kind || '","user":' || user_id || '}' AS built FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p)""")
+def payload_members_events(spark, d):
+    """Each user's events as one payload, opened again in order, with typed values from paths two levels down."""
+    from .functions import payload as J
+
+    e = S.table(spark, d, "events").select("user_id", "event_id", "event_type", J.parsed(F.col("props")).alias("props"))
+    one = F.struct("event_id", F.struct(J.at(F.col("props"), "$.k", "int").alias("k")).alias("inner"), F.col("event_type").alias("kind"))
+    text = e.groupBy("user_id").agg(F.to_json(F.struct(F.array_sort(F.collect_list(one)).alias("events"))).alias("text"))
+    told = text.select("user_id", J.parsed(F.col("text")).alias("payload"))
+    told = told.withColumn("n_events", J.length(F.col("payload"), "$.events"))
+    each = J.opened(told, "payload", "$.events", "user_id", "n_events")
+    kind = J.at(F.col("member"), "$.kind")
+    return each.select("user_id", "ordinal", J.at(F.col("member"), "$.event_id", "bigint").alias("event_id"), J.at(F.col("member"), "$.inner.k", "int").alias("k"), "n_events", J.built(kind=kind, user=F.col("user_id")).alias("built"))
