@@ -84,6 +84,7 @@ class FactSet:
     roles: dict[str, tuple[str, ...]] = field(default_factory=dict)
     field_versions: dict[str, int] = field(default_factory=dict)  # 1 if not named
     units: DataFrame | None = field(default=None, compare=False, repr=False)  # unit_id, name
+    stored: bool = field(default=False, compare=False, repr=False)  # df is filtered from files that have a row for each record
     sources: DataFrame | None = field(default=None, compare=False, repr=False)  # item_id, file_name, relative_path, source_sha256
     lineage: DataFrame | None = field(default=None, compare=False, repr=False)  # record_id, field_code, source_sha256, sheet_id, source_cell_id, coordinate, display_value, normalizer
 

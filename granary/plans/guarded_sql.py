@@ -190,7 +190,7 @@ def ask(facts: FactSet, scope: Scope, sql: str, params: dict | None = None, limi
         found = {"record_count": len(records), "source_file_count": len(items)}
         found = {c: n for c, n in found.items() if n} | own
         if len(found) < 3:
-            found = evidence(scoped(facts, scope)).first().asDict() | found
+            found = evidence(scoped(facts, scope), stored=facts.stored).first().asDict() | found
         return Answer(df.columns, rows, len(rows) >= most, found["record_count"], found["source_file_count"], found["unit_count"])
     except QueryError:
         raise

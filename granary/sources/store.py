@@ -27,9 +27,9 @@ def write(records: DataFrame, path: str) -> None:
 
 
 def read(spark: SparkSession, path: str, like: FactSet) -> FactSet:
-    """The fact set as it is stored: like's contract over the store's records."""
+    """The fact set as it is stored: like's contract over the store's records, which are told apart by their place in it."""
     stored = spark.read.schema(like.df.schema).parquet(path)
-    return replace(like, df=stored.select(*[F.col(f"`{c}`") for c in like.df.columns]))
+    return replace(like, df=stored.select(*[F.col(f"`{c}`") for c in like.df.columns]), stored=True)
 
 
 def without_items(path: str, spark: SparkSession, items: DataFrame) -> None:
