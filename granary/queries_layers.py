@@ -202,3 +202,40 @@ def payload_members_events(spark, d):
     each = J.opened(told, "payload", "$.events", "user_id", "n_events")
     kind = J.at(F.col("member"), "$.kind")
     return each.select("user_id", "ordinal", J.at(F.col("member"), "$.event_id", "bigint").alias("event_id"), J.at(F.col("member"), "$.inner.k", "int").alias("k"), "n_events", J.built(kind=kind, user=F.col("user_id")).alias("built"))
+
+
+# Orders as approved plans, lines as rows of three cells: finished ones are tables without a header, open ones tables below their first row, pending ones
+# forms of three cells. Lines with one number share cells, of which the largest value counts.
+@query("""WITH c AS (SELECT l_orderkey AS k, l_linenumber AS r, MAX(l_partkey) AS part, MAX(l_quantity::INT) AS qty, MAX(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),
+p AS (SELECT c.*, o_orderstatus AS s, MAX(r) OVER (PARTITION BY k) AS last FROM c JOIN orders ON o_orderkey = k),
+rows_ AS (SELECT k, r, part, qty, flag FROM p WHERE s = 'F' OR (s = 'O' AND r > 1)),
+f AS (SELECT k, 1 AS r, MAX(part) FILTER (r = 1) AS part, MAX(qty) FILTER (r = 2) AS qty, MAX(flag) FILTER (r = 3) AS flag FROM p WHERE s = 'P' GROUP BY k),
+a AS (SELECT * FROM rows_ UNION ALL SELECT * FROM f),
+v AS (SELECT k, r, 'part' AS code, part::INT AS n, NULL AS t FROM a WHERE part IS NOT NULL UNION ALL SELECT k, r, 'qty', qty, NULL FROM a WHERE qty IS NOT NULL UNION ALL SELECT k, r, 'flag', NULL, flag FROM a WHERE flag IS NOT NULL)
+SELECT k || ':s0:g:r' || r AS record_id, code, n AS integer_value, t AS text_value FROM v""")
+def plan_facts_orders(spark, d):
+    from .operators.layouts import materialize_plans
+
+    lines = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("row")).agg(F.max("l_partkey").alias("part"), F.max(F.col("l_quantity").cast("int")).alias("qty"), F.max("l_returnflag").alias("flag"))
+    fields = [("part", "integer", 1), ("qty", "integer", 2), ("flag", "text", 3)]
+    cell = F.array(*[F.struct(F.lit(c).alias("col"), F.col(name).cast("string").alias("value")) for name, _, c in fields])
+    cells = lines.select("item_id", F.lit(0).alias("sheet"), "row", F.inline(cell))
+    last = lines.groupBy("item_id").agg(F.max("row").alias("last"))
+    o = S.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"), "o_orderstatus").join(last, F.col("plan_id") == F.col("item_id"))
+    table = F.col("o_orderstatus") == "O"
+    none = F.lit(None).cast("string")
+    at = [F.lit(0).alias("sheet"), F.lit("g").alias("region_id")]
+    layout = F.when(F.col("o_orderstatus") == "F", "headerless_table").when(table, "explicit_header_table").otherwise("form")
+    bottom = F.greatest("last", F.lit(3))
+    regions = o.filter(~table | (F.col("last") > 1)).select(
+        "plan_id", *at, F.lit(0).alias("ordinal"), layout.alias("layout"), F.lit("table").alias("region_kind"), F.lit(1).alias("top"), F.lit(1).alias("left"), bottom.alias("bottom"), F.lit(3).alias("right"),
+        F.when(table, 2).otherwise(1).alias("data_top"), bottom.alias("data_bottom"), F.lit(1).alias("data_left"), F.lit(3).alias("data_right"), F.array().cast("array<int>").alias("excluded"), F.lit(True).alias("materialize"),
+        F.lit("t@1").alias("template"), F.lit("line").alias("record_type"), F.array().cast("array<string>").alias("identity"),
+    )
+    mapping = F.inline(F.array(*[F.struct(F.lit(name).alias("code"), none.alias("role"), F.lit(kind).alias("data_type"), F.lit(False).alias("required"), F.lit(c).alias("map_col")) for name, kind, c in fields]))
+    own = regions.select("plan_id", *at, "layout")
+    form = F.col("layout") == "form"
+    mappings = own.select("plan_id", "sheet", "region_id", "layout", mapping).withColumns({"selector": F.when(form, "cell").otherwise("physical_column"), "map_row": F.when(form, F.col("map_col"))}).drop("layout")
+    headers = own.filter("layout = 'explicit_header_table'").select("plan_id", "sheet", "region_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("col"), F.array(F.lit("h")).alias("header_path"))
+    facts, _ = materialize_plans(cells, o.select("plan_id", "item_id", none.alias("supersedes_plan_id")), regions, mappings, headers)
+    return facts.values.select("record_id", "code", "integer_value", "text_value")
