@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import decontamination, jaccard, langid, mixing, substrings
-from granary.llm.shared import free_name, saved, table
+from granary.llm.shared import free_name, saved, scratch, table
 
 SENT = 1_000_000  #: up to so many ids are sent to every task; more are joined by a shuffle
 
@@ -90,6 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    with scratch():  # but for the last, whose rows are still to be read, tables go when the next stage is done
+        for i, (name, stage) in enumerate(STAGES[:-1]):
+            docs = saved(stage(spark, docs, sf_dir), name, keep=i == len(STAGES) - 2)
     return STAGES[-1][1](spark, docs, sf_dir)
