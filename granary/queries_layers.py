@@ -189,7 +189,7 @@ def left_chain_orders(spark, d):
 
 
 @query("""WITH p AS (SELECT user_id, list({'id': event_id, 'k': (props->>'$.k')::INT, 'kind': event_type} ORDER BY event_id) AS l FROM events GROUP BY 1)
-SELECT user_id, i AS ordinal, l[i].id AS event_id, l[i].k AS k, len(l)::INT AS n_events, '{"kind":"' || l[i].kind || '","user":' || user_id || '}' AS built FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p)""")
+SELECT user_id, i::INT AS ordinal, l[i].id AS event_id, l[i].k AS k, len(l)::INT AS n_events, '{"kind":"' || l[i].kind || '","user":' || user_id || '}' AS built FROM (SELECT *, unnest(generate_series(1, len(l))) AS i FROM p)""")
 def payload_members_events(spark, d):
     """Each user's events as one payload, opened again in order, with typed values from paths two levels down."""
     from .functions import payload as J
