@@ -239,3 +239,20 @@ def plan_facts_orders(spark, d):
     headers = own.filter("layout = 'explicit_header_table'").select("plan_id", "sheet", "region_id", F.explode(F.array(*map(F.lit, (1, 2, 3)))).alias("col"), F.array(F.lit("h")).alias("header_path"))
     facts, _ = materialize_plans(cells, o.select("plan_id", "item_id", none.alias("supersedes_plan_id")), regions, mappings, headers)
     return facts.values.select("record_id", "code", "integer_value", "text_value")
+
+
+# What pending orders lead to: their customers, nations and regions, and their lines' parts and suppliers, whose nations lead on.
+@query("""WITH o AS (SELECT * FROM orders WHERE o_orderstatus = 'P'), l AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN o ON l_orderkey = o_orderkey),
+c AS (SELECT DISTINCT c_custkey, c_nationkey FROM customer JOIN o ON o_custkey = c_custkey), n AS (SELECT DISTINCT k FROM (SELECT c_nationkey AS k FROM c UNION ALL SELECT s_nationkey FROM supplier JOIN l ON l_suppkey = s_suppkey))
+SELECT kind, id::VARCHAR AS id, steps FROM (
+  SELECT 'order' AS kind, o_orderkey AS id, 0 AS steps FROM o UNION ALL SELECT DISTINCT 'customer', o_custkey, 1 FROM o UNION ALL SELECT DISTINCT 'part', l_partkey, 1 FROM l UNION ALL SELECT DISTINCT 'supplier', l_suppkey, 1 FROM l
+  UNION ALL SELECT 'nation', k, 2 FROM n UNION ALL SELECT DISTINCT 'region', n_regionkey, 3 FROM nation JOIN n ON k = n_nationkey)""")
+def reached_from_orders(spark, d):
+    from .operators.transfer import reached
+
+    t = lambda name: S.table(spark, d, name)
+    edge = lambda df, kind, key, to_kind, to: df.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.lit(to_kind).alias("to_kind"), F.col(to).cast("string").alias("to_id"))
+    references = edge(t("orders"), "order", "o_orderkey", "customer", "o_custkey").unionByName(edge(t("lineitem"), "order", "l_orderkey", "part", "l_partkey")).unionByName(edge(t("lineitem"), "order", "l_orderkey", "supplier", "l_suppkey"))
+    references = references.unionByName(edge(t("customer"), "customer", "c_custkey", "nation", "c_nationkey")).unionByName(edge(t("supplier"), "supplier", "s_suppkey", "nation", "s_nationkey")).unionByName(edge(t("nation"), "nation", "n_nationkey", "region", "n_regionkey"))
+    roots = t("orders").filter("o_orderstatus = 'P'").select(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"))
+    return reached(roots, references)
