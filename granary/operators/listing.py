@@ -107,10 +107,15 @@ def page_with_total(df: DataFrame, order: Sequence[Column], offset: int, limit:
 
 
 def layout_clusters(files: DataFrame) -> DataFrame:
-    """files: file_id, fingerprint, headers. Files of one layout: their number, members, and the headers that all and that any of them have."""
-    grouped = files.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("file_id")).alias("members"), F.collect_set(F.array_distinct("headers")).alias("sets"))
-    common = F.aggregate(F.slice("sets", 2, F.greatest(F.size("sets") - 1, F.lit(0))), F.element_at("sets", 1), lambda a, x: F.array_intersect(a, x))
-    return grouped.select("fingerprint", "n", "members", F.array_sort(common).alias("common"), F.array_sort(F.array_distinct(F.flatten("sets"))).alias("all"))
+    """files: file_id, fingerprint, headers. Files of one layout: their number, members, and the headers that all and that any of them have.
+
+    Headers are counted by layout: common are those that as many files have as have headers at all.
+    """
+    grouped = files.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("file_id")).alias("members"), F.count("headers").alias("_whole"))
+    held = files.select("fingerprint", F.explode(F.array_distinct("headers")).alias("header")).groupBy("fingerprint", "header").agg(F.count(F.lit(1)).alias("_n"))
+    told = held.join(grouped.select("fingerprint", "_whole"), "fingerprint").groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.when(F.col("_n") == F.col("_whole"), F.col("header")))).alias("common"), F.array_sort(F.collect_list("header")).alias("all"))
+    none = F.array().cast(files.schema["headers"].dataType)
+    return grouped.join(told, "fingerprint", "left").select("fingerprint", "n", "members", F.coalesce("common", none).alias("common"), F.coalesce("all", none).alias("all"))
 
 
 def without(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:

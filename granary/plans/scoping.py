@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import hashlib
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,8 +57,32 @@ def freeze(records: DataFrame, tenant_id: str, units: Sequence[str], before: Any
         gone = eligible.join(new.select(F.col("old_id").alias("item_id")), "item_id", "left_semi")
     items = eligible.filter(F.col("item_id") == selected) if selected is not None else eligible.join(gone, "item_id", "left_anti")
     items = items.checkpoint() if records.sparkSession.sparkContext.getCheckpointDir() else items.cache()
-    line = F.sha2(F.coalesce(F.array_join(F.sort_array(F.collect_list("item_id")), "\n"), F.lit("")), 256)
-    return Frozen(Scope(tenant_id, tuple(units), before=before, frozen=items), items, gone, items.agg(line).first()[0])
+    return Frozen(Scope(tenant_id, tuple(units), before=before, frozen=items), items, gone, fingerprint_of(items))
+
+
+def fingerprint_of(items: DataFrame) -> str:
+    """The SHA-256 of the sorted item_ids, distinct, in lines.
+
+    Tasks sort ranges of ids and join them; one then reads the pieces in order and holds one at a time.
+    """
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            if len(ids):
+                yield pd.DataFrame({"first": [ids["item_id"].iloc[0]], "lines": ["\n".join(ids["item_id"])]})
+
+    def digested(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state, some = hashlib.sha256(), False
+        for pieces in batches:
+            for lines in pieces["lines"]:
+                state.update((b"\n" if some else b"") + lines.encode())
+                some = True
+        yield pd.DataFrame({"digest": [state.hexdigest()]})
+
+    ids = items.select(F.col("item_id").cast("string")).dropna()
+    pieces = ids.repartitionByRange("item_id").sortWithinPartitions("item_id").mapInPandas(joined, "first string, lines string")
+    found = pieces.repartition(1).sortWithinPartitions("first").mapInPandas(digested, "digest string").first()
+    return found["digest"] if found else hashlib.sha256().hexdigest()  # without ids there may be no task
 
 
 @dataclass(frozen=True)
@@ -118,7 +144,7 @@ def describe(found: Catalog, field_codes: Iterable[str] = (), search: str = "")
     shown = sets.orderBy("code").limit(MOST_FACT_SETS)
     listed = shown.select(F.explode("field_codes").alias("field_code")).distinct().withColumn("listed", F.lit(True))
     named = found.fields.groupBy("field_code", "field_version").agg(F.first("name").alias("name"), F.first("description").alias("description"), F.first("data_type").alias("data_type"), F.first("aliases").alias("aliases"), F.array_sort(F.collect_set("fact_set_code")).alias("fact_set_codes"))
-    marked = named.join(F.broadcast(listed), "field_code", "left")
+    marked = named.join(listed, "field_code", "left")
     hit = F.contains(search_text(F.col("field_code"), F.col("name"), F.col("description"), F.col("aliases")), F.lit(term))
     fields = marked.filter((hit | F.col("listed")) if not codes else F.coalesce("listed", F.lit(False))).drop("listed")
     told = sets.agg(F.count(F.lit(1)).alias("matched_fact_sets")).crossJoin(fields.agg(F.count(F.lit(1)).alias("matched_fields")))  # a row against a row
