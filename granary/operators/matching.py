@@ -53,6 +53,7 @@ ROUTES = [
         r"多少(?:人|户|位|名|个|条|项目|党员|村民|资金|金额|亩|米|平)?|几(?:人|户|口|位|名|个|种|社|组|支部)|男女(?:各|比例)|各有多少|分别有多少|占比|比例|总共有|共有多少",
     ),
 ]
+# What asks for a lookup, what is no ranking, and which files are tables.
 LOOKUP = r"谁|是否|是不是|什么|哪里|多久|时间|日期|号码|编号|状态|地址|职务|学历|民族|收入|金额|学校|支部|类型|原因|折扣|账号|联系电话"
 NOT_RANKING = "最低生活保障"
 STRUCTURED = r"(?i)\.xlsx?$"

@@ -162,4 +162,4 @@ def require_open(facts: FactSet, codes: list[str], enforce: bool) -> None:
     if unknown := sorted(set(codes) - set(facts.types)):
         raise QueryError(f"unknown fields: {', '.join(unknown)}")
     if enforce and (closed := sorted(set(codes) & set(facts.blocked))):
-        raise QueryError(f"blocked sensitive fields: {', '.join(closed)}")
+        raise QueryError(f"the plan names blocked sensitive fields: {', '.join(closed)}")
