@@ -177,3 +177,36 @@ def project_layout(snapshot: DataFrame, headers: DataFrame) -> DataFrame:
 def header_fingerprint(paths: Column) -> Column:
     """A digest of a header's paths, for layouts of one kind."""
     return F.sha2(F.to_json(F.transform(paths, lambda p: F.transform(p, lambda x: folded(x)))), 256)
+
+
+def region_signatures(headers: DataFrame) -> DataFrame:
+    """headers: region_id, kind, paths (of its columns, in order). region_id, columns, header_depth, headers and fingerprint, which hangs on all but the kind.
+
+    Columns whose path is a value, not a label, don't count.
+    """
+    each = headers.select("region_id", "kind", F.posexplode_outer("paths").alias("at", "path")).withColumn("path", semantic_parts(F.col("path")))
+    kept = F.array_sort(F.collect_list(F.when(F.size("path") > 0, F.struct("at", "path"))))["path"]
+    told = each.groupBy("region_id", "kind").agg(kept.alias("headers"))
+    told = told.withColumns({"columns": F.size("headers"), "header_depth": F.coalesce(F.array_max(F.transform("headers", lambda p: F.size(p))), F.lit(0))})
+    return told.select("region_id", "kind", "columns", "header_depth", "headers", F.sha2(F.to_json(F.struct("columns", "header_depth", "headers")), 256).alias("fingerprint"))
+
+
+def layout_fingerprints(workbooks: DataFrame, sheets: DataFrame, regions: DataFrame) -> DataFrame:
+    """workbook_id and fingerprint: the SHA-256 of a workbook's layout as JSON, whatever its cells below the headers hold.
+
+    workbooks: workbook_id, format; sheets: workbook_id, sheet, hidden; regions: workbook_id, sheet, region, kind, width, header_rows, paths (of its
+    header's columns). Regions are sorted by kind, width and depth within their sheet, sheets by their place, and all paths, as the file has
+    them, white space aside.
+    """
+    one = F.struct(F.col("width").alias("columns"), F.col("header_rows").alias("header_depth"), "kind")
+    ordered = F.array_sort(F.collect_list(F.struct("kind", "width", "header_rows", one.alias("r"))))["r"]
+    per = regions.groupBy("workbook_id", "sheet").agg(ordered.alias("regions"))
+    spaced_ = lambda p: F.filter(F.transform(p, lambda x: F.trim(F.regexp_replace(x, r"(?U)\s+", " "))), lambda x: x != "")
+    paths = F.filter(F.transform("paths", spaced_), lambda p: F.size(p) > 0)
+    heads = regions.groupBy("workbook_id").agg(F.array_sort(F.flatten(F.collect_list(paths))).alias("headers"))
+    empty = F.array().cast(per.schema["regions"].dataType)
+    sheet = F.struct("sheet", F.struct("hidden", F.coalesce("regions", empty).alias("regions")).alias("s"))
+    whole = sheets.join(per, ["workbook_id", "sheet"], "left").groupBy("workbook_id").agg(F.array_sort(F.collect_list(sheet))["s"].alias("sheets"))
+    full = workbooks.join(whole, "workbook_id", "left").join(heads, "workbook_id", "left")
+    told = F.struct("format", F.coalesce("headers", F.array().cast("array<array<string>>")).alias("headers"), F.coalesce("sheets", F.array().cast(whole.schema["sheets"].dataType)).alias("sheets"))
+    return full.select("workbook_id", F.sha2(F.to_json(told), 256).alias("fingerprint"))

@@ -18,7 +18,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CELLS = "workbook_id string, path string, format string, warning string, error string, sheet int, sheet_name string, row int, col int, value string, formula string, style string, hidden boolean"
@@ -285,6 +285,17 @@ def read_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, CELLS)
 
 
+def sheet_id(workbook_id: Column, sheet: Column) -> Column:
+    """The id of a sheet, which no renaming of its file changes."""
+    return F.concat(workbook_id, F.lit(":sheet:"), sheet.cast("string"))
+
+
+def with_ids(cells: DataFrame) -> DataFrame:
+    """cells with sheet_id and cell_id, made of the file's content and the place in it; rows without a cell have neither."""
+    own = sheet_id(F.col("workbook_id"), F.col("sheet"))
+    return cells.withColumns({"sheet_id": own, "cell_id": F.concat(own, F.lit(":r"), F.col("row").cast("string"), F.lit(":c"), F.col("col").cast("string"))})
+
+
 def distinct_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """path, content of all files below a folder whose names fit the pattern, as *.{xlsx,csv}; of files with one content the first path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
