@@ -20,7 +20,7 @@ from .listing import best
 from .matching import PENALTY
 
 FULL, LEFT_OVER = 10_000, 500  # fixed values: basis points of a full cover; what a member that no slot takes costs
-BOUNDS = (0.85, 0.5, 0.0)  #: shares of an entry by which it is met, in turn
+BOUNDS = (0.85, 0.6, 0.4, 0.0)  #: shares of an entry by which it is met, in turn
 
 
 def numbered(rows: DataFrame, owner: str, member: str, order: Sequence[str]) -> DataFrame:
@@ -43,21 +43,24 @@ def best_covered(left: DataFrame, right: DataFrame, score: Callable[[Column, Col
     and null keys count once and not at all.
     """
     clean = lambda df: df.withColumn("keys", F.array_sort(F.array_distinct(F.array_compact("keys"))))
-    named = clean(left).withColumn("sig", F.sha2(F.to_json(F.struct("keys", "told")), 256))
-    sigs = written(named.select("sig", "keys", "told").dropDuplicates(["sig"]))
+    named = clean(left).withColumn("set", F.sha2(F.to_json(F.struct("keys")), 256)).withColumn("sig", F.sha2(F.to_json(F.struct("set", "told")), 256))
+    sigs = written(named.select("sig", "set", "told").dropDuplicates(["sig"]))
+    sets = written(named.select("set", "keys").dropDuplicates(["set"]))
     catalog = clean(right).filter(F.size("keys") > 0)
-    held = sigs.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
+    held = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
     rare = Window.partitionBy("right_id").orderBy(F.coalesce("df", F.lit(0)), "key")
     ranked = written(catalog.select("right_id", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(held, "key", "left").withColumn("place", F.row_number().over(rare)))
     found, open_ = [], sigs
     for bound in bounds:
         first = ranked.filter(F.col("place") <= F.col("n") - F.greatest(F.ceil(F.col("n") * bound - 1e-9), F.lit(1)) + 1).select("right_id", "key")
-        met = open_.select("sig", F.explode("keys").alias("key")).join(first, "key").select("sig", "right_id").distinct()
-        a, b = open_.select("sig", F.col("keys").alias("a"), F.col("told").alias("ta")), catalog.select("right_id", F.col("keys").alias("b"), F.col("told").alias("tb"))
-        shared = F.size(F.array_intersect("a", "b"))
-        scored = met.join(a, "sig").join(b, "right_id").withColumn("shared", shared).withColumn("score", score(F.col("shared"), F.size("a"), F.size("b"), F.col("ta"), F.col("tb")))
-        led = best(scored.filter("score > 0").select("sig", "right_id", "score", "shared"), ["sig"], [F.col("score").desc(), F.col("right_id")])
-        led = written(led.filter(F.col("score") >= FULL * bound))
+        asked = sets.join(open_.select("set").distinct(), "set", "left_semi")
+        met = asked.select("set", F.explode("keys").alias("key")).join(first, "key").select("set", "right_id").distinct()
+        # Sets are intersected once, whatever else is told of who holds them.
+        a, b = asked.select("set", F.col("keys").alias("a")), catalog.select("right_id", F.col("keys").alias("b"), F.col("told").alias("tb"))
+        common = met.join(a, "set").join(b, "right_id").select("set", "right_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size("a").alias("na"), F.size("b").alias("nb"), "tb")
+        scored = open_.select("sig", "set", F.col("told").alias("ta")).join(common, "set").withColumn("score", score(F.col("shared"), F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"))).filter("score > 0")
+        top = scored.groupBy("sig").agg(F.min(F.struct((-F.col("score")).alias("behind"), "right_id", "shared")).alias("m"))
+        led = written(top.select("sig", "m.right_id", (-F.col("m.behind")).alias("score"), "m.shared").filter(F.col("score") >= FULL * bound))
         found.append(led)
         open_ = open_.join(led.select("sig"), "sig", "left_anti")
     every = found[0]
