@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 from ..functions.headers import label_key
 from ..sources.work import written
 from .listing import best
-from .matching import PENALTY
+from .matching import PENALTY, digest
 
 FULL, LEFT_OVER = 10_000, 500  # fixed values: basis points of a full cover; what a member that no slot takes costs
+FREQUENT = 63  #: keys that are compared as bits of a number
+SENT = 500_000  #: keys of a catalog's entries that may go to every task
 BOUNDS = (0.85, 0.6, 0.4, 0.0)  #: shares of an entry by which it is met, in turn
 
 
@@ -34,38 +36,73 @@ def points(share: Column) -> Column:
     return F.bround(FULL * share, 0).cast("long")
 
 
-def best_covered(left: DataFrame, right: DataFrame, score: Callable[[Column, Column, Column, Column, Column], Column], bounds: Sequence[float] = BOUNDS) -> DataFrame:
-    """The entry of right with the highest score for each row of left, ties to the smallest right_id: left_id, right_id, score, shared.
+def in_order(sets: DataFrame, number: str, size: str, held: DataFrame, tops: DataFrame) -> DataFrame:
+    """A row for each key of each set, with its place from the rarest on; the set's frequent keys as bits, the others as rest, in that order."""
+    own = Window.partitionBy(number)
+    each = sets.select(number, size, F.explode("keys").alias("key")).join(held, "key", "left").join(F.broadcast(tops), "key", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    rest = F.array_sort(F.collect_list(F.when(F.col("bit").isNull(), F.struct("df", "key"))).over(own))["key"]
+    return each.select(number, size, "key", "bit", F.row_number().over(own.orderBy("df", "key")).alias("place"), F.coalesce(F.sum("bit").over(own), F.lit(0)).alias("bits"), rest.alias("rest"))
 
-    left: left_id, keys (array), told; right: right_id, keys, told. told is a struct that
-    score may use: score(shared, size of left, size of right, left told, right told), which must not exceed the
-    share of right's keys in basis points. Rows that score nothing have no row here. Repeated
-    and null keys count once and not at all.
+
+def settled(left: DataFrame, right: DataFrame, score: Callable[[Column, Column, Column, Column, Column], Column], bounds: Sequence[float] = BOUNDS, both: bool = False) -> tuple[DataFrame, DataFrame]:
+    """left with sig, which stands for its keys and told, and for each sig that scores: sig, right_id, score, shared; see best_covered.
+
+    A pair is made at its rarest common key alone, so pairs are neither shuffled nor made twice. A score hangs on what is
+    shared, on sizes and on what is told, so of the entries of a set that are equal in these only the smallest
+    right_id is scored: what is kept of a set doesn't grow with the catalog.
     """
+    spark = left.sparkSession
     clean = lambda df: df.withColumn("keys", F.array_sort(F.array_distinct(F.array_compact("keys"))))
-    named = clean(left).withColumn("set", F.sha2(F.to_json(F.struct("keys")), 256)).withColumn("sig", F.sha2(F.to_json(F.struct("set", "told")), 256))
-    sigs = written(named.select("sig", "set", "told").dropDuplicates(["sig"]))
-    sets = written(named.select("set", "keys").dropDuplicates(["set"]))
+    named = clean(left).withColumn("sig", digest("keys", "told"))
+    sigs = written(named.select("sig", "keys", "told").distinct().withColumn("set", digest("keys")))
+    sets = written(sigs.select("set", "keys").distinct().withColumns({"na": F.size("keys"), "set_no": F.monotonically_increasing_id()}))
     catalog = clean(right).filter(F.size("keys") > 0)
-    held = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df"))
-    rare = Window.partitionBy("right_id").orderBy(F.coalesce("df", F.lit(0)), "key")
-    ranked = written(catalog.select("right_id", F.size("keys").alias("n"), F.explode("keys").alias("key")).join(held, "key", "left").withColumn("place", F.row_number().over(rare)))
-    found, open_ = [], sigs
+    # Numbers in the order of right_id stand for it.
+    ids = written(catalog.select("right_id").distinct().orderBy("right_id").withColumn("right_no", F.monotonically_increasing_id()))
+    variants = written(catalog.join(ids, "right_id").groupBy("keys", "told").agg(F.min("right_no").alias("right_no")))
+    entries = written(variants.select("keys").distinct().withColumns({"nb": F.size("keys"), "entry_no": F.monotonically_increasing_id()}))
+    variants = variants.join(entries, "keys").select("entry_no", F.col("told").alias("tb"), "right_no")
+    held = written(sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("df")))
+    tops = held.orderBy(F.col("df").desc(), F.col("key").desc()).limit(FREQUENT).withColumn("at", F.row_number().over(Window.orderBy("df", "key")) - 1)
+    tops = written(tops.select("key", F.expr("shiftleft(1L, at)").alias("bit")))
+    asked, offered = written(in_order(sets, "set_no", "na", held, tops)), written(in_order(entries, "entry_no", "nb", held, tops).withColumnsRenamed({"place": "place_b", "bits": "bits_b", "rest": "rest_b"}).drop("bit"))
+    small = offered.count() <= SENT
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found, open_ = [], sigs.join(sets.select("set", "set_no", "na"), "set").select("sig", "set_no", "na", F.col("told").alias("ta"))
     for bound in bounds:
-        first = ranked.filter(F.col("place") <= F.col("n") - F.greatest(F.ceil(F.col("n") * bound - 1e-9), F.lit(1)) + 1).select("right_id", "key")
-        asked = sets.join(open_.select("set").distinct(), "set", "left_semi")
-        met = asked.select("set", F.explode("keys").alias("key")).join(first, "key").select("set", "right_id").distinct()
-        # Sets are intersected once, whatever else is told of who holds them.
-        a, b = asked.select("set", F.col("keys").alias("a")), catalog.select("right_id", F.col("keys").alias("b"), F.col("told").alias("tb"))
-        common = met.join(a, "set").join(b, "right_id").select("set", "right_id", F.size(F.array_intersect("a", "b")).alias("shared"), F.size("a").alias("na"), F.size("b").alias("nb"), "tb")
-        scored = open_.select("sig", "set", F.col("told").alias("ta")).join(common, "set").withColumn("score", score(F.col("shared"), F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"))).filter("score > 0")
-        top = scored.groupBy("sig").agg(F.min(F.struct((-F.col("score")).alias("behind"), "right_id", "shared")).alias("m"))
-        led = written(top.select("sig", "m.right_id", (-F.col("m.behind")).alias("score"), "m.shared").filter(F.col("score") >= FULL * bound))
+        # A share just below the bound may be rounded up to it.
+        low = bound - 1 / FULL
+        leading = lambda place, n: F.col(place) <= F.col(n) - F.greatest(F.ceil(F.col(n) * low - 1e-9), F.lit(1)) + 1  # noqa: E731, B023
+        a, b = asked.join(open_.select("set_no").distinct(), "set_no", "left_semi"), offered.filter(leading("place_b", "nb"))
+        a = (a.filter(leading("place", "na")) if both else a).repartition(tasks, "set_no", "key")
+        bits, empty = F.col("bits").bitwiseAND(F.col("bits_b")), F.array().cast("array<string>")
+        rest = F.when((F.size("rest") > 0) & (F.size("rest_b") > 0), F.array_intersect("rest", "rest_b")).otherwise(empty)
+        met = a.join(F.broadcast(b) if small else b, "key").withColumns({"common": bits, "others": rest})
+        shared = F.bit_count("common") + F.size("others")
+        rarest = F.when(F.size("others") > 0, F.col("key") == F.get("others", F.lit(0))).otherwise(F.col("bit") == F.col("common").bitwiseAND(-F.col("common")))
+        met = met.filter(rarest).select("set_no", "entry_no", "na", "nb", shared.alias("shared")).filter(F.col("shared") >= F.col("nb") * low)
+        met = met.filter(F.col("shared") >= F.col("na") * low) if both else met
+        alike = met.join(variants, "entry_no").groupBy("set_no", "shared", "nb", "tb").agg(F.min("right_no").alias("right_no"))
+        scored = open_.join(alike, "set_no").withColumn("score", score(F.col("shared"), F.col("na"), F.col("nb"), F.col("ta"), F.col("tb")))
+        top = scored.filter((F.col("score") > 0) & (F.col("score") >= FULL * bound)).groupBy("sig").agg(F.min(F.struct((-F.col("score")).alias("behind"), "right_no", "shared")).alias("m"))
+        led = written(top.select("sig", "m.right_no", (-F.col("m.behind")).alias("score"), "m.shared"))
         found.append(led)
         open_ = open_.join(led.select("sig"), "sig", "left_anti")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
+    return named, every.join(ids, "right_no").select("sig", "right_id", "score", "shared")
+
+
+def best_covered(left: DataFrame, right: DataFrame, score: Callable[[Column, Column, Column, Column, Column], Column], bounds: Sequence[float] = BOUNDS, both: bool = False) -> DataFrame:
+    """The entry of right with the highest score for each row of left, ties to the smallest right_id: left_id, right_id, score, shared.
+
+    left: left_id, keys (array), told; right: right_id, keys, told, a row for each variant of an entry. told is a struct that
+    score may use: score(shared, size of left, size of right, left told, right told), which must not exceed the
+    share of right's keys in basis points; nor that of left's, if both is set, which leaves fewer pairs. Rows that score nothing have no row here. Repeated
+    and null keys count once and not at all.
+    """
+    named, every = settled(left, right, score, bounds, both)
     return named.select("left_id", "sig").join(every, "sig").drop("sig")
 
 
@@ -113,11 +150,11 @@ def best_headers(headers: DataFrame, versions: DataFrame, evidence: DataFrame) -
     fewer rows, header_id.
     """
     told = F.struct(F.col("columns").cast("long").alias("columns"), F.col("header_depth").cast("long").alias("header_depth"), "kind").alias("told")
-    near = best_covered(headers.select(F.col("header_id").alias("left_id"), F.col("labels").alias("keys"), told), versions.select(F.col("version_id").alias("right_id"), F.col("labels").alias("keys"), told), header_score)
-    near = near.select(F.col("left_id").alias("header_id"), F.col("right_id").alias("version_id"), "score")
+    named, near = settled(headers.withColumns({"keys": F.col("labels"), "told": told}), versions.select(F.col("version_id").alias("right_id"), F.col("labels").alias("keys"), told), header_score, both=True)
+    near = near.select("sig", F.col("right_id").alias("version_id"), "score")
     proved = evidence.select("source", "region_id").distinct().withColumn("verified", F.lit(True))
     same = versions.select("fingerprint").dropna().distinct().withColumn("same", F.lit(True))
-    full = headers.join(near, "header_id", "left").join(proved, ["source", "region_id"], "left").join(same, "fingerprint", "left")
+    full = named.join(near, "sig", "left").drop("sig", "keys", "told").join(proved, ["source", "region_id"], "left").join(same, "fingerprint", "left")
     full = full.withColumns({"score": F.coalesce("score", F.lit(0)), "verified": F.coalesce("verified", F.lit(False)), "same": F.coalesce("same", F.lit(False))})
     order = [F.col("verified").desc(), F.col("same").desc(), F.col("score").desc(), F.col("confidence").desc(), F.col("is_default").desc(), F.col("header_rows"), F.col("header_id")]
     return best(full, ["region_id"], order)

@@ -143,3 +143,29 @@ def test_region_templates_are_reused_across_workbooks(spark):
 def test_nothing_published_matches_nothing(spark):
     h, v, e = spark.createDataFrame([(1, "1:0", ["a"], 1, 1, "table", None, "s", 0.9, True, 1, [])], HEADERS), spark.createDataFrame([], VERSIONS), spark.createDataFrame([], EVIDENCE)
     assert [(x.version_id, x.score, x.match_type) for x in T.match_regions(T.best_headers(h, v, e), v, e).collect()] == [(None, 0, "none")]
+
+
+def test_every_variant_of_an_entry_is_met(spark):
+    none = F.struct(F.lit(0).alias("none")).alias("told")
+    left = spark.createDataFrame([(1, ["c", "d"]), (2, ["a"])], "left_id long, keys array<string>").select("*", none)
+    right = spark.createDataFrame([("v", ["a", "b"]), ("v", ["c", "d"])], "right_id string, keys array<string>").select("*", none)
+    assert {tuple(x) for x in T.best_covered(left, right, T.slot_score).collect()} == {(1, "v", 10000, 2), (2, "v", 5000, 1)}
+
+
+@pytest.mark.parametrize("both", [False, True])
+def test_sets_of_many_keys_match_a_plain_loop(spark, monkeypatch, both):
+    """With more keys than fit into the bits of a number, and a catalog that isn't sent to tasks."""
+    monkeypatch.setattr(T, "SENT", 0)
+    r = random.Random(both)
+    names = [f"k{min(int(r.expovariate(0.02)), 199)}" for _ in range(2000)]
+    some = lambda: sorted(set(r.sample(names, r.randrange(1, 9))))
+    entries = [(f"e{i:02}", some(), i % 3) for i in range(40)]
+    sets = [(i, some() if i % 4 else r.choice(entries)[1][: r.randrange(1, 9)] + ["k0"], i % 3) for i in range(120)]
+    shape = lambda df: df.withColumn("told", F.struct(F.col("t").alias("columns"), F.lit(1).alias("header_depth"), F.lit(None).cast("string").alias("kind"))).drop("t")
+    left, right = shape(spark.createDataFrame(sets, "left_id long, keys array<string>, t long")), shape(spark.createDataFrame(entries, "right_id string, keys array<string>, t long"))
+    got = {x.left_id: (x.right_id, x.score) for x in T.best_covered(left, right, T.header_score if both else T.slot_score, both=both).collect()}
+    for i, keys, t in sets:
+        a = set(keys)
+        scored = [(-(jaccard((a, t, 1, None), (b, u, 1, None)) if both else max(0, round(10000 * len(a & set(b)) / len(b)) - 500 * len(a - set(b)))), e) for e, b, u in entries if a & set(b)]
+        behind, e = min(scored, default=(0, None))
+        assert got.get(i) == ((e, -behind) if behind else None)
