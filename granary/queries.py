@@ -423,12 +423,12 @@ s AS (SELECT left_id, right_id, CAST(round_even(10000.0 * len(list_intersect(x,
 r AS (SELECT *, score - COALESCE(lead(score) OVER w, 0) AS lead, row_number() OVER w AS n FROM s WINDOW w AS (PARTITION BY left_id ORDER BY score DESC, right_id))
 SELECT left_id, right_id, score, lead, score >= 8500 AND lead >= 1500 AS exact FROM r WHERE n = 1""")
 def template_match_part_brand(spark, d):
-    """Every part against the labels of every brand, so a part meets each brand at most once for each of its labels."""
-    from .operators.matching import best_template, score_sets
+    """Every part against the labels of every brand; parts of one set of labels are matched once."""
+    from .operators.matching import nearest_templates
 
     p = S.table(spark, d, "part").select(F.col("p_partkey").alias("left_id"), "p_brand", F.split("p_name", " ").alias("labels"))
     brands = p.select(F.col("p_brand").alias("right_id"), F.explode("labels").alias("label")).groupBy("right_id").agg(F.collect_set("label").alias("labels"))
-    return best_template(score_sets(p.select("left_id", "labels"), brands)).select("left_id", "right_id", "score", "lead", "exact")
+    return nearest_templates(p.select("left_id", "labels"), brands).select("left_id", "right_id", "score", "lead", "exact")
 
 
 # Maintenance.
