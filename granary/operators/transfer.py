@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 from ..sources.work import written
 
 NODE = ["kind", "id"]
+KINDS = 1000  #: up to so many kinds are named to the scan of a round
 
 
 def reached(roots: DataFrame, references: DataFrame) -> DataFrame:
     """kind, id, steps: what roots (kind, id) lead to over references (kind, id, to_kind, to_id), themselves at 0 steps.
 
     A round goes one step on from what the last one found, each round is written, and what is known isn't followed again, so
-    circles end. Null kinds and ids lead nowhere.
+    circles end. A round reads only references of the kinds that it goes on from, and of equal ones each: what they lead to is
+    made distinct, which is less. Null kinds and ids lead nowhere.
     """
-    edges = references.dropna(subset=[*NODE, "to_kind", "to_id"]).select(*NODE, "to_kind", "to_id").distinct()
+    edges = references.dropna(subset=[*NODE, "to_kind", "to_id"]).select(*NODE, "to_kind", "to_id")
     front = written(roots.select(*NODE).dropna().distinct())
     found, steps = front.withColumn("steps", F.lit(0)), 0
-    while not front.isEmpty():
+    while kinds := [x.kind for x in front.select("kind").distinct().limit(KINDS + 1).collect()]:
         steps += 1
-        onward = front.join(edges, NODE).select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id")).distinct()
+        own = edges.filter(F.col("kind").isin(kinds)) if len(kinds) <= KINDS else edges
+        onward = own.join(front, NODE, "left_semi").select(F.col("to_kind").alias("kind"), F.col("to_id").alias("id")).distinct()
         front = written(onward.join(found, NODE, "left_anti"))
         found = found.unionByName(front.withColumn("steps", F.lit(steps)))
     return found

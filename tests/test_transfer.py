@@ -46,3 +46,18 @@ def test_bundles_round_trip_and_tell_what_is_wrong(spark, tmp_path):
                 path.unlink()
     spark.catalog.refreshByPath(folder)
     assert {x.id: x.problem for x in arrived(spark, folder).collect()} == {"1": "lost", "2": "lost", "3": "damaged", "4": "unexpected", "9": "missing"}
+
+
+def test_a_round_reads_only_references_that_it_goes_on_from(spark, monkeypatch):
+    from granary.operators import transfer as T
+
+    plans, real = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df))
+    edge = lambda n, kind, to: spark.range(n).select(F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), F.lit(to).alias("to_kind"), (F.col("id") + 1).cast("string").alias("to_id"))
+    edges = edge(5, "a", "b").unionByName(edge(7, "b", "c")).unionByName(edge(9, "x", "y"))
+    want = {("a", "2", 0), ("b", "3", 1), ("c", "4", 2)}
+    roots = spark.createDataFrame([("a", "2")], "kind string, id string")
+    assert {tuple(x) for x in reached(roots, edges).collect()} == want
+    assert "Range (0, 5" in plans[1] and "Range (0, 7" not in plans[1] and "Range (0, 9" not in "".join(plans)
+    monkeypatch.setattr(T, "KINDS", 0)
+    assert {tuple(x) for x in reached(roots, edges).collect()} == want
