@@ -205,25 +205,35 @@ def match_slots(owners: DataFrame, members: DataFrame, slots: DataFrame) -> tupl
     matched_slots, coverage, missing (required slots), unknown (members without a slot), match_type; the second owner_id,
     slot_key, part_id, materialize. An owner whose parts fill no slot of any entry matches none; null members take no part.
     """
-    had = written(numbered(members.filter(F.col("member").isNotNull()), "owner_id", "member", ["part_id"]))
+    there = members.filter(F.col("member").isNotNull())
     slot = written(numbered(slots, "entry_id", "member", ["ordinal", "slot_key"]))
     none = F.struct(F.lit(0).alias("none")).alias("told")
-    left = had.groupBy(F.col("owner_id").alias("left_id")).agg(F.collect_list("key").alias("keys")).select("left_id", "keys", none)
+    # An owner's members are counted and gathered by one shuffle; owners that have the same are one from here on.
+    counted = there.repartition("owner_id").groupBy("owner_id", "member").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    had = written(counted.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("member", "n"))).alias("bag")).withColumn("sig", digest("bag")))
+    bags = written(had.select("sig", "bag").distinct())
+    each = F.flatten(F.transform("bag", lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.struct(x["member"].alias("member"), F.concat_ws("#", x["member"], i.cast("string")).alias("key")))))
+    held = bags.select("sig", F.explode(each).alias("x")).select("sig", "x.member", "x.key")
+    left = bags.select(F.col("sig").alias("left_id"), F.transform(each, lambda x: x["key"]).alias("keys"), none)
     right = slot.groupBy(F.col("entry_id").alias("right_id")).agg(F.collect_list("key").alias("keys")).select("right_id", "keys", none)
-    led = written(best_covered(left, right, slot_score).select(F.col("left_id").alias("owner_id"), F.col("right_id").alias("entry_id"), "score", "shared"))
+    led = written(best_covered(left, right, slot_score).select(F.col("left_id").alias("sig"), F.col("right_id").alias("entry_id"), "score", "shared"))
     sized = slot.groupBy("entry_id").agg(F.count(F.lit(1)).alias("total"))
-    filled = led.select("owner_id", "entry_id").join(slot, "entry_id").join(had.select("owner_id", "key", "part_id"), ["owner_id", "key"], "left")
-    missing = filled.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.when(F.col("part_id").isNull() & F.col("required"), F.struct("ordinal", "slot_key"))))["slot_key"].alias("missing"))
-    taken = filled.filter("part_id is not null").select("owner_id", "key")
-    unknown = had.join(taken, ["owner_id", "key"], "left_anti").groupBy("owner_id").agg(F.array_sort(F.collect_list("member")).alias("unknown"))
-    full = owners.select("owner_id").distinct().join(led.join(sized, "entry_id"), "owner_id", "left").join(missing, "owner_id", "left").join(unknown, "owner_id", "left")
+    filled = led.select("sig", "entry_id").join(slot, "entry_id").join(held.select("sig", "key", F.lit(True).alias("there")), ["sig", "key"], "left")
+    missing = filled.groupBy("sig").agg(F.array_sort(F.collect_list(F.when(F.col("there").isNull() & F.col("required"), F.struct("ordinal", "slot_key"))))["slot_key"].alias("missing"))
+    taken = filled.filter("there").select("sig", "key")
+    unknown = held.join(taken, ["sig", "key"], "left_anti").groupBy("sig").agg(F.array_sort(F.collect_list("member")).alias("unknown"))
+    told = written(bags.select("sig").join(led.join(sized, "entry_id"), "sig", "left").join(missing, "sig", "left").join(unknown, "sig", "left"))
+    full = owners.select("owner_id").distinct().join(had.select("owner_id", "sig"), "owner_id", "left").join(told, "sig", "left")
     empty = F.array().cast("array<string>")
     full = full.withColumns({"missing": F.coalesce("missing", empty), "unknown": F.coalesce("unknown", empty), "total_slots": F.coalesce("total", F.lit(0)).cast("long"), "matched_slots": F.coalesce("shared", F.lit(0)).cast("long"), "score": F.coalesce("score", F.lit(0)).cast("long")})
     exact = F.col("entry_id").isNotNull() & (F.size("missing") == 0) & (F.size("unknown") == 0) & (F.col("matched_slots") == F.col("total_slots"))
     coverage = F.when(F.col("total_slots") > 0, points(F.col("matched_slots") / F.col("total_slots"))).otherwise(F.lit(0).cast("long"))
     kind = F.when(exact, "exact").when(F.col("score") > 0, "partial").otherwise("none")
     table = full.select("owner_id", "entry_id", "score", "total_slots", "matched_slots", coverage.alias("coverage"), "missing", "unknown", kind.alias("match_type"))
-    return table, filled.filter("part_id is not null").select("owner_id", "slot_key", "part_id", "materialize")
+    # Parts come in only here, where each takes its place.
+    parts = numbered(there, "owner_id", "member", ["part_id"]).join(had.select("owner_id", "sig"), "owner_id")
+    placed = parts.join(filled.filter("there").select("sig", "key", "slot_key", "materialize"), ["sig", "key"])
+    return table, placed.select("owner_id", "slot_key", "part_id", "materialize")
 
 
 def match_items(regions: DataFrame) -> DataFrame:

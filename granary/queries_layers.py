@@ -79,7 +79,7 @@ sheet AS (
 
 
 def _compositions(spark, d):
-    members = written(S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner_id"), _tax().alias("member"), F.col("l_linenumber").alias("part_id")))
+    members = S.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("owner_id"), _tax().alias("member"), F.col("l_linenumber").alias("part_id"))
     had = members.groupBy("owner_id").agg(F.array_sort(F.collect_list("member")).alias("members"))
     common = had.groupBy("members").count().filter("count >= 20")
     slots = common.select(F.array_join("members", "+").alias("entry_id"), F.posexplode("members").alias("at", "member"))

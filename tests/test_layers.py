@@ -169,3 +169,16 @@ def test_sets_of_many_keys_match_a_plain_loop(spark, monkeypatch, both):
         scored = [(-(jaccard((a, t, 1, None), (b, u, 1, None)) if both else max(0, round(10000 * len(a & set(b)) / len(b)) - 500 * len(a - set(b)))), e) for e, b, u in entries if a & set(b)]
         behind, e = min(scored, default=(0, None))
         assert got.get(i) == ((e, -behind) if behind else None)
+
+
+def test_owners_of_equal_members_are_one(spark, monkeypatch):
+    """What is scored, missing and unknown is told once for all owners of the same members, however many parts they have."""
+    seen, real = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: seen.append((set(df.columns), df.count())) or real(df))
+    parts = spark.createDataFrame([(o, m, f"p{o}{i}") for o in range(300) for i, m in enumerate("AAB" if o % 2 else "AC")], "owner_id long, member string, part_id string")
+    slots = spark.createDataFrame([("e", f"s{i}", i, m, True, True) for i, m in enumerate("AAB")], "entry_id string, slot_key string, ordinal int, member string, required boolean, materialize boolean")
+    table, filled = T.match_slots(parts.select("owner_id"), parts, slots)
+    got = {(x.owner_id % 2, x.score, tuple(x.missing), tuple(x.unknown), x.match_type) for x in table.collect()}
+    assert got == {(1, 10000, (), (), "exact"), (0, 2833, ("s1", "s2"), ("C",), "partial")} and table.count() == 300
+    assert filled.count() == 600 and {tuple(x) for x in filled.filter("owner_id = 1").collect()} == {(1, "s0", "p10", True), (1, "s1", "p11", True), (1, "s2", "p12", True)}
+    assert max(n for columns, n in seen if "score" in columns) == 2
