@@ -50,11 +50,13 @@ def overlapping(ranges: DataFrame) -> DataFrame:
     the greatest right end so far overlaps one. Strips are as many as range ends, and no two ranges are paired.
     """
     key = ["plan_id", "sheet"]
+    # Dealt by sheet once: cuts, strips and what they hold stay where the sheet is.
+    ranges = ranges.select(*key, "data_top", "data_bottom", "data_left", "data_right").repartition(*key)
     cuts = ranges.select(*key, F.explode(F.array(F.col("data_top"), F.col("data_bottom") + 1)).alias("at")).distinct()
     order = Window.partitionBy(*key).orderBy("at")
     strips = cuts.withColumn("next", F.lead("at").over(order)).filter("next is not null")
-    held = ranges.join(strips, key).filter("data_top <= at and data_bottom >= next - 1").select(*key, "at", "region_id", "data_left", "data_right")
-    before = Window.partitionBy(*key, "at").orderBy("data_left", "data_right", "region_id").rowsBetween(Window.unboundedPreceding, -1)
+    held = ranges.join(strips, key).filter("data_top <= at and data_bottom >= next - 1").select(*key, "at", "data_left", "data_right")
+    before = Window.partitionBy(*key, "at").orderBy("data_left", "data_right").rowsBetween(Window.unboundedPreceding, -1)
     return held.withColumn("reach", F.max("data_right").over(before)).filter("data_left <= reach").select("plan_id").distinct()
 
 

@@ -147,6 +147,7 @@ def plan_approvals_orders(spark, d):
         F.when((F.col("l_returnflag") == "N") & (F.col("l_tax") < 0.005), "open").otherwise("reused").alias("origin"), (F.col("l_quantity") > 5).alias("materialize"),
         day.alias("data_top"), (day + F.col("l_quantity").cast("int") % 5).alias("data_bottom"), left.alias("data_left"), (left + F.col("l_suppkey") % 5).alias("data_right"),
     ).distinct()
+    regions = written(regions)
     headers = regions.filter("header_id = 'F'").select("region_id", "header_id")
     old = orders.filter("o_orderstatus = 'F' and o_orderdate < timestamp '1993-01-01'").groupBy("o_custkey").agg(F.min("o_orderkey").alias("plan_id"))
     plans = old.select("plan_id", text("o_custkey").alias("item_id"), F.lit(1).alias("revision"), F.lit("template").alias("source"), F.lit("F").alias("template_id"), F.lit(1).alias("template_version"), none.alias("proposal_id"), F.lit("old").alias("digest"), F.lit("completed").alias("status"))
