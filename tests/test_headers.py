@@ -82,6 +82,19 @@ def test_types_slots_and_bags(spark):
     assert [tuple(r) for r in fields.same_fields(l, l.withColumnRenamed("left_id", "right_id").filter("right_id = 'x'")).collect()] == [("x", "x")]
 
 
+def test_pairs_of_one_bag_are_spread_over_tasks(spark):
+    """Every left owner has the bag of every right one, but for some; blocks are cut, and no task makes all pairs."""
+    both = F.explode(F.array(F.lit("b"), F.lit("a"))).alias("code")
+    l = spark.range(700).select(F.nullif("id", F.lit(5)).alias("left_id"), both)
+    r = spark.range(5000).select(F.col("id").alias("right_id"), both).unionByName(spark.createDataFrame([(-1, "a"), (-2, "a"), (-2, "a"), (-2, "b")], "right_id long, code string"))
+    got = fields.same_fields(l, r)
+    tasks = got.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 700 * 5000
+    assert len(tasks) > 8 and max(t["count"] for t in tasks) < 700 * 5000 / 4
+    held = got.groupBy("left_id").agg(F.countDistinct("right_id").alias("n"), F.min("right_id").alias("least"), F.max("right_id").alias("most")).collect()
+    assert len(held) == 700 and None in {h["left_id"] for h in held} and {(h["n"], h["least"], h["most"]) for h in held} == {(5000, 0, 4999)}
+
+
 def test_projection(spark):
     schema = "sheet int, signature string, top int, bottom int, left int, right int, header_end int, data_start int, data_end int, data_left int, data_right int, excluded array<int>"
     snap = fields.layout_snapshot(spark.createDataFrame([(0, "s", 1, 20, 1, 5, 2, 4, 18, 2, 5, [6]), (0, "bad", 1, 5, 1, 2, 1, 2, 9, 1, 2, [])], schema))
