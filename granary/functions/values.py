@@ -52,7 +52,8 @@ def parse(c: Column, kind: str) -> Column:
         # A wide scale, so that 2.00000000001 is not taken for 2; 1e3 and 2.0 are integers.
         odd = number.rlike(r"^[+-]?\d*\.\d*[1-9]\d*$")  # however far behind the point
         wide = F.coalesce(number.try_cast("decimal(38,18)"), number.try_cast("decimal(38,0)").cast("decimal(38,18)"))
-        return F.when(~odd & (wide == F.floor(wide)), wide).try_cast("int")
+        plain = c.rlike(r"^[+-]?[0-9]{1,9}$")  # the usual case, without decimals
+        return F.when(plain, c.try_cast("int")).otherwise(F.when(~odd & (wide == F.floor(wide)), wide).try_cast("int"))
     if kind == "date":
         iso = F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
         flat = F.when(text.rlike(r"^\d{8}$"), F.concat_ws("-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)).try_cast("date"))

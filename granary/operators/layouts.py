@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.headers import label_key
 from ..functions.values import SPARK_TYPES, column_letters, normalize, spreadsheet_error, unfilled
+from ..sources.work import written
 from .materialize import SEQUENCE, Facts
 
 FORM, HEADERLESS = "form", "headerless_table"
@@ -30,32 +31,39 @@ def laid_out(regions: DataFrame) -> DataFrame:
     return regions.withColumn("layout", F.coalesce(named, F.when(F.col("region_kind") == FORM, FORM).otherwise("table")))
 
 
-def plan_problems(plans: DataFrame, regions: DataFrame, mappings: DataFrame) -> DataFrame:
+def with_fields(regions: DataFrame, mappings: DataFrame, headers: DataFrame) -> DataFrame:
+    """regions with their fields (structs of the mappings' columns) and the columns that have a header, named; fields of no region stand in a row without known."""
+    fields = mappings.groupBy(*REGION).agg(F.collect_list(F.struct("code", "role", "data_type", "required", "selector", "map_row", F.col("map_col").alias("col"))).alias("fields"))
+    named = headers.filter(F.size("header_path") > 0).groupBy(*REGION).agg(F.collect_set("col").alias("named"))
+    return regions.withColumn("known", F.lit(True)).join(named, REGION, "left").join(fields, REGION, "full")
+
+
+def plan_problems(plans: DataFrame, held: DataFrame) -> DataFrame:
     """plan_id, problem: the first thing that keeps a plan from being materialized, of those that have one.
 
-    regions and mappings: see materialize_plans. Regions that are not to be materialized are held to nothing.
+    held: regions of the plans, see with_fields, laid out. Regions that are not to be materialized are held to nothing.
     """
-    active = laid_out(regions).filter("materialize")
     beyond = "data_top < top or data_bottom > bottom or data_bottom < data_top or data_left < left or data_right > right or data_right < data_left"
-    # The range must be there, whole, and hold the rows that are left out.
-    of_region = active.select(
-        "plan_id", F.when(F.coalesce(F.expr(f"({beyond}) or exists(excluded, r -> r < data_top or r > data_bottom)"), F.lit(True)), F.struct(F.lit(2).alias("at"), F.lit("data_range_outside_region").alias("problem")))
-        .when(~F.col("layout").isin(FORM, HEADERLESS, *ROWS), F.struct(F.lit(3).alias("at"), F.lit("unknown_layout").alias("problem"))).alias("p"),
-    )
-    mapped = mappings.join(active, REGION)
-    cell, column = F.col("selector") == "cell", F.coalesce(F.col("selector"), F.lit("physical_column")) == "physical_column"
+    form, headerless, rows = F.col("layout") == FORM, F.col("layout") == HEADERLESS, F.col("layout").isin(*ROWS)
     said = lambda at, problem: F.struct(F.lit(at).alias("at"), F.lit(problem).alias("problem"))
-    of_mapping = mapped.select(
-        "plan_id",
-        F.when((F.col("layout") == FORM) & ~F.coalesce(cell, F.lit(False)), said(4, "form_field_without_cell"))
-        .when((F.col("layout") == HEADERLESS) & ~F.coalesce(F.col("selector") == "physical_column", F.lit(False)), said(5, "headerless_field_without_column"))
-        .when(F.col("layout").isin(*ROWS) & ~column, said(6, "table_field_without_column"))
-        .when((F.col("map_col") < F.col("left")) | (F.col("map_col") > F.col("right")), said(7, "column_outside_region"))
-        .when((F.col("layout") == FORM) & (F.expr("map_row < data_top or map_row > data_bottom or map_col < data_left or map_col > data_right") | F.array_contains("excluded", F.col("map_row"))), said(8, "form_cell_outside_range")).alias("p"),
-    )
-    homeless = mappings.join(regions.select(*REGION), REGION, "left_anti").select("plan_id", said(1, "mapping_without_region").alias("p"))
-    empty = plans.select("plan_id").join(regions.select("plan_id"), "plan_id", "left_anti").select("plan_id", said(0, "no_regions").alias("p"))
-    every = of_region.unionByName(of_mapping).unionByName(homeless).unionByName(empty).filter("p is not null")
+    # The range must be there, whole, and hold the rows that are left out.
+    outside = F.coalesce(F.expr(f"({beyond}) or exists(excluded, r -> r < data_top or r > data_bottom)"), F.lit(True))
+    of_region = F.when(outside, said(2, "data_range_outside_region")).when(~(form | headerless | rows), said(3, "unknown_layout"))
+
+    def of_field(f: Column) -> Column:
+        off = (f["map_row"] < F.col("data_top")) | (f["map_row"] > F.col("data_bottom")) | (f["col"] < F.col("data_left")) | (f["col"] > F.col("data_right"))
+        return (
+            F.when(form & ~F.coalesce(f["selector"] == "cell", F.lit(False)), said(4, "form_field_without_cell"))
+            .when(headerless & ~F.coalesce(f["selector"] == "physical_column", F.lit(False)), said(5, "headerless_field_without_column"))
+            .when(rows & (F.coalesce(f["selector"], F.lit("physical_column")) != "physical_column"), said(6, "table_field_without_column"))
+            .when((f["col"] < F.col("left")) | (f["col"] > F.col("right")), said(7, "column_outside_region"))
+            .when(form & (off | F.array_contains("excluded", f["map_row"])), said(8, "form_cell_outside_range"))
+        )
+
+    of_fields = F.coalesce(F.transform("fields", of_field), F.array().cast("array<struct<at:int,problem:string>>"))
+    first = F.when(F.col("known").isNull(), said(1, "mapping_without_region")).when(F.col("materialize"), F.array_min(F.concat(F.array(of_region), of_fields)))
+    empty = plans.select("plan_id").join(held.filter("known").select("plan_id"), "plan_id", "left_anti").select("plan_id", said(0, "no_regions").alias("p"))
+    every = held.select("plan_id", first.alias("p")).filter("p is not null").unionByName(empty)
     return every.groupBy("plan_id").agg(F.min("p").alias("p")).select("plan_id", "p.problem")
 
 
@@ -81,43 +89,49 @@ def materialize_plans(cells: DataFrame, plans: DataFrame, regions: DataFrame, ma
     none = lambda kind: F.array().cast(f"array<{kind}>")
     regions = laid_out(regions).withColumns({"excluded": F.coalesce("excluded", none("int")), "identity": F.coalesce("identity", none("string"))})
     mappings = mappings.withColumn("role", F.coalesce("role", F.lit("")))
-    problems = plan_problems(fresh, regions.join(fresh.select("plan_id"), "plan_id", "left_semi"), mappings.join(fresh.select("plan_id"), "plan_id", "left_semi"))
-    sound = fresh.join(problems, "plan_id", "left_anti")
-    active = regions.filter("materialize").join(sound.select("plan_id", "item_id"), "plan_id")
-    box = active.select(*REGION, "item_id", "layout", "data_top", "data_bottom", "data_left", "data_right", "excluded")
+    # Cells meet their regions once, each of which carries its fields; what makes a record is told by one more shuffle, and written.
+    laid = written(with_fields(regions, mappings, headers).join(fresh.select("plan_id", "item_id"), "plan_id"))
+    problems = plan_problems(fresh, laid)
+    active = laid.filter("known and materialize").join(problems, "plan_id", "left_anti")
+    box = active.select(*REGION, "item_id", "layout", "data_top", "data_bottom", "data_left", "data_right", "excluded", "fields", "named")
     there = cells.filter(filled(F.col("value"))).select("item_id", "sheet", "row", "col", "value")
     near = there.join(box, ["item_id", "sheet"]).filter("row >= data_top and row <= data_bottom").filter(~F.array_contains("excluded", F.col("row")))
-    near = near.withColumn("source_row", F.when(F.col("layout") == FORM, F.col("data_top")).otherwise(F.col("row")))
-    wanted = mappings.select(*REGION, "code", "role", "data_type", "required", "map_row", F.col("map_col").alias("col"))
-    at = (F.col("layout") != FORM) | (F.col("row") == F.col("map_row"))
-    hits = near.join(wanted, [*REGION, "col"]).filter(at)
-    # What makes a record: a form's cells, a headerless table's fields, the cells below a header.
-    named = headers.filter(F.size("header_path") > 0).select(*REGION, "col").distinct()
-    raw = near.filter(F.col("layout") == FORM).filter(IN_RANGE).select(*REGION, "source_row", "col", "value")
-    raw = raw.unionByName(hits.filter(F.col("layout") == HEADERLESS).select(*REGION, "source_row", "col", "value"))
-    below = near.filter(F.col("layout").isin(*ROWS)).join(named, [*REGION, "col"])
-    numbers = mappings.filter(F.col("code") == SEQUENCE).select(*REGION, F.col("map_col").alias("col")).distinct().withColumn("numbers", F.lit(True))
-    mapped = wanted.select(*REGION, "col").distinct().withColumn("mapped", F.lit(True))
-    told = below.join(numbers, [*REGION, "col"], "left").join(mapped, [*REGION, "col"], "left")
-    in_scope = F.col("col").between(F.col("data_left"), F.col("data_right"))
-    rows = told.groupBy(*REGION, "source_row").agg(
-        F.coalesce(F.bool_or(F.col("numbers") & normalize(F.col("value"), "integer")["failed"]), F.lit(False)).alias("odd"),
-        F.bool_and(F.coalesce("numbers", F.lit(False))).alias("bare"), F.bool_and(unfilled(F.col("value"))).alias("blank"),
-        F.coalesce(F.bool_and(F.col("mapped").isNotNull() | ~in_scope), F.lit(True)).alias("covered"),
-    ).filter("not (odd or bare or blank)").select(*REGION, "source_row", "covered")
-    records = raw.select(*REGION, "source_row").distinct().withColumn("covered", F.lit(True)).unionByName(rows)
-    record_id = F.concat_ws(":", "plan_id", F.concat(F.lit("s"), "sheet"), "region_id", F.concat(F.lit("r"), "source_row"))
-    records = records.withColumn("record_id", record_id).join(active.select(*REGION, "item_id", "ordinal", "layout", "template", "record_type", "identity"), REGION)
-
-    hits = hits.join(records.select(*REGION, "source_row", "record_id"), [*REGION, "source_row"])
-    error = spreadsheet_error(F.col("value"))
-    for kind, spark_type in SPARK_TYPES.items():
-        hits = hits.withColumn(f"{kind}_value", F.when((F.col("data_type") == kind) & ~error, normalize(F.col("value"), kind)["value"]).cast(spark_type))
+    form, in_rows = F.col("layout") == FORM, F.col("layout").isin(*ROWS)
+    own = F.filter(F.coalesce("fields", F.array().cast(box.schema["fields"].dataType)), lambda f: f["col"] == F.col("col"))
+    near = near.withColumn("own", own).withColumn("hit", F.filter("own", lambda f: ~form | (f["map_row"] == F.col("row"))))
+    near = near.select(
+        *REGION, F.when(form, F.col("data_top")).otherwise(F.col("row")).alias("source_row"), "item_id", "row", "col", "value",
+        # What makes a record: a form's cells, a headerless table's fields, the cells below a header.
+        F.coalesce((form & F.expr(IN_RANGE)) | ((F.col("layout") == HEADERLESS) & (F.size("hit") > 0)), F.lit(False)).alias("makes"),
+        (in_rows & F.coalesce(F.array_contains("named", F.col("col")), F.lit(False))).alias("below"), F.exists("own", lambda f: f["code"].eqNullSafe(F.lit(SEQUENCE))).alias("numbers"),
+        ((F.size("own") > 0) | ~F.col("col").between(F.col("data_left"), F.col("data_right"))).alias("covers"), "hit",
+    ).filter("makes or below or size(hit) > 0")
+    record = [*REGION, "source_row"]
+    field = lambda c: F.col(f"f.{c}").alias(c)
+    hit = near.withColumn("f", F.explode_outer("hit")).select(*record, "item_id", "row", "col", "value", "makes", "below", "numbers", "covers", F.col("f").isNotNull().alias("hit"), *map(field, ("code", "role", "data_type")))
+    hit = hit.repartition("plan_id", "source_row")
+    hit = hit.withColumn("unavailable", spreadsheet_error(F.col("value")))
+    # Within a lambda, so that the six kinds don't become one generated method too large to be compiled.
+    of_kind = lambda v, kind: F.when((F.col("data_type") == kind) & ~F.col("unavailable"), normalize(v, kind)["value"]).cast(SPARK_TYPES[kind])
+    typed = F.transform(F.array("value"), lambda v: F.struct(*[of_kind(v, kind).alias(f"{kind}_value") for kind in SPARK_TYPES]))[0]
+    hit = hit.withColumn("typed", typed).select("*", "typed.*").drop("typed")
     found = F.greatest(*[F.col(f"{k}_value").isNotNull() for k in SPARK_TYPES])
-    hits = hits.withColumn("unavailable", error).withColumn("failed", ~error & ~found).withColumn("coordinate", F.concat(column_letters(F.col("col")), "row"))
-    twice = hits.groupBy("plan_id", "record_id", "code", "role").agg(F.count(F.when(~F.col("failed"), 1)).alias("n")).filter("n > 1").select("plan_id").distinct()
+    hit = hit.withColumn("failed", ~F.col("unavailable") & ~found).withColumn("coordinate", F.concat(column_letters(F.col("col")), "row"))
+    # One sort serves both windows.
+    hit = hit.withColumn("n", F.count(F.when(F.col("hit") & ~F.col("failed"), 1)).over(Window.partitionBy(*record, "code", "role")))
+    of_record = Window.partitionBy(*record)
+    over = lambda f, c: f(F.when(F.col("below"), c)).over(of_record)
+    odd = over(F.bool_or, F.col("numbers") & F.exists(F.array("value"), lambda v: normalize(v, "integer")["failed"]))
+    of_rows = over(F.bool_or, F.lit(True)) & ~(odd | over(F.bool_and, F.col("numbers")) | over(F.bool_and, F.exists(F.array("value"), unfilled)))
+    hit = hit.withColumns({"there": F.bool_or("makes").over(of_record) | F.coalesce(of_rows, F.lit(False)), "covered": F.coalesce(over(F.bool_and, F.col("covers")), F.lit(True))})
+    record_id = F.concat_ws(":", "plan_id", F.concat(F.lit("s"), "sheet"), "region_id", F.concat(F.lit("r"), "source_row"))
+    told = written(hit.filter("there").drop("makes", "below", "numbers", "covers", "there")).withColumn("record_id", record_id)
+    twice = told.filter("n > 1").select("plan_id").distinct()
     problems = problems.unionByName(twice.withColumn("problem", F.lit("field_twice_with_one_role")))
-    hits, records = hits.join(twice, "plan_id", "left_anti"), records.join(twice, "plan_id", "left_anti")
+    told = told.join(twice, "plan_id", "left_anti")
+    hits = told.filter("hit")
+    records = told.select(*record, "record_id", "covered").distinct().join(active.select(*REGION, "item_id", "ordinal", "layout", "template", "record_type", "identity"), REGION)
+    wanted = mappings.select(*REGION, "code", "required")
 
     needs = wanted.filter("required").groupBy(*REGION).agg(F.collect_set("code").alias("needs"))
     held = hits.groupBy("record_id").agg(

@@ -218,11 +218,13 @@ def plan_facts_orders(spark, d):
     from .operators.layouts import materialize_plans
 
     lines = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("item_id"), F.col("l_linenumber").alias("row")).agg(F.max("l_partkey").alias("part"), F.max(F.col("l_quantity").cast("int")).alias("qty"), F.max("l_returnflag").alias("flag"))
+    lines = written(lines)
     fields = [("part", "integer", 1), ("qty", "integer", 2), ("flag", "text", 3)]
     cell = F.array(*[F.struct(F.lit(c).alias("col"), F.col(name).cast("string").alias("value")) for name, _, c in fields])
     cells = lines.select("item_id", F.lit(0).alias("sheet"), "row", F.inline(cell))
     last = lines.groupBy("item_id").agg(F.max("row").alias("last"))
     o = S.table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("plan_id"), "o_orderstatus").join(last, F.col("plan_id") == F.col("item_id"))
+    o = written(o)
     table = F.col("o_orderstatus") == "O"
     none = F.lit(None).cast("string")
     at = [F.lit(0).alias("sheet"), F.lit("g").alias("region_id")]

@@ -119,3 +119,11 @@ def test_many_plans_match_a_plain_loop(spark):
     facts, _ = materialize_plans(*tables(spark, cells, plans, regions, mappings, headers))
     got = {(x.record_id, x.code, x.text_value) for x in facts.values.collect()} | {(x.record_id, None, x.quality_status) for x in facts.records.collect()}
     assert got == want
+
+
+def test_cells_meet_their_regions_once(spark):
+    """Read off the plan: values come from what was written, less the plans with a field twice, and join nothing else."""
+    given = tables(spark, sheet("f", 0, LIST), [("p", "f", None)], [region("p", 0, "headerless_table", (1, 1, 2, 2))], [("p", 0, "g0", "n", None, "integer", True, "physical_column", None, 2)])
+    facts, _ = materialize_plans(*given)
+    assert facts.values._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 1
+    assert sorted((v.record_id, v.integer_value) for v in facts.values.collect()) == [("p:s0:g0:r1", 3), ("p:s0:g0:r2", 5)]
