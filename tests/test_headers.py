@@ -1,5 +1,7 @@
 """Header semantics, field scoring, layout projection and question classes on literal cases."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from granary.functions import headers as H
@@ -95,6 +97,32 @@ def test_pairs_of_one_bag_are_spread_over_tasks(spark):
     assert len(held) == 700 and None in {h["left_id"] for h in held} and {(h["n"], h["least"], h["most"]) for h in held} == {(5000, 0, 4999)}
 
 
+def test_pairs_are_not_held_before_they_go_on(spark):
+    """Spark keeps all rows of a compiled loop until it ends, so no generator shares its loop with a join or with another generator."""
+    l = spark.range(600).select(F.col("id").alias("left_id"), F.lit("a").alias("code"))
+    got = fields.same_fields(l, l.withColumnRenamed("left_id", "right_id"))
+    assert len(got.collect()) == 600 * 600
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("== Initial Plan ==")[0]
+    loops = [n for n, node in re.findall(r"\*\((\d+)\) (Generate|\w*Join)", plan)]
+    assert len(loops) == 4 and len(set(loops)) == 4, plan
+
+
+def test_pairs_of_cut_blocks_and_of_bare_owners(spark, monkeypatch):
+    """Blocks, groups and tasks of every size make each pair once; owners whose fields are all NULL have none, as in SQL."""
+    rows = [(i, c) for i in range(90) for c in ("a", "b", None)[: 1 + i % 3]] + [(None, "a"), (200, None), (201, None)]
+    l = spark.createDataFrame(rows, "left_id long, code string")
+    assert fields.same_fields(l.filter("left_id = 200"), l.withColumnRenamed("left_id", "right_id")).collect() == []
+    bags = {}
+    for i, c in rows:
+        bags.setdefault(i, []).extend([c] if c else [])
+    want = sorted(((i, j) for i in bags for j in bags if bags[i] and sorted(bags[i]) == sorted(bags[j])), key=str)
+    for deals, block, blocks, pairs, tasks in ((1, 2, 3, 1, (1, 5)), (2, 3, 2, 10, (2, 50)), (16, 256, 16, 1 << 26, (4, 8))):
+        for name, value in zip(("DEALS", "BLOCK", "BLOCKS", "PAIRS", "TASKS"), (deals, block, blocks, pairs, tasks), strict=True):
+            monkeypatch.setattr(fields, name, value, raising=False)
+        got = fields.same_fields(l, l.withColumnRenamed("left_id", "right_id"))
+        assert sorted(map(tuple, got.collect()), key=str) == want
+
+
 def test_projection(spark):
     schema = "sheet int, signature string, top int, bottom int, left int, right int, header_end int, data_start int, data_end int, data_left int, data_right int, excluded array<int>"
     snap = fields.layout_snapshot(spark.createDataFrame([(0, "s", 1, 20, 1, 5, 2, 4, 18, 2, 5, [6]), (0, "bad", 1, 5, 1, 2, 1, 2, 9, 1, 2, [])], schema))
